@@ -1,0 +1,14 @@
+"""Broadcasting behind a size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 2_000_000  # of a few columns each: tens of megabytes
+
+
+def broadcast_if_within(df: DataFrame, rows_bound: int) -> DataFrame:
+    """Broadcast ``df`` when it provably has few rows; otherwise leave the join
+    to the planner, which shuffles and splits skewed keys."""
+    return F.broadcast(df) if rows_bound <= MAX_BROADCAST_ROWS else df
