@@ -12,7 +12,7 @@ _MAX_MONTHS = K.MAX_WITHDRAWAL_YEARS * 12
 
 
 def _monthly(annual_rate: Column) -> Column:
-    return annual_rate / 1200
+    return annual_rate / 100 / 12
 
 
 def _annuity_due(months: Column, r: Column) -> Column:
