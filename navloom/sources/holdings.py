@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from navloom import constants as K
 from navloom.functions.feeds import link_date
 from navloom.functions.names import sheet_identity
 from navloom.functions.rounding import rnd
@@ -45,7 +46,7 @@ def load_report(sheets: DataFrame, houses: DataFrame, master: DataFrame) -> Data
     """(amc, sheets, suspect, matched, unmatched) per house."""
     titled = sheets.join(houses, "file").withColumn("target", sheet_identity(F.col("scheme_name")))
     hits = resolve_codes(titled, master).select("amc", "target").distinct().withColumn("hit", F.lit(True))
-    bad = F.col("total_pct") > sheet_source.K.MAX_PORTFOLIO_WEIGHT
+    bad = F.col("total_pct") > K.MAX_PORTFOLIO_WEIGHT
     hit = F.col("hit").isNotNull()
 
     def tally(condition: Column) -> Column:

@@ -52,6 +52,12 @@ def write_prices(nav: DataFrame, path: str) -> None:
     _by_year(newest_wins([nav.select("scheme_code", "date", "nav")], KEY)).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def create_store(spark: SparkSession, path: str) -> None:
+    """Makes an empty store, or leaves the one that is there as it is."""
+    empty = spark.createDataFrame([], f"{schemas.NAV_HISTORY}, year INT")
+    empty.write.mode("append").partitionBy("year").parquet(path)
+
+
 def read_prices(spark: SparkSession, path: str, years: list[int] | None = None) -> DataFrame:
     """Stored prices; ``years`` prunes partitions, and date predicates prune row
     groups, which are sorted by scheme and day."""
@@ -71,6 +77,7 @@ def merge_into_store(spark: SparkSession, path: str, incoming: DataFrame, incomi
     years = [r.year for r in incoming.select(F.year("date").alias("year")).distinct().collect() if r.year is not None]
     if not years:
         return
+    create_store(spark, path)
     current = read_prices(spark, path, years)
     merged = upserted(current, incoming) if incoming_wins else backfilled(current, incoming)
     staged = scratch_dir(spark, "price-merge")

@@ -23,8 +23,7 @@ def rnd(expr: str, digits: int) -> str:
 _CATEGORY = """CASE {n} % 5 WHEN 0 THEN 'Equity Scheme - Large Cap Fund'
     WHEN 1 THEN 'Equity Scheme - Mid Cap Fund' WHEN 2 THEN 'Equity Scheme - Small Cap Fund'
     WHEN 3 THEN 'Equity Scheme - Flexi Cap Fund' ELSE 'Debt Scheme - Liquid Fund' END"""
-_HOUSE = """CASE {n} % 3 WHEN 0 THEN 'Alder Mutual Fund' WHEN 1 THEN 'Birch Mutual Fund'
-    ELSE 'Cedar Mutual Fund' END"""
+_HOUSE = "CASE {n} % 3 WHEN 0 THEN 'Alder' WHEN 1 THEN 'Birch' ELSE 'Cedar' END"
 
 
 def _brand_rows() -> str:
@@ -33,8 +32,8 @@ def _brand_rows() -> str:
         for suffix, option in (("", "Growth"), ("-IDCW", "IDCW")):
             backfill = "'done'" if option == "Growth" else "CAST(NULL AS STRING)"
             parts.append(f"""
-  SELECT b || '-{status}{suffix}' AS scheme_code, 'Fund ' || b || ' Fund - {plan} Plan - {option}' AS name,
-         {_HOUSE.format(n="n")} AS amc, {_CATEGORY.format(n="n")} AS category,
+  SELECT b || '-{status}{suffix}' AS scheme_code, {_HOUSE.format(n="n")} || ' ' || b || ' Fund - {plan} Plan - {option}' AS name,
+         {_HOUSE.format(n="n")} || ' Mutual Fund' AS amc, {_CATEGORY.format(n="n")} AS category,
          '{plan}' AS plan_type, '{option}' AS option_type, 'G' || CAST(n AS STRING) AS fund_group_id,
          {backfill} AS backfill_status
   FROM (SELECT DISTINCT p_brand AS b, CAST(substr(p_brand, 7) AS INT) AS n FROM part) brands""")
@@ -78,8 +77,8 @@ FROM (
     "fx_master": ((), f"""
 SELECT scheme_code, name, amc, category, plan_type, option_type, fund_group_id, backfill_status, TRUE AS is_active
 FROM ({_brand_rows()} UNION ALL
-  SELECT 'S' || CAST(s_suppkey AS STRING), s_name || ' Fund - Regular Plan - Growth',
-         {_HOUSE.format(n="s_suppkey")}, {_CATEGORY.format(n="s_suppkey")},
+  SELECT 'S' || CAST(s_suppkey AS STRING), {_HOUSE.format(n="s_suppkey")} || ' ' || s_name || ' Fund - Regular Plan - Growth',
+         {_HOUSE.format(n="s_suppkey")} || ' Mutual Fund', {_CATEGORY.format(n="s_suppkey")},
          'Regular', 'Growth', 'GS' || CAST(s_suppkey AS STRING), 'done'
   FROM supplier UNION ALL {_proxy_rows()}) m"""),
     # yearly portfolios: supplier = fund, part = instrument, 95% invested
@@ -139,8 +138,91 @@ SELECT CAST(p_partkey AS STRING) AS scheme_code,
             WHEN 1 THEN p_brand || ' ' || p_name || ' ' || CAST(p_size AS STRING) || ' Fund - Regular Plan - IDCW (Monthly)'
             WHEN 2 THEN p_brand || ' Regular ' || p_name || ' & ' || lower(p_type) || ' Fund - Regular Plan - Growth'
             ELSE p_brand || ' ' || p_name || ' and the ' || lower(p_type) || ' Fund - Series ' || CAST(p_size AS STRING) || ' - Direct - Dividend Payout' END AS name,
-       {_CATEGORY.format(n="p_size")} AS category, p_type, p_size, p_partkey, p_brand, p_name
+       {_CATEGORY.format(n="p_size")} AS category, p_type, p_size, p_partkey, p_brand, p_name, p_retailprice
 FROM part"""),
+    "lines_src": (("fx_catalog",), """
+SELECT *, 'daily-' || CAST(p_size % 2 AS STRING) || '.txt' AS file, CAST(p_size % 5 AS BIGINT) AS c,
+       CAST(substr(p_brand, 7) AS BIGINT) AS n, round(p_retailprice) AS cents FROM fx_catalog"""),
+    # the landed daily file: sections by category, houses by brand, schemes by part
+    "fx_lines": (("lines_src",), """
+SELECT file, CAST(floor(pos / 4e12) AS BIGINT) AS block, pos, line
+FROM (
+  SELECT DISTINCT file, c * 1000000000000000 AS pos, 'Open Ended Schemes ( ' || category || ' )' AS line FROM lines_src
+  UNION ALL
+  SELECT DISTINCT file, c * 1000000000000000 + n * 1000000000000 + 1, amc FROM lines_src WHERE NOT (c = 3 AND n = 1)
+  UNION ALL
+  SELECT DISTINCT file, c * 1000000000000000 + n * 1000000000000 + 2,
+         'Scheme Code;ISIN Div Payout/ ISIN Growth;ISIN Div Reinvestment;Scheme Name;Net Asset Value;Date' FROM lines_src
+  UNION ALL
+  SELECT file, c * 1000000000000000 + n * 1000000000000 + 3 + p_partkey,
+         scheme_code || ';' || CASE WHEN p_partkey % 5 = 0 THEN '-' ELSE 'INF' || lpad(scheme_code, 9, '0') END || ';' ||
+         CASE WHEN p_partkey % 35 = 0 THEN '' ELSE 'INR' || lpad(scheme_code, 9, '0') END || ';' ||
+         CASE WHEN p_partkey % 3 = 0
+              THEN p_brand || ' ' || p_name || ' Fund;' || CASE WHEN p_size = 19 THEN ';' WHEN p_partkey % 2 = 0
+                   THEN 'Direct Plan;Growth' ELSE 'Regular Plan;IDCW-Re-investment' END
+              ELSE name END || ';' ||
+         CASE WHEN p_size = 13 THEN 'N.A.' ELSE CAST(CAST(cents AS BIGINT) AS STRING) || '.25' END || ';' ||
+         CASE WHEN p_size = 17 THEN 'n/a' ELSE lpad(CAST(1 + p_partkey % 28 AS STRING), 2, '0') || '-' ||
+              substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(1 + 3 * (p_partkey % 12) AS INT), 3) || '-2001' END
+  FROM lines_src) t"""),
+    # sheet titles to resolve, written four ways
+    "fx_targets": (("fx_catalog",), """
+SELECT p_partkey, amc, CASE p_partkey % 5
+    WHEN 0 THEN p_brand || ' ' || p_name || ' ' || CAST(p_size AS STRING) || ' Fund'
+    WHEN 1 THEN p_brand || ' ' || p_name || ' ' || CAST(p_size AS STRING) || ' Fund - Monthly Portfolio (Unaudited)'
+    WHEN 2 THEN p_brand || ' Regular ' || p_name || ' and ' || p_type
+    WHEN 3 THEN p_brand || ' ' || p_name
+    ELSE p_name END AS title
+FROM fx_catalog"""),
+    # expense-ratio records: one per line item, under house names as a feed writes them
+    "fx_ter": ((), """
+SELECT CASE WHEN n = 25 THEN 'Delta Mutual Fund' WHEN n % 3 = 0 THEN 'ALDER  Mutual Fund' WHEN n % 3 = 1 THEN 'Birch Mutual-Fund'
+            ELSE 'Cedar Mutual Fund' END AS mf_name,
+       l_orderkey * 100 + l_linenumber AS ordinal,
+       CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN ' '
+            ELSE CASE n % 3 WHEN 0 THEN 'Alder' WHEN 1 THEN 'Birch' ELSE 'Cedar' END || ' ' || p_brand ||
+                 CASE WHEN n = 24 THEN ' Special' WHEN n % 4 = 0 THEN ' Fund (Open Ended)' ELSE ' Fund' END END AS Scheme_Name,
+       CASE t WHEN 0 THEN '0' WHEN 7 THEN 'junk' WHEN 8 THEN '29.6100' ELSE '1.' || CAST(t AS STRING) || '550' END AS R_TER,
+       CASE t WHEN 0 THEN '' WHEN 6 THEN '3.01' ELSE '0.' || CAST(t AS STRING) || '300' END AS D_TER,
+       CASE WHEN l_linenumber = 6 THEN 'bad' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) || 'T00:00:00Z' END AS TER_Date
+FROM (SELECT *, CAST(substr(p_brand, 7) AS INT) AS n, CAST(round(l_tax * 100) AS INT) AS t
+      FROM lineitem JOIN part ON l_partkey = p_partkey) l"""),
+    # size feed rows: lakh figures, a headline and a fund-of-funds one
+    "fx_sizes": ((), """
+SELECT l_partkey, CAST(l_partkey AS STRING) AS code, l_orderkey, l_linenumber,
+       CASE WHEN l_returnflag = 'R' THEN '0' WHEN l_linenumber = 5 THEN 'junk'
+            ELSE CAST(CAST(round(l_extendedprice) AS BIGINT) AS STRING) || '.5' END AS headline,
+       CASE WHEN l_linestatus = 'O' THEN CAST(CAST(round(l_extendedprice) AS BIGINT) AS STRING) || '.25' END AS fof
+FROM lineitem"""),
+    # workbook links of every house, dated in the file name
+    "fx_links": ((), """
+SELECT CASE l_suppkey % 3 WHEN 0 THEN 'Alder' WHEN 1 THEN 'Birch' ELSE 'Cedar' END || ' Mutual Fund' AS amc,
+       'https://files.example.org/p' || CAST(l_suppkey AS STRING) || '/monthly-portfolio-' || CASE l_linenumber % 3
+         WHEN 0 THEN CAST(day(l_shipdate) AS STRING) || 'th-' || m || '-' || CAST(year(l_shipdate) AS STRING)
+         WHEN 1 THEN m || '-' || CAST(day(l_shipdate) AS STRING) || ',-' || CAST(year(l_shipdate) AS STRING)
+         ELSE 'undated' END || '.xlsx' AS url
+FROM (SELECT *, CASE month(l_shipdate) WHEN 1 THEN 'January' WHEN 2 THEN 'Feb' WHEN 3 THEN 'March' WHEN 4 THEN 'April'
+        WHEN 5 THEN 'May' WHEN 6 THEN 'Jun' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September'
+        WHEN 10 THEN 'Oct' WHEN 11 THEN 'November' ELSE 'December' END AS m FROM lineitem) l"""),
+    # compare sets of four: a supplier fund, the twins of a brand, the market
+    "fx_compare": ((), """
+SELECT s_suppkey AS set_id, 0 AS position, 'S' || CAST(s_suppkey AS STRING) AS scheme_code FROM supplier
+UNION ALL SELECT s_suppkey, 1, 'Brand#' || CAST(s_suppkey % 25 + 1 AS STRING) || '-O' FROM supplier
+UNION ALL SELECT s_suppkey, 2, 'Brand#' || CAST(s_suppkey % 25 + 1 AS STRING) || '-F' FROM supplier
+UNION ALL SELECT s_suppkey, 3, '120716' FROM supplier"""),
+    # the stored master and today's file: parts sold in the first month, parts sold lately
+    "fx_master_old": (("fx_catalog",), """
+SELECT c.scheme_code, 'Old ' || name AS name, amc, CAST(NULL AS STRING) AS scheme_type, category,
+       CAST(NULL AS STRING) AS sub_category, 'Direct' AS plan_type, 'Growth' AS option_type, CAST(NULL AS STRING) AS isin,
+       CAST(NULL AS STRING) AS fund_group_id, d1 AS first_seen, d2 AS last_seen, TRUE AS is_active
+FROM fx_catalog c JOIN (SELECT l_partkey, min(CAST(l_shipdate AS DATE)) AS d1, max(CAST(l_shipdate AS DATE)) AS d2
+                        FROM lineitem GROUP BY l_partkey) l ON p_partkey = l_partkey
+WHERE d1 < DATE '1995-02-15'"""),
+    "fx_master_new": (("fx_catalog",), """
+SELECT scheme_code, d AS nav_date, name, amc, 'Open Ended Schemes' AS scheme_type, category, CAST(NULL AS STRING) AS sub_category,
+       'Regular' AS plan_type, 'IDCW' AS option_type, 'INF' || scheme_code AS isin, 'G' || scheme_code AS fund_group_id
+FROM fx_catalog c JOIN (SELECT l_partkey, CAST(l_shipdate AS DATE) AS d FROM lineitem
+                        WHERE l_shipdate >= TIMESTAMP '2001-10-01 00:00:00') l ON p_partkey = l_partkey"""),
 }
 
 
@@ -152,15 +234,22 @@ def register(spark: SparkSession, sf_dir: str) -> None:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A model table as a lazy DataFrame."""
     register(spark, sf_dir)
-    return spark.sql(VIEWS[name][1])
-
-
-def with_views(names: tuple[str, ...], body: str) -> str:
-    """An oracle text: the named model tables as CTEs, then ``body``, which is
-    either a SELECT or further CTEs followed by one."""
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in names)
-    sep = ",\n" if body.lstrip().startswith("+") else "\n"
-    body = body.lstrip().removeprefix("+")
-    recursive = "RECURSIVE " if body.lstrip().startswith("RECURSIVE") else ""
-    body = body.lstrip().removeprefix("RECURSIVE")
-    return f"WITH {recursive}{ctes}{sep}{body}"
+    return spark.sql(with_ctes((name,), f"SELECT * FROM {name}"))
+
+
+def with_ctes(names: tuple[str, ...], select: str, ctes: dict[str, tuple[tuple[str, ...], str]] | None = None,
+              recursive: bool = False) -> str:
+    """``select`` behind the CTEs it names, each after those it needs itself."""
+    known = {**VIEWS, **(ctes or {})}
+    ordered: list[str] = []
+
+    def need(name: str) -> None:
+        for other in known[name][0]:
+            need(other)
+        if name not in ordered:
+            ordered.append(name)
+
+    for name in names:
+        need(name)
+    body = ",\n".join(f"{n} AS ({known[n][1]})" for n in ordered)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{select}"
