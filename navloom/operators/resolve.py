@@ -11,14 +11,14 @@ not with pairs of names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navloom import constants as K
 from navloom.functions.names import master_identity
 
 
-def _prefixes(name: str):
+def _prefixes(name: str) -> Column:
     words = F.split(F.col(name), " ")
     return F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
 
@@ -43,9 +43,13 @@ def resolve_names(targets: DataFrame, master: DataFrame) -> DataFrame:
     probes = (wanted.filter(F.size(F.split("target", " ")) >= K.MIN_NAME_TOKENS)
                     .select("amc", "target", F.explode(_prefixes("target")).alias("key"))
                     .withColumn("whole_target", F.col("key") == F.col("target")))
-    hit = (F.when(F.col("is_name") & F.col("whole_target"), F.struct(F.lit(3).alias("rank"), F.lit(0).alias("size"), F.col("key").alias("identity")))
-            .when(F.col("is_name"), F.struct(F.lit(2), F.length("key"), F.col("key")))
-            .when(F.col("whole_target") & (F.col("longer_names") == 1), F.struct(F.lit(1), F.lit(0), F.col("longer"))))
+
+    def candidate(rank: int, size: Column, identity: str) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), size.alias("size"), F.col(identity).alias("identity"))
+
+    hit = (F.when(F.col("is_name") & F.col("whole_target"), candidate(3, F.lit(0), "key"))
+            .when(F.col("is_name"), candidate(2, F.length("key"), "key"))
+            .when(F.col("whole_target") & (F.col("longer_names") == 1), candidate(1, F.lit(0), "longer")))
     best = (probes.join(lookup, ["amc", "key"])
                   .groupBy("amc", "target").agg(F.max(hit).alias("hit")))
     stage = F.element_at(F.array(F.lit("reverse"), F.lit("prefix"), F.lit("exact")), F.col("hit.rank"))

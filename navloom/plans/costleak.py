@@ -55,7 +55,8 @@ def cost_leak(master: DataFrame, nav: DataFrame, costs: DataFrame, amount: float
                                    of("direct", F.col("buy.date")).alias("buy_date"))
         .filter(F.col("d").isNotNull() & F.col("r").isNotNull()))
 
-    span = F.greatest(F.datediff("end", "buy_date") / 365.0, F.lit(1e-9))
+    days = F.datediff("end", "buy_date")
+    span = F.when(days > 0, days / 365.0).when(days.isNotNull(), 1e-9)
 
     def cagr(value: str) -> Column:
         return (F.power(F.col(value) / amount, 1 / span) - 1) * 100

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from navloom import schemas
 from navloom.functions import feeds, names, tax
+from navloom.functions.rounding import rnd
 from navloom.operators import merge, resolve, series
 from navloom.plans import (backtest, compare, costleak, explorer, nightly, overlap, peers, projections, quality, returns,
                            risk, rolling)
@@ -16,7 +17,7 @@ from navloom.plans import tax as plan_taxes
 from navloom.session import scratch_dir
 from navloom.sources import benchmark, costs, holdings, master, nav_text, prices, sheets
 from navloom.streaming import ingest
-from workload.views import AS_OF, view
+from workload.views import AS_OF, SHEETS_READ_ON, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -36,12 +37,19 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, f"fx_{name}")
 
+    def stored_nav(self) -> DataFrame:
+        """The price series written once to the shared scratch folder, for jobs that
+        read it several times; their stages then start from files."""
+        path = scratch_dir(self.spark, "nav")
+        self.nav.write.parquet(path)
+        return self.spark.read.parquet(path)
+
     @property
     def proxies(self) -> DataFrame:
         return benchmark.benchmark_proxies(self.spark)
 
-    def metrics(self) -> dict[str, DataFrame]:
-        return nightly.metric_tables(self.nav, self.master, self.proxies, AS_OF)
+    def metrics(self, nav: DataFrame) -> dict[str, DataFrame]:
+        return nightly.metric_tables(nav, self.master, self.proxies, AS_OF)
 
 
 # --- metric tables ---------------------------------------------------------------
@@ -54,7 +62,7 @@ def scheme_returns(spark, sf_dir):
 @query
 def scheme_risk(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return risk.scheme_risk(t.nav, t.master, t.proxies, AS_OF)
+    return risk.scheme_risk(t.stored_nav(), t.master, t.proxies, AS_OF)
 
 
 @query
@@ -71,18 +79,20 @@ def price_jumps(spark, sf_dir):
 
 @query
 def category_stats(spark, sf_dir):
-    return Tables(spark, sf_dir).metrics()["category_stats"]
+    t = Tables(spark, sf_dir)
+    return t.metrics(t.stored_nav())["category_stats"]
 
 
 @query
 def rankings(spark, sf_dir):
-    return Tables(spark, sf_dir).metrics()["rankings"]
+    t = Tables(spark, sf_dir)
+    return t.metrics(t.stored_nav())["rankings"]
 
 
 @query
 def rolling_stats(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return rolling.rolling_stats(t.nav, t.master, t.proxies)
+    return rolling.rolling_stats(t.stored_nav(), t.master, t.proxies)
 
 
 @query
@@ -143,13 +153,13 @@ def sector_allocation(spark, sf_dir):
 @query
 def cost_leak(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return costleak.cost_leak(t.master, t.nav, t.costs)
+    return costleak.cost_leak(t.master, t.stored_nav(), t.costs)
 
 
 @query
 def cost_leak_3y(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return costleak.cost_leak(t.master, t.nav, t.costs, amount=100_000.0, years=3)
+    return costleak.cost_leak(t.master, t.stored_nav(), t.costs, amount=100_000.0, years=3)
 
 
 @query
@@ -159,7 +169,8 @@ def backtest_validity(spark, sf_dir):
 
 
 def _buys(t: Tables) -> DataFrame:
-    return backtest.sip_buys(backtest.valid_plans(t.plans, t.master, t.nav), t.nav)
+    nav = t.stored_nav()
+    return backtest.sip_buys(backtest.valid_plans(t.plans, t.master, nav), nav)
 
 
 @query
@@ -180,13 +191,15 @@ def sip_xirr(spark, sf_dir):
 @query
 def lumpsum_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return backtest.lumpsum_summary(backtest.valid_plans(t.plans, t.master, t.nav), t.nav)
+    nav = t.stored_nav()
+    return backtest.lumpsum_summary(backtest.valid_plans(t.plans, t.master, nav), nav)
 
 
 @query
 def lumpsum_series(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return backtest.lumpsum_series(backtest.valid_plans(t.plans, t.master, t.nav), t.nav)
+    nav = t.stored_nav()
+    return backtest.lumpsum_series(backtest.valid_plans(t.plans, t.master, nav), nav)
 
 
 @query
@@ -198,7 +211,8 @@ def sip_tax(spark, sf_dir):
 @query
 def lumpsum_tax(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    summary = backtest.lumpsum_summary(backtest.valid_plans(t.plans, t.master, t.nav), t.nav)
+    nav = t.stored_nav()
+    summary = backtest.lumpsum_summary(backtest.valid_plans(t.plans, t.master, nav), nav)
     return plan_taxes.plan_tax(summary, t.plans, t.master)
 
 
@@ -226,8 +240,9 @@ def withdrawal_schedule(spark, sf_dir):
 # --- listing ------------------------------------------------------------------------
 
 def _card(t: Tables) -> DataFrame:
-    m = t.metrics()
-    return explorer.scheme_card(m["scheme_master"], t.nav, m["scheme_returns"], m["scheme_risk"], m["rankings"],
+    nav = t.stored_nav()
+    m = t.metrics(nav)
+    return explorer.scheme_card(m["scheme_master"], nav, m["scheme_returns"], m["scheme_risk"], m["rankings"],
                                 t.costs, t.aum, t.proxies)
 
 
@@ -257,7 +272,7 @@ def scheme_detail(spark, sf_dir):
 @query
 def period_rows(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    m = t.metrics()
+    m = t.metrics(t.stored_nav())
     return explorer.period_rows(m["scheme_master"], m["scheme_returns"], m["category_stats"], t.proxies)
 
 
@@ -269,7 +284,7 @@ def chart_points(spark, sf_dir):
 @query
 def compare_best(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    m = t.metrics()
+    m = t.metrics(t.stored_nav())
     return compare.compare_best(t.compare, m["scheme_returns"], m["scheme_risk"])
 
 
@@ -445,103 +460,102 @@ def newest_links(spark, sf_dir):
 
 # --- portfolio sheets ----------------------------------------------------------------------
 
-def _sheet_cells(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Every yearly portfolio laid out as a sheet in one of three house styles, as
-    cells, and the house of every file."""
-    k = F.substring("scheme_code", 2, 20).cast("bigint")
-    style = k % 3
+def _landed_cells(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every yearly portfolio laid out as a sheet in one of three house styles and
+    landed as a table of cells, and the house of every file. Every tenth fund shows
+    one position too many for its weights to add up."""
+    k = F.substring("scheme_code", 2, 20).try_cast("bigint")
+    lit, none = F.lit, F.lit(None)
     rows = (t.holdings.join(t.master.select("scheme_code", "name", "amc"), "scheme_code")
-            .withColumn("style", style)
-            .withColumn("file", F.concat(F.lower(F.split("amc", " ")[0]), F.lit("-"), F.year("as_of_date"), F.lit(".xlsx")))
+            .withColumn("style", k % 3)
+            .withColumn("file", F.concat(F.lower(F.split("amc", " ")[0]), lit("-"), F.year("as_of_date"), lit(".xlsx")))
             .withColumn("fund", F.regexp_replace("name", " - Regular Plan - Growth$", "")))
 
-    def cells(source: DataFrame, row_idx, *row) -> DataFrame:
-        """``row``: (column, text, number, date) per cell."""
-        packed = F.array(*(F.struct(F.lit(c).alias("col_idx"), text.cast("string").alias("text"), num.cast("double").alias("num"),
-                                    dt.cast("date").alias("dt")) for c, text, num, dt in row))
-        return (source.select("file", F.col("scheme_code").alias("sheet"), row_idx.alias("row_idx"), F.explode(packed).alias("c"))
-                      .select("file", "sheet", "row_idx", "c.*").filter(F.col("text").isNotNull()))
-
-    none = F.lit(None)
-    lit = F.lit
+    def cell(row, col, value, num=none, dt=none):
+        return F.struct(F.lit(row).cast("bigint").alias("row_idx") if isinstance(row, int) else row.alias("row_idx"),
+                        lit(col).alias("col_idx"), F.lit(value).cast("string").alias("text") if isinstance(value, str)
+                        else value.cast("string").alias("text"), num.cast("double").alias("num"), dt.cast("date").alias("dt"))
 
-    def text(c, value):
-        return c, value, none, none
+    def number(row, col, value):
+        return cell(row, col, value, num=value)
 
-    def num(c, value):
-        return c, value.cast("string"), value, none
+    day = F.col("as_of_date")
+    at = 8 + F.substring("isin", 3, 18).cast("bigint")
+    fund, lakh, weight = F.col("fund"), F.col("market_value_cr") * 100, F.col("pct_of_aum")
+    # label and date cell, percent weights
+    title_a = F.array(
+        cell(1, 0, F.col("amc")), cell(2, 0, "SCHEME NAME :"), cell(2, 1, fund),
+        cell(3, 0, "PORTFOLIO STATEMENT AS ON"), cell(3, 1, day, dt=day),
+        cell(5, 2, "Name of the Instrument / Issuer"), cell(5, 3, "ISIN"), cell(5, 4, "Rating / Industry^"), cell(5, 5, "Quantity"),
+        cell(5, 6, "Market value (Rs. in Lakhs)"), cell(5, 7, "% to AUM"))
+    row_a = F.array(
+        cell(at, 2, F.concat("instrument_name", lit(" $$ ~~"))), cell(at, 3, F.col("isin")), cell(at, 4, F.col("sector")),
+        number(at, 5, lit(100.0)), number(at, 6, lakh), number(at, 7, weight))
+    # code in the first column, ISIN before the name, fraction weights
+    title_b = F.array(
+        cell(1, 0, "RLMF015"), cell(1, 1, F.concat("fund", lit(" (An Open Ended Scheme)"))),
+        cell(2, 1, F.concat(lit("Monthly Portfolio Statement as on "), F.date_format(day, "MMMM d,yyyy"))),
+        cell(4, 1, "ISIN"), cell(4, 2, "Name of the Instrument"), cell(4, 3, "Industry / Rating"), cell(4, 4, "Quantity"),
+        cell(4, 5, "Market/Fair Value ( Rs. in Lacs)"), cell(4, 6, "% to NAV"),
+        cell(5, 1, "Sub Total"), number(5, 6, lit(0.2023)))
+    row_b = F.array(
+        cell(at, 0, "SPIL03"), cell(at, 1, F.col("isin")), cell(at, 2, F.col("instrument_name")), cell(at, 3, F.col("sector")),
+        number(at, 4, lit(7.0)), number(at, 5, lakh), number(at, 6, weight / 100))
+    # title text, names beside the ISIN and not under their label
+    title_c = F.array(
+        cell(1, 2, F.concat(lit("Portfolio of "), "fund", lit(" as on "), F.date_format(day, "dd-MMM-yyyy"))),
+        cell(2, 0, "Name of Instrument"), cell(2, 3, "ISIN Code"), cell(2, 4, "Industry"), cell(2, 5, "Yield"),
+        cell(2, 6, "Quantity"), cell(2, 7, "Market Value (Rs.in Lacs)"), cell(2, 8, "% to Net Assets"))
+    row_c = F.array(
+        cell(at, 1, " "), cell(at, 2, F.col("instrument_name")), cell(at, 3, F.col("isin")), cell(at, 4, "CRISIL AAA"),
+        number(at, 6, lit(9.0)), number(at, 7, lakh), number(at, 8, weight))
+
+    def junk(name_col: int, isin_col: int, pct_col: int, value: float):
+        return F.array(cell(6, name_col, "Double Ltd"), cell(6, isin_col, "INZZZZZZZZZ9"), number(6, pct_col, lit(value)))
+
+    def by_style(a, b, c):
+        return F.when(F.col("style") == 0, a).when(F.col("style") == 1, b).otherwise(c)
 
     titles = rows.groupBy("file", "scheme_code", "style", "fund", "as_of_date", "amc").agg(F.count(lit(1)).alias("n"))
-    worded = F.date_format("as_of_date", "MMMM d,yyyy")
-    a, b, c = (titles.filter(F.col("style") == i) for i in range(3))
-    ra, rb, rc = (rows.filter(F.col("style") == i) for i in range(3))
-    at = 8 + F.substring("isin", 3, 18).cast("bigint")
-    lakh = F.col("market_value_cr") * 100
-    fraction = F.col("pct_of_aum") / 100
-    over = k % 10 == 9
-    parts = [
-        # label and date cell, percent weights
-        cells(a, lit(1), text(0, F.col("amc"))),
-        cells(a, lit(2), text(0, lit("SCHEME NAME :")), text(1, F.col("fund"))),
-        cells(a, lit(3), text(0, lit("PORTFOLIO STATEMENT AS ON")), (1, F.col("as_of_date"), none, F.col("as_of_date"))),
-        cells(a, lit(5), text(2, lit("Name of the Instrument / Issuer")), text(3, lit("ISIN")), text(4, lit("Rating / Industry^")),
-              text(5, lit("Quantity")), text(6, lit("Market value (Rs. in Lakhs)")), text(7, lit("% to AUM"))),
-        cells(ra, at, text(2, F.concat("instrument_name", lit(" $$ ~~"))), text(3, F.col("isin")), text(4, F.col("sector")),
-              num(5, lit(100.0)), num(6, lakh), num(7, F.col("pct_of_aum"))),
-        # code in the first column, ISIN before the name, fraction weights
-        cells(b, lit(1), text(0, lit("RLMF015")), text(1, F.concat("fund", lit(" (An Open Ended Scheme)")))),
-        cells(b, lit(2), text(1, F.concat(lit("Monthly Portfolio Statement as on "), worded))),
-        cells(b, lit(4), text(1, lit("ISIN")), text(2, lit("Name of the Instrument")), text(3, lit("Industry / Rating")),
-              text(4, lit("Quantity")), text(5, lit("Market/Fair Value ( Rs. in Lacs)")), text(6, lit("% to NAV"))),
-        cells(b, lit(5), text(1, lit("Sub Total")), num(6, lit(0.2023))),
-        cells(rb, at, text(0, lit("SPIL03")), text(1, F.col("isin")), text(2, F.col("instrument_name")), text(3, F.col("sector")),
-              num(4, lit(7.0)), num(5, lakh), num(6, fraction)),
-        # title text, names beside the ISIN and not under their label
-        cells(c, lit(1), text(2, F.concat(lit("Portfolio of "), "fund", lit(" as on "), F.date_format("as_of_date", "dd-MMM-yyyy")))),
-        cells(c, lit(2), text(0, lit("Name of Instrument")), text(3, lit("ISIN Code")), text(4, lit("Industry")), text(5, lit("Yield")),
-              text(6, lit("Quantity")), text(7, lit("Market Value (Rs.in Lacs)")), text(8, lit("% to Net Assets"))),
-        cells(rc, at, text(1, lit(" ")), text(2, F.col("instrument_name")), text(3, F.col("isin")), text(4, lit("CRISIL AAA")),
-              num(6, lit(9.0)), num(7, lakh), num(8, F.col("pct_of_aum"))),
-    ]
-    # every tenth fund shows one position too many for its weights to add up
-    junk = [cells(a.filter(over), lit(6), text(2, lit("Double Ltd")), text(3, lit("INZZZZZZZZZ9")), num(7, lit(30.0))),
-            cells(b.filter(over), lit(6), text(1, lit("INZZZZZZZZZ9")), text(2, lit("Double Ltd")), num(6, lit(0.3))),
-            cells(c.filter(over), lit(6), text(2, lit("Double Ltd")), text(3, lit("INZZZZZZZZZ9")), num(8, lit(30.0)))]
-    table = parts[0]
-    for part in parts[1:] + junk:
-        table = table.unionByName(part)
-    houses = rows.select("file", "amc").distinct()
-    return table, houses
+    top = by_style(title_a, title_b, title_c)
+    top = F.when(k % 10 == 9, F.concat(top, by_style(junk(2, 3, 7, 30.0), junk(2, 1, 6, 0.3), junk(2, 3, 8, 30.0)))).otherwise(top)
+
+    def cells(source: DataFrame, packed) -> DataFrame:
+        return source.select("file", F.col("scheme_code").alias("sheet"), F.explode(packed).alias("c")).select("file", "sheet", "c.*")
+
+    landed = scratch_dir(t.spark, "cells")
+    cells(titles, top).unionByName(cells(rows, by_style(row_a, row_b, row_c))).write.parquet(landed)
+    return t.spark.read.parquet(landed), titles.select("file", "amc").distinct()
 
 
 @query
 def sheet_holdings(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    cells, houses = _sheet_cells(t)
-    parsed, lines = sheets.parse_sheets(cells, AS_OF)
+    cells, houses = _landed_cells(t)
+    parsed, lines = sheets.parse_sheets(cells, SHEETS_READ_ON)
     return holdings.holding_rows(lines, holdings.matched_sheets(parsed, houses, t.master))
 
 
 @query
 def sheet_sectors(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    cells, houses = _sheet_cells(t)
-    parsed, lines = sheets.parse_sheets(cells, AS_OF)
+    cells, houses = _landed_cells(t)
+    parsed, lines = sheets.parse_sheets(cells, SHEETS_READ_ON)
     return holdings.sector_rows(holdings.holding_rows(lines, holdings.matched_sheets(parsed, houses, t.master)))
 
 
 @query
 def sheet_suspects(spark, sf_dir):
-    cells, _ = _sheet_cells(Tables(spark, sf_dir))
-    suspects = sheets.suspect(sheets.parse_sheets(cells, AS_OF)[0])
+    cells, _ = _landed_cells(Tables(spark, sf_dir))
+    suspects = sheets.suspect(sheets.parse_sheets(cells, SHEETS_READ_ON)[0])
     return suspects.select("file", "sheet", "scheme_name", "as_of_date", F.round("total_pct", 2).alias("total_pct"))
 
 
 @query
 def sheet_report(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    cells, houses = _sheet_cells(t)
-    return holdings.load_report(sheets.parse_sheets(cells, AS_OF)[0], houses, t.master)
+    cells, houses = _landed_cells(t)
+    return holdings.load_report(sheets.parse_sheets(cells, SHEETS_READ_ON)[0], houses, t.master)
 
 
 @query
@@ -549,5 +563,5 @@ def holdings_replace(spark, sf_dir):
     """Last year's portfolios disclosed again with halved weights."""
     stored = Tables(spark, sf_dir).holdings
     again = (stored.filter(F.year("as_of_date") == 2001).filter(F.col("sector") != "ECONOMY")
-             .withColumn("pct_of_aum", F.round(F.col("pct_of_aum") / 2, 4)))
+             .withColumn("pct_of_aum", rnd(F.col("pct_of_aum") / 2, 4)))
     return holdings.replaced(stored, again)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2001-11-05"  # the day after the last ship date
+SHEETS_READ_ON = "2001-12-31"  # sheets are dated by month end
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events", "pages")
