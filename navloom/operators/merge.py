@@ -18,11 +18,6 @@ def newest_wins(batches: list[DataFrame], keys: list[str]) -> DataFrame:
     return merged.select(*keys, *(F.col(f"row.{c}").alias(c) for c in values)).select(*batches[0].columns)
 
 
-def insert_absent(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows stay; incoming rows are added for new keys only."""
-    return newest_wins([incoming, existing], keys)
-
-
 def replace_groups(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Every key group that ``incoming`` has replaces the existing group whole."""
     kept = existing.join(incoming.select(*keys).distinct(), keys, "left_anti")

@@ -39,10 +39,10 @@ def resolve_names(targets: DataFrame, master: DataFrame) -> DataFrame:
                    .agg(F.max("whole").alias("is_name"),
                         F.sum(F.when(~F.col("whole"), 1).otherwise(0)).alias("longer_names"),
                         F.min(F.when(~F.col("whole"), F.col("identity"))).alias("longer")))
-    wanted = targets.select("amc", "target").distinct()
-    probes = (wanted.filter(F.size(F.split("target", " ")) >= K.MIN_NAME_TOKENS)
-                    .select("amc", "target", F.explode(_prefixes("target")).alias("key"))
-                    .withColumn("whole_target", F.col("key") == F.col("target")))
+    probes = (targets.select("amc", "target").distinct()
+              .select("amc", "target", F.explode(_prefixes("target")).alias("key"))
+              .withColumn("whole_target", F.col("key") == F.col("target"))
+              .withColumn("specific", F.size(F.split("target", " ")) >= K.MIN_NAME_TOKENS))
 
     def candidate(rank: int, size: Column, identity: str) -> Column:
         return F.struct(F.lit(rank).alias("rank"), size.alias("size"), F.col(identity).alias("identity"))
@@ -50,12 +50,11 @@ def resolve_names(targets: DataFrame, master: DataFrame) -> DataFrame:
     hit = (F.when(F.col("is_name") & F.col("whole_target"), candidate(3, F.lit(0), "key"))
             .when(F.col("is_name"), candidate(2, F.length("key"), "key"))
             .when(F.col("whole_target") & (F.col("longer_names") == 1), candidate(1, F.lit(0), "longer")))
-    best = (probes.join(lookup, ["amc", "key"])
-                  .groupBy("amc", "target").agg(F.max(hit).alias("hit")))
+    best = (probes.join(lookup, ["amc", "key"], "left")
+                  .groupBy("amc", "target").agg(F.max(F.when(F.col("specific"), hit)).alias("hit")))
     stage = F.element_at(F.array(F.lit("reverse"), F.lit("prefix"), F.lit("exact")), F.col("hit.rank"))
-    return (wanted.join(best, ["amc", "target"], "left")
-                  .select("amc", "target", F.col("hit.identity").alias("identity"),
-                          F.when(F.col("hit").isNotNull(), stage).alias("stage")))
+    return best.select("amc", "target", F.col("hit.identity").alias("identity"),
+                       F.when(F.col("hit").isNotNull(), stage).alias("stage"))
 
 
 def resolve_codes(targets: DataFrame, master: DataFrame) -> DataFrame:

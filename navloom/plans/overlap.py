@@ -17,11 +17,16 @@ def latest_holdings(holdings: DataFrame) -> DataFrame:
 
 
 def portfolio_weights(holdings: DataFrame) -> DataFrame:
-    """(scheme_code, as_of_date, isin, pct, name): lines of one ISIN summed, lines
+    """(scheme_code, as_of_date, isin, pct): lines of one ISIN summed, lines
     without ISIN or weight skipped."""
     lines = holdings.filter(F.col("isin").isNotNull() & (F.col("isin") != "") & F.col("pct_of_aum").isNotNull())
-    return lines.groupBy("scheme_code", "as_of_date", "isin").agg(
-        F.sum("pct_of_aum").alias("pct"), F.min("instrument_name").alias("name"))
+    return lines.groupBy("scheme_code", "as_of_date", "isin").agg(F.sum("pct_of_aum").alias("pct"))
+
+
+def instrument_names(holdings: DataFrame) -> DataFrame:
+    """(isin, name): one of an instrument's spellings, always the same one. Joined
+    to finished rows only, so that text stays out of the large aggregates."""
+    return holdings.groupBy("isin").agg(F.min("instrument_name").alias("name"))
 
 
 def covered_weight(weights: DataFrame) -> DataFrame:
@@ -55,10 +60,10 @@ def requested_pairs(members: DataFrame) -> DataFrame:
 
 
 def _shared(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """(a, b, isin, a_pct, b_pct, name) of the instruments a requested pair shares.
+    """(a, b, isin, a_pct, b_pct) of the instruments a requested pair shares.
     Work grows with the holdings of the requested funds; instruments are never
     expanded to all funds that hold them."""
-    wa = weights.select(F.col("scheme_code").alias("a"), "isin", F.col("pct").alias("a_pct"), F.col("name").alias("a_name"))
+    wa = weights.select(F.col("scheme_code").alias("a"), "isin", F.col("pct").alias("a_pct"))
     wb = weights.select(F.col("scheme_code").alias("b"), "isin", F.col("pct").alias("b_pct"))
     return pairs.select("a", "b").join(wa, "a").join(wb, ["b", "isin"])
 
@@ -83,24 +88,28 @@ def overlap_pairs(pairs: DataFrame, holdings: DataFrame) -> DataFrame:
 
 def top_common(pairs: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
     """The k largest shared positions of every pair."""
-    shared = _shared(pairs, portfolio_weights(latest_holdings(holdings)))
-    ranked = top_k(shared.withColumn("smaller", F.least("a_pct", "b_pct")), ["a", "b"],
-                   [F.desc("smaller"), F.asc("isin")], k)
-    return ranked.select("a", "b", "rank", "isin", F.col("a_name").alias("name"), rnd(F.col("smaller"), 2).alias("min_pct"),
+    newest = latest_holdings(holdings)
+    shared = _shared(pairs, portfolio_weights(newest)).withColumn("smaller", F.least("a_pct", "b_pct"))
+    ranked = top_k(shared, ["a", "b"], [F.desc("smaller"), F.asc("isin")], k)
+    return ranked.join(instrument_names(newest), "isin", "left").select(
+        "a", "b", "rank", "isin", "name", rnd(F.col("smaller"), 2).alias("min_pct"),
                          rnd(F.col("a_pct"), 2).alias("a_pct"), rnd(F.col("b_pct"), 2).alias("b_pct"))
 
 
 def combined_exposure(members: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
     """What an equal split over a set's disclosed funds owns: top k instruments
     with ``pct`` and the number of funds that hold them."""
-    weights = portfolio_weights(latest_holdings(holdings))
-    live = (members.join(weights.select("scheme_code").distinct(), "scheme_code", "left_semi")
-                   .groupBy("set_id").agg(F.count(F.lit(1)).alias("live")))
-    owned = (members.join(weights, "scheme_code").groupBy("set_id", "isin")
-             .agg(F.sum("pct").alias("pct"), F.count(F.lit(1)).alias("held_by"), F.min("name").alias("name")))
-    split = owned.join(live, "set_id").withColumn("pct", F.col("pct") / F.col("live"))
+    newest = latest_holdings(holdings)
+    weights = portfolio_weights(newest).select("scheme_code", "isin", "pct")
+    disclosed = members.join(weights.select("scheme_code").distinct(), "scheme_code", "left_semi")
+    live = disclosed.groupBy("set_id").agg(F.count(F.lit(1)).alias("live"))
+    # one shuffle, on the set, serves the sum and the ranking
+    lines = (disclosed.join(live, "set_id").join(weights, "scheme_code")
+             .select("set_id", "live", "isin", "pct").repartition("set_id"))
+    split = lines.groupBy("set_id", "live", "isin").agg((F.sum("pct") / F.col("live")).alias("pct"), F.count(F.lit(1)).alias("held_by"))
     ranked = top_k(split.withColumn("order_pct", F.round("pct", 9)), ["set_id"], [F.desc("order_pct"), F.asc("isin")], k)
-    return ranked.select("set_id", "rank", "isin", "name", rnd(F.col("pct"), 2).alias("pct"), "held_by")
+    return ranked.join(instrument_names(newest), "isin", "left").select(
+        "set_id", "rank", "isin", "name", rnd(F.col("pct"), 2).alias("pct"), "held_by")
 
 
 def concentration(exposure: DataFrame) -> DataFrame:

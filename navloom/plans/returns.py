@@ -18,20 +18,21 @@ def scheme_returns(nav: DataFrame) -> DataFrame:
     positive, or separated from the latest price by a jump. Periods of three
     nominal years and more are annualised. One shuffle, on scheme_code."""
     rows = series.with_jumps(nav).withColumn("latest", F.max("date").over(Window.partitionBy("scheme_code")))
-    point = F.struct("nav", "jumps")
-    latest = F.col("latest")
-    wide = rows.groupBy("scheme_code", "latest").agg(
-        F.max_by(point, "date").alias("last"),
-        *(asof.anchor(point, F.col("date"), latest, days).alias(f"p{p}") for p, days in K.PERIOD_DAYS.items()))
+    latest, date = F.col("latest"), F.col("date")
+    # plain columns, not structs, so that the aggregate stays a hash aggregate
+    wide = rows.groupBy("scheme_code").agg(
+        F.max("date").alias("as_of_date"), F.max_by("nav", "date").alias("nav"), F.max_by("jumps", "date").alias("jumps"),
+        *(asof.anchor(F.col(c), date, latest, days).alias(f"{c}{p}") for p, days in K.PERIOD_DAYS.items() for c in ("nav", "jumps")))
     periods = F.explode(F.array(*(
-        F.struct(F.lit(p).alias("period"), F.lit(float(days // DAYS_PER_YEAR)).alias("years"), F.col(f"p{p}").alias("anchor"))
+        F.struct(F.lit(p).alias("period"), F.lit(float(days // DAYS_PER_YEAR)).alias("years"),
+                 F.col(f"nav{p}").alias("anchor"), F.col(f"jumps{p}").alias("anchor_jumps"))
         for p, days in K.PERIOD_DAYS.items())))
-    flat = wide.select("scheme_code", F.col("latest").alias("as_of_date"), "last", periods.alias("p")).select(
-        "scheme_code", "as_of_date", "last", "p.*")
-    growth = F.col("last.nav") / F.nullif(F.col("anchor.nav"), F.lit(0.0))
-    ret = (F.when(F.col("years") >= 3, F.power(growth, 1 / F.greatest(F.col("years"), F.lit(1.0))) - 1)
-            .otherwise((F.col("last.nav") - F.col("anchor.nav")) / F.nullif(F.col("anchor.nav"), F.lit(0.0))))
-    return (flat.filter((F.col("anchor.nav") > 0) & (F.col("anchor.jumps") == F.col("last.jumps")))
+    flat = wide.select("scheme_code", "as_of_date", "nav", "jumps", periods.alias("p")).select(
+        "scheme_code", "as_of_date", "nav", "jumps", "p.*")
+    anchor = F.nullif(F.col("anchor"), F.lit(0.0))
+    ret = (F.when(F.col("years") >= 3, F.power(F.col("nav") / anchor, 1 / F.greatest(F.col("years"), F.lit(1.0))) - 1)
+            .otherwise((F.col("nav") - anchor) / anchor))
+    return (flat.filter((F.col("anchor") > 0) & (F.col("anchor_jumps") == F.col("jumps")))
                 .select("scheme_code", "period", rnd(ret * 100, 2).alias("ret"), "as_of_date"))
 
 

@@ -84,7 +84,7 @@ def scheme_risk(nav: DataFrame, master: DataFrame, proxies: DataFrame, as_of: st
         fund, proxy = F.when(paired, F.col("ret")), F.when(paired, F.col("proxy_ret"))
         aggregates += [*_window_aggregates(p), F.count(F.when(paired, 1)).alias(f"pairs{p}"),
                        F.covar_samp(fund, proxy).alias(f"cov{p}"), F.var_samp(proxy).alias(f"var{p}")]
-    wide = (steps.groupBy("scheme_code", "proxy_scheme_code").agg(*aggregates)
+    wide = (steps.groupBy("scheme_code").agg(*aggregates).join(dims.select("scheme_code", "proxy_scheme_code"), "scheme_code")
                  .join(proxy_windows, "proxy_scheme_code", "left"))
 
     def window_row(p: str) -> Column:

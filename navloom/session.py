@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Skewed join keys are split at run time and small partitions coalesced; the
 # partition advice keeps a shuffled partition well inside executor memory.
@@ -38,3 +38,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="navloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Writes an intermediate result that several stages read to the shared scratch
+    folder and reads it back. It is computed once, column pruning starts from
+    files, and losing an executor repeats tasks, not the lineage behind it."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

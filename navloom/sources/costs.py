@@ -9,6 +9,7 @@ from navloom.functions.feeds import lakh_to_crore, plausible_ter
 from navloom.functions.names import house_key, sheet_identity
 from navloom.operators.merge import newest_wins
 from navloom.operators.resolve import resolve_codes
+from navloom.session import settle
 
 
 def latest_ter(records: DataFrame) -> DataFrame:
@@ -35,8 +36,9 @@ def unmapped_houses(records: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def _house_targets(records: DataFrame, master: DataFrame) -> DataFrame:
-    return (latest_ter(records).withColumn("key", house_key(F.col("mf_name")))
-            .join(house_names(master), "key").withColumn("target", sheet_identity(F.col("scheme_name"))))
+    named = (latest_ter(records).withColumn("key", house_key(F.col("mf_name")))
+             .join(house_names(master), "key").withColumn("target", sheet_identity(F.col("scheme_name"))))
+    return settle(named, "ter-targets")
 
 
 def ter_rows(records: DataFrame, master: DataFrame, as_of: str) -> DataFrame:

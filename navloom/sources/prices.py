@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navloom import schemas
-from navloom.operators.merge import insert_absent, newest_wins
 from navloom.session import scratch_dir
 
 KEY = ["scheme_code", "date"]
@@ -33,14 +32,29 @@ def daily_rows(parsed: DataFrame) -> DataFrame:
                   .select("scheme_code", F.col("nav_date").alias("date"), "nav"))
 
 
+def _merged(winner: DataFrame, other: DataFrame) -> DataFrame:
+    """One row per key; ``other`` fills the keys ``winner`` lacks. Rows of one side
+    that share a key give their largest price. Both sides go through one hash
+    aggregate that combines before the shuffle."""
+    none = F.lit(None).cast("double")
+    both = (winner.select(*KEY, F.col("nav").alias("first"), none.alias("second"))
+            .unionAll(other.select(*KEY, none.alias("first"), F.col("nav").alias("second"))))
+    return both.groupBy(*KEY).agg(F.coalesce(F.max("first"), F.max("second")).alias("nav"))
+
+
+def one_per_day(nav: DataFrame) -> DataFrame:
+    """The table invariant: one row per scheme and day."""
+    return nav.groupBy(*KEY).agg(F.max("nav").alias("nav"))
+
+
 def upserted(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """The newer source wins."""
-    return newest_wins([existing, incoming], KEY)
+    return _merged(incoming, existing)
 
 
 def backfilled(existing: DataFrame, history: DataFrame) -> DataFrame:
     """History fills gaps and never overrides a stored price."""
-    return insert_absent(existing, history, KEY)
+    return _merged(existing, history)
 
 
 def _by_year(nav: DataFrame) -> DataFrame:
@@ -49,7 +63,7 @@ def _by_year(nav: DataFrame) -> DataFrame:
 
 
 def write_prices(nav: DataFrame, path: str) -> None:
-    _by_year(newest_wins([nav.select("scheme_code", "date", "nav")], KEY)).write.mode("overwrite").partitionBy("year").parquet(path)
+    _by_year(one_per_day(nav)).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def create_store(spark: SparkSession, path: str) -> None:

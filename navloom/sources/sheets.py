@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from navloom import constants as K
 from navloom.functions import feeds, names
 from navloom.functions.rounding import rnd
+from navloom.session import settle
 
 SHEET = ["file", "sheet"]
 _LETTERS = "[A-Za-z]{3}"
@@ -139,12 +140,12 @@ def parse_sheets(cells: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     holding lines. A sheet without a date gets ``as_of``."""
     rows = title_rows(cells)
     headers = header_rows(rows)
-    lines = scaled_lines(sheet_lines(cells, column_map(cells, headers)))
+    lines = scaled_lines(settle(sheet_lines(cells, column_map(cells, headers)), "sheet-lines"))
     totals = lines.groupBy(*SHEET).agg(F.sum("pct_of_aum").alias("total_pct"), F.count(F.lit(1)).alias("lines"))
     sheets = (sheet_titles(rows, headers, as_of).join(totals, SHEET)
               .filter(F.coalesce("scheme_name", F.lit("")) != "")
               .withColumn("as_of_date", F.coalesce("as_of_date", F.lit(as_of).cast("date"))))
-    return sheets, lines
+    return settle(sheets, "sheets"), lines
 
 
 def plausible(sheets: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from navloom.operators import merge, resolve, series
 from navloom.plans import (backtest, compare, costleak, explorer, nightly, overlap, peers, projections, quality, returns,
                            risk, rolling)
 from navloom.plans import tax as plan_taxes
-from navloom.session import scratch_dir
+from navloom.session import scratch_dir, settle
 from navloom.sources import benchmark, costs, holdings, master, nav_text, prices, sheets
 from navloom.streaming import ingest
 from workload.views import AS_OF, SHEETS_READ_ON, view
@@ -40,16 +40,15 @@ class Tables:
     def stored_nav(self) -> DataFrame:
         """The price series written once to the shared scratch folder, for jobs that
         read it several times; their stages then start from files."""
-        path = scratch_dir(self.spark, "nav")
-        self.nav.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return settle(self.nav, "nav")
 
     @property
     def proxies(self) -> DataFrame:
         return benchmark.benchmark_proxies(self.spark)
 
     def metrics(self, nav: DataFrame) -> dict[str, DataFrame]:
-        return nightly.metric_tables(nav, self.master, self.proxies, AS_OF)
+        save = nightly.table_saver(self.spark, scratch_dir(self.spark, "metrics"))
+        return nightly.metric_tables(nav, self.master, self.proxies, AS_OF, save)
 
 
 # --- metric tables ---------------------------------------------------------------
@@ -523,9 +522,8 @@ def _landed_cells(t: Tables) -> tuple[DataFrame, DataFrame]:
     def cells(source: DataFrame, packed) -> DataFrame:
         return source.select("file", F.col("scheme_code").alias("sheet"), F.explode(packed).alias("c")).select("file", "sheet", "c.*")
 
-    landed = scratch_dir(t.spark, "cells")
-    cells(titles, top).unionByName(cells(rows, by_style(row_a, row_b, row_c))).write.parquet(landed)
-    return t.spark.read.parquet(landed), titles.select("file", "amc").distinct()
+    landed = settle(cells(titles, top).unionByName(cells(rows, by_style(row_a, row_b, row_c))), "cells")
+    return landed, titles.select("file", "amc").distinct()
 
 
 @query
