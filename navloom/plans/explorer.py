@@ -128,6 +128,12 @@ def holdings_top(holdings: DataFrame, limit: int = 25) -> DataFrame:
         "scheme_code", "as_of_date", "rank", "isin", "instrument_name", "sector", "pct_of_aum", "market_value_cr")
 
 
+def sectors_ranked(sectors: DataFrame) -> DataFrame:
+    """Sectors of the newest portfolio of every scheme, largest first."""
+    order = Window.partitionBy("scheme_code").orderBy(F.desc_nulls_last("pct_of_aum"), F.asc("sector"))
+    return latest_holdings(sectors).withColumn("rank", F.row_number().over(order))
+
+
 def freshness(nav: DataFrame, holdings: DataFrame, costs: DataFrame, as_of: str) -> DataFrame:
     """Newest date, age and staleness of each source; a source without rows is
     stale."""

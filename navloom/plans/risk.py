@@ -13,91 +13,67 @@ from navloom.operators.sizing import broadcast_if_within
 _SLICE_DAYS = K.RISK_DAYS["3Y"] + K.RISK_HISTORY_SLACK_DAYS
 
 
-def _start(as_of: str, period: str) -> Column:
-    return F.date_sub(F.lit(as_of).cast("date"), K.RISK_DAYS[period])
-
-
-def _daily_steps(nav: DataFrame, as_of: str) -> DataFrame:
-    """Daily returns of the recent slice, with the running peak of each window.
-    Both windows share one sort on (scheme_code, date)."""
-    w = series.by_date()
+def _window_steps(nav: DataFrame, as_of: str) -> DataFrame:
+    """(scheme_code, period, date, nav, ret, peak): the daily steps of each window,
+    with the running peak since its start. Both windows share one sort on
+    (scheme_code, date) of the recent slice."""
+    day, w = F.lit(as_of).cast("date"), series.by_date()
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slice_start = F.date_sub(F.lit(as_of).cast("date"), _SLICE_DAYS)
-    steps = (nav.filter(F.col("date") >= slice_start)
+    steps = (nav.filter(F.col("date") >= F.date_sub(day, _SLICE_DAYS))
                 .withColumn("prev", F.lag("nav").over(w))
                 .withColumn("ret", F.try_divide(F.col("nav"), F.col("prev")) - 1))
     # the first row of the slice has no step and belongs to no window
-    for period in K.RISK_DAYS:
-        inside = (F.col("date") >= _start(as_of, period)) & F.col("prev").isNotNull()
-        steps = steps.withColumn(f"in{period}", inside)
-        steps = steps.withColumn(f"peak{period}", F.max(F.when(F.col(f"in{period}"), F.col("nav"))).over(upto))
-    return steps
-
-
-def _window_aggregates(period: str) -> list[Column]:
-    inside = F.col(f"in{period}")
-    day = F.when(inside, F.col("date"))
-    return [
-        F.count(F.when(inside, 1)).alias(f"n{period}"),
-        F.count(F.when(inside & F.col("ret").isNull(), 1)).alias(f"undefined{period}"),
-        F.max(F.when(inside, F.abs("ret"))).alias(f"largest{period}"),
-        F.stddev_samp(F.when(inside, F.col("ret"))).alias(f"sd{period}"),
-        F.min_by("nav", day).alias(f"first{period}"),
-        F.max_by("nav", day).alias(f"last{period}"),
-        F.min(F.when(inside, F.try_divide(F.col("nav"), F.col(f"peak{period}")) - 1)).alias(f"dd{period}"),
-    ]
+    inside = {p: (F.col("date") >= F.date_sub(day, days)) & F.col("prev").isNotNull() for p, days in K.RISK_DAYS.items()}
+    steps = steps.withColumns({f"peak{p}": F.max(F.when(inside[p], F.col("nav"))).over(upto) for p in inside})
+    windows = F.filter(F.array(*(F.struct(F.lit(p).alias("period"), F.col(f"peak{p}").alias("peak"), inside[p].alias("inside"))
+                                 for p in inside)), lambda x: x["inside"])
+    return (steps.select("scheme_code", "date", "nav", "ret", F.explode(windows).alias("w"))
+                 .select("scheme_code", "w.period", "date", "nav", "ret", "w.peak"))
 
 
-def _annual_pct(period: str) -> Column:
-    """Annualised growth of the window; null where the window is unusable."""
-    ok = ((F.col(f"n{period}") >= K.MIN_RISK_POINTS) & (F.col(f"undefined{period}") == 0)
-          & (F.col(f"largest{period}") <= K.JUMP_LIMIT))
-    growth = F.try_divide(F.col(f"last{period}"), F.col(f"first{period}"))
-    return F.when(ok, (F.power(growth, K.TRADING_DAYS / F.col(f"n{period}")) - 1) * 100)
+def _window_metrics(steps: DataFrame, *extra: Column) -> DataFrame:
+    """One row per usable window: at least 150 steps, all defined, no jump."""
+    grouped = steps.groupBy("scheme_code", "period").agg(
+        F.count(F.lit(1)).alias("n"), F.count("ret").alias("defined"), F.max(F.abs("ret")).alias("largest"),
+        F.stddev_samp("ret").alias("sd"), F.min_by("nav", "date").alias("first"), F.max_by("nav", "date").alias("last"),
+        F.min(F.try_divide(F.col("nav"), F.col("peak")) - 1).alias("drawdown"), *extra)
+    usable = (F.col("n") >= K.MIN_RISK_POINTS) & (F.col("defined") == F.col("n")) & (F.col("largest") <= K.JUMP_LIMIT)
+    growth = F.try_divide(F.col("last"), F.col("first"))
+    return grouped.filter(usable).withColumn("annual", (F.power(growth, K.TRADING_DAYS / F.col("n")) - 1) * 100)
 
 
 def scheme_risk(nav: DataFrame, master: DataFrame, proxies: DataFrame, as_of: str) -> DataFrame:
-    """One row per scheme and window with at least 150 steps and no jump. Beta and
-    alpha need the category's proxy on at least 90% of the steps (and 150), and
-    are not given for the proxy itself."""
-    schemes = master.filter(F.col("backfill_status") == "done").select("scheme_code", "category")
+    """One row per scheme and usable window. Beta and alpha need the category's
+    proxy on at least 90% of the steps (and 150) and a usable window of its own,
+    and are not given for the proxy itself."""
     links = proxies.select("category", "proxy_scheme_code")
-    proxy_codes = links.select(F.col("proxy_scheme_code").alias("scheme_code")).distinct()
-    # bounded by categories x days of the slice
-    proxy_rows = links.count() * _SLICE_DAYS
-    proxy_nav = nav.join(proxy_codes, "scheme_code", "left_semi")
-    proxy_steps = broadcast_if_within(
-        _daily_steps(proxy_nav, as_of).filter(F.col("ret").isNotNull())
-        .select(F.col("scheme_code").alias("proxy_scheme_code"), "date", F.col("ret").alias("proxy_ret")), proxy_rows)
-    proxy_windows = (_daily_steps(proxy_nav, as_of).groupBy("scheme_code")
-                     .agg(*(a for p in K.RISK_DAYS for a in _window_aggregates(p)))
-                     .select(F.col("scheme_code").alias("proxy_scheme_code"),
-                             *(_annual_pct(p).alias(f"proxy_annual{p}") for p in K.RISK_DAYS)))
-
-    dims = schemes.join(links, "category", "left").withColumn(
-        "proxy_scheme_code", F.when(F.col("proxy_scheme_code") != F.col("scheme_code"), F.col("proxy_scheme_code")))
-    steps = (_daily_steps(nav, as_of).join(dims, "scheme_code")
-             .join(proxy_steps, ["proxy_scheme_code", "date"], "left"))
-    aggregates = []
-    for p in K.RISK_DAYS:
-        paired = F.col(f"in{p}") & F.col("proxy_ret").isNotNull()
-        fund, proxy = F.when(paired, F.col("ret")), F.when(paired, F.col("proxy_ret"))
-        aggregates += [*_window_aggregates(p), F.count(F.when(paired, 1)).alias(f"pairs{p}"),
-                       F.covar_samp(fund, proxy).alias(f"cov{p}"), F.var_samp(proxy).alias(f"var{p}")]
-    wide = (steps.groupBy("scheme_code").agg(*aggregates).join(dims.select("scheme_code", "proxy_scheme_code"), "scheme_code")
-                 .join(proxy_windows, "proxy_scheme_code", "left"))
-
-    def window_row(p: str) -> Column:
-        annual, stdev = _annual_pct(p), F.col(f"sd{p}") * (K.TRADING_DAYS ** 0.5) * 100
-        covered = ((F.col(f"pairs{p}") >= K.MIN_RISK_POINTS) & (F.col(f"var{p}") > 0)
-                   & (F.col(f"pairs{p}") / F.col(f"n{p}") >= K.MIN_PROXY_COVERAGE)
-                   & F.col(f"proxy_annual{p}").isNotNull())
-        beta = F.when(covered, F.try_divide(F.col(f"cov{p}"), F.col(f"var{p}")))
-        alpha = annual - (K.RISK_FREE_PCT + beta * (F.col(f"proxy_annual{p}") - K.RISK_FREE_PCT))
-        return F.struct(
-            F.lit(p).alias("period"), annual.isNotNull().alias("usable"), rnd(stdev, 2).alias("stdev"),
-            F.when(stdev > 0, rnd(F.try_divide(annual - K.RISK_FREE_PCT, stdev), 2)).alias("sharpe"),
-            rnd(beta, 2).alias("beta"), rnd(alpha, 2).alias("alpha"), rnd(F.col(f"dd{p}") * 100, 2).alias("max_drawdown"))
-
-    rows = wide.select("scheme_code", F.explode(F.array(*map(window_row, K.RISK_DAYS))).alias("r")).select("scheme_code", "r.*")
-    return (rows.filter("usable").drop("usable").withColumn("as_of_date", F.lit(as_of).cast("date")))
+    proxy_nav = nav.join(links.select(F.col("proxy_scheme_code").alias("scheme_code")).distinct(), "scheme_code", "left_semi")
+    proxy_steps = _window_steps(proxy_nav, as_of)
+    # bounded by categories x windows x days of the slice
+    bound = links.count() * len(K.RISK_DAYS) * _SLICE_DAYS
+    proxy_rets = broadcast_if_within(
+        proxy_steps.filter(F.col("ret").isNotNull())
+        .select(F.col("scheme_code").alias("proxy_scheme_code"), "period", "date", F.col("ret").alias("proxy_ret")), bound)
+    proxy_annual = broadcast_if_within(
+        _window_metrics(proxy_steps).select(F.col("scheme_code").alias("proxy_scheme_code"), "period", F.col("annual").alias("proxy_annual")), bound)
+
+    is_self = F.col("proxy_scheme_code") == F.col("scheme_code")
+    schemes = (master.filter(F.col("backfill_status") == "done").join(links, "category", "left")
+                     .select("scheme_code", F.when(~is_self, F.col("proxy_scheme_code")).alias("proxy_scheme_code")))
+    steps = (_window_steps(nav, as_of).join(schemes, "scheme_code")
+             .join(proxy_rets, ["proxy_scheme_code", "period", "date"], "left"))
+    paired = F.when(F.col("proxy_ret").isNotNull(), F.col("ret"))
+    rows = (_window_metrics(steps, F.count("proxy_ret").alias("pairs"), F.covar_samp(paired, "proxy_ret").alias("cov"),
+                            F.var_samp("proxy_ret").alias("var"))
+            .join(schemes, "scheme_code").join(proxy_annual, ["proxy_scheme_code", "period"], "left"))
+
+    stdev = F.col("sd") * (K.TRADING_DAYS ** 0.5) * 100
+    covered = ((F.col("pairs") >= K.MIN_RISK_POINTS) & (F.col("var") > 0) & F.col("proxy_annual").isNotNull()
+               & (F.col("pairs") / F.col("n") >= K.MIN_PROXY_COVERAGE))
+    beta = F.when(covered, F.try_divide(F.col("cov"), F.col("var")))
+    alpha = F.col("annual") - (K.RISK_FREE_PCT + beta * (F.col("proxy_annual") - K.RISK_FREE_PCT))
+    return rows.select(
+        "scheme_code", "period", rnd(stdev, 2).alias("stdev"),
+        F.when(stdev > 0, rnd(F.try_divide(F.col("annual") - K.RISK_FREE_PCT, stdev), 2)).alias("sharpe"),
+        rnd(beta, 2).alias("beta"), rnd(alpha, 2).alias("alpha"), rnd(F.col("drawdown") * 100, 2).alias("max_drawdown"),
+        F.lit(as_of).cast("date").alias("as_of_date"))

@@ -358,11 +358,15 @@ UNION ALL SELECT code || 'F', nullif(CASE WHEN TRY_CAST(fof AS DOUBLE) > 0 THEN
 _SHEETS = {
     "sheet_src": (("fx_holdings", "fx_master"), """
 SELECT h.*, CAST(substr(h.scheme_code, 2) AS BIGINT) AS k, m.amc, regexp_replace(m.name, ' - Regular Plan - Growth$', '') AS fund,
-       lower(split_part(m.amc, ' ', 1)) || '-' || CAST(year(h.as_of_date) AS STRING) || '.xlsx' AS file
+       lower(split_part(m.amc, ' ', 1)) || '-' || CAST(year(h.as_of_date) AS STRING) || '.xlsx' AS file,
+       CASE WHEN CAST(substr(h.scheme_code, 2) AS BIGINT) % 10 = 9 THEN 30 ELSE 0 END AS junk
 FROM fx_holdings h JOIN fx_master m USING (scheme_code)"""),
-    "sheet_rows": (("sheet_src",), """
-SELECT scheme_code, as_of_date, instrument_name, isin, CASE WHEN k % 3 = 2 THEN 'Debt / Money Market' ELSE sector END AS sector,
-       pct_of_aum, market_value_cr FROM sheet_src WHERE k % 10 <> 9"""),
+    "sheet_totals": (("sheet_src",), """
+SELECT file, scheme_code, amc, k, fund, as_of_date, round(sum(pct_of_aum) + max(junk), 2) AS total FROM sheet_src GROUP BY ALL"""),
+    "sheet_rows": (("sheet_src", "sheet_totals"), """
+SELECT s.scheme_code, s.as_of_date, instrument_name, isin, CASE WHEN s.k % 3 = 2 THEN 'Debt / Money Market' ELSE sector END AS sector,
+       pct_of_aum, market_value_cr FROM sheet_src s JOIN sheet_totals t ON t.scheme_code = s.scheme_code AND t.as_of_date = s.as_of_date
+WHERE t.total <= 115"""),
 }
 
 ORACLES = {
@@ -411,7 +415,13 @@ SELECT scheme_code, as_of_date, count(*) AS holdings_count, {rnd('sum(pct)', 2)}
     "holdings_top": _q("disclosed", """
 SELECT scheme_code, as_of_date, rank, isin, instrument_name, sector, pct_of_aum, market_value_cr
 FROM (SELECT *, row_number() OVER (PARTITION BY scheme_code ORDER BY pct_of_aum DESC, isin) AS rank FROM disclosed) r WHERE rank <= 25"""),
-    "sector_allocation": _q("disclosed", f"SELECT scheme_code, as_of_date, sector, {rnd('sum(pct_of_aum)', 4)} AS pct_of_aum FROM disclosed GROUP BY 1, 2, 3"),
+    "sector_allocation": _q("disclosed", f"""
+SELECT *, row_number() OVER (PARTITION BY scheme_code ORDER BY pct_of_aum DESC, sector) AS rank FROM (
+  SELECT scheme_code, as_of_date, sector, {rnd('sum(pct_of_aum)', 4)} AS pct_of_aum FROM disclosed GROUP BY 1, 2, 3) s"""),
+    "nightly_rebuild": _q(("returns", "risk", "master", "stats", "ranks"), """
+SELECT 'scheme_returns' AS "table", count(*) AS "rows" FROM returns UNION ALL SELECT 'scheme_risk', count(*) FROM risk
+UNION ALL SELECT 'scheme_master', count(*) FROM master UNION ALL SELECT 'category_stats', count(*) FROM stats
+UNION ALL SELECT 'rankings', count(*) FROM ranks"""),
     "cost_leak": _cost_leak("500000e0", None),
     "cost_leak_3y": _cost_leak("100000e0", 3),
     "backtest_validity": _q("validity", "SELECT * FROM validity"),
@@ -540,12 +550,12 @@ SELECT amc, d AS link_date, max(url) AS url FROM (
 WHERE d = newest GROUP BY 1, 2"""),
     "sheet_holdings": _q("sheet_rows", "SELECT * FROM sheet_rows", _SHEETS),
     "sheet_sectors": _q("sheet_rows", f"SELECT scheme_code, as_of_date, sector, {rnd('sum(pct_of_aum)', 4)} AS pct_of_aum FROM sheet_rows GROUP BY 1, 2, 3", _SHEETS),
-    "sheet_suspects": _q("sheet_src", """
+    "sheet_suspects": _q("sheet_totals", """
 SELECT file, scheme_code AS sheet, fund || CASE WHEN k % 3 = 1 THEN ' (An Open Ended Scheme)' ELSE '' END AS scheme_name, as_of_date,
-       round(sum(pct_of_aum) + 30, 2) AS total_pct FROM sheet_src WHERE k % 10 = 9 GROUP BY file, scheme_code, fund, k, as_of_date""", _SHEETS),
-    "sheet_report": _q("sheet_src", """
-SELECT amc, count(*) AS sheets, sum(CASE WHEN k % 10 = 9 THEN 1 ELSE 0 END) AS suspect, sum(CASE WHEN k % 10 <> 9 THEN 1 ELSE 0 END) AS matched, 0 AS unmatched
-FROM (SELECT DISTINCT amc, k, as_of_date FROM sheet_src) s GROUP BY 1""", _SHEETS),
+       total AS total_pct FROM sheet_totals WHERE total > 115""", _SHEETS),
+    "sheet_report": _q("sheet_totals", """
+SELECT amc, count(*) AS sheets, sum(CASE WHEN total > 115 THEN 1 ELSE 0 END) AS suspect, sum(CASE WHEN total <= 115 THEN 1 ELSE 0 END) AS matched, 0 AS unmatched
+FROM sheet_totals GROUP BY 1""", _SHEETS),
     "holdings_replace": _q("fx_holdings", f"""
 SELECT scheme_code, as_of_date, instrument_name, isin, sector, {rnd('pct_of_aum / 2', 4)} AS pct_of_aum, market_value_cr
 FROM fx_holdings WHERE year(as_of_date) = 2001 AND sector <> 'ECONOMY'

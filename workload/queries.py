@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,8 @@ class Tables:
         return view(self.spark, self.sf_dir, f"fx_{name}")
 
     def stored_nav(self) -> DataFrame:
-        """The price series written once to the shared scratch folder, for jobs that
-        read it several times; their stages then start from files."""
-        return settle(self.nav, "nav")
+        """The price series in the layout for jobs that read it several times."""
+        return prices.by_scheme(self.nav)
 
     @property
     def proxies(self) -> DataFrame:
@@ -99,6 +99,15 @@ def rolling_points(spark, sf_dir):
     return rolling.rolling_points(Tables(spark, sf_dir).nav)
 
 
+@query
+def nightly_rebuild(spark, sf_dir):
+    """All metric tables written to files; the row count of each."""
+    t = Tables(spark, sf_dir)
+    tables = nightly.rebuild(spark, t.stored_nav(), t.master, t.proxies, AS_OF, scratch_dir(spark, "nightly"))
+    counts = [table.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, table in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # --- portfolios ---------------------------------------------------------------------
 
 @query
@@ -144,7 +153,7 @@ def holdings_top(spark, sf_dir):
 
 @query
 def sector_allocation(spark, sf_dir):
-    return holdings.sector_rows(overlap.latest_holdings(Tables(spark, sf_dir).holdings))
+    return explorer.sectors_ranked(holdings.sector_rows(Tables(spark, sf_dir).holdings))
 
 
 # --- cost leak, backtests, tax, projections -------------------------------------------
