@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from navloom import constants as K
 from navloom.functions.rounding import rnd
 from navloom.operators.positions import top_k
+from navloom.session import settle
 
 
 def latest_holdings(holdings: DataFrame) -> DataFrame:
@@ -23,6 +24,12 @@ def portfolio_weights(holdings: DataFrame) -> DataFrame:
     return lines.groupBy("scheme_code", "as_of_date", "isin").agg(F.sum("pct_of_aum").alias("pct"))
 
 
+def newest_weights(newest: DataFrame) -> DataFrame:
+    """Weights of the newest portfolios, settled: every use below reads files whose
+    size the planner knows when it chooses between broadcast and shuffle."""
+    return settle(portfolio_weights(newest), "weights")
+
+
 def instrument_names(holdings: DataFrame) -> DataFrame:
     """(isin, name): one of an instrument's spellings, always the same one. Joined
     to finished rows only, so that text stays out of the large aggregates."""
@@ -72,7 +79,7 @@ def overlap_pairs(pairs: DataFrame, holdings: DataFrame) -> DataFrame:
     """(a, b, overlap_pct, common_count, as_of_mismatch). Null where a side has
     disclosed nothing, 0 where the portfolios are disjoint. ``pairs`` may be any
     list of pairs, of any length."""
-    weights = portfolio_weights(latest_holdings(holdings))
+    weights = newest_weights(latest_holdings(holdings))
     duplicated = _shared(pairs, weights).groupBy("a", "b").agg(
         F.sum(F.least("a_pct", "b_pct")).alias("pct"), F.count(F.lit(1)).alias("n"))
     disclosed = weights.groupBy("scheme_code").agg(F.max("as_of_date").alias("as_of"))
@@ -89,7 +96,7 @@ def overlap_pairs(pairs: DataFrame, holdings: DataFrame) -> DataFrame:
 def top_common(pairs: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
     """The k largest shared positions of every pair."""
     newest = latest_holdings(holdings)
-    shared = _shared(pairs, portfolio_weights(newest)).withColumn("smaller", F.least("a_pct", "b_pct"))
+    shared = _shared(pairs, newest_weights(newest)).withColumn("smaller", F.least("a_pct", "b_pct"))
     ranked = top_k(shared, ["a", "b"], [F.desc("smaller"), F.asc("isin")], k)
     return ranked.join(instrument_names(newest), "isin", "left").select(
         "a", "b", "rank", "isin", "name", rnd(F.col("smaller"), 2).alias("min_pct"),
@@ -100,7 +107,7 @@ def combined_exposure(members: DataFrame, holdings: DataFrame, k: int = 10) -> D
     """What an equal split over a set's disclosed funds owns: top k instruments
     with ``pct`` and the number of funds that hold them."""
     newest = latest_holdings(holdings)
-    weights = portfolio_weights(newest).select("scheme_code", "isin", "pct")
+    weights = newest_weights(newest).select("scheme_code", "isin", "pct")
     disclosed = members.join(weights.select("scheme_code").distinct(), "scheme_code", "left_semi")
     live = disclosed.groupBy("set_id").agg(F.count(F.lit(1)).alias("live"))
     # one shuffle, on the set, serves the sum and the ranking

@@ -42,6 +42,9 @@ class Tables:
         """The price series in the layout for jobs that read it several times."""
         return prices.by_scheme(self.nav)
 
+    def stored_holdings(self) -> DataFrame:
+        return settle(self.holdings, "holdings")
+
     @property
     def proxies(self) -> DataFrame:
         return benchmark.benchmark_proxies(self.spark)
@@ -113,27 +116,27 @@ def nightly_rebuild(spark, sf_dir):
 @query
 def overlap_pairs(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return overlap.overlap_pairs(overlap.requested_pairs(overlap.valid_sets(t.sets)), t.holdings)
+    return overlap.overlap_pairs(overlap.requested_pairs(overlap.valid_sets(t.sets)), t.stored_holdings())
 
 
 @query
 def overlap_top_common(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return overlap.top_common(overlap.requested_pairs(overlap.valid_sets(t.sets)), t.holdings)
+    return overlap.top_common(overlap.requested_pairs(overlap.valid_sets(t.sets)), t.stored_holdings())
 
 
 @query
 def combined_exposure(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return overlap.combined_exposure(overlap.valid_sets(t.sets), t.holdings)
+    return overlap.combined_exposure(overlap.valid_sets(t.sets), t.stored_holdings())
 
 
 @query
 def set_concentration(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    members = overlap.valid_sets(t.sets)
-    return (overlap.concentration(overlap.combined_exposure(members, t.holdings))
-            .join(overlap.set_freshness(members, t.holdings), "set_id"))
+    members, disclosed = overlap.valid_sets(t.sets), t.stored_holdings()
+    return (overlap.concentration(overlap.combined_exposure(members, disclosed))
+            .join(overlap.set_freshness(members, disclosed), "set_id"))
 
 
 @query
