@@ -60,7 +60,8 @@ def scheme_risk(nav: DataFrame, master: DataFrame, proxies: DataFrame, as_of: st
     is_self = F.col("proxy_scheme_code") == F.col("scheme_code")
     schemes = (master.filter(F.col("backfill_status") == "done").join(links, "category", "left")
                      .select("scheme_code", F.when(~is_self, F.col("proxy_scheme_code")).alias("proxy_scheme_code")))
-    steps = (_window_steps(nav, as_of).join(schemes, "scheme_code")
+    # hashing the small side per partition leaves the steps where their windows put them
+    steps = (_window_steps(nav, as_of).join(schemes.hint("shuffle_hash"), "scheme_code")
              .join(proxy_rets, ["proxy_scheme_code", "period", "date"], "left"))
     paired = F.when(F.col("proxy_ret").isNotNull(), F.col("ret"))
     rows = (_window_metrics(steps, F.count("proxy_ret").alias("pairs"), F.covar_samp(paired, "proxy_ret").alias("cov"),

@@ -49,7 +49,8 @@ def rolling_stats(nav: DataFrame, master: DataFrame, proxies: DataFrame,
     dims = (master.select("scheme_code", "category").join(links, "category", "left")
                   .withColumn("proxy_scheme_code", F.when(F.col("proxy_scheme_code") != F.col("scheme_code"), F.col("proxy_scheme_code")))
                   .select("scheme_code", "proxy_scheme_code"))
-    points = (rolling_returns(nav, windows).join(dims, "scheme_code")
+    # hashing the small side per partition leaves the points where their windows put them
+    points = (rolling_returns(nav, windows).join(dims.hint("shuffle_hash"), "scheme_code")
               .join(bench, ["proxy_scheme_code", "window", "date"], "left"))
     ret, shared = F.col("ret"), F.col("proxy_ret").isNotNull()
     stats = points.groupBy("scheme_code", "window").agg(

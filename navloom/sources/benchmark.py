@@ -1,5 +1,6 @@
 """The benchmark dimension."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from navloom import constants as K
@@ -10,7 +11,10 @@ from navloom.operators.merge import newest_wins
 def benchmark_proxies(spark: SparkSession) -> DataFrame:
     """category -> the index fund whose prices stand in for its benchmark.
     Categories without an honest proxy are absent."""
-    return spark.createDataFrame(K.BENCHMARK_PROXIES, schemas.BENCHMARK_PROXY)
+    names = [field.split(" ")[0] for field in schemas.BENCHMARK_PROXY.split(", ")]
+    # an Arrow table becomes a local relation, whose size the planner knows
+    table = pa.table({name: pa.array(column, pa.string()) for name, column in zip(names, zip(*K.BENCHMARK_PROXIES))})
+    return spark.createDataFrame(table)
 
 
 def seed(existing: DataFrame, spark: SparkSession) -> DataFrame:

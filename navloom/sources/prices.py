@@ -81,17 +81,19 @@ def read_prices(spark: SparkSession, path: str, years: list[int] | None = None)
     return stored.drop("year")
 
 
-def by_scheme(nav: DataFrame) -> DataFrame:
-    """The layout the metric jobs read: bucketed by scheme, sorted by day. All
-    their windows, aggregates and joins on scheme_code then start without a
-    shuffle, so the prices are shuffled once however many jobs read them."""
+def by_scheme(nav: DataFrame, table: str | None = None, buckets: int | None = None) -> DataFrame:
+    """The layout the metric jobs read: a table bucketed by scheme, sorted by day.
+    All their windows, aggregates and joins on scheme_code then start without a
+    shuffle, so the prices are shuffled once however many jobs read them. Without
+    a ``table`` name the files are a scratch table."""
     spark = nav.sparkSession
     path = scratch_dir(spark, "nav-by-scheme")
-    table = path.rsplit("/", 1)[-1].replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (nav.select("scheme_code", "date", "nav").repartition(buckets, "scheme_code").write.format("parquet")
-        .bucketBy(buckets, "scheme_code").sortBy("scheme_code", "date").option("path", path).saveAsTable(table))
-    return spark.table(table)
+    name = table or path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = (nav.select("scheme_code", "date", "nav").repartition(buckets, "scheme_code").write.format("parquet")
+                 .mode("overwrite").bucketBy(buckets, "scheme_code").sortBy("scheme_code", "date"))
+    (writer if table else writer.option("path", path)).saveAsTable(name)
+    return spark.table(name)
 
 
 def merge_into_store(spark: SparkSession, path: str, incoming: DataFrame, incoming_wins: bool = True) -> None:

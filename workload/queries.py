@@ -42,6 +42,9 @@ class Tables:
         """The price series in the layout for jobs that read it several times."""
         return prices.by_scheme(self.nav)
 
+    def stored_master(self) -> DataFrame:
+        return settle(self.master, "master")
+
     def stored_holdings(self) -> DataFrame:
         return settle(self.holdings, "holdings")
 
@@ -51,7 +54,7 @@ class Tables:
 
     def metrics(self, nav: DataFrame) -> dict[str, DataFrame]:
         save = nightly.table_saver(self.spark, scratch_dir(self.spark, "metrics"))
-        return nightly.metric_tables(nav, self.master, self.proxies, AS_OF, save)
+        return nightly.metric_tables(nav, self.stored_master(), self.proxies, AS_OF, save)
 
 
 # --- metric tables ---------------------------------------------------------------
@@ -64,7 +67,7 @@ def scheme_returns(spark, sf_dir):
 @query
 def scheme_risk(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return risk.scheme_risk(t.stored_nav(), t.master, t.proxies, AS_OF)
+    return risk.scheme_risk(t.stored_nav(), t.stored_master(), t.proxies, AS_OF)
 
 
 @query
@@ -94,7 +97,7 @@ def rankings(spark, sf_dir):
 @query
 def rolling_stats(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return rolling.rolling_stats(t.stored_nav(), t.master, t.proxies)
+    return rolling.rolling_stats(t.stored_nav(), t.stored_master(), t.proxies)
 
 
 @query
@@ -106,7 +109,7 @@ def rolling_points(spark, sf_dir):
 def nightly_rebuild(spark, sf_dir):
     """All metric tables written to files; the row count of each."""
     t = Tables(spark, sf_dir)
-    tables = nightly.rebuild(spark, t.stored_nav(), t.master, t.proxies, AS_OF, scratch_dir(spark, "nightly"))
+    tables = nightly.rebuild(spark, t.stored_nav(), t.stored_master(), t.proxies, AS_OF, scratch_dir(spark, "nightly"))
     counts = [table.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, table in tables.items()]
     return reduce(DataFrame.unionByName, counts)
 
@@ -164,13 +167,13 @@ def sector_allocation(spark, sf_dir):
 @query
 def cost_leak(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return costleak.cost_leak(t.master, t.stored_nav(), t.costs)
+    return costleak.cost_leak(t.stored_master(), t.stored_nav(), t.costs)
 
 
 @query
 def cost_leak_3y(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return costleak.cost_leak(t.master, t.stored_nav(), t.costs, amount=100_000.0, years=3)
+    return costleak.cost_leak(t.stored_master(), t.stored_nav(), t.costs, amount=100_000.0, years=3)
 
 
 @query
@@ -181,7 +184,7 @@ def backtest_validity(spark, sf_dir):
 
 def _buys(t: Tables) -> DataFrame:
     nav = t.stored_nav()
-    return backtest.sip_buys(backtest.valid_plans(t.plans, t.master, nav), nav)
+    return backtest.sip_buys(backtest.valid_plans(t.plans, t.stored_master(), nav), nav)
 
 
 @query
@@ -203,14 +206,14 @@ def sip_xirr(spark, sf_dir):
 def lumpsum_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
     nav = t.stored_nav()
-    return backtest.lumpsum_summary(backtest.valid_plans(t.plans, t.master, nav), nav)
+    return backtest.lumpsum_summary(backtest.valid_plans(t.plans, t.stored_master(), nav), nav)
 
 
 @query
 def lumpsum_series(spark, sf_dir):
     t = Tables(spark, sf_dir)
     nav = t.stored_nav()
-    return backtest.lumpsum_series(backtest.valid_plans(t.plans, t.master, nav), nav)
+    return backtest.lumpsum_series(backtest.valid_plans(t.plans, t.stored_master(), nav), nav)
 
 
 @query
@@ -223,7 +226,7 @@ def sip_tax(spark, sf_dir):
 def lumpsum_tax(spark, sf_dir):
     t = Tables(spark, sf_dir)
     nav = t.stored_nav()
-    summary = backtest.lumpsum_summary(backtest.valid_plans(t.plans, t.master, nav), nav)
+    summary = backtest.lumpsum_summary(backtest.valid_plans(t.plans, t.stored_master(), nav), nav)
     return plan_taxes.plan_tax(summary, t.plans, t.master)
 
 

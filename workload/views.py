@@ -29,17 +29,14 @@ _HOUSE = "CASE {n} % 3 WHEN 0 THEN 'Alder' WHEN 1 THEN 'Birch' ELSE 'Cedar' END"
 
 
 def _brand_rows() -> str:
-    parts = []
-    for status, plan in (("O", "Direct"), ("F", "Regular")):
-        for suffix, option in (("", "Growth"), ("-IDCW", "IDCW")):
-            backfill = "'done'" if option == "Growth" else "CAST(NULL AS STRING)"
-            parts.append(f"""
-  SELECT b || '-{status}{suffix}' AS scheme_code, {_HOUSE.format(n="n")} || ' ' || b || ' Fund - {plan} Plan - {option}' AS name,
+    return f"""
+  SELECT b || CASE WHEN v < 2 THEN '-O' ELSE '-F' END || CASE WHEN v % 2 = 0 THEN '' ELSE '-IDCW' END AS scheme_code,
+         {_HOUSE.format(n="n")} || ' ' || b || ' Fund - ' || CASE WHEN v < 2 THEN 'Direct' ELSE 'Regular' END || ' Plan - ' ||
+           CASE WHEN v % 2 = 0 THEN 'Growth' ELSE 'IDCW' END AS name,
          {_HOUSE.format(n="n")} || ' Mutual Fund' AS amc, {_CATEGORY.format(n="n")} AS category,
-         '{plan}' AS plan_type, '{option}' AS option_type, 'G' || CAST(n AS STRING) AS fund_group_id,
-         {backfill} AS backfill_status
-  FROM (SELECT DISTINCT p_brand AS b, CAST(substr(p_brand, 7) AS INT) AS n FROM part) brands""")
-    return " UNION ALL ".join(parts)
+         CASE WHEN v < 2 THEN 'Direct' ELSE 'Regular' END AS plan_type, CASE WHEN v % 2 = 0 THEN 'Growth' ELSE 'IDCW' END AS option_type,
+         'G' || CAST(n AS STRING) AS fund_group_id, CASE WHEN v % 2 = 0 THEN 'done' END AS backfill_status
+  FROM (SELECT DISTINCT p_brand AS b, CAST(substr(p_brand, 7) AS INT) AS n, p_partkey % 4 AS v FROM part) brands"""
 
 
 def _proxy_rows() -> str:
