@@ -30,7 +30,6 @@ MAX_PORTFOLIO_WEIGHT = 115.0
 INACTIVE_AFTER_DAYS = 30
 MAX_PLAUSIBLE_TER = 3.0
 MAX_OVERLAP_FUNDS = 5
-MAX_COMPARE_FUNDS = 4
 FRESHNESS_DAYS = {"nav": 4, "holdings": 45, "costs": 100}
 
 # --- fixed values: portfolio-sheet layout -------------------------------------

@@ -12,6 +12,11 @@ def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.trim(text, F.lit(" \t\r\n\f\v"))
+
+
 def plan_type(name: Column) -> Column:
     """Direct or Regular, else null; Direct wins when both words appear."""
     return (F.when(name.rlike(r"(?i)\bdirect\b"), "Direct")
@@ -37,19 +42,19 @@ def sub_category(category: Column) -> Column:
 
 
 def is_isin(value: Column) -> Column:
-    return F.coalesce(F.trim(value).rlike(K.ISIN_PATTERN), F.lit(False))
+    return F.coalesce(strip(value).rlike(K.ISIN_PATTERN), F.lit(False))
 
 
 def clean_sector(industry: Column) -> Column:
     """Footnote marks dropped; empty is cash, a credit rating is debt."""
-    s = F.trim(F.regexp_replace(_blank(industry), "[#*^~]+", ""))
+    s = strip(F.regexp_replace(_blank(industry), "[#*^~]+", ""))
     return (F.when(s == "", "Cash & Equivalents")
              .when(s.rlike(K.RATING_PATTERN), "Debt / Money Market").otherwise(s))
 
 
 def clean_instrument(name: Column) -> Column:
     """Trailing footnote marks dropped."""
-    return F.regexp_replace(F.trim(name), r"[\s$~#*^@]+$", "")
+    return F.regexp_replace(strip(name), r"[\s$~#*^@]+$", "")
 
 
 def _words(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navloom import constants as K
@@ -13,19 +13,18 @@ _LOWER_IS_BETTER = ["Volatility (3Y)"]
 
 def compare_best(sets: DataFrame, returns: DataFrame, risk: DataFrame) -> DataFrame:
     """(set_id, metric, scheme_code, value, is_best) for sets (set_id, position,
-    scheme_code) of up to four schemes: seven returns, then Sharpe, volatility and
-    drawdown over three years. The first best value of a row wins."""
-    sized = sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("funds")).filter(F.col("funds") <= K.MAX_COMPARE_FUNDS)
-    members = sets.join(sized.select("set_id"), "set_id", "left_semi")
+    scheme_code) of any size: seven returns, then Sharpe, volatility and drawdown
+    over three years. The first best value of a row wins."""
     rets = returns.select("scheme_code", F.concat("period", F.lit(" return")).alias("metric"), F.col("ret").alias("value"))
     three = risk.filter(F.col("period") == "3Y").select("scheme_code", F.explode(F.array(*(
         F.struct(F.lit(label).alias("metric"), F.col(column).alias("value")) for label, column in _RISK_ROWS.items()))).alias("m")
     ).select("scheme_code", "m.*")
     metrics = F.array(*(F.lit(m) for m in [*(f"{p} return" for p in K.PERIOD_DAYS), *_RISK_ROWS]))
-    cells = (members.withColumn("metric", F.explode(metrics))
+    cells = (sets.withColumn("metric", F.explode(metrics))
              .join(rets.unionByName(three), ["scheme_code", "metric"], "left"))
     goodness = F.when(F.col("metric").isin(_LOWER_IS_BETTER), -F.col("value")).otherwise(F.col("value"))
-    # a set has at most four members, so these windows see four rows
-    order = Window.partitionBy("set_id", "metric").orderBy(goodness.desc_nulls_last(), "position")
-    best = (F.row_number().over(order) == 1) & F.col("value").isNotNull()
-    return cells.withColumn("is_best", best).select("set_id", "metric", "scheme_code", "value", "is_best")
+    rank = F.struct(goodness.alias("goodness"), (-F.col("position")).alias("first"))
+    best = (cells.filter(F.col("value").isNotNull()).groupBy("set_id", "metric").agg(F.max(rank).alias("best"))
+                 .select("set_id", "metric", (-F.col("best.first")).alias("best_position")))
+    is_best = F.coalesce(F.col("position") == F.col("best_position"), F.lit(False))
+    return cells.join(best, ["set_id", "metric"], "left").select("set_id", "metric", "scheme_code", "value", is_best.alias("is_best"))

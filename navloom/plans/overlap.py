@@ -103,18 +103,19 @@ def top_common(pairs: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
                          rnd(F.col("a_pct"), 2).alias("a_pct"), rnd(F.col("b_pct"), 2).alias("b_pct"))
 
 
-def combined_exposure(members: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
+def combined_exposure(sets: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
     """What an equal split over a set's disclosed funds owns: top k instruments
-    with ``pct`` and the number of funds that hold them."""
+    with ``pct`` and the number of funds that hold them. Sets may have any size:
+    their lines are spread by instrument, and every partition sends at most k
+    lines of a set on to the ranking."""
     newest = latest_holdings(holdings)
     weights = newest_weights(newest).select("scheme_code", "isin", "pct")
+    members = sets.select("set_id", "scheme_code").distinct()
     disclosed = members.join(weights.select("scheme_code").distinct(), "scheme_code", "left_semi")
     live = disclosed.groupBy("set_id").agg(F.count(F.lit(1)).alias("live"))
-    # one shuffle, on the set, serves the sum and the ranking
-    lines = (disclosed.join(live, "set_id").join(weights, "scheme_code")
-             .select("set_id", "live", "isin", "pct").repartition("set_id"))
-    split = lines.groupBy("set_id", "live", "isin").agg((F.sum("pct") / F.col("live")).alias("pct"), F.count(F.lit(1)).alias("held_by"))
-    ranked = top_k(split.withColumn("order_pct", F.round("pct", 9)), ["set_id"], [F.desc("order_pct"), F.asc("isin")], k)
+    owned = (disclosed.join(live, "set_id").join(weights, "scheme_code").groupBy("set_id", "live", "isin")
+             .agg((F.sum("pct") / F.col("live")).alias("pct"), F.count(F.lit(1)).alias("held_by")))
+    ranked = top_k(owned.withColumn("order_pct", F.round("pct", 9)), ["set_id"], [F.desc("order_pct"), F.asc("isin")], k)
     return ranked.join(instrument_names(newest), "isin", "left").select(
         "set_id", "rank", "isin", "name", rnd(F.col("pct"), 2).alias("pct"), "held_by")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navloom.functions.feeds import lakh_to_crore, plausible_ter
-from navloom.functions.names import house_key, sheet_identity
+from navloom.functions.names import house_key, sheet_identity, strip
 from navloom.operators.merge import newest_wins
 from navloom.operators.resolve import resolve_codes
 from navloom.session import settle
@@ -17,7 +17,7 @@ def latest_ter(records: DataFrame) -> DataFrame:
     D_TER, TER_Date): the newest date wins, the earlier record on equal dates; a
     bad date is older than any."""
     date = F.coalesce(F.substring("TER_Date", 1, 10).try_cast("date"), F.lit("0001-01-01").cast("date"))
-    named = records.withColumn("scheme_name", F.trim(F.coalesce("Scheme_Name", F.lit("")))).filter(F.col("scheme_name") != "")
+    named = records.withColumn("scheme_name", strip(F.coalesce("Scheme_Name", F.lit("")))).filter(F.col("scheme_name") != "")
     newest = F.max_by(F.struct(plausible_ter(F.col("R_TER")).alias("r_ter"), plausible_ter(F.col("D_TER")).alias("d_ter")),
                       F.struct(date.alias("d"), (-F.col("ordinal")).alias("o")))
     return (named.groupBy("mf_name", "scheme_name").agg(newest.alias("t"), F.max(date).alias("ter_date"))
@@ -65,7 +65,7 @@ def aum_rows(groups: DataFrame) -> DataFrame:
     headline = "s.AverageAumForTheMonth.ExcludingFundOfFundsDomesticButIncludingFundOfFundsOverseas"
     schemes = groups.select(F.explode("schemes").alias("s"))
 
-    def size(column: str):
+    def size(column: str) -> Column:
         return F.nullif(lakh_to_crore(F.col(column)), F.lit(0.0))
 
     return (schemes.select(F.col("s.AMFI_Code").cast("string").alias("scheme_code"),
@@ -73,7 +73,7 @@ def aum_rows(groups: DataFrame) -> DataFrame:
                    .filter(F.col("scheme_code").isNotNull() & F.col("aaum_cr").isNotNull()))
 
 
-def known_aum(groups: DataFrame, master: DataFrame, as_of) -> DataFrame:
+def known_aum(groups: DataFrame, master: DataFrame, as_of: str | Column) -> DataFrame:
     """Size rows of schemes the master knows, dated ``as_of`` (a date or column)."""
     day = as_of if not isinstance(as_of, str) else F.lit(as_of).cast("date")
     return (aum_rows(groups).join(master.select("scheme_code"), "scheme_code", "left_semi")

@@ -7,7 +7,7 @@ eight fields and take the context above them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navloom import constants as K
@@ -26,7 +26,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Scheme rows of (file, block, pos, line), with their section and house."""
-    text = lines.select("file", "block", "pos", F.trim("line").alias("line")).filter(F.col("line") != "")
+    text = lines.select("file", "block", "pos", names.strip(F.col("line")).alias("line")).filter(F.col("line") != "")
     fields = F.split("line", ";")
     context = F.size(fields) < 6
     section = F.col("line").rlike(K.SECTION_PATTERN)
@@ -34,22 +34,22 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         "file", "block", "pos", F.when(~context, fields).alias("fields"),
         F.when(context & section, F.col("line")).alias("section"),
         F.when(context & ~section, F.col("line")).alias("amc"))
-    rows = carry_forward(marked, ["section", "amc"]).filter(F.trim(F.col("fields")[0]).rlike("^[0-9]+$"))
+    rows = carry_forward(marked, ["section", "amc"]).filter(names.strip(F.col("fields")[0]).rlike("^[0-9]+$"))
 
-    def field(i: int):
-        return F.trim(F.get("fields", F.lit(i)))
+    def field(i: int) -> Column:
+        return names.strip(F.get("fields", F.lit(i)))
 
-    def filled(i: int):
+    def filled(i: int) -> Column:
         return F.when(~field(i).isin("", "-"), field(i))
 
     wide = F.size("fields") >= 8
     plan_source, option_source = F.when(wide, field(4)).otherwise(field(3)), F.when(wide, field(5)).otherwise(field(3))
-    category = F.when(F.col("section").isNotNull(), F.trim(F.regexp_extract("section", K.SECTION_PATTERN, 2)))
+    category = F.when(F.col("section").isNotNull(), names.strip(F.regexp_extract("section", K.SECTION_PATTERN, 2)))
     return rows.select(
         field(0).alias("scheme_code"), F.coalesce(filled(1), filled(2)).alias("isin"), field(3).alias("name"),
         number(F.when(wide, field(6)).otherwise(field(4))).alias("nav"),
         text_date(F.when(wide, field(7)).otherwise(field(5))).alias("nav_date"),
-        F.when(F.col("section").isNotNull(), F.trim(F.regexp_extract("section", K.SECTION_PATTERN, 1))).alias("scheme_type"),
+        F.when(F.col("section").isNotNull(), names.strip(F.regexp_extract("section", K.SECTION_PATTERN, 1))).alias("scheme_type"),
         category.alias("category"), names.sub_category(category).alias("sub_category"), "amc",
         names.plan_type(plan_source).alias("plan_type"), names.option_type(option_source).alias("option_type"),
         names.fund_group_id(F.col("amc"), field(3)).alias("fund_group_id"))

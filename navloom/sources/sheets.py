@@ -29,7 +29,7 @@ def title_rows(cells: DataFrame) -> DataFrame:
     """(file, sheet, row_idx, cells, joined) of the rows scanned for a header."""
     top = cells.filter((F.col("row_idx") <= K.HEADER_SCAN_ROWS) & (F.col("text") != ""))
     rows = top.groupBy(*SHEET, "row_idx").agg(
-        F.array_sort(F.collect_list(F.struct("col_idx", F.trim("text").alias("text"), "dt"))).alias("cells"))
+        F.array_sort(F.collect_list(F.struct("col_idx", names.strip(F.col("text")).alias("text"), "dt"))).alias("cells"))
     return rows.withColumn("joined", F.lower(F.array_join(F.transform("cells", lambda c: c["text"]), " ")))
 
 
@@ -55,7 +55,7 @@ def _scheme_label(cells: Column) -> Column:
     labels = F.filter(cells, lambda c: F.lower(c["text"]).contains("scheme name"))
 
     def value(label: Column) -> Column:
-        after = F.trim(F.regexp_extract(label["text"], "(?s)^[^:]*:(.*)$", 1))
+        after = names.strip(F.regexp_extract(label["text"], "(?s)^[^:]*:(.*)$", 1))
         later = F.filter(cells, lambda c: (c["col_idx"] > label["col_idx"]) & (F.length(c["text"]) > 3))
         return F.when(F.length(after) > 3, after).otherwise(F.get(later, F.lit(0))["text"])
 
@@ -70,7 +70,7 @@ def _title_text(cells: Column) -> Column:
 
     title = F.get(F.filter(cells, fits), F.lit(0))["text"]
     bare = F.regexp_replace(title, r"(?i)^portfolio\s+of\s+", "")
-    return F.trim(F.regexp_replace(bare, r"(?i)\s+as\s+(?:on|at|of)\b.*$", ""))
+    return names.strip(F.regexp_replace(bare, r"(?i)\s+as\s+(?:on|at|of)\b.*$", ""))
 
 
 def sheet_titles(rows: DataFrame, headers: DataFrame, as_of: str) -> DataFrame:
@@ -102,7 +102,7 @@ def sheet_lines(cells: DataFrame, columns: DataFrame) -> DataFrame:
     optional = F.coalesce(col == F.col("c_industry"), F.lit(False)) | F.coalesce(col == F.col("c_market_value"), F.lit(False))
     wanted = col.isin(F.col("c_name"), F.col("c_isin"), F.col("c_pct")) | near | optional
     body = cells.join(columns, SHEET).filter((F.col("row_idx") > F.col("header")) & wanted)
-    text = F.when(F.trim("text") != "", F.trim("text"))
+    text = F.when(names.strip(F.col("text")) != "", names.strip(F.col("text")))
     usable = (~names.is_isin(text) & text.rlike(_LETTERS)
               & F.coalesce(col != F.col("c_industry"), F.lit(True)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from navloom import schemas
 from navloom.functions import feeds, names
 from navloom.operators import merge, resolve
+from navloom.session import scratch_dir
 from navloom.sources import costs, holdings, master, nav_text, prices, sheets
 from navloom.streaming import ingest
 from tests.conftest import rows_of
@@ -33,7 +34,7 @@ def test_daily_file_layouts(spark, tmp_path):
         "100001;;-;ICICI Prudential Fixed Maturity Plan - Series 1;;;10.5;25-Aug-2026",
         "100002;INF1;-;Some Fund;Direct Plan;Growth;N.A.;not a date",
         "Open Ended Schemes ( Debt Scheme - Gilt Fund )",
-        "100003;INF2;-;Other Fund;Direct Plan;Growth;11;2026-08-25"]))
+        "\t100003;INF2;-;Other Fund;Direct Plan;Growth;11;2026-08-25\t\r"]))
     rows = rows_of(nav_text.parse_lines(nav_text.read_lines(spark, str(tmp_path))), "scheme_code")
     a = rows["122639"]
     assert (a["nav"], a["nav_date"], a["plan_type"], a["option_type"], a["amc"]) == (92.05, D(2026, 8, 25), "Direct", "Growth", HOUSE)
@@ -142,12 +143,28 @@ def test_master_sync(spark):
                                  ("4", "Edge", D(2020, 1, 1), D(2026, 7, 27), True)],
                                 "scheme_code STRING, name STRING, first_seen DATE, last_seen DATE, is_active BOOLEAN")
     old = old.select("*", *(F.lit("o").alias(c) for c in ("amc", "scheme_type", "category", "sub_category", "plan_type", "option_type", "isin", "fund_group_id")))
-    got = {k: (v["name"], v["is_active"], v["first_seen"], v["last_seen"]) for k, v in rows_of(master.synced(old, parsed, "2026-08-26"), "scheme_code").items()}
+    old = old.withColumn("backfill_status", F.lit("done"))
+    synced = rows_of(master.synced(old, parsed, "2026-08-26"), "scheme_code")
+    got = {k: (v["name"], v["is_active"], v["first_seen"], v["last_seen"]) for k, v in synced.items()}
+    assert {k: v["backfill_status"] for k, v in synced.items()} == {"1": "done", "2": "done", "3": None, "4": "done"}
     today = D(2026, 8, 26)
     assert got == {"1": ("New", True, D(2020, 1, 1), today), "2": ("Gone", False, D(2020, 1, 1), D(2026, 7, 1)),
                    "3": ("Third", True, today, today), "4": ("Edge", True, D(2020, 1, 1), D(2026, 7, 27))}
 
 
+def test_backfill_marks(spark, nav_of):
+    table = spark.createDataFrame([("1", "done", None), ("2", None, None), ("3", None, None)],
+                                  "scheme_code STRING, backfill_status STRING, backfill_date DATE")
+    todo = merge.pending(table.select("scheme_code"), table, "scheme_code")
+    marks = master.backfill_marks(todo, nav_of({"2": [(D(2020, 1, 1), 1.0), (D(2020, 1, 2), 1.0)]}), "2026-08-26")
+    got = {k: (v["backfill_status"], v["backfill_date"]) for k, v in rows_of(master.marked(table, marks), "scheme_code").items()}
+    assert got == {"1": ("done", None), "2": ("done", D(2026, 8, 26)), "3": ("no_data", D(2026, 8, 26))}
+
+
+def test_scratch_folder_is_the_configured_one(spark):
+    assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
 def test_pending_and_replace(spark):
     status = spark.createDataFrame([("1", "done"), ("2", None), ("3", "error")], "scheme_code STRING, backfill_status STRING")
     assert [r.scheme_code for r in merge.pending(status.select("scheme_code"), status, "scheme_code").collect()] == ["2"]

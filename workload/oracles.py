@@ -179,12 +179,12 @@ SELECT DISTINCT x.scheme_code AS a, y.scheme_code AS b FROM members x JOIN membe
     "shared": (("pairs", "weights"), """
 SELECT p.a, p.b, wa.isin, wa.name, wa.pct AS pa, wb.pct AS pb, least(wa.pct, wb.pct) AS m
 FROM pairs p JOIN weights wa ON wa.scheme_code = p.a JOIN weights wb ON wb.scheme_code = p.b AND wb.isin = wa.isin"""),
-    "exposure": (("members", "weights"), f"""
+    "exposure": (("fx_sets", "weights"), f"""
 SELECT set_id, rank, isin, name, {rnd('pct', 2)} AS pct, held_by FROM (
   SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY round(pct, 9) DESC, isin) AS rank FROM (
     SELECT m.set_id, w.isin, min(w.name) AS name, sum(w.pct) / any_value(l.live) AS pct, count(*) AS held_by
-    FROM members m JOIN weights w USING (scheme_code)
-    JOIN (SELECT set_id, count(DISTINCT scheme_code) AS live FROM members
+    FROM fx_sets m JOIN weights w USING (scheme_code)
+    JOIN (SELECT set_id, count(DISTINCT scheme_code) AS live FROM fx_sets
           WHERE scheme_code IN (SELECT scheme_code FROM weights) GROUP BY 1) l ON l.set_id = m.set_id
     GROUP BY m.set_id, w.isin) g) r WHERE rank <= 10"""),
     # plans
@@ -402,10 +402,10 @@ LEFT JOIN (SELECT a, b, sum(m) AS v, count(*) AS n FROM shared GROUP BY 1, 2) s
 SELECT a, b, rank, isin, name, {rnd('m', 2)} AS min_pct, {rnd('pa', 2)} AS a_pct, {rnd('pb', 2)} AS b_pct
 FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m DESC, isin) AS rank FROM shared) r WHERE rank <= 10"""),
     "combined_exposure": _q("exposure", "SELECT * FROM exposure"),
-    "set_concentration": _q(("exposure", "members", "weights"), f"""
+    "set_concentration": _q(("exposure", "fx_sets", "weights"), f"""
 SELECT e.set_id, {rnd('sum(CASE WHEN e.rank <= 5 THEN e.pct END)', 2)} AS concentration_top5, {rnd('sum(e.pct)', 2)} AS concentration_top10,
        any_value(d.n) > 1 AS as_of_mismatch
-FROM exposure e JOIN (SELECT set_id, count(DISTINCT as_of_date) AS n FROM members JOIN weights USING (scheme_code) GROUP BY 1) d USING (set_id)
+FROM exposure e JOIN (SELECT set_id, count(DISTINCT as_of_date) AS n FROM fx_sets JOIN weights USING (scheme_code) GROUP BY 1) d USING (set_id)
 GROUP BY 1"""),
     "rejected_sets": _q("fx_sets", """
 SELECT set_id, count(*) AS funds, CASE WHEN count(*) < 2 THEN 'needs at least 2 schemes' ELSE 'at most 5 schemes at a time' END AS reason
@@ -526,6 +526,10 @@ FROM (SELECT coalesce(o.scheme_code, n.scheme_code) AS scheme_code, n.scheme_cod
       FROM fx_master_old o FULL OUTER JOIN (SELECT DISTINCT scheme_code, name, amc, scheme_type, category, isin, fund_group_id FROM fx_master_new) n
         ON n.scheme_code = o.scheme_code) j"""),
     "pending_backfill": _q("fx_master", "SELECT scheme_code, plan_type FROM fx_master WHERE backfill_status IS NULL"),
+    "backfill_marks": _q(("fx_master", "fx_nav"), f"""
+SELECT scheme_code, CASE WHEN old = 'done' THEN 'done' WHEN scheme_code IN (SELECT scheme_code FROM fx_nav) THEN 'done' ELSE 'no_data' END AS backfill_status,
+       CASE WHEN old IS NULL THEN {AS_OF_SQL} END AS backfill_date
+FROM (SELECT scheme_code, CASE WHEN plan_type = 'Direct' THEN backfill_status END AS old FROM fx_master) m"""),
     "ter_load": _q(("fx_costs", "ter_new"), """
 SELECT coalesce(c.scheme_code, n.scheme_code) AS scheme_code, coalesce(c.as_of_date, DATE '2001-11-01') AS as_of_date, coalesce(n.ter, c.ter) AS ter
 FROM fx_costs c FULL OUTER JOIN ter_new n ON n.scheme_code = c.scheme_code AND c.as_of_date = DATE '2001-11-01'""", _TER),

@@ -131,15 +131,15 @@ def overlap_top_common(spark, sf_dir):
 @query
 def combined_exposure(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return overlap.combined_exposure(overlap.valid_sets(t.sets), t.stored_holdings())
+    return overlap.combined_exposure(t.sets, t.stored_holdings())
 
 
 @query
 def set_concentration(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    members, disclosed = overlap.valid_sets(t.sets), t.stored_holdings()
-    return (overlap.concentration(overlap.combined_exposure(members, disclosed))
-            .join(overlap.set_freshness(members, disclosed), "set_id"))
+    sets, disclosed = t.sets, t.stored_holdings()
+    return (overlap.concentration(overlap.combined_exposure(sets, disclosed))
+            .join(overlap.set_freshness(sets, disclosed), "set_id"))
 
 
 @query
@@ -429,6 +429,17 @@ def pending_backfill(spark, sf_dir):
     return merge.pending(t.master.select("scheme_code", "plan_type"), t.master, "scheme_code")
 
 
+@query
+def backfill_marks(spark, sf_dir):
+    """A load of everything pending, marked on the master."""
+    t = Tables(spark, sf_dir)
+    stored = t.stored_master().withColumn("backfill_status", F.when(F.col("plan_type") == "Direct", F.col("backfill_status")))
+    todo = merge.pending(stored.select("scheme_code"), stored, "scheme_code")
+    marks = master.backfill_marks(todo, t.nav, AS_OF)
+    return master.marked(stored.withColumn("backfill_date", F.lit(None).cast("date")), marks).select(
+        "scheme_code", "backfill_status", "backfill_date")
+
+
 @query
 def ter_load(spark, sf_dir):
     t = Tables(spark, sf_dir)
