@@ -43,6 +43,8 @@ def price_calendar(nav: DataFrame) -> DataFrame:
 def next_price(targets: DataFrame, nav: DataFrame, target: str) -> DataFrame:
     """Adds price_date and price: the first price on or after ``target``. The
     targets carry their scheme's ``first_date``; a target past the latest price
-    has no match and is dropped."""
+    has no match and is dropped. The planner sees the calendar as no larger than
+    the prices behind it, so it is told to shuffle it and never to broadcast it;
+    a crowded (scheme, day) is split at run time on the side of the targets."""
     probe = targets.withColumn("day", F.greatest(F.col(target), F.col("first_date")))
-    return probe.join(price_calendar(nav), ["scheme_code", "day"]).drop("day")
+    return probe.join(price_calendar(nav).hint("shuffle_hash"), ["scheme_code", "day"]).drop("day")

@@ -17,8 +17,10 @@ def carry_forward(lines: DataFrame, columns: list[str]) -> DataFrame:
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = (Window.partitionBy("file").orderBy("block")
                     .rowsBetween(Window.unboundedPreceding, -1))
-    ends = lines.groupBy("file", "block").agg(
+    # only the few lines that set a context are sorted for the ends of the blocks
+    context = lines.filter(F.coalesce(*columns).isNotNull()).groupBy("file", "block").agg(
         *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in columns))
+    ends = lines.select("file", "block").distinct().join(context, ["file", "block"], "left")
     carried = ends.select("file", "block", *(F.last(c, ignorenulls=True).over(before).alias(f"_in_{c}") for c in columns))
     filled = lines.select(*(c for c in lines.columns if c not in columns),
                           *(F.last(c, ignorenulls=True).over(within).alias(c) for c in columns))

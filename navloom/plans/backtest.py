@@ -90,7 +90,7 @@ def sip_summary(buys: DataFrame) -> DataFrame:
         "plan_id", "scheme_code", F.col("start_date").alias("start"), F.col("latest_date").alias("end"),
         rnd(F.col("paid"), 2).alias("invested"), rnd(F.col("bought"), 4).alias("units"),
         rnd(value, 2).alias("current_value"), rnd(gain, 2).alias("gain"),
-        rnd(gain / F.col("paid") * 100, 2).alias("absolute_return_pct"))
+        rnd(F.try_divide(gain, F.col("paid")) * 100, 2).alias("absolute_return_pct"))
 
 
 def xirr(flows: Column) -> Column:
@@ -100,13 +100,13 @@ def xirr(flows: Column) -> Column:
     def present_value(rate: Column) -> Column:
         zero = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("fp"))
         return F.aggregate(flows, zero, lambda s, x: F.struct(
-            (s["f"] + x["a"] / F.power(1 + rate, x["t"])).alias("f"),
-            (s["fp"] - x["t"] * x["a"] / F.power(1 + rate, x["t"] + 1)).alias("fp")))
+            (s["f"] + F.try_divide(x["a"], F.power(1 + rate, x["t"]))).alias("f"),
+            (s["fp"] - F.try_divide(x["t"] * x["a"], F.power(1 + rate, x["t"] + 1))).alias("fp")))
 
     def state(rate: Column, answer: Column, done: Column) -> Column:
         return F.struct(rate.alias("rate"), answer.alias("answer"), done.alias("done"))
 
-    nothing, rate_type = F.lit(None).cast("double"), "double"
+    nothing = F.lit(None).cast("double")
 
     def newton(s: Column, pv: Column) -> Column:
         nxt = s["rate"] - F.try_divide(pv["f"], pv["fp"])
@@ -120,7 +120,7 @@ def xirr(flows: Column) -> Column:
         return (F.when(s["done"], s)
                  .when(s["rate"] <= -1, state(s["rate"], nothing, F.lit(True))).otherwise(moved))
 
-    start = state(F.lit(K.XIRR_GUESS).cast(rate_type), nothing, F.lit(False))
+    start = state(F.lit(K.XIRR_GUESS), nothing, F.lit(False))
     solved = F.aggregate(F.sequence(F.lit(1), F.lit(K.XIRR_STEPS)), start, step, lambda s: s["answer"])
     signs = F.exists(flows, lambda x: x["a"] < 0) & F.exists(flows, lambda x: x["a"] > 0)
     return F.when((F.size(flows) >= 2) & signs, rnd(solved, 6))
@@ -154,8 +154,8 @@ def lumpsum_summary(plans: DataFrame, nav: DataFrame) -> DataFrame:
         "plan_id", "scheme_code", F.col("price_date").alias("start"), F.col("latest_date").alias("end"),
         rnd(F.col("amount"), 2).alias("invested"), rnd(F.col("units"), 4).alias("units"),
         rnd(value, 2).alias("current_value"), rnd(gain, 2).alias("gain"),
-        rnd(gain / F.col("amount") * 100, 2).alias("absolute_return_pct"),
-        rnd(_cagr_pct(value / F.col("amount"), F.datediff("latest_date", "price_date")), 2).alias("cagr_pct"))
+        rnd(F.try_divide(gain, F.col("amount")) * 100, 2).alias("absolute_return_pct"),
+        rnd(_cagr_pct(F.try_divide(value, F.col("amount")), F.datediff("latest_date", "price_date")), 2).alias("cagr_pct"))
 
 
 def lumpsum_series(plans: DataFrame, nav: DataFrame) -> DataFrame:

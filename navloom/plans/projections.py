@@ -50,8 +50,8 @@ def _depletion_month() -> Column:
     closed form, settled against its neighbours so that float noise at an exact
     depletion cannot shift it."""
     c, w, r = F.col("corpus"), F.col("monthly_withdrawal"), _monthly(F.col("annual_rate"))
-    left = 1 - c * r / w
-    exact = (F.when(r == 0, c / w)
+    left = 1 - F.try_divide(c * r, w)
+    exact = (F.when(r == 0, F.try_divide(c, w))
               .when(left > 0, -F.ln(left) / F.ln(F.nullif(1 + r, F.lit(1.0)))))
     guess = F.least(F.ceil(exact), F.lit(10 * _MAX_MONTHS)).cast("int")
     near = F.filter(F.array(guess - 1, guess, guess + 1), lambda m: (m >= 1) & (_balance(m) <= 0))

@@ -31,9 +31,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder. Only where
-    the session names none (tests, a laptop) is a local folder set instead."""
+    """A new folder name under the cluster's shared checkpoint folder. Only a local
+    session that names none (tests, a laptop) gets a local folder instead."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="navloom-")
         spark.conf.set("spark.checkpoint.dir", root)

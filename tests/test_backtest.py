@@ -23,11 +23,13 @@ def test_xirr(spark):
     cases = {"ten": [(0.0, -1000.0), (year, 1100.0)], "loss": [(0.0, -1000.0), (year, 900.0)], "one": [(0.0, -1000.0)],
              "no_change": [(0.0, -1000.0), (year, -500.0)], "gain_only": [(0.0, 5.0), (1.0, 5.0)],
              # Newton's first step from 10% goes below -100%
-             "fails": [(0.0, -1000.0), (20.0, 1.0)]}
+             "fails": [(0.0, -1000.0), (20.0, 1.0)],
+             # a power that underflows to zero is no division error
+             "extreme": [(0.0, -1e12), (400.0, 1e-12), (800.0, 1e-300)]}
     df = spark.createDataFrame(list(cases.items()), "k STRING, flows ARRAY<STRUCT<t: DOUBLE, a: DOUBLE>>")
     got = {r.k: r.x for r in df.select("k", backtest.xirr(F.col("flows")).alias("x")).collect()}
     assert got["ten"] == pytest.approx(0.10, abs=1e-6) and got["loss"] == pytest.approx(-0.10, abs=1e-6)
-    assert got["one"] is None and got["no_change"] is None and got["gain_only"] is None and got["fails"] is None
+    assert got["one"] is None and got["no_change"] is None and got["gain_only"] is None and got["fails"] is None and got["extreme"] is None
 
 
 def test_xirr_solves_the_present_value(spark):
@@ -172,7 +174,7 @@ def iterate(corpus, w, rate):
 
 def test_withdrawals_match_month_by_month(spark):
     cases = [(1200000.0, 10000.0, 12.0), (100000.0, 10000.0, 0.0), (100000.0, 900.0, 5.0), (720000.0, 1000.0, 0.0), (719000.0, 1000.0, 0.0),
-             (50000.0, 60000.0, 8.0), (100000.0, 1000.0, 12.0), (500000.0, 3333.0, 7.25), (100.0, 100.0, 0.0), (100000.0, 5000.0, -3.0)]
+             (50000.0, 60000.0, 8.0), (100000.0, 1000.0, 12.0), (500000.0, 3333.0, 7.25), (100.0, 100.0, 0.0), (100000.0, 5000.0, -3.0), (1000.0, 0.0, 0.0)]
     df = spark.createDataFrame([(str(i), 0.0, 0.0, rate, c, w) for i, (c, w, rate) in enumerate(cases)], SCENARIOS)
     summary = rows_of(projections.withdrawal_summary(df), "scenario_id")
     schedule = {}

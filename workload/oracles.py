@@ -558,7 +558,7 @@ WHERE d = newest GROUP BY 1, 2"""),
 SELECT file, scheme_code AS sheet, fund || CASE WHEN k % 3 = 1 THEN ' (An Open Ended Scheme)' ELSE '' END AS scheme_name, as_of_date,
        total AS total_pct FROM sheet_totals WHERE total > 115""", _SHEETS),
     "sheet_report": _q("sheet_totals", """
-SELECT amc, count(*) AS sheets, sum(CASE WHEN total > 115 THEN 1 ELSE 0 END) AS suspect, sum(CASE WHEN total <= 115 THEN 1 ELSE 0 END) AS matched, 0 AS unmatched
+SELECT amc, count(*) AS sheets, count(CASE WHEN total > 115 THEN 1 END) AS suspect, count(CASE WHEN total <= 115 THEN 1 END) AS matched, 0 AS unmatched
 FROM sheet_totals GROUP BY 1""", _SHEETS),
     "holdings_replace": _q("fx_holdings", f"""
 SELECT scheme_code, as_of_date, instrument_name, isin, sector, {rnd('pct_of_aum / 2', 4)} AS pct_of_aum, market_value_cr
