@@ -425,8 +425,8 @@ def master_sync(spark, sf_dir):
 
 @query
 def pending_backfill(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return merge.pending(t.master.select("scheme_code", "plan_type"), t.master, "scheme_code")
+    stored = Tables(spark, sf_dir).stored_master()
+    return merge.pending(stored.select("scheme_code", "plan_type"), stored, "scheme_code")
 
 
 @query
