@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,21 +15,25 @@ _FULL_MONTHS = ["january", "february", "march", "april", "may", "june", "july",
                 "september", "october", "november", "december"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` applied to ``value``, which is computed once however often used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def number(text: Column) -> Column:
     """A finite number, or null."""
     v = F.trim(text.cast("string")).try_cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    # not-a-number compares above infinity
+    return F.when(F.abs(v) < float("inf"), v)
 
 
 def plausible_ter(text: Column) -> Column:
     """An expense ratio in (0, 3], else null."""
-    v = number(text)
-    return F.when((v > 0) & (v <= K.MAX_PLAUSIBLE_TER), rnd(v, 4))
+    return let(number(text), lambda v: F.when((v > 0) & (v <= K.MAX_PLAUSIBLE_TER), rnd(v, 4)))
 
 
 def lakh_to_crore(text: Column) -> Column:
-    v = number(text)
-    return F.when(v > 0, rnd(v / 100, 2))
+    return let(number(text), lambda v: F.when(v > 0, rnd(v / 100, 2)))
 
 
 def month_number(word: Column) -> Column:
@@ -43,17 +49,27 @@ def _date(year: Column, month: Column, day: Column) -> Column:
     return F.when(y.isNotNull() & month.isNotNull(), text.try_cast("date"))
 
 
+_SEP = "\u0001"
+
+
+def _if_fields(text: Column, pattern: str, then: Callable[[Column], Column], otherwise: Column | None = None) -> Column:
+    """``then`` of the three groups of ``pattern``, found in one pass, where the
+    whole text matches."""
+    parts = F.split(F.regexp_replace(text, f"(?is)^{pattern}$", f"$1{_SEP}$2{_SEP}$3"), _SEP)
+    other = F.lit(None).cast("date") if otherwise is None else otherwise
+    return let(parts, lambda p: F.when(F.size(p) == 3, then(p)).otherwise(other))
+
+
 def text_date(text: Column) -> Column:
     """A day-first or month-name date ('25-Aug-2026', '30 June 2026',
     'June 30,2026', '2026-08-25', '25/08/2026'), else null."""
-    t = F.trim(text)
-    dmy, mdy = r"^(\d{1,2})[-\s/]([A-Za-z]+)[-\s/,]*(\d{2,4})$", r"^([A-Za-z]+)\s+(\d{1,2}),?\s*(\d{4})$"
-    num = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
-    g = F.regexp_extract
-    return (F.when(t.rlike(dmy), _date(g(t, dmy, 3), month_number(g(t, dmy, 2)), g(t, dmy, 1)))
-             .when(t.rlike(mdy), _date(g(t, mdy, 3), month_number(g(t, mdy, 1)), g(t, mdy, 2)))
-             .when(t.rlike(num), _date(g(t, num, 3), g(t, num, 2).try_cast("int"), g(t, num, 1)))
-             .when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("date")))
+    def parsed(t: Column) -> Column:
+        iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("date"))
+        digits = _if_fields(t, r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", lambda p: _date(p[2], p[1].try_cast("int"), p[0]), iso)
+        month_first = _if_fields(t, r"([A-Za-z]+)\s+(\d{1,2}),?\s*(\d{4})", lambda p: _date(p[2], month_number(p[0]), p[1]), digits)
+        return _if_fields(t, r"(\d{1,2})[-\s/]([A-Za-z]+)[-\s/,]*(\d{2,4})", lambda p: _date(p[2], month_number(p[1]), p[0]), month_first)
+
+    return let(F.trim(text), parsed)
 
 
 def as_on_date(text: Column) -> Column:
@@ -72,9 +88,9 @@ def period_end(label: Column) -> Column:
 
 
 def link_date(url: Column) -> Column:
-    """The date in a workbook link, written '30th-June-2026' or 'June-30,-2026'."""
-    dmy = rf"(?i)(\d{{1,2}})(?:st|nd|rd|th)?[-_ ]({K.MONTH_PATTERN})[-_ ](\d{{2,4}})"
-    mdy = rf"(?i)({K.MONTH_PATTERN})[-_ ](\d{{1,2}})(?:st|nd|rd|th)?,?[-_ ](\d{{2,4}})"
-    g = F.regexp_extract
-    return (F.when(url.rlike(dmy), _date(g(url, dmy, 3), month_number(g(url, dmy, 2)), g(url, dmy, 1)))
-             .when(url.rlike(mdy), _date(g(url, mdy, 3), month_number(g(url, mdy, 1)), g(url, mdy, 2))))
+    """The date in a workbook link, written '30th-June-2026' or 'June-30,-2026';
+    the first wording that fits decides."""
+    dmy = rf".*?(\d{{1,2}})(?:st|nd|rd|th)?[-_ ]({K.MONTH_PATTERN})[-_ ](\d{{2,4}}).*"
+    mdy = rf".*?({K.MONTH_PATTERN})[-_ ](\d{{1,2}})(?:st|nd|rd|th)?,?[-_ ](\d{{2,4}}).*"
+    month_first = _if_fields(url, mdy, lambda p: _date(p[2], month_number(p[0]), p[1]))
+    return _if_fields(url, dmy, lambda p: _date(p[2], month_number(p[1]), p[0]), month_first)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navloom.functions.feeds import lakh_to_crore, plausible_ter
+from navloom.functions.feeds import lakh_to_crore, let, plausible_ter
 from navloom.functions.names import house_key, sheet_identity, strip
 from navloom.operators.merge import newest_wins
 from navloom.operators.resolve import resolve_codes
@@ -66,7 +66,7 @@ def aum_rows(groups: DataFrame) -> DataFrame:
     schemes = groups.select(F.explode("schemes").alias("s"))
 
     def size(column: str) -> Column:
-        return F.nullif(lakh_to_crore(F.col(column)), F.lit(0.0))
+        return let(lakh_to_crore(F.col(column)), lambda crore: F.nullif(crore, F.lit(0.0)))
 
     return (schemes.select(F.col("s.AMFI_Code").cast("string").alias("scheme_code"),
                            F.coalesce(size(headline), size("s.AverageAumForTheMonth.FundOfFundsDomestic")).alias("aaum_cr"))

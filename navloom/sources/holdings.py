@@ -60,6 +60,6 @@ def load_report(sheets: DataFrame, houses: DataFrame, master: DataFrame) -> Data
 def newest_links(links: DataFrame) -> DataFrame:
     """(amc, url) -> the newest dated workbook link of every house; links without a
     date are left out."""
-    dated = links.withColumn("link_date", link_date(F.col("url"))).filter(F.col("link_date").isNotNull())
-    newest = F.max(F.struct("link_date", "url")).alias("l")
-    return dated.groupBy("amc").agg(newest).select("amc", "l.link_date", "l.url")
+    # null dates compare lowest; testing for them here would parse every link twice
+    newest = F.max(F.struct(link_date(F.col("url")).alias("link_date"), "url")).alias("l")
+    return links.groupBy("amc").agg(newest).select("amc", "l.link_date", "l.url").filter(F.col("link_date").isNotNull())
