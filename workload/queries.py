@@ -454,7 +454,8 @@ def ter_report(spark, sf_dir):
 
 
 def _size_groups(t: Tables) -> DataFrame:
-    """The nested feed: a group holds a fund and its fund-of-funds sibling."""
+    """The nested feed as landed JSON: a group holds a fund and its fund-of-funds
+    sibling."""
     def entry(suffix: str, headline, fof):
         return F.struct(F.lit("n").alias("SchemeNAVName"), F.concat("code", F.lit(suffix)).alias("AMFI_Code"),
                         F.struct(headline.alias("ExcludingFundOfFundsDomesticButIncludingFundOfFundsOverseas"),
@@ -463,7 +464,9 @@ def _size_groups(t: Tables) -> DataFrame:
     groups = t.sizes.select(F.lit("House").alias("Mfname"), F.lit("Equity").alias("SchemeCat_Desc"),
                             F.array(entry("", F.col("headline"), F.col("fof")),
                                     entry("F", F.lit("0"), F.col("fof"))).alias("schemes"))
-    return groups.select(F.from_json(F.to_json(F.struct("*")), schemas.AUM_GROUPS).alias("g")).select("g.*")
+    out = scratch_dir(t.spark, "size-groups")
+    groups.write.json(out)
+    return t.spark.read.schema(schemas.AUM_GROUPS).json(out)
 
 
 @query
