@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from navloom.llm.textwords import NO_ID, byte_column, id_column
+from navloom.session import settle
 
 BLOCK_BYTES = 8 << 20
 
@@ -147,7 +148,8 @@ def copies(blocks: DataFrame) -> DataFrame:
     """Side rows with the ids of documents whose whole text a smaller id has too, per block."""
     keyed = blocks.where("text IS NOT NULL AND id IS NOT NULL").select("block", "id", F.sha2("text", 256).alias("digest"))
     first = keyed.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    later = keyed.join(first.select("digest", "first"), "digest").where("id > first")
+    # settled, so that both sides of the join are plain and a text that many have can be split
+    later = keyed.join(settle(first.select("digest", "first"), "firsts"), "digest").where("id > first")
     listed = later.groupBy("block").agg(F.collect_set(F.struct("id", "digest")).alias("copied"))
     return listed.select("block", F.lit("copies").alias("kind"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("n"),
                          F.lit(None).cast("binary").alias("bits"), "copied")

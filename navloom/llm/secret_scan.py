@@ -68,7 +68,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     each = each.withColumn("value_hash", F.sha2("value", 256))
     owners = each.groupBy("value_hash", "owner").agg(F.count("*").alias("n")).groupBy("value_hash").agg(F.count("*").alias("owners"))
     places = each.groupBy("value_hash", "doc_id").agg(F.count("*").alias("n")).groupBy("value_hash").agg(F.count("*").alias("repositories"))
-    each = each.join(owners, "value_hash").join(places, "value_hash")
+    spread = settle(owners.join(places, "value_hash"), "owners")
+    each = each.join(spread, "value_hash")
     random = F.size(F.array_distinct(F.split("value", ""))) >= LEAST_KINDS_OF_CHARACTERS
     kept = each.where((F.col("kind") < 3) | (random & (F.col("owners") <= max_owners)))
     spans = kept.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "value", "owners", "repositories"))).alias("spans"))

@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-    active = settle(members.join(shared.select("bucket", "pivot"), "bucket"), "buckets")
+    active = settle(members.join(settle(shared.select("bucket", "pivot"), "shared"), "bucket"), "buckets")
     links = _confirmed(docs, nodes, active.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), words, percent)
     roots = settle(components(links), "roots")
     active, round_ = active.where("node <> pivot").select("bucket", "node").distinct(), 1
