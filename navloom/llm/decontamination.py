@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from navloom.llm.rows import join_rows
 from navloom.session import settle
 
 # What parts words: everything in ASCII but digits and letters (fixed value).
@@ -31,6 +32,10 @@ def _windows(words: Column, length: int) -> Column:
     return F.when(F.size(words) >= length, made).otherwise(F.array().cast("array<string>"))
 
 
+def _placed(words: Column, length: int) -> Column:
+    return F.transform(_windows(words, length), lambda w, i: F.struct(i.alias("start"), (i + length).alias("end"), w.alias("window")))
+
+
 def _gram(length: int, full: int) -> int:
     return (length + 1) // 2 if length == full else length
 
@@ -89,9 +94,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = scanned.select("doc_id", "text_hash", F.explode("prints").alias("print")).join(prints, "print", "left_semi")
     found = found.select("doc_id", "text_hash").distinct()
 
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    extended = docs.join(found, same(docs, found), "left_semi").withColumn("words", words_of(F.col("text")))
-    spans = F.concat(*(F.transform(_windows(F.col("words"), n), lambda w, i, n=n: F.struct(i.alias("start"), (i + n).alias("end"), w.alias("window"))) for n in lengths))
+    extended = join_rows(docs, found, "left_semi").withColumn("words", words_of(F.col("text")))
+    spans = F.concat(*(_placed(F.col("words"), n) for n in lengths))
     spans = extended.select("doc_id", "text_hash", F.explode(spans).alias("s")).select("doc_id", "text_hash", "s.*")
     hits = settle(spans.join(windows.select("window").distinct(), "window", "left_semi"), "hits")
 
@@ -102,7 +106,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     covered = hits.groupBy("doc_id", "text_hash").agg(cover.alias("n_hit"))
     named = (hits.select("doc_id", "text_hash", "window").distinct().join(windows, "window").select("doc_id", "text_hash", "item").distinct()
              .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items")))
-    covered = covered.join(named, same(covered, named)).select(covered["doc_id"], covered["text_hash"], "n_hit", "items")
-    return scanned.join(covered, same(scanned, covered), "left").select(
-        scanned["doc_id"], scanned["text_hash"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    scanned = join_rows(scanned, join_rows(covered, named, "inner"), "left")
+    return scanned.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+                          F.coalesce("items", F.array().cast("array<string>")).alias("items"))

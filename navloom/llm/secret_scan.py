@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from navloom.llm.rows import join_rows
 from navloom.session import settle
 
 # Base patterns (fixed values); the least lengths are checked after matching, as failing matches are used up too.
@@ -73,8 +74,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     random = F.size(F.array_distinct(F.split("value", ""))) >= LEAST_KINDS_OF_CHARACTERS
     kept = each.where((F.col("kind") < 3) | (random & (F.col("owners") <= max_owners)))
     spans = kept.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "value", "owners", "repositories"))).alias("spans"))
-    joined = scanned.join(spans, scanned["doc_id"].eqNullSafe(spans["doc_id"]) & (scanned["text_hash"] == spans["text_hash"]), "left")
-    return joined.select(scanned["doc_id"], scanned["text_hash"], F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
+    return join_rows(scanned, spans, "left").select("doc_id", "text_hash", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
