@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import decontamination, language_id, secret_scan, sketch_dedup, substring_dedup, suffix_dedup
+from navloom.llm import decontamination, language_id, packing, secret_scan, sketch_dedup, substring_dedup, suffix_dedup, warc
+from navloom.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -27,6 +28,11 @@ def op1_minhash_dedup(spark, sf_dir):
     return sketch_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+@query
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.best_fit(packing.word_counts(table(spark, sf_dir, "documents")))
+
+
 @query
 def op3_substring_dedup(spark, sf_dir):
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -61,3 +67,10 @@ def op9_secret_scan(spark, sf_dir):
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_warc(spark, sf_dir):
+    root = scratch_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), root)
+    return warc.read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
