@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import decontamination, language_id, packing, secret_scan, sketch_dedup, substring_dedup, suffix_dedup, warc
+from navloom.llm import decontamination, fingerprints, language_id, license_scan, packing, secret_scan, sketch_dedup, substring_dedup, suffix_dedup, warc
 from navloom.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,16 @@ def op3_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op4_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints_beside_edits(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
