@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from navloom.llm.textwords import LOWER, byte_column, byte_values, mix, roll
 
@@ -23,6 +24,7 @@ HASHES = 2
 GRAM_BYTES = (3, 4, 5)
 PER_LANGUAGE = 20_000  # labelled documents that a language is learned from, at most
 MAX_LANGUAGES = 1000  # more labels than this are an error, so what fitting broadcasts per language is bounded
+STEP = 1024  # documents looked up at once
 COMMON = 2e-5  # an n-gram enters a language's filter at this share of the language's n-grams
 
 # ASCII letters and all bytes of longer code points count as letters; the rest parts n-grams.
@@ -132,26 +134,24 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     return [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist())], score
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the `keep` columns, lang_pred, score) per row. Equal texts get equal answers. A null text, or one without
-    a letter, is `und` with score 0; so is every text if no language was learned. Among languages of equal score
-    the first by name is taken. The score is the corrected share of n-grams found, from 0 to 1."""
-    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
-
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), lang_col: str = "lang_pred",
+             score_col: str = "score") -> DataFrame:
+    """The `keep` columns with `lang_col` and `score_col` for each row. Equal texts get equal answers. A null text, or one
+    without a letter, is `und` with score 0; so is every text if no language was learned. Among languages of equal
+    score the first by name is taken. The score is the corrected share of n-grams found, from 0 to 1. Other columns are
+    left out; a kept column that has one of the new names is an error."""
+    if {lang_col, score_col} & set(keep):
+        raise ValueError(f"{lang_col} or {score_col} is among the kept columns")
     model_ = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
-    schema = StructType([StructField("doc_id", LongType()), *(StructField(f"_{i}", f.dataType) for i, f in enumerate(docs.schema.fields[2:])),
-                         StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
+    schema = StructType([*(StructField(f"_{i}", f.dataType) for i, f in enumerate(rows.schema.fields[1:])),
+                         StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
                 names, score = predict(model_.value, part.column(0))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(score)],
-                                                 names=["doc_id", *(f"_{i}" for i in range(len(keep))), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(score)], names=schema.names)
 
-    out = docs.mapInArrow(run, schema)
-    for i, c in enumerate(keep):
-        out = out.withColumnRenamed(f"_{i}", c)
-    return out
+    return rows.mapInArrow(run, schema).withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})

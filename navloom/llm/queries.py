@@ -54,7 +54,7 @@ def op6_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     model = language_id.fit(docs.where(~held_out))
-    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return language_id.identify(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
 
 
 @query
