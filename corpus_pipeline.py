@@ -3,8 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from navloom.llm import decontamination, language_id, packing, secret_scan, sketch_dedup
+from navloom.llm.rows import join_rows
+
+LEAST_SCORE = 0.1  # share of a language's n-grams below which a text of some length is in no known language
+LEAST_CHARS = 20  # shorter texts are rejected only when they have no letter
+
+
+def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language learned from the labels; those without a letter, or with hardly an
+    n-gram of any language, go."""
+    names = tuple(docs.columns)
+    model = language_id.fit(docs)
+    found = language_id.identify(docs, model, keep=names, lang_col="_lang", score_col="_score")
+    return found.where((F.col("_lang") != "und") & ((F.col("_score") >= LEAST_SCORE) | (F.length("text") < LEAST_CHARS))).select(*names)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near duplicates. One row of a repeated id stays; rows with a null id all stay."""
+    dropped = sketch_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage of ten words (or a whole shorter item) with the benchmark."""
+    names = docs.columns
+    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where("n_hit > 0").select("doc_id", "text_hash").distinct()
+    return join_rows(docs.withColumn("text_hash", F.xxhash64("text")), hit, "left_anti").select(*names)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret span replaced by a mark."""
+    names = docs.columns
+    found = secret_scan.scan(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("spans", "_spans")
+    clean = join_rows(docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), found, "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("_spans")))
+    chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    return clean.withColumn("n_chars", chars).withColumn("text", text).select(*names)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return packing.best_fit(packing.word_counts(docs))
+
+
+STAGES = [("language ID", in_known_language), ("MinHash near-dedup", one_of_each_group), ("benchmark decontamination", without_benchmark),
+          ("secret scans", without_secrets), ("best-fit packing", packed)]
 ORACLE_SQL = None  # language prediction and best-fit packing are beyond SQL
 
 
