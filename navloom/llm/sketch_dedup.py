@@ -13,17 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.components import components
-from navloom.llm.textwords import NO_ID, byte_column, id_column, mix, roll, word_bounds, word_hashes
+from navloom.llm.textwords import byte_column, mix, roll, word_bounds, word_hashes
 from navloom.session import settle
 
 REGISTERS = 128
 BAND = 4  # four 16-bit registers make one 64-bit band value
 BASE, RATE, TOP = 1.001, 20.0, 65535  # register spacing, rate of the exponentials, largest value
 SIGMAS = 6.0  # an estimate so many deviations short of the threshold is dropped
+TILE = 300_000  # shingles of a side of a tile, about
+COLUMNS = 2048  # shingles counted at once
 STEP = 4096  # documents sketched at once
 
 SKETCH = "doc_id BIGINT, k1 BIGINT, k2 BIGINT, n_shingles BIGINT, registers BINARY, bands ARRAY<BIGINT>"
@@ -159,7 +161,7 @@ def _alike(percent: int):
     return alike
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(nodes: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are alike."""
     side = nodes.select("node", "registers", "n_shingles")
     x, y = (side.select(*(F.col(c).alias(f"{c}_{s}") for c in side.columns)) for s in "xy")
@@ -168,23 +170,94 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int,
             .select("a", "b", "registers_x", "registers_y", "n_shingles_x", "n_shingles_y")
             .mapInArrow(_alike(percent), "a BIGINT, b BIGINT").distinct())
     near = settle(near, "near")
-    needed = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = settle(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets(words), "node BIGINT, shingles ARRAY<BIGINT>"), "sets")
     x, y = (sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab")
     both = near.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
     alike = both.where(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent)
     return settle(alike.select("a", "b").distinct(), "links")
 
 
+def _joining(percent: int):
+    """Of a tile's few (`few`) against its other nodes: links that join different components, enough to join all that
+    are linked."""
+    def joining(table: pa.Table) -> pa.Table:
+        few = table.column("few").to_numpy(zero_copy_only=False).astype(bool)
+        node, root = (table.column(c).to_numpy() for c in ("node", "root"))
+        sets = table.column("shingles").combine_chunks()
+        if isinstance(sets, pa.ChunkedArray):
+            sets = pa.concat_arrays(sets.chunks)
+        sizes = sets.value_lengths().to_numpy()
+        _, column = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(node)), sizes)
+        n_columns = int(column.max()) + 1 if len(column) else 0
+        shared = (np.bincount(column, few[owner], n_columns) > 0) & (np.bincount(column, ~few[owner], n_columns) > 0)
+        place = np.cumsum(shared) - 1
+        inside = shared[column]
+        column, owner = place[column[inside]], owner[inside]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        within = np.cumsum(few) - 1
+        within[~few] = np.cumsum(~few)[~few] - 1
+        common = np.zeros((int(few.sum()), int((~few).sum())), np.float32)
+        for low in range(0, int(shared.sum()), COLUMNS):
+            x, y = np.searchsorted(column, [low, low + COLUMNS])
+            sides = []
+            for own in (few, ~few):
+                at = np.flatnonzero(own[owner[x:y]]) + x
+                side = np.zeros((int(own.sum()), COLUMNS), np.float32)
+                side[within[owner[at]], column[at] - low] = 1
+                sides.append(side)
+            common += sides[0] @ sides[1].T
+        common = common.astype(np.int64)
+        either = sizes[few][:, None] + sizes[~few][None, :] - common
+        linked = (common * 100 >= either * percent) & (root[few][:, None] != root[~few][None, :])
+        i, j = np.nonzero(linked)
+        a, b = node[few][i], node[~few][j]
+        ra, rb = root[few][i], root[~few][j]
+        _, one = np.unique(np.stack([ra, rb]), axis=1, return_index=True)
+        parent: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while parent.setdefault(r, r) != r:
+                r = parent[r]
+            return r
+
+        out = []
+        for k in one.tolist():
+            x, y = find(int(ra[k])), find(int(rb[k]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(a[k]), int(b[k])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+    return joining
+
+
+def _tiled(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of a bucket. Placed is (bucket, node, root, n_shingles). All nodes outside a
+    bucket's largest component are held against all of its nodes, in tiles of bounded size."""
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("nodes"), F.sum("n_shingles").alias("shingles"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("nodes", "root"))["root"].alias("largest"), F.min("root").alias("low"), F.max("root").alias("high"),
+                                          F.sum("shingles").alias("all"), F.max(F.struct("nodes", "root", "shingles"))["shingles"].alias("most"))
+    mixed = settle(largest.where("low < high").select("bucket", "largest", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("few_tiles"),
+                                                      F.ceil(F.col("all") / TILE).cast("int").alias("all_tiles")), "mixed")
+    placed = placed.join(mixed, "bucket")
+    spread = F.xxhash64("node")
+    few = placed.where("root <> largest").select("bucket", "node", "root", F.lit(True).alias("few"), F.pmod(spread, F.col("few_tiles")).cast("int").alias("i"),
+                                                 F.explode(F.sequence(F.lit(0), F.col("all_tiles") - 1)).alias("j"))
+    every = placed.select("bucket", "node", "root", F.lit(False).alias("few"), F.explode(F.sequence(F.lit(0), F.col("few_tiles") - 1)).alias("i"),
+                          F.pmod(spread, F.col("all_tiles")).cast("int").alias("j")).select(*few.columns)
+    filled = few.unionByName(every).join(sets, "node")
+    return filled.groupBy("bucket", "i", "j").applyInArrow(_joining(percent), "a BIGINT, b BIGINT").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row: documents whose sets of `words`-word shingles have
     100 * intersection >= percent * union are linked, and component_id is the smallest id reachable.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer words is one shingle. Equal word
-    sequences are one node, so copies cost nothing further. In each bucket one node is compared with all others;
-    a bucket whose nodes are not in one component then goes on with further nodes, twice as many each round, until
-    every pair in a bucket is in one component or was compared. A pair at the threshold shares no band, and so no
-    bucket, once in twenty million.
+    sequences are one node, so copies cost nothing further. In each bucket one node is compared with all others. In a
+    bucket whose nodes then are in several components, all nodes outside the largest one are compared with all
+    nodes, so that every pair in a bucket is in one component or was compared; tiles return no more links than
+    join their components. A pair at the threshold shares no band, and so no bucket, once in twenty million.
 
     A null or empty text has no shingles and links with nothing. A row with a null id links with nothing, has a
     null component_id and is kept. Rows that share an id are one document: what links with one links with all.
@@ -195,28 +268,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = settle(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
     nodes = linkable.join(reps.withColumnRenamed("node", "doc_id"), ["k1", "k2", "doc_id"], "left_semi").withColumnRenamed("doc_id", "node")
 
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
     active = settle(members.join(settle(shared.select("bucket", "pivot"), "shared"), "bucket"), "buckets")
-    links = _confirmed(docs, nodes, active.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), words, percent)
+    needed = active.select(F.col("node").alias("doc_id")).distinct()
+    sets = settle(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets(words), "node BIGINT, shingles ARRAY<BIGINT>"), "sets")
+
+    pairs = active.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = _confirmed(nodes, sets, pairs, percent)
+    roots = settle(components(links), "roots")
+    rest = active.where("node <> pivot").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "n_shingles")
+    links = links.unionByName(settle(_tiled(settle(rest, "rest"), sets, percent), "joining"))
     roots = settle(components(links), "roots")
-    active, round_ = active.where("node <> pivot").select("bucket", "node").distinct(), 1
-    while True:
-        placed = active.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-        mixed = sizes.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        active = settle(placed.join(mixed.select("bucket"), "bucket").join(sizes, ["bucket", "root"]), "mixed")
-        if active.isEmpty():
-            break
-        # members of small components first: once all but the largest are compared, the bucket is done
-        first = Window.partitionBy("bucket").orderBy("size", "root", "node")
-        pivots = active.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= 2**round_)
-        pivots = settle(pivots.select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivots")
-        pairs = active.join(pivots, "bucket").where("root <> pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        links = links.unionByName(_confirmed(docs, nodes, pairs, words, percent))
-        roots = settle(components(links), "roots")
-        active = active.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-        round_ += 1
 
     found = sketched.select("doc_id", "k1", "k2", "n_shingles").join(reps, ["k1", "k2"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
