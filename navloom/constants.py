@@ -29,7 +29,6 @@ MIN_NAME_TOKENS = 2
 MAX_PORTFOLIO_WEIGHT = 115.0
 INACTIVE_AFTER_DAYS = 30
 MAX_PLAUSIBLE_TER = 3.0
-MAX_OVERLAP_FUNDS = 5
 FRESHNESS_DAYS = {"nav": 4, "holdings": 45, "costs": 100}
 
 # --- fixed values: portfolio-sheet layout -------------------------------------

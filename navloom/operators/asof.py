@@ -2,17 +2,18 @@
 
 * ``anchor``: newest row in a trailing date band, as a conditional aggregate.
 * ``window_end``: first row a fixed number of days ahead, as a RANGE frame.
-* ``next_price``: first price on or after any target date, as an equi-join
-  against a day-dense price calendar.
+* ``next_price``: first price on or after any target date, carried back over the
+  days asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from navloom import constants as K
 from navloom.operators import series
+from navloom.session import settle
 
 
 def anchor(value: Column, date: Column, latest: Column, days: int) -> Column:
@@ -29,22 +30,19 @@ def window_end(columns: list[str], days: int) -> Column:
     return F.first(F.struct(*columns)).over(frame)
 
 
-def price_calendar(nav: DataFrame) -> DataFrame:
-    """(scheme_code, day, price_date, price) with a row for every calendar day a
-    scheme covers: a price answers for all days since the one before it."""
-    previous = F.lag("date").over(series.by_date())
-    since = F.coalesce(F.date_add(previous, 1), F.col("date"))
-    return (nav.select("scheme_code", F.col("date").alias("price_date"), F.col("nav").alias("price"),
-                       since.alias("since"))
-               .select("scheme_code", "price_date", "price",
-                       F.explode(F.sequence("since", "price_date")).alias("day")))
-
-
 def next_price(targets: DataFrame, nav: DataFrame, target: str) -> DataFrame:
     """Adds price_date and price: the first price on or after ``target``. The
     targets carry their scheme's ``first_date``; a target past the latest price
-    has no match and is dropped. The planner sees the calendar as no larger than
-    the prices behind it, so it is told to shuffle it and never to broadcast it;
-    a crowded (scheme, day) is split at run time on the side of the targets."""
+    has no match and is dropped. Only the distinct (scheme, day) asked for meet the
+    prices of their schemes, one row per scheme and day, and each takes the price
+    that follows; the answers then join the targets like any table."""
     probe = targets.withColumn("day", F.greatest(F.col(target), F.col("first_date")))
-    return probe.join(price_calendar(nav).hint("shuffle_hash"), ["scheme_code", "day"]).drop("day")
+    asked = settle(probe.select("scheme_code", "day").distinct(), "asked-days")
+    priced = nav.join(asked.select("scheme_code").distinct(), "scheme_code", "left_semi")
+    days = (asked.select("scheme_code", "day", F.lit(None).cast("date").alias("price_date"), F.lit(None).cast("double").alias("price"), F.lit(1).alias("asked"))
+            .unionByName(priced.select("scheme_code", F.col("date").alias("day"), F.col("date").alias("price_date"), F.col("nav").alias("price"), F.lit(0).alias("asked")))
+            .groupBy("scheme_code", "day").agg(F.max("price_date").alias("price_date"), F.max("price").alias("price"), F.max("asked").alias("asked")))
+    newest_first = Window.partitionBy("scheme_code").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    following = F.last(F.when(F.col("price_date").isNotNull(), F.struct("price_date", "price")), ignorenulls=True).over(newest_first)
+    answers = days.select("scheme_code", "day", "asked", following.alias("next")).filter((F.col("asked") == 1) & F.col("next").isNotNull())
+    return probe.join(answers.select("scheme_code", "day", "next.price_date", "next.price"), ["scheme_code", "day"]).drop("day")

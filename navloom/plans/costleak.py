@@ -19,10 +19,10 @@ def plan_twins(master: DataFrame) -> DataFrame:
         F.min(F.when(F.col("plan_type") == "Regular", F.col("scheme_code"))).alias("regular_code"))
 
 
-def _first_from(day: Column) -> Column:
-    """Aggregate: (nav, date) of the first price on or after ``day``."""
-    hit = F.col("date") >= day
-    return F.min_by(F.struct("nav", "date"), F.when(hit, F.col("date")))
+def unlinked_plans(master: DataFrame) -> DataFrame:
+    """Direct and Regular plans that belong to no fund group: nothing to compare them with."""
+    plans = master.filter(F.col("fund_group_id").isNull() & F.col("plan_type").isin("Direct", "Regular"))
+    return plans.select("scheme_code", "plan_type", "option_type", F.lit("not linked to a fund group").alias("reason"))
 
 
 def cost_leak(master: DataFrame, nav: DataFrame, costs: DataFrame, amount: float = 500_000.0,
@@ -47,13 +47,15 @@ def cost_leak(master: DataFrame, nav: DataFrame, costs: DataFrame, amount: float
     def of(side: str, value: Column) -> Column:
         return F.max(F.when(F.col("side") == side, value))
 
-    valued = (sides.join(spans, pair).join(nav, "scheme_code").groupBy(*pair, "side", "start", "end").agg(
-        _first_from(F.col("start")).alias("buy"),
-        F.coalesce(_first_from(F.col("end")), F.max_by(F.struct("nav", "date"), "date")).alias("sell"))
-        .withColumn("value", F.when(F.col("buy.nav") > 0, amount / F.nullif(F.col("buy.nav"), F.lit(0.0)) * F.col("sell.nav")))
-        .groupBy(*pair, "end").agg(of("direct", F.col("value")).alias("d"), of("regular", F.col("value")).alias("r"),
-                                   of("direct", F.col("buy.date")).alias("buy_date"))
-        .filter(F.col("d").isNotNull() & F.col("r").isNotNull()))
+    # plain columns per scheme first, then per pair: all of it hash aggregates
+    priced = sides.join(spans, pair).join(nav, "scheme_code").groupBy(*pair, "side", "start", "end").agg(
+        F.min_by("nav", F.when(F.col("date") >= F.col("start"), F.col("date"))).alias("buy_nav"),
+        F.min(F.when(F.col("date") >= F.col("start"), F.col("date"))).alias("bought"),
+        F.coalesce(F.min_by("nav", F.when(F.col("date") >= F.col("end"), F.col("date"))), F.max_by("nav", "date")).alias("sell_nav"))
+    valued = (priced.withColumn("value", F.when(F.col("buy_nav") > 0, amount / F.nullif(F.col("buy_nav"), F.lit(0.0)) * F.col("sell_nav")))
+              .groupBy(*pair, "end").agg(of("direct", F.col("value")).alias("d"), of("regular", F.col("value")).alias("r"),
+                                         of("direct", F.col("bought")).alias("buy_date"))
+              .filter(F.col("d").isNotNull() & F.col("r").isNotNull()))
 
     days = F.datediff("end", "buy_date")
     span = F.when(days > 0, days / 365.0).when(days.isNotNull(), 1e-9)
@@ -62,11 +64,13 @@ def cost_leak(master: DataFrame, nav: DataFrame, costs: DataFrame, amount: float
         return (F.power(F.col(value) / amount, 1 / span) - 1) * 100
 
     ter = series.latest_by(costs, "scheme_code", "as_of_date", ter="ter")
+    about = master.select("scheme_code", "name").join(ter, "scheme_code", "left")
     leak = F.col("d") - F.col("r")
     return (twins.join(valued, pair, "left")
-            .join(ter.select(F.col("scheme_code").alias("direct_code"), F.col("ter").alias("direct_ter")), "direct_code", "left")
-            .join(ter.select(F.col("scheme_code").alias("regular_code"), F.col("ter").alias("regular_ter")), "regular_code", "left")
-            .select(*pair, "direct_code", "regular_code", F.col("d").isNotNull().alias("comparable"),
+            .join(about.select(*(F.col(c).alias(f"direct_{c.removeprefix('scheme_')}") for c in about.columns)), "direct_code", "left")
+            .join(about.select(*(F.col(c).alias(f"regular_{c.removeprefix('scheme_')}") for c in about.columns)), "regular_code", "left")
+            .select(*pair, "direct_code", "regular_code", "direct_name", "regular_name", rnd(F.col("direct_ter"), 2).alias("direct_ter"),
+                    rnd(F.col("regular_ter"), 2).alias("regular_ter"), F.col("d").isNotNull().alias("comparable"),
                     F.when(F.col("direct_code").isNull() | F.col("regular_code").isNull(), "no matching Direct and Regular pair")
                      .when(F.col("d").isNull(), "not enough shared history").alias("reason"),
                     F.col("buy_date").alias("start"), "end", rnd(span, 2).alias("years"),

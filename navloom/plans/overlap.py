@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navloom import constants as K
 from navloom.functions.rounding import rnd
 from navloom.operators.positions import top_k
 from navloom.session import settle
@@ -46,33 +45,29 @@ def set_sizes(sets: DataFrame) -> DataFrame:
     return sets.select("set_id", "scheme_code").distinct().groupBy("set_id").agg(F.count(F.lit(1)).alias("funds"))
 
 
-def valid_sets(sets: DataFrame, least: int = 2, most: int = K.MAX_OVERLAP_FUNDS) -> DataFrame:
-    """Members of the sets whose size a request may have."""
-    fitting = set_sizes(sets).filter(F.col("funds").between(least, most)).select("set_id")
-    return sets.select("set_id", "scheme_code").distinct().join(fitting, "set_id", "left_semi")
+def rejected_sets(sets: DataFrame, least: int = 2) -> DataFrame:
+    """Sets without two funds to compare, with the reason."""
+    return set_sizes(sets).filter(F.col("funds") < least).withColumn("reason", F.lit(f"needs at least {least} schemes"))
 
 
-def rejected_sets(sets: DataFrame, least: int = 2, most: int = K.MAX_OVERLAP_FUNDS) -> DataFrame:
-    """The other sets with the reason they are refused."""
-    return (set_sizes(sets).filter(~F.col("funds").between(least, most))
-            .withColumn("reason", F.when(F.col("funds") < least, F.lit(f"needs at least {least} schemes"))
-                                   .otherwise(F.lit(f"at most {most} schemes at a time"))))
-
-
-def requested_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of validated sets: at most ten per set."""
-    a = members.select("set_id", F.col("scheme_code").alias("a"))
-    b = members.select("set_id", F.col("scheme_code").alias("b"))
-    return a.join(b, "set_id").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+def anchored_pairs(sets: DataFrame, position: str | None = None) -> DataFrame:
+    """(set_id, a, b): every fund of a set against the set's anchor ``a``, the fund that
+    is first by ``position`` (by code without one). One row per further member, so a set
+    of any size is answered; ``select("a", "b").distinct()`` gives the pairs to compute."""
+    first = F.min_by("scheme_code", F.struct(position, "scheme_code")) if position else F.min("scheme_code")
+    anchors = settle(sets.groupBy("set_id").agg(first.alias("a")), "anchors")
+    return (sets.select("set_id", F.col("scheme_code").alias("b")).join(anchors, "set_id")
+            .filter(F.col("a") != F.col("b")).select("set_id", "a", "b").distinct())
 
 
 def _shared(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """(a, b, isin, a_pct, b_pct) of the instruments a requested pair shares.
     Work grows with the holdings of the requested funds; instruments are never
     expanded to all funds that hold them."""
+    pairs = pairs.select("a", "b").distinct()
     wa = weights.select(F.col("scheme_code").alias("a"), "isin", F.col("pct").alias("a_pct"))
     wb = weights.select(F.col("scheme_code").alias("b"), "isin", F.col("pct").alias("b_pct"))
-    return pairs.select("a", "b").join(wa, "a").join(wb, ["b", "isin"])
+    return pairs.join(wa, "a").join(wb, ["b", "isin"])
 
 
 def overlap_pairs(pairs: DataFrame, holdings: DataFrame) -> DataFrame:
@@ -103,21 +98,34 @@ def top_common(pairs: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
                          rnd(F.col("a_pct"), 2).alias("a_pct"), rnd(F.col("b_pct"), 2).alias("b_pct"))
 
 
+def alike_sets(members: DataFrame) -> DataFrame:
+    """(set_id, like, funds): sets of the same funds share ``like``, the smallest id among
+    them. Lists are compared by their length and two independent 64-bit hash sums."""
+    marks = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("funds"), F.bit_xor(F.xxhash64("scheme_code")).alias("x"),
+                                          F.bit_xor(F.xxhash64("scheme_code", F.lit(1))).alias("y"))
+    marks = settle(marks, "set-marks")
+    like = settle(marks.groupBy("funds", "x", "y").agg(F.min("set_id").alias("like")), "set-likes")
+    return marks.join(like, ["funds", "x", "y"]).select("set_id", "like", "funds")
+
+
 def combined_exposure(sets: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
     """What an equal split over a set's disclosed funds owns: top k instruments
-    with ``pct`` and the number of funds that hold them. Sets may have any size:
-    their lines are spread by instrument, and every partition sends at most k
-    lines of a set on to the ranking."""
+    with ``pct`` and the number of funds that hold them. Sets of the same funds are
+    computed once. Members are spread by set before the weights join them, so that
+    with weights small enough to broadcast the sums and the ranking start where the
+    rows are."""
     newest = latest_holdings(holdings)
     weights = newest_weights(newest).select("scheme_code", "isin", "pct")
     members = sets.select("set_id", "scheme_code").distinct()
-    disclosed = members.join(weights.select("scheme_code").distinct(), "scheme_code", "left_semi")
-    live = disclosed.groupBy("set_id").agg(F.count(F.lit(1)).alias("live"))
-    owned = (disclosed.join(live, "set_id").join(weights, "scheme_code").groupBy("set_id", "live", "isin")
-             .agg((F.sum("pct") / F.col("live")).alias("pct"), F.count(F.lit(1)).alias("held_by")))
+    disclosed = settle(members.join(weights.select("scheme_code").distinct(), "scheme_code", "left_semi"), "members")
+    alike = settle(alike_sets(disclosed), "alike")
+    once = disclosed.join(alike.filter(F.col("set_id") == F.col("like")).select("set_id", "funds"), "set_id").repartition("set_id")
+    owned = (once.join(weights, "scheme_code").groupBy("set_id", "funds", "isin")
+             .agg((F.sum("pct") / F.col("funds")).alias("pct"), F.count(F.lit(1)).alias("held_by")))
     ranked = top_k(owned.withColumn("order_pct", F.round("pct", 9)), ["set_id"], [F.desc("order_pct"), F.asc("isin")], k)
-    return ranked.join(instrument_names(newest), "isin", "left").select(
-        "set_id", "rank", "isin", "name", rnd(F.col("pct"), 2).alias("pct"), "held_by")
+    ranked = ranked.join(instrument_names(newest), "isin", "left").select(
+        F.col("set_id").alias("like"), "rank", "isin", "name", rnd(F.col("pct"), 2).alias("pct"), "held_by")
+    return alike.select("set_id", "like").join(settle(ranked, "exposures"), "like").drop("like")
 
 
 def concentration(exposure: DataFrame) -> DataFrame:

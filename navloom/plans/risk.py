@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from navloom import constants as K
 from navloom.functions.rounding import rnd
 from navloom.operators import series
-from navloom.operators.sizing import broadcast_if_within
+from navloom.session import settle
 
 _SLICE_DAYS = K.RISK_DAYS["3Y"] + K.RISK_HISTORY_SLACK_DAYS
 
 
-def _window_steps(nav: DataFrame, as_of: str) -> DataFrame:
-    """(scheme_code, period, date, nav, ret, peak): the daily steps of each window,
-    with the running peak since its start. Both windows share one sort on
-    (scheme_code, date) of the recent slice."""
+def _daily_steps(nav: DataFrame, as_of: str) -> DataFrame:
+    """(scheme_code, date, nav, ret, windows): the daily steps of the recent slice, each
+    with the windows that it lies in and their running peaks. Both windows share
+    one sort on (scheme_code, date)."""
     day, w = F.lit(as_of).cast("date"), series.by_date()
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = (nav.filter(F.col("date") >= F.date_sub(day, _SLICE_DAYS))
@@ -27,8 +27,13 @@ def _window_steps(nav: DataFrame, as_of: str) -> DataFrame:
     steps = steps.withColumns({f"peak{p}": F.max(F.when(inside[p], F.col("nav"))).over(upto) for p in inside})
     windows = F.filter(F.array(*(F.struct(F.lit(p).alias("period"), F.col(f"peak{p}").alias("peak"), inside[p].alias("inside"))
                                  for p in inside)), lambda x: x["inside"])
-    return (steps.select("scheme_code", "date", "nav", "ret", F.explode(windows).alias("w"))
-                 .select("scheme_code", "w.period", "date", "nav", "ret", "w.peak"))
+    return steps.select("scheme_code", "date", "nav", "ret", windows.alias("windows"))
+
+
+def _per_window(steps: DataFrame) -> DataFrame:
+    """A row per step and window: period and peak beside the step's own columns."""
+    own = [c for c in steps.columns if c != "windows"]
+    return steps.select(*own, F.explode("windows").alias("w")).select(*own, "w.period", "w.peak")
 
 
 def _window_metrics(steps: DataFrame, *extra: Column) -> DataFrame:
@@ -48,21 +53,19 @@ def scheme_risk(nav: DataFrame, master: DataFrame, proxies: DataFrame, as_of: st
     and are not given for the proxy itself."""
     links = proxies.select("category", "proxy_scheme_code")
     proxy_nav = nav.join(links.select(F.col("proxy_scheme_code").alias("scheme_code")).distinct(), "scheme_code", "left_semi")
-    proxy_steps = _window_steps(proxy_nav, as_of)
-    # bounded by categories x windows x days of the slice
-    bound = links.count() * len(K.RISK_DAYS) * _SLICE_DAYS
-    proxy_rets = broadcast_if_within(
-        proxy_steps.filter(F.col("ret").isNotNull())
-        .select(F.col("scheme_code").alias("proxy_scheme_code"), "period", "date", F.col("ret").alias("proxy_ret")), bound)
-    proxy_annual = broadcast_if_within(
-        _window_metrics(proxy_steps).select(F.col("scheme_code").alias("proxy_scheme_code"), "period", F.col("annual").alias("proxy_annual")), bound)
+    # one row per proxy and day, and one per proxy and window, settled: the planner knows their size
+    proxy_steps = settle(_daily_steps(proxy_nav, as_of), "proxy-steps")
+    proxy_rets = settle(proxy_steps.filter(F.col("ret").isNotNull()).select(
+        F.col("scheme_code").alias("proxy_scheme_code"), "date", F.col("ret").alias("proxy_ret")), "proxy-returns")
+    proxy_annual = settle(_window_metrics(_per_window(proxy_steps)).select(
+        F.col("scheme_code").alias("proxy_scheme_code"), "period", F.col("annual").alias("proxy_annual")), "proxy-growth")
 
     is_self = F.col("proxy_scheme_code") == F.col("scheme_code")
     schemes = (master.filter(F.col("backfill_status") == "done").join(links, "category", "left")
                      .select("scheme_code", F.when(~is_self, F.col("proxy_scheme_code")).alias("proxy_scheme_code")))
     # hashing the small side per partition leaves the steps where their windows put them
-    steps = (_window_steps(nav, as_of).join(schemes.hint("shuffle_hash"), "scheme_code")
-             .join(proxy_rets, ["proxy_scheme_code", "period", "date"], "left"))
+    steps = _per_window(_daily_steps(nav, as_of).join(schemes.hint("shuffle_hash"), "scheme_code")
+                        .join(proxy_rets, ["proxy_scheme_code", "date"], "left"))
     paired = F.when(F.col("proxy_ret").isNotNull(), F.col("ret"))
     rows = (_window_metrics(steps, F.count("proxy_ret").alias("pairs"), F.covar_samp(paired, "proxy_ret").alias("cov"),
                             F.var_samp("proxy_ret").alias("var"))

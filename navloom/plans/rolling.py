@@ -8,27 +8,32 @@ from pyspark.sql import functions as F
 from navloom import constants as K
 from navloom.functions.rounding import rnd
 from navloom.operators import asof, series
-from navloom.operators.sizing import broadcast_if_within
+from navloom.session import settle
 
-_CENTURY_DAYS = 36_525  # a daily series has at most one point per calendar day
+
+def _wide(nav: DataFrame, windows: dict[str, int]) -> DataFrame:
+    """(scheme_code, date, rets): one row per start day, the return of each window in
+    order, null where it has none. All frames share one sort of the series."""
+    rows = series.with_jumps(nav)
+    ends = rows.select("scheme_code", "date", "nav", "jumps",
+                       *(asof.window_end(["date", "nav", "jumps"], days).alias(w) for w, days in windows.items()))
+
+    def ret(window: str, annual: bool) -> Column:
+        end = F.col(window)
+        growth = end["nav"] / F.col("nav")
+        value = F.power(growth, 1 / (F.datediff(end["date"], "date") / 365.0)) - 1 if annual else growth - 1
+        return F.when((F.col("nav") > 0) & (end["nav"] > 0) & (end["jumps"] == F.col("jumps")), value * 100)
+
+    return ends.select("scheme_code", "date", F.array(*(ret(w, days >= 365) for w, days in windows.items())).alias("rets"))
 
 
 def rolling_returns(nav: DataFrame, windows: dict[str, int] = K.ROLLING_DAYS) -> DataFrame:
     """(scheme_code, window, date, ret) for every start day whose window closes on
     a price at most a week late, has positive prices at both ends and no jump
-    inside. Windows of a year and more are annualised on actual days. All frames
-    share one sort of the series."""
-    rows = series.with_jumps(nav)
-    ends = rows.select("scheme_code", "date", "nav", "jumps",
-                       *(asof.window_end(["date", "nav", "jumps"], days).alias(w) for w, days in windows.items()))
-    flat = ends.select("scheme_code", "date", "nav", "jumps", F.explode(F.array(*(
-        F.struct(F.lit(w).alias("window"), F.lit(days >= 365).alias("annual"), F.col(w).alias("end"))
-        for w, days in windows.items()))).alias("w")).select("scheme_code", "date", "nav", "jumps", "w.*")
-    clean = flat.filter((F.col("nav") > 0) & (F.col("end.nav") > 0) & (F.col("end.jumps") == F.col("jumps")))
-    growth = F.col("end.nav") / F.col("nav")
-    years = F.datediff("end.date", "date") / 365.0
-    ret = F.when(F.col("annual"), F.power(growth, 1 / years) - 1).otherwise(growth - 1) * 100
-    return clean.select("scheme_code", "window", "date", ret.alias("ret"))
+    inside. Windows of a year and more are annualised on actual days."""
+    names = F.array(*map(F.lit, windows))
+    return (_wide(nav, windows).select("scheme_code", "date", F.posexplode("rets").alias("i", "ret"))
+            .filter(F.col("ret").isNotNull()).select("scheme_code", F.get(names, F.col("i")).alias("window"), "date", "ret"))
 
 
 def _share(condition: Column) -> Column:
@@ -42,16 +47,18 @@ def rolling_stats(nav: DataFrame, master: DataFrame, proxies: DataFrame,
     (null below 30 of them, and for the proxy itself)."""
     links = proxies.select("category", "proxy_scheme_code")
     proxy_codes = links.select(F.col("proxy_scheme_code").alias("scheme_code")).distinct()
-    bench = (rolling_returns(nav.join(proxy_codes, "scheme_code", "left_semi"), windows)
-             .select(F.col("scheme_code").alias("proxy_scheme_code"), "window", "date", F.col("ret").alias("proxy_ret")))
-    # bounded by categories x windows x calendar days
-    bench = broadcast_if_within(bench, proxy_codes.count() * len(windows) * _CENTURY_DAYS)
+    # one row per proxy and day, settled: the planner knows its size when it picks the join
+    bench = settle(_wide(nav.join(proxy_codes, "scheme_code", "left_semi"), windows).select(
+        F.col("scheme_code").alias("proxy_scheme_code"), "date", F.col("rets").alias("proxy_rets")), "benchmarks")
     dims = (master.select("scheme_code", "category").join(links, "category", "left")
                   .withColumn("proxy_scheme_code", F.when(F.col("proxy_scheme_code") != F.col("scheme_code"), F.col("proxy_scheme_code")))
                   .select("scheme_code", "proxy_scheme_code"))
     # hashing the small side per partition leaves the points where their windows put them
-    points = (rolling_returns(nav, windows).join(dims.hint("shuffle_hash"), "scheme_code")
-              .join(bench, ["proxy_scheme_code", "window", "date"], "left"))
+    starts = (_wide(nav, windows).join(dims.hint("shuffle_hash"), "scheme_code")
+              .join(bench, ["proxy_scheme_code", "date"], "left"))
+    names = F.array(*map(F.lit, windows))
+    points = (starts.select("scheme_code", "proxy_rets", F.posexplode("rets").alias("i", "ret")).filter(F.col("ret").isNotNull())
+              .select("scheme_code", F.get(names, F.col("i")).alias("window"), "ret", F.get("proxy_rets", F.col("i")).alias("proxy_ret")))
     ret, shared = F.col("ret"), F.col("proxy_ret").isNotNull()
     stats = points.groupBy("scheme_code", "window").agg(
         F.count(F.lit(1)).alias("windows"), F.min("ret").alias("lo"), F.max("ret").alias("hi"), F.avg("ret").alias("mean"),

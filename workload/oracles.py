@@ -170,12 +170,10 @@ SELECT h.* FROM fx_holdings h JOIN (SELECT scheme_code, max(as_of_date) AS d FRO
     "weights": (("disclosed",), """
 SELECT scheme_code, as_of_date, isin, sum(pct_of_aum) AS pct, min(instrument_name) AS name FROM disclosed
 WHERE isin IS NOT NULL AND isin <> '' AND pct_of_aum IS NOT NULL GROUP BY ALL"""),
-    "members": (("fx_sets",), f"""
-SELECT set_id, scheme_code FROM fx_sets WHERE set_id IN
-  (SELECT set_id FROM fx_sets GROUP BY 1 HAVING count(*) BETWEEN 2 AND {K.MAX_OVERLAP_FUNDS})"""),
-    "pairs": (("members",), """
-SELECT DISTINCT x.scheme_code AS a, y.scheme_code AS b FROM members x JOIN members y
-  ON x.set_id = y.set_id AND x.scheme_code < y.scheme_code"""),
+    "anchored": (("fx_sets",), """
+SELECT s.set_id, f.a, s.scheme_code AS b FROM fx_sets s
+JOIN (SELECT set_id, min(scheme_code) AS a FROM fx_sets GROUP BY 1) f ON f.set_id = s.set_id AND f.a < s.scheme_code"""),
+    "pairs": (("anchored",), "SELECT DISTINCT a, b FROM anchored"),
     "shared": (("pairs", "weights"), """
 SELECT p.a, p.b, wa.isin, wa.name, wa.pct AS pa, wb.pct AS pb, least(wa.pct, wb.pct) AS m
 FROM pairs p JOIN weights wa ON wa.scheme_code = p.a JOIN weights wb ON wb.scheme_code = p.b AND wb.isin = wa.isin"""),
@@ -286,7 +284,8 @@ FROM (SELECT s.*,
   FROM spans s) g"""),
     }
     return _q(("twins", "grown", "ter_now"), f"""
-SELECT t.fund_group_id, t.option_type, t.direct_code, t.regular_code, g.d IS NOT NULL AS comparable,
+SELECT t.fund_group_id, t.option_type, t.direct_code, t.regular_code, dm.name AS direct_name, rm.name AS regular_name,
+       {rnd('dt.ter', 2)} AS direct_ter, {rnd('rt.ter', 2)} AS regular_ter, g.d IS NOT NULL AS comparable,
        CASE WHEN t.direct_code IS NULL OR t.regular_code IS NULL THEN 'no matching Direct and Regular pair'
             WHEN g.d IS NULL THEN 'not enough shared history' END AS reason,
        g.buy_date AS "start", g.e AS "end", {rnd('g.y', 2)} AS years, {rnd('g.d', 2)} AS direct_value, {rnd('g.r', 2)} AS regular_value,
@@ -295,6 +294,7 @@ SELECT t.fund_group_id, t.option_type, t.direct_code, t.regular_code, g.d IS NOT
        {rnd(f'(pow(g.d / {amount}, 1 / g.y) - pow(g.r / {amount}, 1 / g.y)) * 100', 2)} AS drag_pct_per_year,
        CASE WHEN g.d IS NOT NULL THEN {rnd('rt.ter - dt.ter', 2)} END AS ter_gap
 FROM twins t LEFT JOIN grown g ON g.fund_group_id = t.fund_group_id AND g.option_type = t.option_type
+LEFT JOIN fx_master dm ON dm.scheme_code = t.direct_code LEFT JOIN fx_master rm ON rm.scheme_code = t.regular_code
 LEFT JOIN ter_now dt ON dt.scheme_code = t.direct_code LEFT JOIN ter_now rt ON rt.scheme_code = t.regular_code""", extra)
 
 
@@ -397,6 +397,12 @@ SELECT p.a, p.b, CASE WHEN x.d IS NOT NULL AND y.d IS NOT NULL THEN {rnd('coales
        CASE WHEN x.d IS NOT NULL AND y.d IS NOT NULL THEN coalesce(s.n, 0) END AS common_count, coalesce(x.d <> y.d, FALSE) AS as_of_mismatch
 FROM pairs p LEFT JOIN (SELECT scheme_code, max(as_of_date) AS d FROM weights GROUP BY 1) x ON x.scheme_code = p.a
 LEFT JOIN (SELECT scheme_code, max(as_of_date) AS d FROM weights GROUP BY 1) y ON y.scheme_code = p.b
+LEFT JOIN (SELECT a, b, sum(m) AS v, count(*) AS n FROM shared GROUP BY 1, 2) s ON s.a = p.a AND s.b = p.b"""),
+    "set_overlaps": _q(("anchored", "shared", "weights"), f"""
+SELECT p.set_id, p.a, p.b, CASE WHEN x.d IS NOT NULL AND y.d IS NOT NULL THEN {rnd('coalesce(s.v, 0)', 2)} END AS overlap_pct,
+       CASE WHEN x.d IS NOT NULL AND y.d IS NOT NULL THEN coalesce(s.n, 0) END AS common_count, coalesce(x.d <> y.d, FALSE) AS as_of_mismatch
+FROM anchored p LEFT JOIN (SELECT scheme_code, max(as_of_date) AS d FROM weights GROUP BY 1) x ON x.scheme_code = p.a
+LEFT JOIN (SELECT scheme_code, max(as_of_date) AS d FROM weights GROUP BY 1) y ON y.scheme_code = p.b
 LEFT JOIN (SELECT a, b, sum(m) AS v, count(*) AS n FROM shared GROUP BY 1, 2) s ON s.a = p.a AND s.b = p.b"""),
     "overlap_top_common": _q("shared", f"""
 SELECT a, b, rank, isin, name, {rnd('m', 2)} AS min_pct, {rnd('pa', 2)} AS a_pct, {rnd('pb', 2)} AS b_pct
@@ -408,8 +414,7 @@ SELECT e.set_id, {rnd('sum(CASE WHEN e.rank <= 5 THEN e.pct END)', 2)} AS concen
 FROM exposure e JOIN (SELECT set_id, count(DISTINCT as_of_date) AS n FROM fx_sets JOIN weights USING (scheme_code) GROUP BY 1) d USING (set_id)
 GROUP BY 1"""),
     "rejected_sets": _q("fx_sets", """
-SELECT set_id, count(*) AS funds, CASE WHEN count(*) < 2 THEN 'needs at least 2 schemes' ELSE 'at most 5 schemes at a time' END AS reason
-FROM fx_sets GROUP BY 1 HAVING count(*) NOT BETWEEN 2 AND 5"""),
+SELECT set_id, count(*) AS funds, 'needs at least 2 schemes' AS reason FROM fx_sets GROUP BY 1 HAVING count(*) < 2"""),
     "covered_weight": _q("weights", f"""
 SELECT scheme_code, as_of_date, count(*) AS holdings_count, {rnd('sum(pct)', 2)} AS covered_pct FROM weights GROUP BY 1, 2"""),
     "holdings_top": _q("disclosed", """

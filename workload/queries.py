@@ -119,13 +119,21 @@ def nightly_rebuild(spark, sf_dir):
 @query
 def overlap_pairs(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return overlap.overlap_pairs(overlap.requested_pairs(overlap.valid_sets(t.sets)), t.stored_holdings())
+    return overlap.overlap_pairs(overlap.anchored_pairs(t.sets).select("a", "b").distinct(), t.stored_holdings())
 
 
 @query
 def overlap_top_common(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return overlap.top_common(overlap.requested_pairs(overlap.valid_sets(t.sets)), t.stored_holdings())
+    return overlap.top_common(overlap.anchored_pairs(t.sets), t.stored_holdings())
+
+@query
+def set_overlaps(spark, sf_dir):
+    """The overlap of every fund of every set with the set's first fund."""
+    t = Tables(spark, sf_dir)
+    anchored = settle(overlap.anchored_pairs(t.sets), "anchored")
+    found = settle(overlap.overlap_pairs(anchored.select("a", "b").distinct(), t.stored_holdings()), "overlaps")
+    return anchored.join(found, ["a", "b"])
 
 
 @query

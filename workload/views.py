@@ -111,7 +111,7 @@ FROM (SELECT 'S' || CAST(l_suppkey AS STRING) AS scheme_code,
     # one investor plan per customer; starts run from before the first price to after the last
     "fx_plans": ((), """
 SELECT c_custkey AS plan_id,
-       CASE WHEN c_nationkey % 2 = 0 THEN 'S' || CAST(c_custkey % 110 AS STRING)
+       CASE WHEN c_nationkey % 2 = 0 THEN 'S' || CAST(c_custkey % ((SELECT max(s_suppkey) FROM supplier) + 10) AS STRING)
             ELSE 'Brand#' || CAST(c_custkey % 25 + 1 AS STRING) || CASE WHEN c_nationkey % 4 = 1 THEN '-O' ELSE '-F' END END AS scheme_code,
        CAST(1000 + (c_custkey % 20) * 500 AS DOUBLE) AS amount,
        DATE '1994-12-20' + CAST((c_custkey * 37) % 2560 AS INT) AS start_date,
