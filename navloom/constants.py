@@ -32,8 +32,6 @@ MAX_PLAUSIBLE_TER = 3.0
 FRESHNESS_DAYS = {"nav": 4, "holdings": 45, "costs": 100}
 
 # --- fixed values: portfolio-sheet layout -------------------------------------
-HEADER_SCAN_ROWS = 25
-DATE_SCAN_ROWS = 8
 SHEET_LABELS = {
     "name": ["name of the instrument", "name of instrument"],
     "isin": ["isin"],

@@ -13,6 +13,7 @@ from navloom.functions.rounding import rnd
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _FULL_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august",
                 "september", "october", "november", "december"]
+_OTHER_MONTHS = ["", "", "", "", "", "", "", "", "sept", "", "", ""]
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -37,9 +38,10 @@ def lakh_to_crore(text: Column) -> Column:
 
 
 def month_number(word: Column) -> Column:
-    """1-12 for a month name or its abbreviation, else null."""
-    w = F.lower(F.substring(word, 1, 3))
-    return F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), w), F.lit(0)).cast("int")
+    """1-12 for a whole month name or its abbreviation, else null."""
+    w = F.lower(word)
+    found = F.greatest(*(F.array_position(F.array(*map(F.lit, names)), w) for names in (_MONTHS, _FULL_MONTHS, _OTHER_MONTHS)))
+    return F.nullif(found, F.lit(0)).cast("int")
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:

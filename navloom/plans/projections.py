@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from navloom import constants as K
 from navloom.functions.rounding import rnd
 
-_MAX_MONTHS = K.MAX_WITHDRAWAL_YEARS * 12
-
 
 def _monthly(annual_rate: Column) -> Column:
     return annual_rate / 100 / 12
@@ -45,31 +43,32 @@ def _balance(month: Column) -> Column:
     return F.when(r == 0, c - w * month).otherwise(c * grown - w * (grown - 1) / F.nullif(r, F.lit(0.0)))
 
 
-def _depletion_month() -> Column:
-    """First month whose balance is not positive, null if there is none: the
-    closed form, settled against its neighbours so that float noise at an exact
-    depletion cannot shift it."""
+def _depletion_month(horizon: int) -> Column:
+    """First month whose balance is not positive, null if there is none; 0 for a corpus
+    that is empty from the start. The closed form is settled against its neighbours so that float
+    noise at an exact depletion cannot shift it."""
     c, w, r = F.col("corpus"), F.col("monthly_withdrawal"), _monthly(F.col("annual_rate"))
     left = 1 - F.try_divide(c * r, w)
     exact = (F.when(r == 0, F.try_divide(c, w))
               .when(left > 0, -F.ln(left) / F.ln(F.nullif(1 + r, F.lit(1.0)))))
-    guess = F.least(F.ceil(exact), F.lit(10 * _MAX_MONTHS)).cast("int")
+    guess = F.least(F.ceil(exact), F.lit(10 * horizon)).cast("int")
     near = F.filter(F.array(guess - 1, guess, guess + 1), lambda m: (m >= 1) & (_balance(m) <= 0))
-    return F.when(guess.isNotNull(), F.array_min(near))
+    return F.when(c <= 0, 0).when(guess.isNotNull(), F.array_min(near))
 
 
-def withdrawal_summary(scenarios: DataFrame) -> DataFrame:
-    """How many months a corpus lasts; one that runs out only at the 60-year
-    horizon counts as sustained."""
-    month = _depletion_month()
-    depleted = F.coalesce(month < _MAX_MONTHS, F.lit(False))
+def withdrawal_summary(scenarios: DataFrame, max_years: int = K.MAX_WITHDRAWAL_YEARS) -> DataFrame:
+    """How many months a corpus lasts; one that runs out only at the horizon of
+    ``max_years`` counts as sustained."""
+    month = _depletion_month(max_years * 12)
+    depleted = F.coalesce(month < max_years * 12, F.lit(False))
     return scenarios.select("scenario_id", F.when(depleted, month).alias("lasts_months"), (~depleted).alias("sustained"))
 
 
-def withdrawal_schedule(scenarios: DataFrame) -> DataFrame:
+def withdrawal_schedule(scenarios: DataFrame, max_years: int = K.MAX_WITHDRAWAL_YEARS) -> DataFrame:
     """(scenario_id, year, balance) for every full year up to depletion, floored
     at 0."""
-    last = F.least(F.coalesce(_depletion_month(), F.lit(_MAX_MONTHS)), F.lit(_MAX_MONTHS))
+    horizon = F.lit(max_years * 12)
+    last = F.least(F.coalesce(_depletion_month(max_years * 12), horizon), horizon)
     years = F.when(last >= 12, F.sequence(F.lit(1), F.floor(last / 12).cast("int")))
     rows = scenarios.withColumn("year", F.explode(years))
     return rows.select("scenario_id", "year", rnd(F.greatest(_balance(F.col("year") * 12), F.lit(0.0)), 2).alias("balance"))

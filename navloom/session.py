@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,9 @@ SETTINGS = {
 }
 
 
+_TABLES = "navloom_scratch_"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName("navloom")
     if master:
@@ -30,16 +32,37 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    """One folder per application under ``spark.checkpoint.dir``, or under the warehouse
+    where that is unset; both are shared by all executors."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/navloom-{spark.sparkContext.applicationId}"
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder. Only a local
-    session that names none (tests, a laptop) gets a local folder instead."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not root:
-        root = tempfile.mkdtemp(prefix="navloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder name in the application's scratch folder."""
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def scratch_table(spark: SparkSession, label: str) -> str:
+    """A new name for a catalog table that ``clear_scratch`` drops."""
+    return f"{_TABLES}{label.replace('-', '_')}_{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it wants it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Drops the scratch tables and the scratch folder of this application. Results
+    that were not written elsewhere can no longer be read afterwards."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith(_TABLES):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    system, root = file_system(spark, _scratch_root(spark))
+    system.delete(root, True)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -48,4 +71,4 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     files, and losing an executor repeats tasks, not the lineage behind it."""
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""The price table: one row per scheme and day, stored by year."""
+"""The price table: one row per scheme and day, stored by month."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navloom import schemas
-from navloom.session import scratch_dir
+from navloom.session import file_system, scratch_dir, scratch_table, settle
 
 KEY = ["scheme_code", "date"]
 
@@ -57,59 +57,90 @@ def backfilled(existing: DataFrame, history: DataFrame) -> DataFrame:
     return _merged(existing, history)
 
 
-def _by_year(nav: DataFrame) -> DataFrame:
-    # rebalance splits a large year over several files and merges small ones
-    return nav.withColumn("year", F.year("date")).hint("rebalance", "year").sortWithinPartitions("year", "scheme_code", "date")
+def _by_month(nav: DataFrame) -> DataFrame:
+    # rebalance splits a large month over several files and merges small ones
+    return (nav.withColumns({"year": F.year("date"), "month": F.month("date")}).hint("rebalance", "year", "month")
+            .sortWithinPartitions("year", "month", "scheme_code", "date"))
+
+
+_PARTS = ["year", "month"]
+_STORED = f"{schemas.NAV_HISTORY}, year INT, month INT"
+_MARK = "_pending"  # names the staged months of a merge that isn't finished; readers skip it
 
 
 def write_prices(nav: DataFrame, path: str) -> None:
-    _by_year(one_per_day(nav)).write.mode("overwrite").partitionBy("year").parquet(path)
+    _by_month(one_per_day(nav)).write.mode("overwrite").partitionBy(*_PARTS).parquet(path)
 
 
 def create_store(spark: SparkSession, path: str) -> None:
     """Makes an empty store, or leaves the one that is there as it is."""
-    empty = spark.createDataFrame([], f"{schemas.NAV_HISTORY}, year INT")
-    empty.write.mode("append").partitionBy("year").parquet(path)
+    spark.createDataFrame([], _STORED).write.mode("append").partitionBy(*_PARTS).parquet(path)
 
 
-def read_prices(spark: SparkSession, path: str, years: list[int] | None = None) -> DataFrame:
-    """Stored prices; ``years`` prunes partitions, and date predicates prune row
+def read_prices(spark: SparkSession, path: str, months: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Stored prices; ``months`` prunes partitions, and date predicates prune row
     groups, which are sorted by scheme and day."""
-    stored = spark.read.schema(f"{schemas.NAV_HISTORY}, year INT").option("basePath", path).parquet(path)
-    if years is not None:
-        stored = stored.filter(F.col("year").isin(years))
-    return stored.drop("year")
+    stored = spark.read.schema(_STORED).option("basePath", path).parquet(path)
+    if months is not None:
+        stored = stored.filter((F.col("year") * 100 + F.col("month")).isin([y * 100 + m for y, m in months]))
+    return stored.drop(*_PARTS)
+
+
+_BUCKET_ROWS = 4_000_000  # rows of a bucket, about: 64 MB and less
 
 
 def by_scheme(nav: DataFrame, table: str | None = None, buckets: int | None = None) -> DataFrame:
     """The layout the metric jobs read: a table bucketed by scheme, sorted by day.
     All their windows, aggregates and joins on scheme_code then start without a
-    shuffle, so the prices are shuffled once however many jobs read them. Without
-    a ``table`` name the files are a scratch table."""
+    shuffle, so the prices are shuffled once however many jobs read them. The number
+    of buckets follows the number of rows, and is at least that of the cores. Without
+    a ``table`` name it is a scratch table."""
     spark = nav.sparkSession
-    path = scratch_dir(spark, "nav-by-scheme")
-    name = table or path.rsplit("/", 1)[-1].replace("-", "_")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = (nav.select("scheme_code", "date", "nav").repartition(buckets, "scheme_code").write.format("parquet")
+    nav = settle(nav.select("scheme_code", "date", "nav"), "nav")
+    buckets = buckets or max(spark.sparkContext.defaultParallelism, -(-nav.count() // _BUCKET_ROWS))
+    name = table or scratch_table(spark, "nav-by-scheme")
+    writer = (nav.repartition(buckets, "scheme_code").write.format("parquet")
                  .mode("overwrite").bucketBy(buckets, "scheme_code").sortBy("scheme_code", "date"))
-    (writer if table else writer.option("path", path)).saveAsTable(name)
+    (writer if table else writer.option("path", scratch_dir(spark, "nav-by-scheme"))).saveAsTable(name)
     return spark.table(name)
 
 
-def merge_into_store(spark: SparkSession, path: str, incoming: DataFrame, incoming_wins: bool = True) -> None:
-    """Upserts (or only gap-fills) the years that ``incoming`` touches. The merged
-    years are first written to the shared scratch folder: that cuts the lineage to
-    the files about to be replaced, and a failed replacement can be repeated from
-    it. Repeating the merge changes nothing."""
-    incoming = incoming.select("scheme_code", "date", "nav")
-    # one row per calendar year
-    years = [r.year for r in incoming.select(F.year("date").alias("year")).distinct().collect() if r.year is not None]
-    if not years:
-        return
-    create_store(spark, path)
-    current = read_prices(spark, path, years)
+def _stage(spark: SparkSession, path: str, incoming: DataFrame, incoming_wins: bool) -> bool:
+    """Writes the merged months aside and then the mark that names them."""
+    incoming = settle(incoming.select("scheme_code", "date", "nav").filter(F.col("date").isNotNull()), "incoming")
+    # one row per calendar month
+    months = [(r.year, r.month) for r in incoming.select(F.year("date").alias("year"), F.month("date").alias("month")).distinct().collect()]
+    if not months:
+        return False
+    current = read_prices(spark, path, months)
     merged = upserted(current, incoming) if incoming_wins else backfilled(current, incoming)
     staged = scratch_dir(spark, "price-merge")
-    _by_year(merged).write.partitionBy("year").parquet(staged)
-    (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("year").parquet(path))
+    _by_month(merged).write.partitionBy(*_PARTS).parquet(staged)
+    spark.createDataFrame([(staged,)], "staged STRING").coalesce(1).write.mode("overwrite").text(f"{path}/{_MARK}")
+    return True
+
+
+def finish_merge(spark: SparkSession, path: str) -> bool:
+    """Puts staged months in place and takes the mark away. A merge that died before or
+    while it replaced months is finished by the next one, or by this call; doing so
+    twice changes nothing."""
+    system, mark = file_system(spark, f"{path}/{_MARK}")
+    if not system.exists(mark):
+        return False
+    rows = spark.read.text(f"{path}/{_MARK}").collect()  # the mark's one line
+    if rows:
+        (spark.read.parquet(rows[0].value).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*_PARTS).parquet(path))
+    system.delete(mark, True)
+    return True
+
+
+def merge_into_store(spark: SparkSession, path: str, incoming: DataFrame, incoming_wins: bool = True) -> None:
+    """Upserts (or only gap-fills) the months that ``incoming`` touches. The merged
+    months are first written to the shared scratch folder and marked in the store:
+    that cuts the lineage to the files about to be replaced, and a replacement that
+    failed is repeated from them. Repeating the merge changes nothing."""
+    create_store(spark, path)
+    finish_merge(spark, path)
+    if _stage(spark, path, incoming, incoming_wins):
+        finish_merge(spark, path)

@@ -1,8 +1,8 @@
 """Portfolio sheets to holdings.
 
 The input is a long table of cells (schemas.CELLS); empty cells are absent. A
-sheet of any size is handled with aggregates per sheet or per row; only the 25
-title rows are gathered as arrays, and those are as wide as a sheet at most.
+sheet of any size is handled with aggregates per sheet or per row; only the rows
+above the header are gathered, each an array as wide as the sheet at most.
 """
 
 from __future__ import annotations
@@ -25,18 +25,25 @@ def _contains_any(text: Column, labels: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(label) for label in labels])
 
 
-def title_rows(cells: DataFrame) -> DataFrame:
-    """(file, sheet, row_idx, cells, joined) of the rows scanned for a header."""
-    top = cells.filter((F.col("row_idx") <= K.HEADER_SCAN_ROWS) & (F.col("text") != ""))
-    rows = top.groupBy(*SHEET, "row_idx").agg(
-        F.array_sort(F.collect_list(F.struct("col_idx", names.strip(F.col("text")).alias("text"), "dt"))).alias("cells"))
-    return rows.withColumn("joined", F.lower(F.array_join(F.transform("cells", lambda c: c["text"]), " ")))
+def header_rows(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
+    """(file, sheet, header): the first row that names instrument and ISIN, wherever it
+    stands, or within ``scan_rows`` if given. Rows are told apart by flags per cell, so
+    that nothing is gathered for the rows of a long sheet."""
+    label = F.lower(names.strip(F.col("text")))
+    rows = cells.filter(F.col("text") != "")
+    if scan_rows is not None:
+        rows = rows.filter(F.col("row_idx") <= scan_rows)
+    found = rows.filter(_contains_any(label, K.SHEET_LABELS["name"]) | label.contains("isin")).groupBy(*SHEET, "row_idx").agg(
+        F.max(_contains_any(label, K.SHEET_LABELS["name"])).alias("named"), F.max(label.contains("isin")).alias("coded"))
+    return found.filter("named AND coded").groupBy(*SHEET).agg(F.min("row_idx").alias("header"))
 
 
-def header_rows(rows: DataFrame) -> DataFrame:
-    """(file, sheet, header): the first row that names instrument and ISIN."""
-    is_header = _contains_any(F.col("joined"), K.SHEET_LABELS["name"]) & F.col("joined").contains("isin")
-    return rows.filter(is_header).groupBy(*SHEET).agg(F.min("row_idx").alias("header"))
+def title_rows(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """(file, sheet, header, row_idx, cells) of the rows up to the header; a cell with a date
+    counts even if it has no text."""
+    top = cells.filter((F.col("text") != "") | F.col("dt").isNotNull()).join(headers, SHEET).filter(F.col("row_idx") <= F.col("header"))
+    text = F.coalesce(names.strip(F.col("text")), F.lit(""))
+    return top.groupBy(*SHEET, "header", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", text.alias("text"), "dt"))).alias("cells"))
 
 
 def column_map(cells: DataFrame, headers: DataFrame) -> DataFrame:
@@ -44,8 +51,7 @@ def column_map(cells: DataFrame, headers: DataFrame) -> DataFrame:
     label = F.lower(F.replace("text", F.lit("\n"), F.lit(" ")))
     first = [F.min(F.when(_contains_any(label, labels), F.col("col_idx"))).alias(f"c_{field}")
              for field, labels in K.SHEET_LABELS.items()]
-    top = cells.filter(F.col("row_idx") <= K.HEADER_SCAN_ROWS)
-    return (top.join(headers, SHEET).filter(F.col("row_idx") == F.col("header"))
+    return (cells.join(headers, SHEET).filter(F.col("row_idx") == F.col("header"))
                .groupBy(*SHEET, "header").agg(*first)
                .filter(F.col("c_name").isNotNull() & F.col("c_isin").isNotNull() & F.col("c_pct").isNotNull()))
 
@@ -73,14 +79,12 @@ def _title_text(cells: Column) -> Column:
     return names.strip(F.regexp_replace(bare, r"(?i)\s+as\s+(?:on|at|of)\b.*$", ""))
 
 
-def sheet_titles(rows: DataFrame, headers: DataFrame, as_of: str) -> DataFrame:
+def sheet_titles(above: DataFrame, as_of: str, date_rows: int | None = None) -> DataFrame:
     """(file, sheet, scheme_name, as_of_date) read above the header. A date cell
-    not later than ``as_of`` comes before an 'as on' text; the date scan stops
-    after eight rows."""
-    above = rows.join(headers, SHEET)
+    not later than ``as_of`` comes before an 'as on' text; ``date_rows`` cuts the date
+    scan short of the header."""
     in_title = F.col("row_idx") < F.col("header")
-    scan_end = F.when(F.col("header") > 1, F.least(F.lit(K.DATE_SCAN_ROWS), F.col("header") - 1)).otherwise(F.lit(K.DATE_SCAN_ROWS))
-    scanned = F.col("row_idx") <= scan_end
+    scanned = in_title if date_rows is None else in_title & (F.col("row_idx") <= date_rows)
     day = F.get(F.filter("cells", lambda c: c["dt"] <= F.lit(as_of).cast("date")), F.lit(0))["dt"]
     worded = F.get(F.filter(F.transform("cells", lambda c: feeds.as_on_date(c["text"])), lambda d: d.isNotNull()), F.lit(0))
     found = above.select(
@@ -135,14 +139,22 @@ def scaled_lines(lines: DataFrame) -> DataFrame:
             .filter(F.col("pct_of_aum") <= 100))
 
 
-def parse_sheets(cells: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+def unreadable(cells: DataFrame, header_scan_rows: int | None = None) -> DataFrame:
+    """(file, sheet, reason) of sheets with no header, or with a header that lacks a column."""
+    headers = header_rows(cells, header_scan_rows)
+    every, mapped = cells.select(*SHEET).distinct(), column_map(cells, headers).select(*SHEET, F.lit(True).alias("mapped"))
+    reason = F.when(F.col("header").isNull(), "no header row").when(F.col("mapped").isNull(), "header lacks a column")
+    return every.join(headers, SHEET, "left").join(mapped, SHEET, "left").select(*SHEET, reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def parse_sheets(cells: DataFrame, as_of: str, header_scan_rows: int | None = None, date_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(sheets, lines): title facts with the weight total of every sheet, and its
-    holding lines. A sheet without a date gets ``as_of``."""
-    rows = title_rows(cells)
-    headers = header_rows(rows)
+    holding lines. A sheet without a date gets ``as_of``. Scans go down to the header,
+    wherever it is, unless the depths are given; ``unreadable`` lists the rest."""
+    headers = settle(header_rows(cells, header_scan_rows), "headers")
     lines = scaled_lines(settle(sheet_lines(cells, column_map(cells, headers)), "sheet-lines"))
     totals = lines.groupBy(*SHEET).agg(F.sum("pct_of_aum").alias("total_pct"), F.count(F.lit(1)).alias("lines"))
-    sheets = (sheet_titles(rows, headers, as_of).join(totals, SHEET)
+    sheets = (sheet_titles(title_rows(cells, headers), as_of, date_rows).join(totals, SHEET)
               .filter(F.coalesce("scheme_name", F.lit("")) != "")
               .withColumn("as_of_date", F.coalesce("as_of_date", F.lit(as_of).cast("date"))))
     return settle(sheets, "sheets"), lines
