@@ -18,6 +18,15 @@ def newest_wins(batches: list[DataFrame], keys: list[str]) -> DataFrame:
     return merged.select(*keys, *(F.col(f"row.{c}").alias(c) for c in values)).select(*batches[0].columns)
 
 
+def upserted_columns(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """``existing`` with the columns that ``incoming`` has written over it by key; its other
+    columns stay, and new keys have nulls there. ``incoming`` has one row per key."""
+    fed = [c for c in incoming.columns if c not in keys]
+    new = incoming.select(*keys, F.lit(True).alias("_fed"), *(F.col(c).alias(f"_new_{c}") for c in fed))
+    both = existing.join(new, keys, "full_outer")
+    return both.select(*(F.when(F.col("_fed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in fed else F.col(c) for c in existing.columns))
+
+
 def replace_groups(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Every key group that ``incoming`` has replaces the existing group whole."""
     kept = existing.join(incoming.select(*keys).distinct(), keys, "left_anti")

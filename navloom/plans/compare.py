@@ -6,11 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navloom import constants as K
+from navloom.plans.explorer import period_rows
 
 _RISK_ROWS = {"Sharpe (3Y)": "sharpe", "Volatility (3Y)": "stdev", "Max drawdown (3Y)": "max_drawdown"}
 _LOWER_IS_BETTER = ["Volatility (3Y)"]
 
 
+def compare_table(sets: DataFrame, master: DataFrame, returns: DataFrame, stats: DataFrame, risk: DataFrame, proxies: DataFrame) -> DataFrame:
+    """(set_id, position, scheme_code, name, category, data_quality, period, ...): every scheme of
+    every set over all seven periods, its return beside its benchmark's and its category's average,
+    and over one and three years its risk, beta and alpha. What is not known is null."""
+    about = master.select("scheme_code", "name", "category", "data_quality")
+    periods = F.explode(F.array(*map(F.lit, K.PERIOD_DAYS))).alias("period")
+    measured = risk.select("scheme_code", "period", "stdev", "sharpe", "beta", "alpha", "max_drawdown")
+    rows = sets.select("set_id", "position", "scheme_code", periods).join(about, "scheme_code", "left")
+    return (rows.join(period_rows(master, returns, stats, proxies).drop("position"), ["scheme_code", "period"], "left")
+            .join(measured, ["scheme_code", "period"], "left"))
+
+
 def compare_best(sets: DataFrame, returns: DataFrame, risk: DataFrame) -> DataFrame:
     """(set_id, metric, scheme_code, value, is_best) for sets (set_id, position,
     scheme_code) of any size: seven returns, then Sharpe, volatility and drawdown

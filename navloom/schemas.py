@@ -25,5 +25,5 @@ NAV_JSON = "scheme_code STRING, data ARRAY<STRUCT<date: STRING, nav: STRING>>"
 TER_RECORDS = "Scheme_Name STRING, R_TER STRING, D_TER STRING, TER_Date STRING"
 AUM_SIZE = ("STRUCT<ExcludingFundOfFundsDomesticButIncludingFundOfFundsOverseas: STRING, "
             "FundOfFundsDomestic: STRING>")
-AUM_GROUPS = ("Mfname STRING, SchemeCat_Desc STRING, schemes ARRAY<STRUCT<SchemeNAVName: STRING, "
+AUM_GROUPS = ("ordinal BIGINT, Mfname STRING, SchemeCat_Desc STRING, schemes ARRAY<STRUCT<SchemeNAVName: STRING, "
               f"AMFI_Code: STRING, AverageAumForTheMonth: {AUM_SIZE}>>")

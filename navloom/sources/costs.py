@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from navloom.functions.feeds import lakh_to_crore, let, plausible_ter
 from navloom.functions.names import house_key, sheet_identity, strip
-from navloom.operators.merge import newest_wins
+from navloom.operators.merge import upserted_columns
 from navloom.operators.resolve import resolve_codes
 from navloom.session import settle
 
@@ -60,24 +60,27 @@ def ter_unmatched(records: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def aum_rows(groups: DataFrame) -> DataFrame:
-    """(scheme_code, aaum_cr) of landed size groups: the headline figure, or the
-    domestic fund-of-funds one where that is empty or zero."""
+    """(scheme_code, aaum_cr, place) of landed size groups: the headline figure, or the
+    domestic fund-of-funds one where that is empty or zero; ``place`` is the row's
+    place in the feed."""
     headline = "s.AverageAumForTheMonth.ExcludingFundOfFundsDomesticButIncludingFundOfFundsOverseas"
-    schemes = groups.select(F.explode("schemes").alias("s"))
+    schemes = groups.select("ordinal", F.posexplode("schemes").alias("i", "s"))
 
     def size(column: str) -> Column:
         return let(lakh_to_crore(F.col(column)), lambda crore: F.nullif(crore, F.lit(0.0)))
 
     return (schemes.select(F.col("s.AMFI_Code").cast("string").alias("scheme_code"),
-                           F.coalesce(size(headline), size("s.AverageAumForTheMonth.FundOfFundsDomestic")).alias("aaum_cr"))
+                           F.coalesce(size(headline), size("s.AverageAumForTheMonth.FundOfFundsDomestic")).alias("aaum_cr"),
+                           F.struct("ordinal", "i").alias("place"))
                    .filter(F.col("scheme_code").isNotNull() & F.col("aaum_cr").isNotNull()))
 
 
 def known_aum(groups: DataFrame, master: DataFrame, as_of: str | Column) -> DataFrame:
-    """Size rows of schemes the master knows, dated ``as_of`` (a date or column)."""
+    """Size rows of schemes the master knows, dated ``as_of`` (a date or column). Of
+    several rows for a scheme the last in the feed stays."""
     day = as_of if not isinstance(as_of, str) else F.lit(as_of).cast("date")
     return (aum_rows(groups).join(master.select("scheme_code"), "scheme_code", "left_semi")
-            .groupBy("scheme_code").agg(F.max("aaum_cr").alias("aaum_cr"))
+            .groupBy("scheme_code").agg(F.max_by("aaum_cr", "place").alias("aaum_cr"))
             .select("scheme_code", day.alias("as_of_date"), "aaum_cr"))
 
 
@@ -87,4 +90,5 @@ def unknown_aum(groups: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def upserted(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    return newest_wins([existing, incoming], ["scheme_code", "as_of_date"])
+    """Cost or size rows written over the stored ones, column by column."""
+    return upserted_columns(existing, incoming, ["scheme_code", "as_of_date"])

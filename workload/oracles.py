@@ -351,13 +351,13 @@ WHERE CASE WHEN m.plan_type = 'Direct' THEN t.t.d ELSE t.t.r END IS NOT NULL GRO
 
 _AUM = {"sized": (("fx_sizes",), f"""
 SELECT code, coalesce(nullif(CASE WHEN TRY_CAST(headline AS DOUBLE) > 0 THEN {rnd('TRY_CAST(headline AS DOUBLE) / 100', 2)} END, 0),
-                      nullif(CASE WHEN TRY_CAST(fof AS DOUBLE) > 0 THEN {rnd('TRY_CAST(fof AS DOUBLE) / 100', 2)} END, 0)) AS a FROM fx_sizes
-UNION ALL SELECT code || 'F', nullif(CASE WHEN TRY_CAST(fof AS DOUBLE) > 0 THEN {rnd('TRY_CAST(fof AS DOUBLE) / 100', 2)} END, 0) FROM fx_sizes""")}
+                      nullif(CASE WHEN TRY_CAST(fof AS DOUBLE) > 0 THEN {rnd('TRY_CAST(fof AS DOUBLE) / 100', 2)} END, 0)) AS a, l_orderkey * 100 + l_linenumber AS ord FROM fx_sizes
+UNION ALL SELECT code || 'F', nullif(CASE WHEN TRY_CAST(fof AS DOUBLE) > 0 THEN {rnd('TRY_CAST(fof AS DOUBLE) / 100', 2)} END, 0), l_orderkey * 100 + l_linenumber FROM fx_sizes""")}
 
 # what the sheets must give back: the portfolios they were laid out from
 _SHEETS = {
     "sheet_src": (("fx_holdings", "fx_master"), """
-SELECT h.*, CAST(substr(h.scheme_code, 2) AS BIGINT) AS k, m.amc, regexp_replace(m.name, ' - Regular Plan - Growth$', '') AS fund,
+SELECT h.*, CAST(substr(h.scheme_code, 2) AS BIGINT) AS k, m.amc, CASE WHEN CAST(substr(h.scheme_code, 2) AS BIGINT) % 10 = 4 THEN 'Unlisted ' ELSE '' END || regexp_replace(m.name, ' - Regular Plan - Growth$', '') AS fund,
        lower(split_part(m.amc, ' ', 1)) || '-' || CAST(year(h.as_of_date) AS STRING) || '.xlsx' AS file,
        CASE WHEN CAST(substr(h.scheme_code, 2) AS BIGINT) % 10 = 9 THEN 30 ELSE 0 END AS junk
 FROM fx_holdings h JOIN fx_master m USING (scheme_code)"""),
@@ -366,7 +366,7 @@ SELECT file, scheme_code, amc, k, fund, as_of_date, round(sum(pct_of_aum) + max(
     "sheet_rows": (("sheet_src", "sheet_totals"), """
 SELECT s.scheme_code, s.as_of_date, instrument_name, isin, CASE WHEN s.k % 3 = 2 THEN 'Debt / Money Market' ELSE sector END AS sector,
        pct_of_aum, market_value_cr FROM sheet_src s JOIN sheet_totals t ON t.scheme_code = s.scheme_code AND t.as_of_date = s.as_of_date
-WHERE t.total <= 115"""),
+WHERE t.total <= 115 AND s.k % 10 <> 4"""),
 }
 
 ORACLES = {
@@ -424,9 +424,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY scheme_code ORDER BY pct_of_aum
 SELECT *, row_number() OVER (PARTITION BY scheme_code ORDER BY pct_of_aum DESC, sector) AS rank FROM (
   SELECT scheme_code, as_of_date, sector, {rnd('sum(pct_of_aum)', 4)} AS pct_of_aum FROM disclosed GROUP BY 1, 2, 3) s"""),
     "nightly_rebuild": _q(("returns", "risk", "master", "stats", "ranks"), """
-SELECT 'scheme_returns' AS "table", count(*) AS "rows" FROM returns UNION ALL SELECT 'scheme_risk', count(*) FROM risk
-UNION ALL SELECT 'scheme_master', count(*) FROM master UNION ALL SELECT 'category_stats', count(*) FROM stats
-UNION ALL SELECT 'rankings', count(*) FROM ranks"""),
+SELECT 'scheme_returns' AS "table", count(*) AS "rows", sum(CAST(round(coalesce(ret, 0) * 100) AS BIGINT))::BIGINT AS value_sum FROM returns
+UNION ALL SELECT 'scheme_risk', count(*), sum(CAST(round(coalesce(stdev, 0) * 100) + round(coalesce(sharpe, 0) * 100) + round(coalesce(beta, 0) * 100)
+                                                   + round(coalesce(alpha, 0) * 100) + round(coalesce(max_drawdown, 0) * 100) AS BIGINT))::BIGINT FROM risk
+UNION ALL SELECT 'scheme_master', count(*), sum(CASE data_quality WHEN 'stale' THEN 1 WHEN 'discontinuity' THEN 1000 ELSE 0 END)::BIGINT FROM master
+UNION ALL SELECT 'category_stats', count(*), sum(CAST(round(avg_return * 100) + round(median_return * 100) AS BIGINT) + scheme_count)::BIGINT FROM stats
+UNION ALL SELECT 'rankings', count(*), sum(rank_in_category + 7 * category_size + CAST(percentile AS BIGINT))::BIGINT FROM ranks"""),
     "cost_leak": _cost_leak("500000e0", None),
     "cost_leak_3y": _cost_leak("100000e0", 3),
     "backtest_validity": _q("validity", "SELECT * FROM validity"),
@@ -490,6 +493,15 @@ FROM (SELECT c.*, p.period || ' return' AS metric, r.ret AS value FROM fx_compar
   UNION ALL SELECT c.*, 'Sharpe (3Y)', k.sharpe FROM fx_compare c LEFT JOIN risk k ON k.scheme_code = c.scheme_code AND k.period = '3Y'
   UNION ALL SELECT c.*, 'Volatility (3Y)', k.stdev FROM fx_compare c LEFT JOIN risk k ON k.scheme_code = c.scheme_code AND k.period = '3Y'
   UNION ALL SELECT c.*, 'Max drawdown (3Y)', k.max_drawdown FROM fx_compare c LEFT JOIN risk k ON k.scheme_code = c.scheme_code AND k.period = '3Y') m"""),
+    "compare_table": _q(("fx_compare", "returns", "risk", "periods", "stats", "master", "proxies"), """
+SELECT c.set_id, c.position, c.scheme_code, m.name, m.category, m.data_quality, p.period, r.ret AS fund_return,
+       CASE WHEN r.ret IS NOT NULL THEN b.ret END AS benchmark_return, CASE WHEN r.ret IS NOT NULL THEN s.avg_return END AS category_avg_return,
+       k.stdev, k.sharpe, k.beta, k.alpha, k.max_drawdown
+FROM fx_compare c CROSS JOIN periods p LEFT JOIN master m ON m.scheme_code = c.scheme_code
+LEFT JOIN returns r ON r.scheme_code = c.scheme_code AND r.period = p.period
+LEFT JOIN proxies x ON x.category = m.category LEFT JOIN returns b ON b.scheme_code = x.proxy AND b.period = p.period
+LEFT JOIN stats s ON s.category = m.category AND s.period = p.period
+LEFT JOIN risk k ON k.scheme_code = c.scheme_code AND k.period = p.period"""),
     "facets": _q("master", """
 SELECT 'category' AS facet, category AS value, count(*) AS count FROM master WHERE is_active AND data_quality IS NULL AND category IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'amc', amc, count(*) FROM master WHERE is_active AND data_quality IS NULL AND amc IS NOT NULL GROUP BY 2"""),
@@ -543,8 +555,17 @@ SELECT t.amc, count(*) AS unmatched FROM ter_targets t JOIN resolved r USING (am
 UNION ALL SELECT DISTINCT mf_name, CAST(NULL AS BIGINT) FROM fx_ter
 WHERE {_house_key('mf_name')} NOT IN (SELECT {_house_key('amc')} FROM fx_master)""", _TER),
     "aum_load": _q(("sized", "fx_catalog"), """
-SELECT code AS scheme_code, DATE '2001-12-31' AS as_of_date, max(a) AS aaum_cr FROM sized WHERE a IS NOT NULL
+SELECT code AS scheme_code, DATE '2001-12-31' AS as_of_date, arg_max(a, ord) AS aaum_cr FROM sized WHERE a IS NOT NULL
   AND code IN (SELECT scheme_code FROM fx_catalog) GROUP BY 1""", _AUM),
+    "aum_upsert": _q(("sized", "fx_catalog"), """
+SELECT coalesce(s.scheme_code, n.code) AS scheme_code, coalesce(s.as_of_date, DATE '2001-12-31') AS as_of_date, coalesce(n.a, s.aaum_cr) AS aaum_cr, s.source
+FROM (SELECT scheme_code, CASE WHEN p_size <= 25 THEN DATE '2001-12-31' ELSE DATE '2001-09-30' END AS as_of_date,
+             CAST(p_retailprice AS DOUBLE) AS aaum_cr, p_type AS source FROM fx_catalog) s
+FULL OUTER JOIN (SELECT code, arg_max(a, ord) AS a FROM sized WHERE a IS NOT NULL AND code IN (SELECT scheme_code FROM fx_catalog) GROUP BY 1) n
+  ON n.code = s.scheme_code AND s.as_of_date = DATE '2001-12-31'""", _AUM),
+    "benchmark_seed": _q(("fx_catalog", "proxies"), """
+SELECT category, proxy AS proxy_scheme_code, proxy_name, note FROM proxies
+UNION ALL SELECT DISTINCT category, '0', 'old', 'old' FROM fx_catalog WHERE category NOT IN (SELECT category FROM proxies)"""),
     "aum_unknown": _q(("sized", "fx_catalog"), """
 SELECT DISTINCT code AS scheme_code FROM sized WHERE a IS NOT NULL AND code NOT IN (SELECT scheme_code FROM fx_catalog)""", _AUM),
     "newest_links": _q("fx_links", """
@@ -563,7 +584,8 @@ WHERE d = newest GROUP BY 1, 2"""),
 SELECT file, scheme_code AS sheet, fund || CASE WHEN k % 3 = 1 THEN ' (An Open Ended Scheme)' ELSE '' END AS scheme_name, as_of_date,
        total AS total_pct FROM sheet_totals WHERE total > 115""", _SHEETS),
     "sheet_report": _q("sheet_totals", """
-SELECT amc, count(*) AS sheets, count(CASE WHEN total > 115 THEN 1 END) AS suspect, count(CASE WHEN total <= 115 THEN 1 END) AS matched, 0 AS unmatched
+SELECT amc, count(*) AS sheets, count(CASE WHEN total > 115 THEN 1 END) AS suspect, count(CASE WHEN total <= 115 AND k % 10 <> 4 THEN 1 END) AS matched,
+       count(CASE WHEN total <= 115 AND k % 10 = 4 THEN 1 END) AS unmatched
 FROM sheet_totals GROUP BY 1""", _SHEETS),
     "holdings_replace": _q("fx_holdings", f"""
 SELECT scheme_code, as_of_date, instrument_name, isin, sector, {rnd('pct_of_aum / 2', 4)} AS pct_of_aum, market_value_cr

@@ -107,10 +107,19 @@ def rolling_points(spark, sf_dir):
 
 @query
 def nightly_rebuild(spark, sf_dir):
-    """All metric tables written to files; the row count of each."""
+    """All metric tables written to files; the rows of each, and a sum over its rounded values."""
     t = Tables(spark, sf_dir)
     tables = nightly.rebuild(spark, t.stored_nav(), t.stored_master(), t.proxies, AS_OF, scratch_dir(spark, "nightly"))
-    counts = [table.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, table in tables.items()]
+
+    def hundredths(*columns):
+        return reduce(lambda a, b: a + b, [F.coalesce(F.round(F.col(c) * 100), F.lit(0.0)).cast("bigint") for c in columns])
+
+    flag = F.col("data_quality")
+    values = {"scheme_returns": hundredths("ret"), "scheme_risk": hundredths("stdev", "sharpe", "beta", "alpha", "max_drawdown"),
+              "scheme_master": F.when(flag == "stale", 1).when(flag == "discontinuity", 1000).otherwise(0).cast("bigint"),
+              "category_stats": hundredths("avg_return", "median_return") + F.col("scheme_count"),
+              "rankings": F.col("rank_in_category") + 7 * F.col("category_size") + F.col("percentile").cast("bigint")}
+    counts = [table.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.sum(values[name]).alias("value_sum")) for name, table in tables.items()]
     return reduce(DataFrame.unionByName, counts)
 
 
@@ -310,6 +319,13 @@ def compare_best(spark, sf_dir):
     return compare.compare_best(t.compare, m["scheme_returns"], m["scheme_risk"])
 
 
+@query
+def compare_table(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    m = t.metrics(t.stored_nav())
+    return compare.compare_table(t.compare, m["scheme_master"], m["scheme_returns"], m["category_stats"], m["scheme_risk"], t.proxies)
+
+
 @query
 def facets(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -329,6 +345,14 @@ def benchmark_map(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("schemes")))
 
 
+@query
+def benchmark_seed(spark, sf_dir):
+    """The fixed benchmark rows written over what is stored for every category."""
+    t = Tables(spark, sf_dir)
+    stored = t.catalog.select("category", F.lit("0").alias("proxy_scheme_code"), F.lit("old").alias("proxy_name"), F.lit("old").alias("note")).distinct()
+    return benchmark.seed(stored, spark)
+
+
 # --- names and feeds -------------------------------------------------------------------
 
 @query
@@ -469,7 +493,7 @@ def _size_groups(t: Tables) -> DataFrame:
                         F.struct(headline.alias("ExcludingFundOfFundsDomesticButIncludingFundOfFundsOverseas"),
                                  fof.alias("FundOfFundsDomestic")).alias("AverageAumForTheMonth"))
 
-    groups = t.sizes.select(F.lit("House").alias("Mfname"), F.lit("Equity").alias("SchemeCat_Desc"),
+    groups = t.sizes.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ordinal"), F.lit("House").alias("Mfname"), F.lit("Equity").alias("SchemeCat_Desc"),
                             F.array(entry("", F.col("headline"), F.col("fof")),
                                     entry("F", F.lit("0"), F.col("fof"))).alias("schemes"))
     out = scratch_dir(t.spark, "size-groups")
@@ -483,6 +507,15 @@ def aum_load(spark, sf_dir):
     return costs.known_aum(_size_groups(t), t.catalog, feeds.period_end(F.lit("October - December 2001")))
 
 
+@query
+def aum_upsert(spark, sf_dir):
+    """The size feed merged into stored sizes, of which it has some."""
+    t = Tables(spark, sf_dir)
+    stored = t.catalog.select("scheme_code", F.when(F.col("p_size") <= 25, F.lit("2001-12-31")).otherwise(F.lit("2001-09-30")).cast("date").alias("as_of_date"),
+                              F.col("p_retailprice").cast("double").alias("aaum_cr"), F.col("p_type").alias("source"))
+    return costs.upserted(stored, costs.known_aum(_size_groups(t), t.catalog, "2001-12-31"))
+
+
 @query
 def aum_unknown(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -499,13 +532,15 @@ def newest_links(spark, sf_dir):
 def _landed_cells(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Every yearly portfolio laid out as a sheet in one of three house styles and
     landed as a table of cells, and the house of every file. Every tenth fund shows
-    one position too many for its weights to add up."""
+    one position too many for its weights to add up, every other tenth has a name that
+    no master fund has."""
     k = F.substring("scheme_code", 2, 20).try_cast("bigint")
     lit, none = F.lit, F.lit(None)
     rows = (t.holdings.join(t.master.select("scheme_code", "name", "amc"), "scheme_code")
             .withColumn("style", k % 3)
             .withColumn("file", F.concat(F.lower(F.split("amc", " ")[0]), lit("-"), F.year("as_of_date"), lit(".xlsx")))
-            .withColumn("fund", F.regexp_replace("name", " - Regular Plan - Growth$", "")))
+            .withColumn("fund", F.regexp_replace("name", " - Regular Plan - Growth$", ""))
+            .withColumn("fund", F.when(k % 10 == 4, F.concat(F.lit("Unlisted "), "fund")).otherwise(F.col("fund"))))
 
     def cell(row, col, value, num=none, dt=none):
         return F.struct(F.lit(row).cast("bigint").alias("row_idx") if isinstance(row, int) else row.alias("row_idx"),
@@ -529,13 +564,13 @@ def _landed_cells(t: Tables) -> tuple[DataFrame, DataFrame]:
         number(at, 5, lit(100.0)), number(at, 6, lakh), number(at, 7, weight))
     # code in the first column, ISIN before the name, fraction weights
     title_b = F.array(
-        cell(1, 0, "RLMF015"), cell(1, 1, F.concat("fund", lit(" (An Open Ended Scheme)"))),
+        cell(1, 0, "QX-77"), cell(1, 1, F.concat("fund", lit(" (An Open Ended Scheme)"))),
         cell(2, 1, F.concat(lit("Monthly Portfolio Statement as on "), F.date_format(day, "MMMM d,yyyy"))),
         cell(4, 1, "ISIN"), cell(4, 2, "Name of the Instrument"), cell(4, 3, "Industry / Rating"), cell(4, 4, "Quantity"),
         cell(4, 5, "Market/Fair Value ( Rs. in Lacs)"), cell(4, 6, "% to NAV"),
-        cell(5, 1, "Sub Total"), number(5, 6, lit(0.2023)))
+        cell(5, 1, "Sub Total"), number(5, 6, lit(0.3141)))
     row_b = F.array(
-        cell(at, 0, "SPIL03"), cell(at, 1, F.col("isin")), cell(at, 2, F.col("instrument_name")), cell(at, 3, F.col("sector")),
+        cell(at, 0, "LN-9"), cell(at, 1, F.col("isin")), cell(at, 2, F.col("instrument_name")), cell(at, 3, F.col("sector")),
         number(at, 4, lit(7.0)), number(at, 5, lakh), number(at, 6, weight / 100))
     # title text, names beside the ISIN and not under their label
     title_c = F.array(

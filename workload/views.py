@@ -140,7 +140,7 @@ SELECT CAST(p_partkey AS STRING) AS scheme_code,
        {_CATEGORY.format(n="p_size")} AS category, p_type, p_size, p_partkey, p_brand, p_name, p_retailprice
 FROM part"""),
     "lines_src": (("fx_catalog",), """
-SELECT *, 'daily-' || CAST(p_size % 2 AS STRING) || '.txt' AS file, CAST(p_size % 5 AS BIGINT) AS c,
+SELECT *, 'daily-' || CAST(CAST(floor(p_partkey / 1000e0) AS BIGINT) AS STRING) || '.txt' AS file, CAST(p_size % 5 AS BIGINT) AS c,
        CAST(substr(p_brand, 7) AS BIGINT) AS n, round(p_retailprice) AS cents FROM fx_catalog"""),
     # the landed daily file: sections by category, houses by brand, schemes by part
     "fx_lines": (("lines_src",), """
@@ -179,7 +179,7 @@ SELECT CASE WHEN n = 25 THEN 'Delta Mutual Fund' WHEN n % 3 = 0 THEN 'ALDER  Mut
             ELSE 'Cedar Mutual Fund' END AS mf_name,
        l_orderkey * 100 + l_linenumber AS ordinal,
        CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN ' '
-            ELSE CASE n % 3 WHEN 0 THEN 'Alder' WHEN 1 THEN 'Birch' ELSE 'Cedar' END || ' ' || p_brand ||
+            ELSE CASE WHEN n = 22 THEN 'Unlisted' WHEN n % 3 = 0 THEN 'Alder' WHEN n % 3 = 1 THEN 'Birch' ELSE 'Cedar' END || ' ' || p_brand ||
                  CASE WHEN n = 24 THEN ' Special' WHEN n % 4 = 0 THEN ' Fund (Open Ended)' ELSE ' Fund' END END AS Scheme_Name,
        CASE t WHEN 0 THEN '0' WHEN 7 THEN 'junk' WHEN 8 THEN '29.6100' ELSE '1.' || CAST(t AS STRING) || '550' END AS R_TER,
        CASE t WHEN 0 THEN '' WHEN 6 THEN '3.01' ELSE '0.' || CAST(t AS STRING) || '300' END AS D_TER,
@@ -209,19 +209,19 @@ SELECT s_suppkey AS set_id, 0 AS position, 'S' || CAST(s_suppkey AS STRING) AS s
 UNION ALL SELECT s_suppkey, 1, 'Brand#' || CAST(s_suppkey % 25 + 1 AS STRING) || '-O' FROM supplier
 UNION ALL SELECT s_suppkey, 2, 'Brand#' || CAST(s_suppkey % 25 + 1 AS STRING) || '-F' FROM supplier
 UNION ALL SELECT s_suppkey, 3, '120716' FROM supplier"""),
-    # the stored master and today's file: parts sold in the first month, parts sold lately
+    # the stored master and today's file: parts first sold by mid 1995, parts sold this year; most are in both
     "fx_master_old": (("fx_catalog",), """
 SELECT c.scheme_code, 'Old ' || name AS name, amc, CAST(NULL AS STRING) AS scheme_type, category,
        CAST(NULL AS STRING) AS sub_category, 'Direct' AS plan_type, 'Growth' AS option_type, CAST(NULL AS STRING) AS isin,
        CAST(NULL AS STRING) AS fund_group_id, d1 AS first_seen, d2 AS last_seen, TRUE AS is_active
 FROM fx_catalog c JOIN (SELECT l_partkey, min(CAST(l_shipdate AS DATE)) AS d1, max(CAST(l_shipdate AS DATE)) AS d2
                         FROM lineitem GROUP BY l_partkey) l ON p_partkey = l_partkey
-WHERE d1 < DATE '1995-02-15'"""),
+WHERE d1 < DATE '1995-07-01'"""),
     "fx_master_new": (("fx_catalog",), """
 SELECT scheme_code, d AS nav_date, name, amc, 'Open Ended Schemes' AS scheme_type, category, CAST(NULL AS STRING) AS sub_category,
        'Regular' AS plan_type, 'IDCW' AS option_type, 'INF' || scheme_code AS isin, 'G' || scheme_code AS fund_group_id
 FROM fx_catalog c JOIN (SELECT l_partkey, CAST(l_shipdate AS DATE) AS d FROM lineitem
-                        WHERE l_shipdate >= TIMESTAMP '2001-10-01 00:00:00') l ON p_partkey = l_partkey"""),
+                        WHERE l_shipdate >= TIMESTAMP '2001-01-01 00:00:00') l ON p_partkey = l_partkey"""),
 }
 
 
