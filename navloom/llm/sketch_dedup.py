@@ -24,9 +24,9 @@ REGISTERS = 128
 BAND = 4  # four 16-bit registers make one 64-bit band value
 BASE, RATE, TOP = 1.001, 20.0, 65535  # register spacing, rate of the exponentials, largest value
 SIGMAS = 6.0  # an estimate so many deviations short of the threshold is dropped
-TILE = 300_000  # shingles of a side of a tile, about
+TILE = 100_000  # shingles of a side of a tile, about
 COLUMNS = 2048  # shingles counted at once
-STEP = 4096  # documents sketched at once
+STEP = 1024  # documents sketched at once
 
 SKETCH = "doc_id BIGINT, k1 BIGINT, k2 BIGINT, n_shingles BIGINT, registers BINARY, bands ARRAY<BIGINT>"
 
