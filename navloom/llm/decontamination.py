@@ -97,7 +97,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     extended = join_rows(docs, found, "left_semi").withColumn("words", words_of(F.col("text")))
     spans = F.concat(*(_placed(F.col("words"), n) for n in lengths))
     spans = extended.select("doc_id", "text_hash", F.explode(spans).alias("s")).select("doc_id", "text_hash", "s.*")
-    hits = settle(spans.join(windows.select("window").distinct(), "window", "left_semi"), "hits")
+    wanted = settle(windows.select("window").distinct(), "wanted")  # plain sides, so that a window many have can be split
+    hits = settle(spans.join(wanted, "window", "left_semi"), "hits")
 
     # words covered: spans by start, each adding what lies beyond the end reached so far
     cover = F.aggregate(F.array_sort(F.collect_set(F.struct("start", "end"))), F.struct(F.lit(0).alias("reached"), F.lit(0).cast("long").alias("n")),
