@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from navloom.llm.textwords import NO_ID, byte_column, id_column
-from navloom.session import settle
+from navloom.session import scratch_table, settle
 
 BLOCK_BYTES = 8 << 20
 
@@ -47,7 +46,7 @@ def lay_out(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOC
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64)).astype(np.int32))
 
     n = len(bounds) + 1
-    name = f"llm_blocks_{uuid.uuid4().hex}"
+    name = scratch_table(spark, "text-blocks")
     (docs.withColumn("block", block_of(F.coalesce("id", F.lit(NO_ID)))).repartition(n, "block")
      .write.option("compression", "zstd").bucketBy(n, "block").saveAsTable(name))
     return spark.table(name), n
