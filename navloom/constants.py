@@ -48,8 +48,14 @@ AS_ON_PATTERN = (r"(?i)as\s+(?:on|at)\s+([A-Za-z]+\s+\d{1,2},?\s*\d{4}"
                  r"|\d{1,2}[-\s][A-Za-z]+[-\s]\d{4})")
 HOUSE_LINE_PATTERN = (r"(?i)^(?:name\s+of\s+(?:the\s+)?(?:mutual\s+fund|amc)\s*[:\-]\s*)?"
                       r"[\w .&',\-]{0,45}\bmutual fund\.?$")
+PLAN_PATTERNS = {"Direct": r"(?i)\bdirect\b", "Regular": r"(?i)\bregular\b"}
+OPTION_PATTERNS = {"IDCW": r"(?i)\bidcw\b|\bdcw\b|\bdividend\b|income distribution", "Growth": r"(?i)\bgrowth\b"}
+TITLE_HEAD_PATTERN = r"(?i)^portfolio\s+of\s+"
+TITLE_TAIL_PATTERN = r"(?i)\s+as\s+(?:on|at|of)\b.*$"
 MONTH_PATTERN = ("jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|"
                  "aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?")
+LINK_DAY_FIRST_PATTERN = rf".*?(\d{{1,2}})(?:st|nd|rd|th)?[-_ ]({MONTH_PATTERN})[-_ ](\d{{2,4}}).*"
+LINK_MONTH_FIRST_PATTERN = rf".*?({MONTH_PATTERN})[-_ ](\d{{1,2}})(?:st|nd|rd|th)?,?[-_ ](\d{{2,4}}).*"
 
 # --- fixed values: name-normalising word lists ---------------------------------
 GROUP_ID_WORDS = ("direct|regular|growth|idcw|dividend|div|bonus|payout|reinvestment|re-?investment|"
@@ -59,6 +65,7 @@ MASTER_STRIP_PATTERN = (r"(?i)\(.*?\)|\b(direct|regular|dir|reg)\b|\bplan\b|\bgr
                         r"\bpayout\b|\breinvestment\b|\boption\b|\bfund\b|"
                         r"\b(daily|weekly|fortnightly|monthly|quarterly|half\s*yearly|yearly|annual|normal)\b")
 SHEET_STRIP_PATTERN = r"(?i)\(.*?\)|\bfund\b|\bscheme\b"
+FUND_SPLIT_PATTERN = r"(?is)^(.*?)\bfunds?\b(.*)$"
 JOIN_WORDS = ["and", "the"]
 PLAN_WORDS = ["direct", "regular", "dir", "reg", "plan", "growth", "idcw", "dividend", "payout",
               "reinvestment", "option", "options", "bonus", "income", "distribution", "cum", "capital",

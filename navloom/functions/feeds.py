@@ -92,7 +92,5 @@ def period_end(label: Column) -> Column:
 def link_date(url: Column) -> Column:
     """The date in a workbook link, written '30th-June-2026' or 'June-30,-2026';
     the first wording that fits decides."""
-    dmy = rf".*?(\d{{1,2}})(?:st|nd|rd|th)?[-_ ]({K.MONTH_PATTERN})[-_ ](\d{{2,4}}).*"
-    mdy = rf".*?({K.MONTH_PATTERN})[-_ ](\d{{1,2}})(?:st|nd|rd|th)?,?[-_ ](\d{{2,4}}).*"
-    month_first = _if_fields(url, mdy, lambda p: _date(p[2], month_number(p[0]), p[1]))
-    return _if_fields(url, dmy, lambda p: _date(p[2], month_number(p[1]), p[0]), month_first)
+    month_first = _if_fields(url, K.LINK_MONTH_FIRST_PATTERN, lambda p: _date(p[2], month_number(p[0]), p[1]))
+    return _if_fields(url, K.LINK_DAY_FIRST_PATTERN, lambda p: _date(p[2], month_number(p[1]), p[0]), month_first)

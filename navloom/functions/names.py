@@ -17,16 +17,19 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(" \t\r\n\f\v"))
 
 
+def _first_match(text: Column, patterns: dict[str, str]) -> Column:
+    """The first label whose pattern the text has, else null."""
+    return F.coalesce(*(F.when(text.rlike(pattern), label) for label, pattern in patterns.items()))
+
+
 def plan_type(name: Column) -> Column:
     """Direct or Regular, else null; Direct wins when both words appear."""
-    return (F.when(name.rlike(r"(?i)\bdirect\b"), "Direct")
-             .when(name.rlike(r"(?i)\bregular\b"), "Regular"))
+    return _first_match(name, K.PLAN_PATTERNS)
 
 
 def option_type(name: Column) -> Column:
     """IDCW (payout wordings first) or Growth, else null."""
-    return (F.when(name.rlike(r"(?i)\bidcw\b|\bdcw\b|\bdividend\b|income distribution"), "IDCW")
-             .when(name.rlike(r"(?i)\bgrowth\b"), "Growth"))
+    return _first_match(name, K.OPTION_PATTERNS)
 
 
 def fund_group_id(amc: Column, name: Column) -> Column:
@@ -71,9 +74,8 @@ def master_identity(name: Column) -> Column:
     """A master name reduced to its fund: the words before 'Fund' plus the words
     after it that do not merely describe a plan or option."""
     raw = F.regexp_replace(_blank(name), r"\(.*?\)", " ")
-    split_at_fund = r"(?is)^(.*?)\bfunds?\b(.*)$"
-    head = _words(F.regexp_extract(raw, split_at_fund, 1))
-    tail = F.filter(_words(F.regexp_extract(raw, split_at_fund, 2)), lambda w: ~w.isin(K.PLAN_WORDS))
+    head = _words(F.regexp_extract(raw, K.FUND_SPLIT_PATTERN, 1))
+    tail = F.filter(_words(F.regexp_extract(raw, K.FUND_SPLIT_PATTERN, 2)), lambda w: ~w.isin(K.PLAN_WORDS))
     plain = name_tokens(F.regexp_replace(raw, K.MASTER_STRIP_PATTERN, " "))
     return F.when(raw.rlike(r"(?i)\bfunds?\b"), F.array_join(F.concat(head, tail), " ")).otherwise(plain)
 

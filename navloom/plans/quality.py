@@ -26,12 +26,9 @@ def quality_flags(master: DataFrame, nav: DataFrame, as_of: str) -> DataFrame:
 
 def quality_note(flag: Column, latest: Column) -> tuple[Column, Column]:
     """Label and explanation shown for a flagged scheme; null for a healthy one."""
-    label = (F.when(flag == "stale", "Stale: likely dormant or wound up")
-              .when(flag == "discontinuity", "Price discontinuity: some metrics withheld"))
-    text = (F.when(flag == "stale", F.concat(F.lit("The newest price is from "), F.coalesce(latest.cast("string"), F.lit("an old date")),
-                                             F.lit("; the scheme is left out of listings and rankings.")))
-             .when(flag == "discontinuity", "The price history has a large one-day jump without economic meaning; "
-                                            "returns and risk over any period that spans it are withheld."))
+    label = F.when(flag == "stale", "no recent price").when(flag == "discontinuity", "broken price series")
+    text = (F.when(flag == "stale", F.concat(F.lit("Last priced: "), F.coalesce(latest.cast("string"), F.lit("unknown")), F.lit(". Not listed, not ranked.")))
+             .when(flag == "discontinuity", "One day moves by more than 40%. Figures over spans with that day are null."))
     return label, text
 
 

@@ -75,8 +75,7 @@ def _title_text(cells: Column) -> Column:
         return (F.length(t) > 5) & t.contains(" ") & t.rlike(_LETTERS) & ~t.rlike(K.HOUSE_LINE_PATTERN)
 
     title = F.get(F.filter(cells, fits), F.lit(0))["text"]
-    bare = F.regexp_replace(title, r"(?i)^portfolio\s+of\s+", "")
-    return names.strip(F.regexp_replace(bare, r"(?i)\s+as\s+(?:on|at|of)\b.*$", ""))
+    return names.strip(F.regexp_replace(F.regexp_replace(title, K.TITLE_HEAD_PATTERN, ""), K.TITLE_TAIL_PATTERN, ""))
 
 
 def sheet_titles(above: DataFrame, as_of: str, date_rows: int | None = None) -> DataFrame:

@@ -59,7 +59,7 @@ def test_quality_note(spark):
     df = spark.createDataFrame([("stale", D(2020, 1, 1)), ("stale", None), ("discontinuity", None), (None, None)], "q STRING, d DATE")
     label, text = quality.quality_note(F.col("q"), F.col("d"))
     rows = df.select(label.alias("l"), text.alias("t")).collect()
-    assert "2020-01-01" in rows[0].t and "an old date" in rows[1].t and "jump" in rows[2].t
+    assert "2020-01-01" in rows[0].t and "unknown" in rows[1].t and "40%" in rows[2].t
     assert rows[3].l is None and rows[3].t is None
 
 

@@ -94,28 +94,27 @@ SELECT *, nav / nullif(prev, 0) - 1 AS ret FROM (
 CTES = {
     "proxies": ((), f"SELECT * FROM (VALUES {_values(K.BENCHMARK_PROXIES)}) p(category, proxy, proxy_name, note)"),
     "periods": ((), f"SELECT * FROM (VALUES {_values(K.PERIOD_DAYS.items())}) p(period, days)"),
-    "events": (("fx_nav",), """
-SELECT scheme_code, date FROM (
-  SELECT scheme_code, date, nav / nullif(lag(nav) OVER (PARTITION BY scheme_code ORDER BY date), 0) - 1 AS chg
-  FROM fx_nav) c WHERE abs(chg) > 0.4"""),
+    # each price with the one before it, found by its place in the series
+    "placed": (("fx_nav",), "SELECT *, row_number() OVER (PARTITION BY scheme_code ORDER BY date) AS place FROM fx_nav"),
+    "events": (("placed",), f"""
+SELECT b.scheme_code, b.date, a.date AS since FROM placed a JOIN placed b ON b.scheme_code = a.scheme_code AND b.place = a.place + 1
+WHERE a.nav <> 0 AND (b.nav > a.nav * (1 + {K.JUMP_LIMIT}) OR b.nav < a.nav * (1 - {K.JUMP_LIMIT}))"""),
     "latest": (("fx_nav",), """
 SELECT scheme_code, min(date) AS first_date, arg_min(nav, date) AS first_nav, max(date) AS date, arg_max(nav, date) AS nav
 FROM fx_nav GROUP BY scheme_code"""),
     "returns": (("latest", "periods", "events", "fx_nav"), f"""
-SELECT scheme_code, period, {rnd('CASE WHEN days // 365 >= 3 THEN (pow(lnav / anav, 1e0 / (days // 365)) - 1) * 100 ELSE (lnav - anav) / anav * 100 END', 2)} AS ret,
+SELECT a.scheme_code, period, {rnd('CASE WHEN days // 365 >= 3 THEN (pow(lnav / anav, 1e0 / (days // 365)) - 1) * 100 ELSE (lnav - anav) / anav * 100 END', 2)} AS ret,
        ldate AS as_of_date
 FROM (SELECT l.scheme_code, p.period, p.days, l.date AS ldate, l.nav AS lnav, max(h.date) AS adate, arg_max(h.nav, h.date) AS anav
       FROM latest l CROSS JOIN periods p JOIN fx_nav h ON h.scheme_code = l.scheme_code
        AND h.date <= l.date - p.days AND h.date > l.date - p.days - {K.ANCHOR_TOLERANCE_DAYS}
       GROUP BY ALL) a
-WHERE anav > 0 AND NOT EXISTS (SELECT 1 FROM events e WHERE e.scheme_code = a.scheme_code AND e.date > a.adate AND e.date <= a.ldate)"""),
-    "flags": (("fx_master", "fx_nav"), f"""
-SELECT m.scheme_code, CASE WHEN coalesce(n.d, DATE '1900-01-01') < {AS_OF_SQL} - {K.STALE_AFTER_DAYS} THEN 'stale'
-    WHEN j.scheme_code IS NOT NULL THEN 'discontinuity' END AS data_quality
-FROM fx_master m LEFT JOIN (SELECT scheme_code, max(date) AS d FROM fx_nav GROUP BY 1) n USING (scheme_code)
-LEFT JOIN (SELECT DISTINCT scheme_code FROM (
-    SELECT scheme_code, nav / nullif(lag(nav) OVER (PARTITION BY scheme_code ORDER BY date), 0) - 1 AS chg
-    FROM fx_nav WHERE date >= {AS_OF_SQL} - {K.JUMP_LOOKBACK_DAYS}) c WHERE abs(chg) > 0.4) j USING (scheme_code)"""),
+LEFT JOIN events e ON e.scheme_code = a.scheme_code AND e.date BETWEEN a.adate + 1 AND a.ldate
+WHERE anav > 0 AND e.date IS NULL"""),
+    "flags": (("fx_master", "latest", "events"), f"""
+SELECT m.scheme_code, CASE WHEN l.date IS NULL OR date_diff('day', l.date, {AS_OF_SQL}) > {K.STALE_AFTER_DAYS} THEN 'stale'
+         WHEN m.scheme_code IN (SELECT scheme_code FROM events WHERE date_diff('day', since, {AS_OF_SQL}) <= {K.JUMP_LOOKBACK_DAYS}) THEN 'discontinuity' END AS data_quality
+FROM fx_master m LEFT JOIN latest l ON l.scheme_code = m.scheme_code"""),
     "master": (("fx_master", "flags"), "SELECT m.*, f.data_quality FROM fx_master m JOIN flags f USING (scheme_code)"),
     "peers": (("returns", "master"), """
 SELECT r.*, m.category FROM returns r JOIN master m USING (scheme_code)
@@ -468,9 +467,9 @@ SELECT {_LIST} FROM card WHERE is_active AND data_quality IS NULL AND (name ILIK
 SELECT count(*) AS total FROM master WHERE is_active AND data_quality IS NULL AND (name ILIKE '%brand%' OR amc ILIKE '%brand%')
   AND category = 'Equity Scheme - Mid Cap Fund'"""),
     "scheme_detail": _q("card", """
-SELECT *, CASE data_quality WHEN 'stale' THEN 'Stale: likely dormant or wound up' WHEN 'discontinuity' THEN 'Price discontinuity: some metrics withheld' END AS quality_label,
-  CASE data_quality WHEN 'stale' THEN 'The newest price is from ' || coalesce(CAST(nav_date AS STRING), 'an old date') || '; the scheme is left out of listings and rankings.'
-    WHEN 'discontinuity' THEN 'The price history has a large one-day jump without economic meaning; returns and risk over any period that spans it are withheld.' END AS quality_text,
+SELECT *, CASE data_quality WHEN 'stale' THEN 'no recent price' WHEN 'discontinuity' THEN 'broken price series' END AS quality_label,
+    CASE data_quality WHEN 'stale' THEN 'Last priced: ' || coalesce(CAST(nav_date AS STRING), 'unknown') || '. Not listed, not ranked.'
+    WHEN 'discontinuity' THEN 'One day moves by more than 40%. Figures over spans with that day are null.' END AS quality_text,
   CASE WHEN percentile_3y >= 67 THEN 'top' WHEN percentile_3y >= 33 THEN 'middle' WHEN percentile_3y IS NOT NULL THEN 'bottom' END AS band_3y
 FROM card"""),
     "period_rows": _q(("returns", "master", "proxies", "stats", "periods"), """
