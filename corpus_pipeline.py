@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navloom.llm import decontamination, language_id, packing, secret_scan, sketch_dedup
@@ -12,38 +12,48 @@ LEAST_SCORE = 0.1  # share of a language's n-grams below which a text of some le
 LEAST_CHARS = 20  # shorter texts are rejected only when they have no letter
 
 
+def _unused(names: list[str], name: str) -> str:
+    while name in names:
+        name = f"_{name}"
+    return name
+
+
+def _rows(docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """(doc_id, text_hash, row): what rows are joined by, and all their columns in one, whatever they are called."""
+    return docs.select("doc_id", F.xxhash64(F.col("text") if text is None else text).alias("text_hash"), F.struct(*docs.columns).alias("row"))
+
+
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language learned from the labels; those without a letter, or with hardly an
     n-gram of any language, go."""
-    names = tuple(docs.columns)
-    model = language_id.fit(docs)
-    found = language_id.identify(docs, model, keep=names, lang_col="_lang", score_col="_score")
-    return found.where((F.col("_lang") != "und") & ((F.col("_score") >= LEAST_SCORE) | (F.length("text") < LEAST_CHARS))).select(*names)
+    names = docs.columns
+    lang, score = _unused(names, "lang_pred"), _unused(names, "score")
+    found = language_id.identify(docs, language_id.fit(docs), keep=tuple(names), lang_col=lang, score_col=score)
+    return found.where((F.col(lang) != "und") & ((F.col(score) >= LEAST_SCORE) | (F.length("text") < LEAST_CHARS))).select(*names)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near duplicates. One row of a repeated id stays; rows with a null id all stay."""
-    dropped = sketch_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    dropped = sketch_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    kept = _rows(docs.where("doc_id IS NOT NULL")).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage of ten words (or a whole shorter item) with the benchmark."""
-    names = docs.columns
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = found.where("n_hit > 0").select("doc_id", "text_hash").distinct()
-    return join_rows(docs.withColumn("text_hash", F.xxhash64("text")), hit, "left_anti").select(*names)
+    return join_rows(_rows(docs), hit, "left_anti").select("row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret span replaced by a mark."""
-    names = docs.columns
-    found = secret_scan.scan(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("spans", "_spans")
-    clean = join_rows(docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), found, "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("_spans")))
-    chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    return clean.withColumn("n_chars", chars).withColumn("text", text).select(*names)
+    found = secret_scan.scan(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
+    rows = join_rows(_rows(docs, F.coalesce("text", F.lit(""))), found, "left")
+    hit, text = F.col("spans").isNotNull(), F.col("row.text")
+    clean = F.when(hit, secret_scan.redacted(text, F.col("spans"))).otherwise(text)
+    changed = {"text": clean, "n_chars": F.when(hit, F.length(clean).cast("long")).otherwise(F.col("row.n_chars"))}
+    return rows.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
