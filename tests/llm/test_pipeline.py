@@ -53,3 +53,17 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0
+
+
+def test_columns_of_any_name_come_through(spark, tmp_path):
+    make(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clashing = ["text_hash", "spans", "row", "score", "lang_pred", "kept", "node", "_0", "id", "bucket", "n_tokens"]
+    for c in clashing:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+    rows = docs.collect()
+    assert len(rows) == 14
+    for r in rows:
+        assert all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for c in clashing)
