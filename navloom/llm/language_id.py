@@ -22,9 +22,11 @@ from navloom.llm.textwords import LOWER, byte_column, byte_values, mix, roll
 SLOTS = 1 << 18  # a power of two; with a 64-bit word per 64 languages, the filter has 2 MB
 HASHES = 2
 GRAM_BYTES = (3, 4, 5)
-PER_LANGUAGE = 20_000  # labelled documents that a language is learned from, at most
+PER_LANGUAGE = 5_000  # labelled documents that a language is learned from, at most
 MAX_LANGUAGES = 1000  # more labels than this are an error, so what fitting broadcasts per language is bounded
 STEP = 1024  # documents looked up at once
+GRAM_PIECE = 1 << 19  # bytes whose n-grams are worked on at once
+HELD_GRAMS = 2_000_000  # counts that a task holds before it gives them out
 COMMON = 2e-5  # an n-gram enters a language's filter at this share of the language's n-grams
 
 # ASCII letters and all bytes of longer code points count as letters; the rest parts n-grams.
@@ -40,26 +42,24 @@ class Model:
     chance: np.ndarray  # per language: share of absent n-grams that the filter has all the same
 
 
-def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams inside runs of letters, a space standing for each edge, and their rows."""
-    data = LOWER[data]
-    letter = IS_LETTER[data]
-    data = np.where(letter, data, np.uint8(0x20))
-    row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
-    keys, rows = [], []
-    for size in GRAM_BYTES:
-        if len(data) < size:
-            continue
-        n = len(data) - size + 1
-        inner = np.ones(n, bool)
-        for j in range(1, size - 1):
-            inner &= letter[j:n + j]
-        inner &= row[:n] == row[size - 1:]
-        keys.append(mix(roll(byte_values(data), size)[inner] + np.uint64(size)))
-        rows.append(row[:n][inner])
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    return np.concatenate(keys), np.concatenate(rows)
+def grams(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the n-grams inside runs of letters, a space standing for each edge, and their rows; a piece of the
+    bytes at a time, each with the few bytes after it that its last n-grams reach into."""
+    for low in range(0, len(data), GRAM_PIECE):
+        high = min(low + GRAM_PIECE, len(data))
+        piece = LOWER[data[low:high + max(GRAM_BYTES) - 1]]
+        letter = IS_LETTER[piece]
+        piece = np.where(letter, piece, np.uint8(0x20))
+        row = (np.searchsorted(bounds, np.arange(low, low + len(piece)), "right") - 1).astype(np.int32)
+        values = byte_values(piece)
+        for size in GRAM_BYTES:
+            n = min(high - low, len(piece) - size + 1)
+            if n <= 0:
+                continue
+            inner = row[:n] == row[size - 1:size - 1 + n]
+            for j in range(1, size - 1):
+                inner &= letter[j:n + j]
+            yield mix(roll(values, size)[:n][inner] + np.uint64(size)), row[:n][inner]
 
 
 def slots(keys: np.ndarray) -> list[np.ndarray]:
@@ -67,16 +67,32 @@ def slots(keys: np.ndarray) -> list[np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-gram counts by language, added up inside the task and given out when they are many."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for name, (found, counts) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
+        held.clear()
+
     for batch in batches:
         langs = batch.column(1).to_pylist()
-        data, bounds = byte_column(batch.column(0))
         names = sorted(set(langs))
         code = np.array([names.index(lang) for lang in langs], np.int64)
-        keys, rows = grams(data, bounds)
-        for i, name in enumerate(names):
-            found, counts = np.unique(keys[code[rows] == i], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))],
-                                             names=["lang", "gram", "n"])
+        for keys, rows in grams(*byte_column(batch.column(0))):
+            own = code[rows]
+            for i, name in enumerate(names):
+                found, counts = np.unique(keys[own == i], return_counts=True)
+                if name in held:
+                    both, place = np.unique(np.concatenate([held[name][0], found]), return_inverse=True)
+                    total = np.zeros(len(both), np.int64)
+                    np.add.at(total, place, np.concatenate([held[name][1], counts]))
+                    held[name] = (both, total)
+                elif len(found):
+                    held[name] = (found, counts.astype(np.int64))
+            if sum(len(found) for found, _ in held.values()) > HELD_GRAMS:
+                yield from out()
+    yield from out()
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, order: Column | None = None) -> Model:
@@ -112,17 +128,18 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
 def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     data, bounds = byte_column(column)
     n = len(bounds) - 1
-    keys, rows = grams(data, bounds)
-    total = np.bincount(rows, minlength=n)
-    hit = None
-    for slot in slots(keys):
-        masks = model.masks[slot]
-        hit = masks if hit is None else hit & masks
-    scores = np.zeros((n, max(1, len(model.languages))))
-    for i, chance in enumerate(model.chance):
-        bit = (hit[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-        share = np.bincount(rows, bit.astype(np.float64), n) / np.maximum(total, 1)
-        scores[:, i] = np.clip((share - chance) / max(1e-9, 1 - chance), 0, 1)
+    total, hits = np.zeros(n), np.zeros((n, max(1, len(model.languages))))
+    for keys, rows in grams(data, bounds):
+        hit = None
+        for slot in slots(keys):
+            masks = model.masks[slot]
+            hit = masks if hit is None else hit & masks
+        total += np.bincount(rows, minlength=n)
+        for i in range(len(model.languages)):
+            bit = (hit[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+            hits[:, i] += np.bincount(rows, bit.astype(np.float64), n)
+    chance = np.append(model.chance, 0.0)[:hits.shape[1]]
+    scores = np.clip((hits / np.maximum(total, 1)[:, None] - chance) / np.maximum(1e-9, 1 - chance), 0, 1)
     best = scores.argmax(1)
     letters = IS_LETTER[LOWER[data]]
     ascii_ = np.concatenate([[0], np.cumsum(letters & (data < 0x80))])
