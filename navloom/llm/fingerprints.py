@@ -21,8 +21,8 @@ from navloom.session import settle
 
 K, S = 24, 13  # bytes of a k-mer and of the s-mers inside
 BINS = 64  # four hex digits each
-RANGE_BYTES = 16 << 20
-STEP = 512  # documents fingerprinted at once
+RANGE_BYTES = 4 << 20
+STEP = 128  # documents fingerprinted at once
 
 
 def syncmers(data: np.ndarray, bounds: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
