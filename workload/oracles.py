@@ -567,6 +567,10 @@ SELECT category, proxy AS proxy_scheme_code, proxy_name, note FROM proxies
 UNION ALL SELECT DISTINCT category, '0', 'old', 'old' FROM fx_catalog WHERE category NOT IN (SELECT category FROM proxies)"""),
     "aum_unknown": _q(("sized", "fx_catalog"), """
 SELECT DISTINCT code AS scheme_code FROM sized WHERE a IS NOT NULL AND code NOT IN (SELECT scheme_code FROM fx_catalog)""", _AUM),
+    "period_ends": _q("fx_nav", """
+SELECT monthname(q) || ' - ' || monthname(q + INTERVAL 2 MONTH) || ' ' || CAST(year(q) AS STRING) AS label, count(*) AS prices,
+       last_day(CAST(q + INTERVAL 2 MONTH AS DATE)) AS period_end
+FROM (SELECT date_trunc('quarter', date) AS q FROM fx_nav) p GROUP BY q"""),
     "newest_links": _q("fx_links", """
 SELECT amc, d AS link_date, max(url) AS url FROM (
   SELECT *, max(d) OVER (PARTITION BY amc) AS newest FROM (

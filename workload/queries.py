@@ -435,8 +435,10 @@ def price_store(spark, sf_dir):
 
 @query
 def stream_ingest(spark, sf_dir):
-    """Events as landed files: one value per user and day, the last one wins."""
-    store, checkpoint = scratch_dir(spark, "stream-prices"), scratch_dir(spark, "stream-checkpoint")
+    """Events as landed files, a batch each: one value per user and day, the last one wins.
+    Then all of it again under a fresh checkpoint, which must change nothing."""
+    store, landed = scratch_dir(spark, "stream-prices"), scratch_dir(spark, "events")
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartitionByRange(3, F.to_date("ts")).write.parquet(landed)
     schema = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
     def daily(batch: DataFrame) -> DataFrame:
@@ -444,8 +446,9 @@ def stream_ingest(spark, sf_dir):
         return (batch.groupBy(F.concat(F.lit("U"), F.col("user_id")).alias("scheme_code"), F.to_date("ts").alias("date"))
                      .agg(last.alias("nav")))
 
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
-    ingest.ingest_available(stream, store, checkpoint, daily).awaitTermination()
+    for files in (1, 1000):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landed)
+        ingest.ingest_available(stream, store, scratch_dir(spark, "stream-checkpoint"), daily).awaitTermination()
     return prices.read_prices(spark, store)
 
 
@@ -522,6 +525,15 @@ def aum_unknown(spark, sf_dir):
     return costs.unknown_aum(_size_groups(t), t.catalog)
 
 
+@query
+def period_ends(spark, sf_dir):
+    """The end of every quarter with prices, read from the label a size feed gives it."""
+    first = F.trunc("date", "quarter")
+    label = F.concat(F.date_format(first, "MMMM"), F.lit(" - "), F.date_format(F.add_months(first, 2), "MMMM"), F.lit(" "), F.year("date").cast("string"))
+    labels = Tables(spark, sf_dir).nav.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("prices"))
+    return labels.withColumn("period_end", feeds.period_end(F.col("label")))
+
+
 @query
 def newest_links(spark, sf_dir):
     return holdings.newest_links(Tables(spark, sf_dir).links)
