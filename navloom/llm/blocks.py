@@ -39,7 +39,7 @@ def lay_out(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOC
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
     cuts = docs.where("id IS NOT NULL").approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    bounds = np.unique(np.array(cuts, np.int64))
+    bounds = np.unique(np.array([min(int(c), NO_ID - 1) for c in cuts], np.int64))
 
     @F.pandas_udf("int")
     def block_of(ids: pd.Series) -> pd.Series:
@@ -60,7 +60,7 @@ class Block:
         order = np.argsort(ids, kind="stable")
         table = table.take(pa.array(order)) if len(order) else table
         self.ids = ids[order]
-        self.id_values = pa.array(self.ids, mask=self.ids == NO_ID)
+        self.id_values = table.column("id")  # with its nulls
         self.data, self.bounds = byte_column(table.column("text"))
         self.sizes = np.diff(self.bounds)
 

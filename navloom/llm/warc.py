@@ -48,8 +48,8 @@ def even_ranges(rows: DataFrame, id_col: str, bytes_col: str, target: int) -> li
         deeper = []
         for a, b in spans:
             step = max(1, -(-(b - a) // _FANOUT))
-            cell = F.floor((F.col(id_col) - F.lit(a)) / F.lit(step)) if b - a < 2**52 else F.expr(f"({id_col} - {a}L) div {step}L")
-            for r in rows.where((F.col(id_col) >= a) & (F.col(id_col) < b)).groupBy(cell.cast("long").alias("cell")).agg(F.sum(bytes_col).alias("n")).collect():
+            cell = F.expr(f"(CAST({id_col} AS DECIMAL(20, 0)) - CAST('{a}' AS DECIMAL(20, 0))) DIV CAST('{step}' AS DECIMAL(20, 0))")
+            for r in rows.where((F.col(id_col) >= a) & (F.col(id_col) <= b - 1)).groupBy(cell.cast("long").alias("cell")).agg(F.sum(bytes_col).alias("n")).collect():
                 start = a + r.cell * step
                 if r.n > 2 * target and step > 1:
                     deeper.append((start, min(b, start + step)))

@@ -175,3 +175,10 @@ def test_blocks_keep_ids_together(spark):
 def test_kept_digest_of_nothing(spark):
     kept = substring_dedup.remove_repeats(table(spark, [(1, None)])).first().kept
     assert hashlib.sha256(kept).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_ids_may_be_any_longs(spark):
+    text = " ".join(words(1, 60))
+    rows = [(i, text) for i in (2**63 - 1, 2**63 - 2, -2**63, 2**53 + 1, 2**53)] + [(5, " ".join(words(2, 60)))]
+    found = multiset(substring_dedup.remove_repeats(table(spark, rows), block_bytes=200), "doc_id", "n_removed")
+    assert found == sorted([(i, 0 if i in (-2**63, 5) else 60) for i, _ in rows], key=repr)

@@ -203,3 +203,10 @@ def test_even_ranges_split_crowded_steps(spark):
     edges = [*bounds, 2**62]
     held = [sum(a <= i < b for i, _ in ids) for a, b in zip(edges, edges[1:])]
     assert bounds[0] == 0 and sum(held) == 1050 and max(held) <= 300
+
+
+def test_even_ranges_over_all_longs(spark):
+    ids = [(-2**63, 5), (-1, 5), (0, 5), (2**63 - 1, 5)]
+    bounds = warc.even_ranges(spark.createDataFrame(ids, "id BIGINT, n INT"), "id", "n", 4)
+    assert [sum(b <= i for b in bounds) for i, _ in ids] == [1, 2, 3, 4]
+    assert warc.even_ranges(spark.createDataFrame([(None, 5)], "id BIGINT, n INT"), "id", "n", 4) == []
