@@ -13,14 +13,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large and small stars: a node's larger, then its smaller neighbours are linked with the smallest
     one it knows, until only stars are left, after about log^2 rounds at most. Each round is two aggregations to a
-    minimum and a join back, so a hub of any degree is spread over tasks; a round's edges are settled."""
+    minimum and a join back. Minima and edges are settled, so that both sides of a join are plain and the edges of a hub,
+    whatever its degree, can be split over tasks."""
     edges = settle(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = settle(large, "large")
+        least = settle(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         edges = settle(small.select("e.u", F.col("e.m").alias("v")).where("u > v").distinct(), "edges")
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.countDistinct("u")).first()

@@ -8,10 +8,12 @@ least is opened. In the end every bin shrinks to the shortest permitted length t
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,3 +112,21 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "n_token
 
     dealt = part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards)))
     return full.unionByName(dealt.groupBy("shard").applyInArrow(packed, PACKED))
+
+
+# How a byte-level vocabulary cuts text before merging (fixed value of the public byte-level encodings).
+SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def token_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = SPLIT_PATTERN) -> DataFrame:
+    """(doc_id, n_tokens) under a byte-level vocabulary: `ranks_path` names a file of ranks (a base64 token and its
+    rank per line) that every executor can open. A null or empty text has no tokens."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for batch in batches:
+            counts = [len(encoding.encode_ordinary(text)) if text else 0 for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(counted, "doc_id BIGINT, n_tokens BIGINT")

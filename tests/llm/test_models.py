@@ -1,3 +1,4 @@
+import base64
 import hashlib
 
 import numpy as np
@@ -210,3 +211,11 @@ def test_even_ranges_over_all_longs(spark):
     bounds = warc.even_ranges(spark.createDataFrame(ids, "id BIGINT, n INT"), "id", "n", 4)
     assert [sum(b <= i for b in bounds) for i, _ in ids] == [1, 2, 3, 4]
     assert warc.even_ranges(spark.createDataFrame([(None, 5)], "id BIGINT, n INT"), "id", "n", 4) == []
+
+
+def test_token_counts_of_a_given_vocabulary(spark, tmp_path):
+    vocabulary = [bytes([i]) for i in range(256)] + [b"th", b"the", b" t", b" th", b" the"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(token) + b" %d" % rank for rank, token in enumerate(vocabulary)) + b"\n")
+    rows = [(1, "the the"), (2, "xyz"), (3, None), (4, ""), (5, "é")]
+    assert multiset(packing.token_counts(table(spark, rows), str(path)), "doc_id", "n_tokens") == [(1, 2), (2, 3), (3, 0), (4, 0), (5, 2)]
