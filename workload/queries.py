@@ -12,7 +12,7 @@ from navloom import schemas
 from navloom.functions import feeds, names, tax
 from navloom.functions.rounding import rnd
 from navloom.operators import merge, resolve, series
-from navloom.plans import (backtest, compare, costleak, explorer, nightly, overlap, peers, projections, quality, returns,
+from navloom.plans import (backtest, compare, costleak, explorer, nightly, overlap, projections, quality, returns,
                            risk, rolling)
 from navloom.plans import tax as plan_taxes
 from navloom.session import scratch_dir, settle
