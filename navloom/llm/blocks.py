@@ -10,11 +10,9 @@ keys of one block.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -22,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from navloom.llm.textwords import NO_ID, byte_column, id_column
+from navloom.llm.ranges import even_ranges, in_range
+from navloom.llm.textwords import byte_column, id_column
 from navloom.session import scratch_table, settle
 
 BLOCK_BYTES = 8 << 20
@@ -36,20 +35,12 @@ def lay_out(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOC
     share a block; a null id sorts last. The driver holds one bound per block, as in any range partitioning."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    cuts = docs.where("id IS NOT NULL").approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    bounds = np.unique(np.array([min(int(c), NO_ID - 1) for c in cuts], np.int64))
-
-    @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64)).astype(np.int32))
-
-    n = len(bounds) + 1
+    sizes = settle(docs.where("id IS NOT NULL").select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), "sizes")
+    bounds = even_ranges(sizes, "id", "size", block_bytes) or [0]
     name = scratch_table(spark, "text-blocks")
-    (docs.withColumn("block", block_of(F.coalesce("id", F.lit(NO_ID)))).repartition(n, "block")
-     .write.option("compression", "zstd").bucketBy(n, "block").saveAsTable(name))
-    return spark.table(name), n
+    (docs.withColumn("block", in_range(F.col("id"), bounds)).repartition(len(bounds), "block")
+     .write.option("compression", "zstd").bucketBy(len(bounds), "block").saveAsTable(name))
+    return spark.table(name), len(bounds)
 
 
 class Block:

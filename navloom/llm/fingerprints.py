@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from navloom.llm.ranges import even_ranges, in_range
 from navloom.llm.textwords import byte_column, byte_values, mix, roll, sliding_min
-from navloom.llm.warc import even_ranges, in_range
 from navloom.session import settle
 
 K, S = 24, 13  # bytes of a k-mer and of the s-mers inside

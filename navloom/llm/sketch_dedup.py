@@ -21,7 +21,6 @@ from navloom.llm.textwords import byte_column, mix, roll, word_bounds, word_hash
 from navloom.session import settle
 
 REGISTERS = 128
-BAND = 4  # four 16-bit registers make one 64-bit band value
 BASE, RATE, TOP = 1.001, 20.0, 65535  # register spacing, rate of the exponentials, largest value
 SIGMAS = 6.0  # an estimate so many deviations short of the threshold is dropped
 TILE = 100_000  # shingles of a side of a tile, about
@@ -94,7 +93,7 @@ def registers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key for each band."""
+    """One 64-bit bucket key for each band of four 16-bit registers."""
     bands = np.ascontiguousarray(regs).view(np.uint64)
     return mix(bands + (np.arange(bands.shape[1], dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from navloom.llm import fingerprints, language_id, packing, warc
+from navloom.llm import fingerprints, language_id, packing, ranges, warc
 from tests.llm.conftest import multiset, table, words
 
 LETTERS = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "éèàüößñqrst"}
@@ -200,7 +200,7 @@ def test_archives_of_no_pages(spark, tmp_path):
 
 def test_even_ranges_split_crowded_steps(spark):
     ids = [(i, 1) for i in range(1000)] + [(10**15 + i, 1) for i in range(50)]
-    bounds = warc.even_ranges(spark.createDataFrame(ids, "id BIGINT, n INT"), "id", "n", 100)
+    bounds = ranges.even_ranges(spark.createDataFrame(ids, "id BIGINT, n INT"), "id", "n", 100)
     edges = [*bounds, 2**62]
     held = [sum(a <= i < b for i, _ in ids) for a, b in zip(edges, edges[1:])]
     assert bounds[0] == 0 and sum(held) == 1050 and max(held) <= 300
@@ -208,9 +208,9 @@ def test_even_ranges_split_crowded_steps(spark):
 
 def test_even_ranges_over_all_longs(spark):
     ids = [(-2**63, 5), (-1, 5), (0, 5), (2**63 - 1, 5)]
-    bounds = warc.even_ranges(spark.createDataFrame(ids, "id BIGINT, n INT"), "id", "n", 4)
+    bounds = ranges.even_ranges(spark.createDataFrame(ids, "id BIGINT, n INT"), "id", "n", 4)
     assert [sum(b <= i for b in bounds) for i, _ in ids] == [1, 2, 3, 4]
-    assert warc.even_ranges(spark.createDataFrame([(None, 5)], "id BIGINT, n INT"), "id", "n", 4) == []
+    assert ranges.even_ranges(spark.createDataFrame([(None, 5)], "id BIGINT, n INT"), "id", "n", 4) == []
 
 
 def test_token_counts_of_a_given_vocabulary(spark, tmp_path):
