@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,22 @@ def test_differences_are_counted(spark):
 def test_two_licenses_on_one_line(spark):
     found = license_scan.scan(table(spark, [(1, "Released under the MIT License. Licensed under CC BY 4.0.")])).collect()
     assert sorted(r.license for r in found) == ["CC-BY-4.0", "MIT"]
+
+
+@pytest.mark.parametrize("width", [12, 40, 72])
+@pytest.mark.parametrize("mark", ["", "# "])
+def test_every_template_is_found_in_paragraphs_and_lines(spark, width, mark):
+    rows = []
+    for i, (_, text) in enumerate(TEMPLATES):
+        parts = [textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"(?<=[.:;]) ", text)]
+        layout = f"\n{mark}\n".join("\n".join(mark + line for line in p) for p in parts)
+        rows.append((i, f"Some prose before it.\n\n{layout}\n\nand some after."))
+        rows.append((100 + i, f"{layout}\n\nMore of it.\n\n{layout}"))
+    found = license_scan.scan(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.license, r.exact) for r in found) == sorted((j, name, True) for i, (name, _) in enumerate(TEMPLATES) for j in (i, 100 + i, 100 + i))
+
+
+def test_triggers_may_be_split(spark):
+    text = "This is free and unencumbered software released into the public{}domain."
+    found = license_scan.scan(table(spark, [(i, text.format(gap)) for i, gap in enumerate(["  ", "\n", "\n * ", "\u00a0"])])).collect()
+    assert sorted((r.doc_id, r.license, r.exact) for r in found) == [(i, "Unlicense", True) for i in range(4)]
