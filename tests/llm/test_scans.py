@@ -157,3 +157,13 @@ def test_triggers_may_be_split(spark):
     text = "This is free and unencumbered software released into the public{}domain."
     found = license_scan.scan(table(spark, [(i, text.format(gap)) for i, gap in enumerate(["  ", "\n", "\n * ", "\u00a0"])])).collect()
     assert sorted((r.doc_id, r.license, r.exact) for r in found) == [(i, "Unlicense", True) for i in range(4)]
+
+
+@pytest.mark.parametrize("notice", ["Released under the MIT License.", "Licensed under the MIT License.", "Licensed under CC BY 4.0."])
+def test_legal_words_beside_a_notice_do_not_hide_it(spark, notice):
+    prose = ("The software in this package may be used, copied and modified by any person, subject to the following conditions and in compliance with "
+             "applicable law; the authors of this work are in no event liable for any damages, whether in contract or tort, arising from the use of this "
+             "program, and the names of its contributors may not be used to endorse products without prior written permission. ")
+    rows = [(n, f"{prose[:n]} {notice}") for n in range(100, len(prose), 10)]
+    found = license_scan.scan(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.exact) for r in found) == [(n, True) for n, _ in rows]
