@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.components import components
@@ -24,6 +24,8 @@ REGISTERS = 128
 BASE, RATE, TOP = 1.001, 20.0, 65535  # register spacing, rate of the exponentials, largest value
 SIGMAS = 6.0  # an estimate so many deviations short of the threshold is dropped
 TILE = 100_000  # shingles of a side of a tile, about
+NODES = 2_000  # nodes of a side of a tile, about
+STRIP = 256  # nodes of a side held against the other's at once, by size
 COLUMNS = 2048  # shingles counted at once
 STEP = 1024  # documents sketched at once
 
@@ -194,25 +196,25 @@ def _joining(percent: int):
         column, owner = place[column[inside]], owner[inside]
         order = np.argsort(column, kind="stable")
         column, owner = column[order], owner[order]
-        within = np.cumsum(few) - 1
-        within[~few] = np.cumsum(~few)[~few] - 1
-        common = np.zeros((int(few.sum()), int((~few).sum())), np.float32)
+        # by size, so that nodes of a strip meet those of sizes that can be alike only
+        sides = [np.flatnonzero(own)[np.argsort(sizes[own], kind="stable")] for own in (few, ~few)]
+        (na, ra, sa), (nb, rb, sb) = ((node[s], root[s], sizes[s].astype(np.int64)) for s in sides)
+        strips = [(at, min(at + STRIP, len(sa))) for at in range(0, len(sa), STRIP)]
+        spans = [(int(np.searchsorted(sb * 100, sa[x] * percent)), int(np.searchsorted(sb * percent, sa[y - 1] * 100, "right"))) for x, y in strips]
+        within = np.empty(len(node), np.int64)
+        for s in sides:
+            within[s] = np.arange(len(s))
+        common = np.zeros((len(sa), len(sb)), np.float32)
         for low in range(0, int(shared.sum()), COLUMNS):
             x, y = np.searchsorted(column, [low, low + COLUMNS])
-            sides = []
+            held = []
             for own in (few, ~few):
                 at = np.flatnonzero(own[owner[x:y]]) + x
                 side = np.zeros((int(own.sum()), COLUMNS), np.float32)
                 side[within[owner[at]], column[at] - low] = 1
-                sides.append(side)
-            common += sides[0] @ sides[1].T
-        common = common.astype(np.int64)
-        either = sizes[few][:, None] + sizes[~few][None, :] - common
-        linked = (common * 100 >= either * percent) & (root[few][:, None] != root[~few][None, :])
-        i, j = np.nonzero(linked)
-        a, b = node[few][i], node[~few][j]
-        ra, rb = root[few][i], root[~few][j]
-        _, one = np.unique(np.stack([ra, rb]), axis=1, return_index=True)
+                held.append(side)
+            for (c, d), (e, f) in zip(strips, spans):
+                common[c:d, e:f] += held[0][c:d] @ held[1][e:f].T
         parent: dict[int, int] = {}
 
         def find(r: int) -> int:
@@ -221,23 +223,34 @@ def _joining(percent: int):
             return r
 
         out = []
-        for k in one.tolist():
-            x, y = find(int(ra[k])), find(int(rb[k]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((int(a[k]), int(b[k])))
+        for (c, d), (e, f) in zip(strips, spans):
+            both = common[c:d, e:f].astype(np.int64)
+            linked = (both * 100 >= (sa[c:d, None] + sb[None, e:f] - both) * percent) & (ra[c:d, None] != rb[None, e:f])
+            i, j = np.nonzero(linked)
+            i, j = i + c, j + e
+            _, one = np.unique(np.stack([ra[i], rb[j]]), axis=1, return_index=True)
+            for k in one.tolist():
+                x, y = find(int(ra[i[k]])), find(int(rb[j[k]]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(na[i[k]]), int(nb[j[k]])))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
     return joining
 
 
 def _tiled(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the components of a bucket. Placed is (bucket, node, root, n_shingles). All nodes outside a
-    bucket's largest component are held against all of its nodes, in tiles of bounded size."""
+    bucket's largest component are held against all of its nodes, in tiles of a bounded number of shingles and of nodes."""
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("nodes"), F.sum("n_shingles").alias("shingles"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("nodes", "root"))["root"].alias("largest"), F.min("root").alias("low"), F.max("root").alias("high"),
-                                          F.sum("shingles").alias("all"), F.max(F.struct("nodes", "root", "shingles"))["shingles"].alias("most"))
-    mixed = settle(largest.where("low < high").select("bucket", "largest", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("few_tiles"),
-                                                      F.ceil(F.col("all") / TILE).cast("int").alias("all_tiles")), "mixed")
+                                          F.sum("shingles").alias("all"), F.max(F.struct("nodes", "root", "shingles"))["shingles"].alias("most"),
+                                          F.sum("nodes").alias("all_nodes"), F.max("nodes").alias("most_nodes"))
+
+    def tiles(shingles: Column, nodes: Column) -> Column:
+        return F.ceil(F.greatest(shingles / TILE, nodes / NODES)).cast("int")
+
+    mixed = settle(largest.where("low < high").select("bucket", "largest", tiles(F.col("all") - F.col("most"), F.col("all_nodes") - F.col("most_nodes")).alias("few_tiles"),
+                                                      tiles(F.col("all"), F.col("all_nodes")).alias("all_tiles")), "mixed")
     placed = placed.join(mixed, "bucket")
     spread = F.xxhash64("node")
     few = placed.where("root <> largest").select("bucket", "node", "root", F.lit(True).alias("few"), F.pmod(spread, F.col("few_tiles")).cast("int").alias("i"),

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from navloom.llm import blocks, sketch_dedup, substring_dedup, suffix_dedup
@@ -54,6 +55,31 @@ def test_near_duplicates_chain_through_a_mixed_bucket(spark):
     assert set(found.values()) == {0}
 
 
+def test_tiles_are_bounded_in_nodes(spark, monkeypatch):
+    """Short sets fill a tile with nodes long before it is full of shingles."""
+    def counting(percent):
+        def count(table):
+            few = table.column("few").to_pylist()
+            return pa.table({"a": pa.array([sum(few)], pa.int64()), "b": pa.array([len(few) - sum(few)], pa.int64())})
+        return count
+
+    monkeypatch.setattr(sketch_dedup, "_joining", counting)
+    placed = spark.range(5000).selectExpr("1L AS bucket", "id AS node", "id AS root", "3L AS n_shingles")
+    sets = spark.range(5000).selectExpr("id AS node", "array(1L, 2L, id + 10) AS shingles")
+    found = multiset(sketch_dedup._tiled(placed, sets, 80), "a", "b")
+    assert len(found) > 1 and max(max(f) for f in found) <= 1.2 * 2000
+
+
+@pytest.mark.parametrize("nodes, strip", [(2000, 256), (40, 8)])
+def test_short_templated_lines_equal_all_pairs(spark, monkeypatch, nodes, strip):
+    monkeypatch.setattr(sketch_dedup, "NODES", nodes, raising=False)
+    monkeypatch.setattr(sketch_dedup, "STRIP", strip, raising=False)
+    head = [f"h{i}" for i in range(9)]
+    rows = [(i, " ".join(head[:9 - i % 3] + words(i, 2 + i % 2, 60))) for i in range(150)]
+    found = dict(multiset(sketch_dedup.near_duplicates(table(spark, rows), words=1), "doc_id", "component_id"))
+    assert found == groups(rows, 1, 80)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     both, a, b = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (600, 100, 50))
