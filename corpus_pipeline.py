@@ -33,9 +33,15 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near duplicates. One row of a repeated id stays; rows with a null id all stay."""
-    dropped = sketch_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    kept = _rows(docs.where("doc_id IS NOT NULL")).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """The smallest id of each group of near duplicates, of its rows the one with the least text hash. Rows that share an
+    id but not their text are documents of their own; of rows with equal id and text one stays. Rows with a null id all
+    stay."""
+    rows = _rows(docs.where("doc_id IS NOT NULL"))
+    keyed = rows.select("doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("key"), F.col("row.text").alias("text"))
+    group = sketch_dedup.near_duplicates(keyed, id_col="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    first = (keyed.select("key", "doc_id", "text_hash").distinct().join(group, "key")
+             .groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*"))
+    kept = join_rows(rows, first, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 

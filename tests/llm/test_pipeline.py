@@ -67,3 +67,13 @@ def test_columns_of_any_name_come_through(spark, tmp_path):
     assert len(rows) == 14
     for r in rows:
         assert all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for c in clashing)
+
+
+def test_rows_that_share_an_id_keep_their_texts(spark, tmp_path):
+    one, two = " ".join(words(1, 60)), " ".join(words(2, 60))
+    rows = [(1, one), (1, two), (1, two + " more"), (2, one), (3, " ".join(words(3, 60))), (3, " ".join(words(4, 60))), (3, None), (None, one), (None, one)]
+    docs = spark.createDataFrame(rows + rows[4:5], "doc_id BIGINT, text STRING")
+    found = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()]
+    near = [r for r in found if r in rows[1:3]]
+    assert len(near) == 1
+    assert sorted(found, key=repr) == sorted([rows[0], *near, *rows[4:]], key=repr)
