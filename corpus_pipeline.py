@@ -25,10 +25,14 @@ def _rows(docs: DataFrame, text: Column | None = None) -> DataFrame:
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language learned from the labels; those without a letter, or with hardly an
-    n-gram of any language, go."""
+    n-gram of any language, go, and so do longer texts in a language or script that no row is labelled with. If no row
+    has a label, no language is known and every text with a letter stays."""
     names = docs.columns
     lang, score = _unused(names, "lang_pred"), _unused(names, "score")
-    found = language_id.identify(docs, language_id.fit(docs), keep=tuple(names), lang_col=lang, score_col=score)
+    model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, model, keep=tuple(names), lang_col=lang, score_col=score)
     return found.where((F.col(lang) != "und") & ((F.col(score) >= LEAST_SCORE) | (F.length("text") < LEAST_CHARS))).select(*names)
 
 

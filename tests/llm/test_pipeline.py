@@ -77,3 +77,9 @@ def test_rows_that_share_an_id_keep_their_texts(spark, tmp_path):
     near = [r for r in found if r in rows[1:3]]
     assert len(near) == 1
     assert sorted(found, key=repr) == sorted([rows[0], *near, *rows[4:]], key=repr)
+
+
+def test_without_labels_every_text_with_a_letter_stays(spark, tmp_path):
+    rows = [(1, "some plain words of a document", None), (2, "ещё один текст на другом языке", None), (3, "文字", None), (4, "12 34 !!", None), (5, "", None), (6, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    assert sorted(tuple(r) for r in corpus_pipeline.in_known_language(spark, docs, str(tmp_path)).collect()) == rows[:3]
