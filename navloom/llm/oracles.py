@@ -90,3 +90,42 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to FROM f"""
+
+# crc32 of a decimal number: the polynomial's table, then one step per digit
+_CRC = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+numbered AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+    lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)]))) AS h FROM documents, crc)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", chars, "text"))) + ")"
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC},
+leaf AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN h % 7 = 0 THEN {_leaf('n_chars + 1')} END AS tampered,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r FROM numbered),
+node AS (SELECT lang, 0 AS level, r, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaf
+  UNION ALL SELECT lang, level + 1, r // 2, h, (n + 1) // 2
+  FROM (SELECT lang, level, r, n, sha256(h || coalesce(lead(h) OVER (PARTITION BY lang ORDER BY r), '')) AS h FROM node WHERE n > 1) WHERE r % 2 = 0),
+sub AS (SELECT lang, h AS subroot, max(level) OVER () AS deep, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r FROM node WHERE n = 1),
+top AS (SELECT 0 AS level, r, subroot AS h, count(*) OVER () AS n FROM sub
+  UNION ALL SELECT level + 1, r // 2, h, (n + 1) // 2
+  FROM (SELECT level, r, n, sha256(h || coalesce(lead(h) OVER (ORDER BY r), '')) AS h FROM top WHERE n > 1) WHERE r % 2 = 0),
+steps AS (SELECT l.doc_id, p.level, CASE WHEN p.r % 2 = 1 THEN q.h ELSE '' END AS before, CASE WHEN p.r % 2 = 0 THEN coalesce(q.h, '') ELSE '' END AS after
+  FROM leaf l JOIN node p ON p.lang IS NOT DISTINCT FROM l.lang AND p.r = l.r // (1 << p.level) AND p.n > 1
+  LEFT JOIN node q ON q.lang IS NOT DISTINCT FROM p.lang AND q.level = p.level AND q.r = xor(p.r, 1)
+  UNION ALL SELECT l.doc_id, s.deep + p.level, CASE WHEN p.r % 2 = 1 THEN q.h ELSE '' END, CASE WHEN p.r % 2 = 0 THEN coalesce(q.h, '') ELSE '' END
+  FROM leaf l JOIN sub s ON s.lang IS NOT DISTINCT FROM l.lang JOIN top p ON p.r = s.r // (1 << p.level) AND p.n > 1
+  LEFT JOIN top q ON q.level = p.level AND q.r = xor(p.r, 1)),
+path AS (SELECT doc_id, list([before, after] ORDER BY level) AS path FROM steps GROUP BY doc_id),
+full_ AS (SELECT l.doc_id, leaf, coalesce(tampered, leaf) AS start, subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(path, []) AS path
+  FROM leaf l JOIN sub s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN path USING (doc_id)),
+done AS (SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_reduce(list_concat([''], list_transform(path, lambda s: s[1] || s[2])), lambda a, b: a || b), '')) AS proof_sha256,
+  list_reduce(list_concat([['', start]], path), lambda a, s: ['', sha256(s[1] || a[2] || s[2])])[2] AS folded_root FROM full_)
+SELECT *, folded_root = root AS verified FROM done"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import decontamination, fingerprints, language_id, license_scan, packing, secret_scan, sketch_dedup, substring_dedup, suffix_dedup, warc
+from navloom.llm import (decontamination, fingerprints, language_id, license_scan, merkle_manifest, packing, secret_scan, sketch_dedup, substring_dedup,
+                         suffix_dedup, warc)
 from navloom.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +85,15 @@ def op10_warc(spark, sf_dir):
     root = scratch_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), root)
     return warc.read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    touched = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    tampered = merkle_manifest.leaf_digest([F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in names])
+    found = merkle_manifest.manifest(docs, names, carry={"tampered": F.when(touched, tampered)})
+    folded = merkle_manifest.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
