@@ -129,3 +129,23 @@ full_ AS (SELECT l.doc_id, leaf, coalesce(tampered, leaf) AS start, subroot, (SE
 done AS (SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_reduce(list_concat([''], list_transform(path, lambda s: s[1] || s[2])), lambda a, b: a || b), '')) AS proof_sha256,
   list_reduce(list_concat([['', start]], path), lambda a, s: ['', sha256(s[1] || a[2] || s[2])])[2] AS folded_root FROM full_)
 SELECT *, folded_root = root AS verified FROM done"""
+
+ORACLES["op13_periodic_runs"] = f"""
+WITH {_CRC},
+split AS (SELECT doc_id, h % 10 = 0 AS edit, h // 10 AS g, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS words FROM numbered),
+pos AS (SELECT *, len(words) AS n, CASE WHEN len(words) > 0 THEN g % len(words) END AS a FROM split),
+per AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM pos),
+w AS (SELECT doc_id, n, CASE WHEN edit AND n > 0 THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE words END AS words FROM per),
+t AS (SELECT doc_id, n, unnest(words) AS word, unnest(range(n)) AS i FROM w),
+m AS (SELECT x.doc_id, x.i - y.i AS q, x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i < x.i AND 3 * (x.i - y.i) <= x.n AND x.n >= 24),
+s AS (SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.q < s.q AND o.start <= s.start AND o.start + o.length >= s.start + s.length)),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id AND i >= start + q AND i < start + length) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM r GROUP BY doc_id),
+b AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.doc_id = r.doc_id
+      AND (o.length * r.q > r.length * o.q OR (o.length * r.q = r.length * o.q AND (o.start < r.start OR (o.start = r.start AND o.q < r.q))))))
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, q::BIGINT AS period, (1000 * length // q)::BIGINT AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN l USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""

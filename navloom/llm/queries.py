@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import (decontamination, fingerprints, language_id, license_scan, merkle_manifest, packing, secret_scan, sketch_dedup, substring_dedup,
-                         suffix_dedup, warc)
+from navloom.llm import (decontamination, fingerprints, language_id, license_scan, merkle_manifest, packing, periodic_runs, secret_scan, sketch_dedup,
+                         substring_dedup, suffix_dedup, warc)
 from navloom.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,32 @@ def op12_merkle_manifest(spark, sf_dir):
     folded = merkle_manifest.folded(F.coalesce("tampered", "leaf"), F.col("path"))
     found = found.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _with_repeats(text, doc_id):
+    """The text, for every tenth id with its words from some place on replaced by repeats of the first of them."""
+    crc = F.crc32(doc_id.cast("string"))
+    g = F.floor(crc / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))), " ")
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    edited = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)))[0]
+    return F.when(crc % 10 == 0, F.coalesce(edited, text)).otherwise(text)
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", _with_repeats(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("runs", F.coalesce("runs", F.array()))
+    most = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    listed = F.transform("runs", lambda r: F.concat_ws("", r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), most.alias("most"), F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "most.start", "most.length", "most.period",
+                        F.floor(1000 * F.col("most.length") / F.col("most.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")

@@ -94,6 +94,16 @@ def id_column(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
 
 
+def row_pieces(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose first column holds at most `size` bytes, or one row."""
+    ends = byte_column(batch.column(0))[1]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without white space, never across rows), and how many each row has."""
     inside = ~IS_SPACE[data]
