@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navloom.llm import (decontamination, fingerprints, language_id, license_scan, merkle_manifest, packing, periodic_runs, secret_scan, sketch_dedup,
-                         substring_dedup, suffix_dedup, warc)
+                         substring_dedup, suffix_dedup, toxicity, warc)
 from navloom.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,15 @@ def op10_warc(spark, sf_dir):
     return warc.read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out), corpus=docs)
+    found = toxicity.score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("evidence.id").alias("evidence"))
+
+
 @query
 def op12_merkle_manifest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
