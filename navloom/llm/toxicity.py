@@ -37,6 +37,7 @@ BLOCK = 64  # examples
 BINS = 20  # of votes, for calibration
 EVIDENCE = 3  # neighbours that are named
 PIECE = 1 << 21  # bytes of texts worked on at once
+_STEP, _STEPS = 0.25, 400  # in which the likelihood ratios are counted
 MEMO = 100_000  # vectors whose answer a task remembers
 
 _IS_WORD = np.zeros(256, bool)
@@ -208,10 +209,17 @@ def _chosen_terms(examples: DataFrame) -> np.ndarray:
     ratio = _log_term(a, share * t) + _log_term(b, share * f) + _log_term(t - a, (1 - share) * t) + _log_term(f - b, (1 - share) * f)
     odds = ((a + 0.5) * (f - b + 0.5)) / ((b + 0.5) * (t - a + 0.5))
     far = (odds >= LEAST_ODDS) | (odds <= 1 / LEAST_ODDS)
-    best = seen.where(far).select("term", ratio.alias("ratio")).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).toPandas()
-    chance = np.array([erfc(sqrt(r / 2)) for r in best["ratio"]])
-    below = np.flatnonzero(chance <= FALSE_TERMS * np.arange(1, len(best) + 1) / tested)
-    kept = best["term"].to_numpy(np.int64)[:below[-1] + 1 if len(below) else 0]
+    best = seen.where(far).select("term", ratio.alias("ratio"))
+    step = F.least(F.floor(F.col("ratio") / _STEP), F.lit(_STEPS)).cast("int").alias("step")
+    steps = best.groupBy(step).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    least, held = None, 0
+    for r in steps:  # the lowest step at which the terms from there on hold no more accidents than that
+        held += r["n"]
+        if erfc(sqrt(r["step"] * _STEP / 2)) <= FALSE_TERMS * held / tested:
+            least = r["step"] * _STEP
+    if least is None:
+        return np.empty(0, np.uint64)
+    kept = best.where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term").toPandas()["term"].to_numpy(np.int64)
     return np.sort(kept.view(np.uint64))
 
 
@@ -276,18 +284,21 @@ def build_index(ids: np.ndarray, toxic: np.ndarray, vote: np.ndarray, vectors: l
                  np.append(first, len(term)), example, weight)
 
 
-def _calibrated(model: Model, spark, queries: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+def _calibrated(model: Model, spark) -> Model:
     """Votes of the examples with each left out, as the share of label 1 by bin, made monotone."""
-    n = len(queries)
-    shared = spark.sparkContext.broadcast((model, queries))
+    index, n = model.index, len(model.index.ids)
+    by = np.argsort(index.example, kind="stable")  # postings example by example
+    terms = np.repeat(np.arange(len(index.entry_of) - 1), index.first[index.entry_of[1:]] - index.first[index.entry_of[:-1]])[by]
+    shared = spark.sparkContext.broadcast((model, terms, index.weight[by], np.searchsorted(index.example[by], np.arange(n + 1))))
 
     def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, queries = shared.value
+        model, terms, weights, edges = shared.value
         for batch in batches:
             rows = batch.column(0).to_pylist()
             votes = []
             for i in rows:
-                near, sims = model.index.nearest(*queries[i], NEIGHBOURS, but=i)
+                own = slice(edges[i], edges[i + 1])
+                near, sims = model.index.nearest(terms[own], weights[own], NEIGHBOURS, but=i)
                 votes.append(model.vote(near, sims) if len(near) else model.prior)
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(model.index.toxic[rows].astype(np.float64)), pa.array(model.index.vote[rows])],
                                              names=["vote", "toxic", "size"])
@@ -333,15 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, id_
     model = replace(model, index=index, prior=prior, alone=alone, scores=np.full(1, prior))
     if not vectors:
         return model
-    by = np.lexsort((index_terms(index), index.example))
-    queries = [(index_terms(index)[by][s], index.weight[by][s]) for s in _slices(index.example[by], len(index.ids))]
-    return _calibrated(model, spark, queries)
-
-
-def index_terms(index: Index) -> np.ndarray:
-    """The term of each posting."""
-    sizes = index.first[index.entry_of[1:]] - index.first[index.entry_of[:-1]]
-    return np.repeat(np.arange(len(sizes)), sizes)
+    return _calibrated(model, spark)
 
 
 def _slices(rows: np.ndarray, n: int) -> list[slice]:
