@@ -33,6 +33,13 @@ def replace_groups(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return kept.unionByName(incoming)
 
 
+def mark_groups(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """(key, n, x, y): groups of the same rows over ``values`` have the same marks, which are their number and two
+    independent 64-bit hash sums."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*values)).alias("x"),
+                                 F.bit_xor(F.xxhash64(*values, F.lit(1))).alias("y"))
+
+
 def pending(wanted: DataFrame, status: DataFrame, key: str) -> DataFrame:
     """Keys that carry no status yet: what a resumed load still has to do."""
     return wanted.join(status.filter(F.col("backfill_status").isNotNull()).select(key), key, "left_anti")

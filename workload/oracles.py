@@ -176,6 +176,9 @@ JOIN (SELECT set_id, min(scheme_code) AS a FROM fx_sets GROUP BY 1) f ON f.set_i
     "shared": (("pairs", "weights"), """
 SELECT p.a, p.b, wa.isin, wa.name, wa.pct AS pa, wb.pct AS pb, least(wa.pct, wb.pct) AS m
 FROM pairs p JOIN weights wa ON wa.scheme_code = p.a JOIN weights wb ON wb.scheme_code = p.b AND wb.isin = wa.isin"""),
+    "classes": (("weights",), """
+SELECT scheme_code, min(scheme_code) OVER same AS class, count(*) OVER same AS funds
+FROM (SELECT scheme_code, list([isin, pct::VARCHAR] ORDER BY isin) AS portfolio FROM weights GROUP BY scheme_code) p WINDOW same AS (PARTITION BY portfolio)"""),
     "exposure": (("fx_sets", "weights"), f"""
 SELECT set_id, rank, isin, name, {rnd('pct', 2)} AS pct, held_by FROM (
   SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY round(pct, 9) DESC, isin) AS rank FROM (
@@ -403,6 +406,11 @@ SELECT p.set_id, p.a, p.b, CASE WHEN x.d IS NOT NULL AND y.d IS NOT NULL THEN {r
 FROM anchored p LEFT JOIN (SELECT scheme_code, max(as_of_date) AS d FROM weights GROUP BY 1) x ON x.scheme_code = p.a
 LEFT JOIN (SELECT scheme_code, max(as_of_date) AS d FROM weights GROUP BY 1) y ON y.scheme_code = p.b
 LEFT JOIN (SELECT a, b, sum(m) AS v, count(*) AS n FROM shared GROUP BY 1, 2) s ON s.a = p.a AND s.b = p.b"""),
+    "overlap_above": _q("classes", f"""
+SELECT x.class AS a, y.class AS b, {rnd('sum(least(wa.pct, wb.pct))', 2)} AS overlap_pct, count(*) AS common_count, any_value(x.funds) AS a_funds, any_value(y.funds) AS b_funds
+FROM classes x JOIN weights wa ON wa.scheme_code = x.class JOIN weights wb ON wb.isin = wa.isin JOIN classes y ON y.class = wb.scheme_code
+WHERE x.scheme_code = x.class AND y.scheme_code = y.class AND x.class < y.class GROUP BY 1, 2 HAVING {rnd('sum(least(wa.pct, wb.pct))', 2)} >= 2e0"""),
+    "portfolio_classes": _q("classes", "SELECT * FROM classes"),
     "overlap_top_common": _q("shared", f"""
 SELECT a, b, rank, isin, name, {rnd('m', 2)} AS min_pct, {rnd('pa', 2)} AS a_pct, {rnd('pb', 2)} AS b_pct
 FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m DESC, isin) AS rank FROM shared) r WHERE rank <= 10"""),

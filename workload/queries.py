@@ -12,7 +12,7 @@ from navloom import schemas
 from navloom.functions import feeds, names, tax
 from navloom.functions.rounding import rnd
 from navloom.operators import merge, resolve, series
-from navloom.plans import (backtest, compare, costleak, explorer, nightly, overlap, projections, quality, returns,
+from navloom.plans import (alike, backtest, compare, costleak, explorer, nightly, overlap, projections, quality, returns,
                            risk, rolling)
 from navloom.plans import tax as plan_taxes
 from navloom.session import scratch_dir, settle
@@ -20,6 +20,8 @@ from navloom.sources import benchmark, costs, holdings, master, nav_text, prices
 from navloom.streaming import ingest
 from workload.views import AS_OF, SHEETS_READ_ON, view
 
+OVERLAP_SHOWN = 2.0  # per cent, for the query over all pairs
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -145,6 +147,19 @@ def set_overlaps(spark, sf_dir):
     return anchored.join(found, ["a", "b"])
 
 
+@query
+def overlap_above(spark, sf_dir):
+    """Every pair of all funds' newest portfolios that share two per cent or more."""
+    newest = overlap.latest_holdings(Tables(spark, sf_dir).stored_holdings())
+    return alike.overlap_above(overlap.newest_weights(newest), OVERLAP_SHOWN)
+
+
+@query
+def portfolio_classes(spark, sf_dir):
+    newest = overlap.latest_holdings(Tables(spark, sf_dir).stored_holdings())
+    return alike.portfolio_classes(overlap.newest_weights(newest))
+
+
 @query
 def combined_exposure(spark, sf_dir):
     t = Tables(spark, sf_dir)
