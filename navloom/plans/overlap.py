@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navloom.functions.rounding import rnd
+from navloom.operators.merge import mark_groups
 from navloom.operators.positions import top_k
 from navloom.session import settle
 
@@ -101,27 +102,70 @@ def top_common(pairs: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
 def alike_sets(members: DataFrame) -> DataFrame:
     """(set_id, like, funds): sets of the same funds share ``like``, the smallest id among
     them. Lists are compared by their length and two independent 64-bit hash sums."""
-    marks = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("funds"), F.bit_xor(F.xxhash64("scheme_code")).alias("x"),
-                                          F.bit_xor(F.xxhash64("scheme_code", F.lit(1))).alias("y"))
-    marks = settle(marks, "set-marks")
-    like = settle(marks.groupBy("funds", "x", "y").agg(F.min("set_id").alias("like")), "set-likes")
-    return marks.join(like, ["funds", "x", "y"]).select("set_id", "like", "funds")
+    marks = settle(mark_groups(members, "set_id", ["scheme_code"]), "set-marks")
+    like = settle(marks.groupBy("n", "x", "y").agg(F.min("set_id").alias("like")), "set-likes")
+    return marks.join(like, ["n", "x", "y"]).select("set_id", "like", F.col("n").alias("funds"))
+
+
+_SLACK = 1e-6  # float sums of a few thousand weights stay well inside
+
+
+def _bit(code: str) -> Column:
+    """One of 64 bits, by the fund's hash."""
+    return F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({code}), 64) AS INT))")
+
+
+def _others(every: str, twice: str, own: Column) -> Column:
+    """The bits of a group's other funds: all but the own one, unless another fund has it too."""
+    return F.col(every).bitwiseAND(F.bitwise_not(own)).bitwiseOR(F.col(twice).bitwiseAND(own))
+
+
+def _bounded(weights: DataFrame) -> DataFrame:
+    """Weights with what their instrument can add up to: ``most``, its largest weight anywhere, ``total``, the sum of all,
+    and ``holders``, the bits of the other funds that hold it."""
+    long = F.greatest("pct", F.lit(0.0))
+    by_bit = (weights.groupBy("isin", _bit("scheme_code").alias("bit"))
+              .agg(F.count(F.lit(1)).alias("n"), F.max(long).alias("most"), F.sum(long).alias("total"), F.min("pct").alias("least")))
+    traits = by_bit.groupBy("isin").agg(F.bit_or("bit").alias("every"), F.bit_or(F.when(F.col("n") > 1, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("twice"),
+                                        F.max("most").alias("most"), F.sum("total").alias("total"), (F.min("least") < 0).alias("short"))
+    return weights.join(traits, "isin").select("scheme_code", "isin", "pct", "most", "total", "short", _others("every", "twice", _bit("scheme_code")).alias("holders"))
+
+
+def _with_floors(members: DataFrame, bounded: DataFrame, k: int) -> DataFrame:
+    """Set members with the set's ``floor``, which its k-th instrument reaches for sure, and ``members``, the bits of the
+    other members. A member's k heaviest instruments add up to its k-th weight each at least, whatever the others hold of
+    them; instruments that some fund is short of don't count for it."""
+    kth = top_k(bounded.filter(~F.col("short")).select("scheme_code", "isin", "pct"), ["scheme_code"], [F.desc("pct"), F.asc("isin")], k)
+    kth = settle(kth.filter(F.col("rank") == k).select("scheme_code", F.col("pct").alias("kth")), "kth-weights")
+    by_bit = members.join(kth, "scheme_code", "left").groupBy("set_id", _bit("scheme_code").alias("bit")).agg(F.count(F.lit(1)).alias("n"), F.max("kth").alias("kth"))
+    sets = by_bit.groupBy("set_id").agg(F.bit_or("bit").alias("every"), F.bit_or(F.when(F.col("n") > 1, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("twice"),
+                                        (F.max("kth") - _SLACK).alias("floor"))
+    return members.join(sets, "set_id").select(*members.columns, "floor", _others("every", "twice", _bit("scheme_code")).alias("members"))
 
 
 def combined_exposure(sets: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
     """What an equal split over a set's disclosed funds owns: top k instruments
     with ``pct`` and the number of funds that hold them. Sets of the same funds are
-    computed once. Members are spread by set before the weights join them, so that
-    with weights small enough to broadcast the sums and the ranking start where the
-    rows are."""
+    computed once.
+
+    A member's list is read as far as its weight alone reaches the set's floor. Behind that only the
+    instruments are taken that can reach it together with other members: one of them shares a bit with a holder, and the
+    instrument's largest weight and total allow it. So all rows of an instrument that can enter the top k are added up, and few
+    of the others. Members are spread by set before the weights join them, so that with weights small enough to broadcast the
+    sums and the ranking start where the rows are."""
     newest = latest_holdings(holdings)
     weights = newest_weights(newest).select("scheme_code", "isin", "pct")
     members = sets.select("set_id", "scheme_code").distinct()
     disclosed = settle(members.join(weights.select("scheme_code").distinct(), "scheme_code", "left_semi"), "members")
     alike = settle(alike_sets(disclosed), "alike")
     once = disclosed.join(alike.filter(F.col("set_id") == F.col("like")).select("set_id", "funds"), "set_id").repartition("set_id")
-    owned = (once.join(weights, "scheme_code").groupBy("set_id", "funds", "isin")
-             .agg((F.sum("pct") / F.col("funds")).alias("pct"), F.count(F.lit(1)).alias("held_by")))
+    bounded = settle(_bounded(weights), "bounded-weights")
+    rows = _with_floors(once, bounded, k).join(bounded, "scheme_code")
+    reach = F.least("total", F.greatest("pct", F.lit(0.0)) + (F.col("funds") - 1) * F.col("most"))
+    shared = F.col("members").bitwiseAND(F.col("holders")) != 0
+    can = F.col("floor").isNull() | (F.col("pct") >= F.col("floor")) | (shared & (reach >= F.col("floor")))
+    owned = (rows.filter(can).groupBy("set_id", "funds", "floor", "isin").agg(F.sum("pct").alias("sum"), F.count(F.lit(1)).alias("held_by"))
+             .filter(F.col("floor").isNull() | (F.col("sum") >= F.col("floor"))).withColumn("pct", F.col("sum") / F.col("funds")))
     ranked = top_k(owned.withColumn("order_pct", F.round("pct", 9)), ["set_id"], [F.desc("order_pct"), F.asc("isin")], k)
     ranked = ranked.join(instrument_names(newest), "isin", "left").select(
         F.col("set_id").alias("like"), "rank", "isin", "name", rnd(F.col("pct"), 2).alias("pct"), "held_by")
