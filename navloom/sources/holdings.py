@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navloom import constants as K
+from navloom import schemas
 from navloom.functions.feeds import link_date
 from navloom.functions.names import sheet_identity
 from navloom.functions.rounding import rnd
 from navloom.operators.merge import replace_groups
 from navloom.operators.resolve import resolve_codes
 from navloom.sources import sheets as sheet_source
+from navloom.sources import versions
 
 PORTFOLIO = ["scheme_code", "as_of_date"]
+_COLUMNS = [*PORTFOLIO, "instrument_name", "isin", "sector", "pct_of_aum", "market_value_cr"]
 
 
 def matched_sheets(sheets: DataFrame, houses: DataFrame, master: DataFrame) -> DataFrame:
@@ -28,8 +31,7 @@ def matched_sheets(sheets: DataFrame, houses: DataFrame, master: DataFrame) -> D
 
 
 def holding_rows(lines: DataFrame, matched: DataFrame) -> DataFrame:
-    return lines.join(matched, sheet_source.SHEET).select(
-        *PORTFOLIO, "instrument_name", "isin", "sector", "pct_of_aum", "market_value_cr")
+    return lines.join(matched, sheet_source.SHEET).select(*_COLUMNS)
 
 
 def sector_rows(holdings: DataFrame) -> DataFrame:
@@ -42,6 +44,26 @@ def replaced(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return replace_groups(existing, incoming, PORTFOLIO)
 
 
+_DATE = "CAST(as_of_date AS STRING)"
+_ORDER = ["scheme_code", "isin"]
+
+
+def read_holdings(spark: SparkSession, path: str, version: versions.Version | None = None, dates: list[str] | None = None) -> DataFrame:
+    """Stored portfolios of the newest version or of one that was pinned, of the given dates (yyyy-mm-dd) only."""
+    return versions.read(spark, path, schemas.HOLDINGS, version, dates)
+
+
+def write_holdings(holdings: DataFrame, path: str) -> versions.Version:
+    """Makes the portfolios that have a date the store's next version."""
+    return versions.replace(holdings.select(*_COLUMNS).filter(F.col("as_of_date").isNotNull()), path, _DATE, _ORDER)
+
+
+def replace_in_store(path: str, incoming: DataFrame) -> versions.Version:
+    """Replaces the portfolios that ``incoming`` has, in a new version that rewrites their dates only. Doing so
+    again changes nothing; a replacement that died leaves the last version."""
+    return versions.merge(incoming.select(*_COLUMNS), path, schemas.HOLDINGS, _DATE, _ORDER, replaced)
+
+
 def load_report(sheets: DataFrame, houses: DataFrame, master: DataFrame) -> DataFrame:
     """(amc, sheets, suspect, matched, unmatched) per house."""
     titled = sheets.join(houses, "file").withColumn("target", sheet_identity(F.col("scheme_name")))

@@ -1,4 +1,4 @@
-"""The price table: one row per scheme and day, stored by month."""
+"""The price table: one row per scheme and day, stored by month in versions."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navloom import schemas
-from navloom.session import file_system, scratch_dir, scratch_table, settle
+from navloom.session import scratch_dir, scratch_table, settle
+from navloom.sources import versions
 
 KEY = ["scheme_code", "date"]
 
@@ -57,33 +58,20 @@ def backfilled(existing: DataFrame, history: DataFrame) -> DataFrame:
     return _merged(existing, history)
 
 
-def _by_month(nav: DataFrame) -> DataFrame:
-    # rebalance splits a large month over several files and merges small ones
-    return (nav.withColumns({"year": F.year("date"), "month": F.month("date")}).hint("rebalance", "year", "month")
-            .sortWithinPartitions("year", "month", "scheme_code", "date"))
+_MONTH = "date_format(date, 'yyyy-MM')"
+_ORDER = ["scheme_code", "date"]
 
 
-_PARTS = ["year", "month"]
-_STORED = f"{schemas.NAV_HISTORY}, year INT, month INT"
-_MARK = "_pending"  # names the staged months of a merge that isn't finished; readers skip it
+def write_prices(nav: DataFrame, path: str) -> versions.Version:
+    """Makes ``nav`` the store's next version."""
+    nav = nav.select("scheme_code", "date", "nav").filter(F.col("date").isNotNull())
+    return versions.replace(one_per_day(nav), path, _MONTH, _ORDER)
 
 
-def write_prices(nav: DataFrame, path: str) -> None:
-    _by_month(one_per_day(nav)).write.mode("overwrite").partitionBy(*_PARTS).parquet(path)
-
-
-def create_store(spark: SparkSession, path: str) -> None:
-    """Makes an empty store, or leaves the one that is there as it is."""
-    spark.createDataFrame([], _STORED).write.mode("append").partitionBy(*_PARTS).parquet(path)
-
-
-def read_prices(spark: SparkSession, path: str, months: list[tuple[int, int]] | None = None) -> DataFrame:
-    """Stored prices; ``months`` prunes partitions, and date predicates prune row
-    groups, which are sorted by scheme and day."""
-    stored = spark.read.schema(_STORED).option("basePath", path).parquet(path)
-    if months is not None:
-        stored = stored.filter((F.col("year") * 100 + F.col("month")).isin([y * 100 + m for y, m in months]))
-    return stored.drop(*_PARTS)
+def read_prices(spark: SparkSession, path: str, months: list[tuple[int, int]] | None = None, version: versions.Version | None = None) -> DataFrame:
+    """Stored prices of the newest version or of one that was pinned; ``months`` reads only their files, and date
+    predicates prune row groups, which are sorted by scheme and day."""
+    return versions.read(spark, path, schemas.NAV_HISTORY, version, months if months is None else [f"{y:04d}-{m:02d}" for y, m in months])
 
 
 _BUCKET_ROWS = 4_000_000  # rows of a bucket, about: 64 MB and less
@@ -105,42 +93,8 @@ def by_scheme(nav: DataFrame, table: str | None = None, buckets: int | None = No
     return spark.table(name)
 
 
-def _stage(spark: SparkSession, path: str, incoming: DataFrame, incoming_wins: bool) -> bool:
-    """Writes the merged months aside and then the mark that names them."""
-    incoming = settle(incoming.select("scheme_code", "date", "nav").filter(F.col("date").isNotNull()), "incoming")
-    # one row per calendar month
-    months = [(r.year, r.month) for r in incoming.select(F.year("date").alias("year"), F.month("date").alias("month")).distinct().collect()]
-    if not months:
-        return False
-    current = read_prices(spark, path, months)
-    merged = upserted(current, incoming) if incoming_wins else backfilled(current, incoming)
-    staged = scratch_dir(spark, "price-merge")
-    _by_month(merged).write.partitionBy(*_PARTS).parquet(staged)
-    spark.createDataFrame([(staged,)], "staged STRING").coalesce(1).write.mode("overwrite").text(f"{path}/{_MARK}")
-    return True
-
-
-def finish_merge(spark: SparkSession, path: str) -> bool:
-    """Puts staged months in place and takes the mark away. A merge that died before or
-    while it replaced months is finished by the next one, or by this call; doing so
-    twice changes nothing."""
-    system, mark = file_system(spark, f"{path}/{_MARK}")
-    if not system.exists(mark):
-        return False
-    rows = spark.read.text(f"{path}/{_MARK}").collect()  # the mark's one line
-    if rows:
-        (spark.read.parquet(rows[0].value).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*_PARTS).parquet(path))
-    system.delete(mark, True)
-    return True
-
-
-def merge_into_store(spark: SparkSession, path: str, incoming: DataFrame, incoming_wins: bool = True) -> None:
-    """Upserts (or only gap-fills) the months that ``incoming`` touches. The merged
-    months are first written to the shared scratch folder and marked in the store:
-    that cuts the lineage to the files about to be replaced, and a replacement that
-    failed is repeated from them. Repeating the merge changes nothing."""
-    create_store(spark, path)
-    finish_merge(spark, path)
-    if _stage(spark, path, incoming, incoming_wins):
-        finish_merge(spark, path)
+def merge_into_store(spark: SparkSession, path: str, incoming: DataFrame, incoming_wins: bool = True) -> versions.Version:
+    """Upserts (or only gap-fills) the months that ``incoming`` touches, as a new version: readers see all of the merge or
+    nothing, a merge that died changes nothing, and repeating one changes no price."""
+    return versions.merge(incoming.select("scheme_code", "date", "nav"), path, schemas.NAV_HISTORY, _MONTH, _ORDER,
+                          upserted if incoming_wins else backfilled)

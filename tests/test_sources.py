@@ -1,7 +1,5 @@
 import datetime as dt
 import json
-import re
-import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from navloom import schemas
 from navloom.functions import feeds, names
 from navloom.operators import merge, resolve
 from navloom.session import scratch_dir
-from navloom.sources import costs, holdings, master, nav_text, prices, sheets
+from navloom.sources import costs, holdings, master, nav_text, prices, sheets, versions
 from navloom.streaming import ingest
 from tests.conftest import rows_of
 
@@ -103,32 +101,98 @@ def test_price_merges(nav_of):
     assert {r.scheme_code: r.nav for r in prices.backfilled(old, new).collect()} == {"a": 1.0, "b": 2.0, "c": 4.0}
 
 
+def by_day(df):
+    return {(r.scheme_code, r.date, r.nav) for r in df.collect()}
+
+
 def test_price_store(spark, nav_of, tmp_path):
     store = str(tmp_path / "nav")
-    prices.write_prices(nav_of({"a": [(D(2024, 5, 1), 1.0), (D(2025, 5, 1), 2.0), (D(2025, 5, 1), 2.0)]}), store)
-    kept = next((tmp_path / "nav" / "year=2024" / "month=5").glob("*.parquet")).stat().st_mtime_ns
+    first = prices.write_prices(nav_of({"a": [(D(2024, 5, 1), 1.0), (D(2025, 5, 1), 2.0), (D(2025, 5, 1), 2.0)]}), store)
     change = nav_of({"a": [(D(2025, 5, 1), 9.0), (D(2026, 1, 1), 3.0)]})
     for _ in range(2):
         prices.merge_into_store(spark, store, change)
-    prices.merge_into_store(spark, store, nav_of({"a": [(D(2025, 5, 1), 7.0), (D(2025, 5, 2), 8.0)]}), incoming_wins=False)
-    assert {(r.date, r.nav) for r in prices.read_prices(spark, store).collect()} == {
-        (D(2024, 5, 1), 1.0), (D(2025, 5, 1), 9.0), (D(2025, 5, 2), 8.0), (D(2026, 1, 1), 3.0)}
-    # an untouched month keeps its files, and reading one month prunes the others
-    assert next((tmp_path / "nav" / "year=2024" / "month=5").glob("*.parquet")).stat().st_mtime_ns == kept
-    plan = prices.read_prices(spark, store, [(2026, 1)])._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*year.*month", plan)
+    last = prices.merge_into_store(spark, store, nav_of({"a": [(D(2025, 5, 1), 7.0), (D(2025, 5, 2), 8.0)]}), incoming_wins=False)
+    assert by_day(prices.read_prices(spark, store)) == {
+        ("a", D(2024, 5, 1), 1.0), ("a", D(2025, 5, 1), 9.0), ("a", D(2025, 5, 2), 8.0), ("a", D(2026, 1, 1), 3.0)}
+    # an untouched month keeps its files, and reading one month opens no other
+    assert last.number == 4 and last.runs["2024-05"] == first.runs["2024-05"] and set(last.runs) == {"2024-05", "2025-05", "2026-01"}
+    assert {"2025-05", "2026-01"} == {f.split("_part=")[1][:7] for f in prices.read_prices(spark, store, [(2026, 1), (2025, 5), (1999, 1)]).inputFiles()}
+    assert versions.merge(nav_of({}), store, "scheme_code STRING, date DATE, nav DOUBLE", prices._MONTH, ["date"], prices.upserted) == last
+
+
+def test_a_reader_keeps_the_version_it_opened(spark, nav_of, tmp_path):
+    store = str(tmp_path / "nav")
+    prices.write_prices(nav_of({"a": [(D(2025, 5, 1), 1.0)], "b": [(D(2025, 6, 1), 2.0)]}), store)
+    opened, pinned = prices.read_prices(spark, store), versions.pin(spark, store)
+    old = {("a", D(2025, 5, 1), 1.0), ("b", D(2025, 6, 1), 2.0)}
+    seen = []
+
+    def combine(stored, incoming):  # a reader in the middle of the merge
+        seen.append((by_day(opened), by_day(prices.read_prices(spark, store))))
+        return prices.upserted(stored, incoming)
+
+    versions.merge(nav_of({"a": [(D(2025, 5, 1), 5.0)], "c": [(D(2025, 7, 1), 7.0)]}), store, "scheme_code STRING, date DATE, nav DOUBLE", prices._MONTH, ["date"], combine)
+    assert seen == [(old, old)] and by_day(opened) == old and by_day(prices.read_prices(spark, store, version=pinned)) == old
+    assert by_day(prices.read_prices(spark, store)) == {("a", D(2025, 5, 1), 5.0), ("b", D(2025, 6, 1), 2.0), ("c", D(2025, 7, 1), 7.0)}
 
 
-def test_a_merge_that_died_loses_nothing(spark, nav_of, tmp_path):
+def test_a_merge_that_died_leaves_the_last_version(spark, nav_of, tmp_path, monkeypatch):
     store = str(tmp_path / "nav")
-    first = {"a": [(D(2025, 5, d), float(d)) for d in range(1, 11)]}
-    prices.write_prices(nav_of(first), store)
-    assert prices._stage(spark, store, nav_of({"a": [(D(2025, 5, 11), 11.0)]}), True)
-    # died between taking the old month away and putting the new one in place
-    shutil.rmtree(tmp_path / "nav" / "year=2025" / "month=5")
+    prices.write_prices(nav_of({"a": [(D(2025, 5, d), float(d)) for d in range(1, 11)]}), store)
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "_publish", dies)
+        with pytest.raises(KeyboardInterrupt):
+            prices.merge_into_store(spark, store, nav_of({"a": [(D(2025, 5, 11), 11.0)]}))
+    assert sorted(r.nav for r in prices.read_prices(spark, store).collect()) == [float(d) for d in range(1, 11)]
+    assert len(list((tmp_path / "nav" / "data").iterdir())) == 2
     prices.merge_into_store(spark, store, nav_of({"a": [(D(2025, 5, 12), 12.0)]}))
-    assert sorted(r.nav for r in prices.read_prices(spark, store).collect()) == [float(d) for d in range(1, 13)]
-    assert not prices.finish_merge(spark, store)
+    versions.expire(spark, store, keep=1)  # a young run may still be published
+    assert len(list((tmp_path / "nav" / "data").iterdir())) == 3 and versions.versions(spark, store) == [2]
+    versions.expire(spark, store, keep=1, grace_s=-60)
+    assert len(list((tmp_path / "nav" / "data").iterdir())) == 1
+    assert sorted(r.nav for r in prices.read_prices(spark, store).collect()) == [*map(float, range(1, 11)), 12.0]
+    with pytest.raises(ValueError):
+        versions.pin(spark, store, 1)
+
+
+def test_two_merges_at_once_lose_nothing(spark, nav_of, tmp_path):
+    store = str(tmp_path / "nav")
+    prices.write_prices(nav_of({"a": [(D(2025, 5, 1), 1.0)]}), store)
+    rivals = [nav_of({"r": [(D(2025, 5, 2), 2.0)]})]
+
+    def combine(stored, incoming):  # another merge publishes while this one is at work
+        if rivals:
+            prices.merge_into_store(spark, store, rivals.pop())
+        return prices.upserted(stored, incoming)
+
+    found = versions.merge(nav_of({"a": [(D(2025, 5, 3), 3.0)]}), store, "scheme_code STRING, date DATE, nav DOUBLE", prices._MONTH, ["date"], combine)
+    assert found.number == 3
+    assert by_day(prices.read_prices(spark, store)) == {("a", D(2025, 5, 1), 1.0), ("r", D(2025, 5, 2), 2.0), ("a", D(2025, 5, 3), 3.0)}
+    with pytest.raises(versions.Taken):
+        versions._publish(spark, store, versions.Version(3, {}))
+    assert versions.versions(spark, store) == [1, 2, 3]
+
+
+def test_holdings_store(spark, tmp_path):
+    store = str(tmp_path / "holdings")
+    jun, jul = D(2026, 6, 30), D(2026, 7, 31)
+    schema = "scheme_code STRING, as_of_date DATE, instrument_name STRING, isin STRING, sector STRING, pct_of_aum DOUBLE, market_value_cr DOUBLE"
+
+    def rows(*lines):
+        return spark.createDataFrame([(c, d, "n", i, "s", p, 1.0) for c, d, i, p in lines], schema)
+
+    first = holdings.write_holdings(rows(("f", jun, "X", 1.0), ("f", jun, "Y", 2.0), ("g", jun, "X", 3.0), ("f", jul, "Z", 4.0), ("h", None, "X", 9.0)), store)
+    opened = holdings.read_holdings(spark, store)
+    for _ in range(2):
+        last = holdings.replace_in_store(store, rows(("f", jun, "W", 5.0), ("k", jun, "X", 6.0)))
+    got = {(r.scheme_code, r.as_of_date, r.isin, r.pct_of_aum) for r in holdings.read_holdings(spark, store).collect()}
+    assert got == {("f", jun, "W", 5.0), ("g", jun, "X", 3.0), ("k", jun, "X", 6.0), ("f", jul, "Z", 4.0)}
+    assert opened.count() == 4 and last.runs["2026-07-31"] == first.runs["2026-07-31"]
+    assert holdings.read_holdings(spark, store, dates=["2026-07-31"]).count() == 1
 
 
 def test_stream_of_daily_files(spark, tmp_path):

@@ -605,3 +605,4 @@ UNION ALL SELECT h.* FROM fx_holdings h WHERE NOT EXISTS (SELECT 1 FROM fx_holdi
   AND n.scheme_code = h.scheme_code AND n.as_of_date = h.as_of_date)"""),
 }
 ORACLES["price_store"] = ORACLES["price_upsert"]
+ORACLES["pinned_prices"] = _q("fx_nav", "SELECT scheme_code, date, nav FROM fx_nav")

@@ -439,7 +439,7 @@ def price_backfill(spark, sf_dir):
 
 @query
 def price_store(spark, sf_dir):
-    """Written by year, corrected in place, corrected again, read back."""
+    """Written by month, corrected in a new version, corrected again, read back."""
     nav = Tables(spark, sf_dir).nav
     store = scratch_dir(spark, "prices")
     prices.write_prices(nav, store)
@@ -657,8 +657,24 @@ def sheet_report(spark, sf_dir):
 
 @query
 def holdings_replace(spark, sf_dir):
-    """Last year's portfolios disclosed again with halved weights."""
-    stored = Tables(spark, sf_dir).holdings
+    """Last year's portfolios disclosed again with halved weights, twice, in a store."""
+    stored = Tables(spark, sf_dir).stored_holdings()
+    store = scratch_dir(spark, "holdings-store")
+    holdings.write_holdings(stored, store)
     again = (stored.filter(F.year("as_of_date") == 2001).filter(F.col("sector") != "ECONOMY")
              .withColumn("pct_of_aum", rnd(F.col("pct_of_aum") / 2, 4)))
-    return holdings.replaced(stored, again)
+    for _ in range(2):
+        holdings.replace_in_store(store, again)
+    return holdings.read_holdings(spark, store)
+
+
+@query
+def pinned_prices(spark, sf_dir):
+    """What a reader that pinned the store before two corrections sees after them."""
+    nav = Tables(spark, sf_dir).nav
+    store = scratch_dir(spark, "pinned-prices")
+    pinned = prices.write_prices(nav, store)
+    before = prices.read_prices(spark, store, version=pinned)
+    for _ in range(2):
+        prices.merge_into_store(spark, store, _corrections(nav))
+    return before
