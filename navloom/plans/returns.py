@@ -29,6 +29,11 @@ def scheme_returns(nav: DataFrame) -> DataFrame:
         for p, days in K.PERIOD_DAYS.items())))
     flat = wide.select("scheme_code", "as_of_date", "nav", "jumps", periods.alias("p")).select(
         "scheme_code", "as_of_date", "nav", "jumps", "p.*")
+    return from_anchors(flat)
+
+
+def from_anchors(flat: DataFrame) -> DataFrame:
+    """scheme_returns from rows of (scheme_code, as_of_date, nav, jumps, period, years, anchor, anchor_jumps)."""
     anchor = F.nullif(F.col("anchor"), F.lit(0.0))
     ret = (F.when(F.col("years") >= 3, F.power(F.col("nav") / anchor, 1 / F.greatest(F.col("years"), F.lit(1.0))) - 1)
             .otherwise((F.col("nav") - anchor) / anchor))

@@ -37,11 +37,15 @@ def _per_window(steps: DataFrame) -> DataFrame:
 
 
 def _window_metrics(steps: DataFrame, *extra: Column) -> DataFrame:
-    """One row per usable window: at least 150 steps, all defined, no jump."""
     grouped = steps.groupBy("scheme_code", "period").agg(
         F.count(F.lit(1)).alias("n"), F.count("ret").alias("defined"), F.max(F.abs("ret")).alias("largest"),
         F.stddev_samp("ret").alias("sd"), F.min_by("nav", "date").alias("first"), F.max_by("nav", "date").alias("last"),
         F.min(F.try_divide(F.col("nav"), F.col("peak")) - 1).alias("drawdown"), *extra)
+    return usable_windows(grouped)
+
+
+def usable_windows(grouped: DataFrame) -> DataFrame:
+    """The windows with at least 150 steps, all defined, and no jump, with their ``annual`` growth."""
     usable = (F.col("n") >= K.MIN_RISK_POINTS) & (F.col("defined") == F.col("n")) & (F.col("largest") <= K.JUMP_LIMIT)
     growth = F.try_divide(F.col("last"), F.col("first"))
     return grouped.filter(usable).withColumn("annual", (F.power(growth, K.TRADING_DAYS / F.col("n")) - 1) * 100)
@@ -60,9 +64,7 @@ def scheme_risk(nav: DataFrame, master: DataFrame, proxies: DataFrame, as_of: st
     proxy_annual = settle(_window_metrics(_per_window(proxy_steps)).select(
         F.col("scheme_code").alias("proxy_scheme_code"), "period", F.col("annual").alias("proxy_annual")), "proxy-growth")
 
-    is_self = F.col("proxy_scheme_code") == F.col("scheme_code")
-    schemes = (master.filter(F.col("backfill_status") == "done").join(links, "category", "left")
-                     .select("scheme_code", F.when(~is_self, F.col("proxy_scheme_code")).alias("proxy_scheme_code")))
+    schemes = proxy_links(master, proxies)
     # hashing the small side per partition leaves the steps where their windows put them
     steps = _per_window(_daily_steps(nav, as_of).join(schemes.hint("shuffle_hash"), "scheme_code")
                         .join(proxy_rets, ["proxy_scheme_code", "date"], "left"))
@@ -70,7 +72,18 @@ def scheme_risk(nav: DataFrame, master: DataFrame, proxies: DataFrame, as_of: st
     rows = (_window_metrics(steps, F.count("proxy_ret").alias("pairs"), F.covar_samp(paired, "proxy_ret").alias("cov"),
                             F.var_samp("proxy_ret").alias("var"))
             .join(schemes, "scheme_code").join(proxy_annual, ["proxy_scheme_code", "period"], "left"))
+    return figures(rows, as_of)
+
+
+def proxy_links(master: DataFrame, proxies: DataFrame) -> DataFrame:
+    """(scheme_code, proxy_scheme_code) of the schemes that get risk rows; null for the proxy itself."""
+    is_self = F.col("proxy_scheme_code") == F.col("scheme_code")
+    return (master.filter(F.col("backfill_status") == "done").join(proxies.select("category", "proxy_scheme_code"), "category", "left")
+                  .select("scheme_code", F.when(~is_self, F.col("proxy_scheme_code")).alias("proxy_scheme_code")))
+
 
+def figures(rows: DataFrame, as_of: str) -> DataFrame:
+    """scheme_risk from usable windows beside their proxy's growth."""
     stdev = F.col("sd") * (K.TRADING_DAYS ** 0.5) * 100
     covered = ((F.col("pairs") >= K.MIN_RISK_POINTS) & (F.col("var") > 0) & F.col("proxy_annual").isNotNull()
                & (F.col("pairs") / F.col("n") >= K.MIN_PROXY_COVERAGE))

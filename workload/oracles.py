@@ -606,3 +606,5 @@ UNION ALL SELECT h.* FROM fx_holdings h WHERE NOT EXISTS (SELECT 1 FROM fx_holdi
 }
 ORACLES["price_store"] = ORACLES["price_upsert"]
 ORACLES["pinned_prices"] = _q("fx_nav", "SELECT scheme_code, date, nav FROM fx_nav")
+ORACLES["kept_tables"] = f"""SELECT scheme_code, period, ret, r.as_of_date AS latest, stdev, sharpe, beta, alpha, max_drawdown, k.as_of_date
+FROM ({ORACLES["scheme_returns"]}) r FULL JOIN ({ORACLES["scheme_risk"]}) k USING (scheme_code, period)"""

@@ -13,7 +13,7 @@ from navloom.functions import feeds, names, tax
 from navloom.functions.rounding import rnd
 from navloom.operators import merge, resolve, series
 from navloom.plans import (alike, backtest, compare, costleak, explorer, nightly, overlap, projections, quality, returns,
-                           risk, rolling)
+                           risk, rolling, upkeep)
 from navloom.plans import tax as plan_taxes
 from navloom.session import scratch_dir, settle
 from navloom.sources import benchmark, costs, holdings, master, nav_text, prices, sheets
@@ -125,6 +125,21 @@ def nightly_rebuild(spark, sf_dir):
     return reduce(DataFrame.unionByName, counts)
 
 
+@query
+def kept_tables(spark, sf_dir):
+    """Returns and risk kept up over two batches: a history without its newest days and with wrong prices, and what puts
+    it right, benchmarks among it."""
+    t = Tables(spark, sf_dir)
+    nav, master_rows = settle(t.nav, "nav"), t.stored_master()
+    store, state = scratch_dir(spark, "kept-prices"), scratch_dir(spark, "kept-state")
+    late, wrong = F.col("date") >= "2001-08-20", F.col("date").between("2000-03-05", "2000-04-11") & (F.crc32("scheme_code") % 3 == 0)
+    first = nav.filter(~late).withColumn("nav", F.when(wrong, F.col("nav") * 1.7).otherwise(F.col("nav")))
+    for batch in (first, nav.filter(late | wrong)):
+        upkeep.ingest(spark, store, state, batch, master_rows, t.proxies, AS_OF)
+    kept = upkeep.scheme_returns(spark, state).withColumnRenamed("as_of_date", "latest")
+    return kept.join(upkeep.scheme_risk(spark, state), ["scheme_code", "period"], "full_outer")
+
+
 # --- portfolios ---------------------------------------------------------------------
 
 @query
