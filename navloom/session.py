@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def _scratch_root(spark: SparkSession) -> str:
-    """One folder per application under ``spark.checkpoint.dir``, or under the warehouse
-    where that is unset; both are shared by all executors."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """One folder per application under ``spark.checkpoint.dir``. Where that is unset it is the warehouse, unless that is a
+    folder of one machine and the executors are on others."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        scheme = file_system(spark, root)[0].getUri().getScheme()
+        if scheme == "file" and not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; {root} is on one machine")
     return f"{root.rstrip('/')}/navloom-{spark.sparkContext.applicationId}"
 
 

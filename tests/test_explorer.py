@@ -1,8 +1,12 @@
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from navloom import session
 from navloom.plans import explorer, quality
 from tests.conftest import growing, rows_of
 
@@ -95,3 +99,31 @@ def test_period_rows(spark):
     rows = rows_of(explorer.period_rows(master, rets, stats, proxies), "scheme_code", "period")
     assert (rows["f", "1Y"]["benchmark_return"], rows["f", "1Y"]["category_avg_return"], rows["f", "1Y"]["position"]) == (7.0, 8.5, 4)
     assert rows["f", "10Y"]["benchmark_return"] is None and rows["p", "1Y"]["benchmark_return"] is None and len(rows) == 3
+
+
+def test_fund_queries_need_no_text_package():
+    """With a package of the text operators blocked, and without their folders, all other queries are there."""
+    code = ("import sys; sys.path.insert(0, {root!r}); sys.modules.update({blocked!r})\n"
+            "import __spark_entry__ as e; print(len(e.queries()), 'scheme_returns' in e.queries(), 'op1_minhash_dedup' in e.queries())")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for blocked in ("tiktoken", "zstandard", "navloom.llm", "corpus_pipeline"):
+        script = code.replace("{root!r}", repr(root)).replace("{blocked!r}", f"{{{blocked!r}: None}}")
+        out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True).stdout.split()
+        assert int(out[0]) >= 70 and out[1] == "True"
+
+
+def test_scratch_on_one_machine_is_refused_on_a_cluster(spark, monkeypatch):
+    shared = spark.conf.get("spark.checkpoint.dir")
+
+    class Elsewhere:
+        conf, _jvm = {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}, spark._jvm
+
+        class sparkContext:
+            master, applicationId, _jvm, _jsc = "spark://host:7077", "app", spark.sparkContext._jvm, spark.sparkContext._jsc
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_dir(Elsewhere, "x")
+    Elsewhere.conf = {"spark.checkpoint.dir": shared}
+    assert session.scratch_dir(Elsewhere, "x").startswith(shared)
+    Elsewhere.conf, Elsewhere.sparkContext.master = {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}, "local[4]"
+    assert session.scratch_dir(Elsewhere, "x").startswith("file:/tmp/warehouse/navloom-app")

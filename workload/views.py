@@ -209,19 +209,20 @@ SELECT s_suppkey AS set_id, 0 AS position, 'S' || CAST(s_suppkey AS STRING) AS s
 UNION ALL SELECT s_suppkey, 1, 'Brand#' || CAST(s_suppkey % 25 + 1 AS STRING) || '-O' FROM supplier
 UNION ALL SELECT s_suppkey, 2, 'Brand#' || CAST(s_suppkey % 25 + 1 AS STRING) || '-F' FROM supplier
 UNION ALL SELECT s_suppkey, 3, '120716' FROM supplier"""),
-    # the stored master and today's file: parts first sold by mid 1995, parts sold this year; most are in both
+    # the stored master and today's file: every part that was sold, but the smallest in the file only and the largest in
+    # the master only; a part is listed once for each of its sales
     "fx_master_old": (("fx_catalog",), """
 SELECT c.scheme_code, 'Old ' || name AS name, amc, CAST(NULL AS STRING) AS scheme_type, category,
        CAST(NULL AS STRING) AS sub_category, 'Direct' AS plan_type, 'Growth' AS option_type, CAST(NULL AS STRING) AS isin,
        CAST(NULL AS STRING) AS fund_group_id, d1 AS first_seen, d2 AS last_seen, TRUE AS is_active
 FROM fx_catalog c JOIN (SELECT l_partkey, min(CAST(l_shipdate AS DATE)) AS d1, max(CAST(l_shipdate AS DATE)) AS d2
                         FROM lineitem GROUP BY l_partkey) l ON p_partkey = l_partkey
-WHERE d1 < DATE '1995-07-01'"""),
+WHERE p_size > 2"""),
     "fx_master_new": (("fx_catalog",), """
 SELECT scheme_code, d AS nav_date, name, amc, 'Open Ended Schemes' AS scheme_type, category, CAST(NULL AS STRING) AS sub_category,
        'Regular' AS plan_type, 'IDCW' AS option_type, 'INF' || scheme_code AS isin, 'G' || scheme_code AS fund_group_id
-FROM fx_catalog c JOIN (SELECT l_partkey, CAST(l_shipdate AS DATE) AS d FROM lineitem
-                        WHERE l_shipdate >= TIMESTAMP '2001-01-01 00:00:00') l ON p_partkey = l_partkey"""),
+FROM fx_catalog c JOIN (SELECT l_partkey, CAST(l_shipdate AS DATE) AS d FROM lineitem) l ON p_partkey = l_partkey
+WHERE p_size < 49"""),
 }
 
 
