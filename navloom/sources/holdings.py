@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from navloom import constants as K
@@ -12,6 +14,7 @@ from navloom.functions.names import sheet_identity
 from navloom.functions.rounding import rnd
 from navloom.operators.merge import replace_groups
 from navloom.operators.resolve import resolve_codes
+from navloom.session import settle
 from navloom.sources import sheets as sheet_source
 from navloom.sources import versions
 
@@ -79,6 +82,37 @@ def load_report(sheets: DataFrame, houses: DataFrame, master: DataFrame) -> Data
         tally(~bad & hit).alias("matched"), tally(~bad & ~hit).alias("unmatched"))
 
 
+REASONS = ["no header row", "header lacks a column", "no valid line", "no scheme name", "unknown house", "suspect weights", "no such fund", "superseded"]
+
+
+@dataclass(frozen=True)
+class Load:
+    """What a load makes of the landed sheets: holding rows, (file, sheet, reason) of those held back, and how many were
+    landed, loaded and held back for each reason."""
+    rows: DataFrame
+    quarantine: DataFrame
+    counts: dict[str, int]
+
+
+def load_sheets(cells: DataFrame, houses: DataFrame, master: DataFrame, as_of: str) -> Load:
+    """Parses and matches all landed sheets. Every one of them either gives rows or is in the quarantine with the first
+    reason that holds it back; the counters are taken in the job that writes these verdicts. ``houses`` has one row per
+    file. A sheet whose every portfolio a later sheet gives is superseded."""
+    parsed, lines = sheet_source.parse_sheets(cells, as_of)
+    matched = settle(matched_sheets(parsed, houses, master), "matched")
+    titled = parsed.select("file", "sheet", "total_pct", sheet_identity(F.col("scheme_name")).alias("target")).join(houses, "file", "left")
+    known = resolve_codes(titled.filter(F.col("amc").isNotNull()), master).select("amc", "target").distinct().withColumn("known", F.lit(True))
+    used = matched.select("file", "sheet").distinct().withColumn("used", F.lit(True))
+    reason = (F.when(F.col("amc").isNull(), "unknown house").when(F.col("total_pct") > K.MAX_PORTFOLIO_WEIGHT, "suspect weights")
+               .when(F.col("known").isNull(), "no such fund").when(F.col("used").isNull(), "superseded"))
+    judged = titled.join(known, ["amc", "target"], "left").join(used, ["file", "sheet"], "left").select("file", "sheet", reason.alias("reason"))
+    seen = Observation("sheets")
+    counters = [F.count(F.lit(1)).alias("landed"), F.count(F.when(F.col("reason").isNull(), 1)).alias("loaded"),
+                *(F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in REASONS)]
+    verdicts = settle(judged.unionByName(sheet_source.unparsed(cells, parsed, lines)).observe(seen, *counters), "verdicts")
+    return Load(holding_rows(lines, matched), verdicts.filter(F.col("reason").isNotNull()), dict(seen.get))
+
+
 def newest_links(links: DataFrame) -> DataFrame:
     """(amc, url) -> the newest dated workbook link of every house; links without a
     date are left out."""

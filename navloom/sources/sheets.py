@@ -159,6 +159,15 @@ def parse_sheets(cells: DataFrame, as_of: str, header_scan_rows: int | None = No
     return settle(sheets, "sheets"), lines
 
 
+def unparsed(cells: DataFrame, sheets: DataFrame, lines: DataFrame, header_scan_rows: int | None = None) -> DataFrame:
+    """(file, sheet, reason) of the landed sheets that are not among the parsed ``sheets``: unreadable, without a valid line, or
+    without a name above their lines."""
+    left = cells.select(*SHEET).distinct().join(sheets.select(*SHEET), SHEET, "left_anti")
+    some = lines.select(*SHEET).distinct().withColumn("some", F.lit(True))
+    reason = F.coalesce("reason", F.when(F.col("some").isNull(), "no valid line").otherwise("no scheme name"))
+    return left.join(unreadable(cells, header_scan_rows), SHEET, "left").join(some, SHEET, "left").select(*SHEET, reason.alias("reason"))
+
+
 def plausible(sheets: DataFrame) -> DataFrame:
     return sheets.filter(F.col("total_pct") <= K.MAX_PORTFOLIO_WEIGHT)
 

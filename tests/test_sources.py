@@ -456,6 +456,23 @@ def test_heavy_sheets_are_held_back(spark, parsed):
     assert (report.sheets, report.suspect, report.matched, report.unmatched) == (5, 1, 1, 3)
 
 
+def test_every_landed_sheet_is_loaded_or_has_a_reason(spark, parsed):
+    empty = [["Scheme Name: Maple Empty Fund"], ["Name of the Instrument", "ISIN", "% to NAV"], ["Total", "", 100.0]]
+    old = [["Scheme Name: Maple Oil And Gas Fund"], ["as on 31 March 2027"], ["Name of the Instrument", "ISIN", "% to NAV"], ["Pine Saws Limited", "QQ0000000017", 88.0]]
+    elsewhere = cells_of(spark, away=DEEP).withColumn("file", F.lit("g"))
+    landed = cells_of(spark, coded=CODED, labelled=LABELLED, later=LATER, none=NO_HEADER, blind=NO_WEIGHTS, empty=empty, a_copy=old).unionByName(elsewhere)
+    houses = spark.createDataFrame([("f", "Maple Mutual Fund")], "file STRING, amc STRING")
+    schemes = spark.createDataFrame([("Maple Mutual Fund", c, n) for c, n in MAPLE], "amc STRING, scheme_code STRING, name STRING")
+    load = holdings.load_sheets(landed, houses, schemes, "2027-04-15")
+    held = {r.sheet: r.reason for r in load.quarantine.collect()}
+    assert held == {"none": "no header row", "blind": "header lacks a column", "empty": "no valid line", "later": "suspect weights", "coded": "no such fund",
+                    "a_copy": "superseded", "away": "unknown house"}
+    assert load.counts["landed"] == 8 and load.counts["loaded"] == 1 and sum(load.counts[r] for r in holdings.REASONS) == 7
+    assert {r.scheme_code for r in load.rows.collect()} == {"o1", "o2"} and load.rows.filter("isin = 'QQ0000000033'").first().pct_of_aum == 41.5
+    nothing = holdings.load_sheets(landed.limit(0), houses, schemes, "2027-04-15")
+    assert nothing.counts["landed"] == 0 and nothing.quarantine.count() == 0 and nothing.rows.count() == 0
+
+
 def test_dates_in_words(spark):
     assert set(column(spark, feeds.as_on_date, "as on March 31, 2027", "AS ON March 31,2027", "as on 31-Mar-2027", "Statement as at 31 March 2027")) == {D(2027, 3, 31)}
     # only whole month words count

@@ -598,6 +598,10 @@ SELECT file, scheme_code AS sheet, fund || CASE WHEN k % 3 = 1 THEN ' (An Open E
 SELECT amc, count(*) AS sheets, count(CASE WHEN total > 115 THEN 1 END) AS suspect, count(CASE WHEN total <= 115 AND k % 10 <> 4 THEN 1 END) AS matched,
        count(CASE WHEN total <= 115 AND k % 10 = 4 THEN 1 END) AS unmatched
 FROM sheet_totals GROUP BY 1""", _SHEETS),
+    "sheet_quarantine": _q("sheet_totals", """
+SELECT file, scheme_code AS sheet, CASE WHEN total > 115 THEN 'suspect weights' ELSE 'no such fund' END AS reason FROM sheet_totals WHERE total > 115 OR k % 10 = 4
+UNION ALL SELECT file, scheme_code || '-note', CASE k % 10 WHEN 2 THEN 'no header row' WHEN 3 THEN 'header lacks a column' ELSE 'no valid line' END
+FROM sheet_totals WHERE k % 10 IN (2, 3, 5)""", _SHEETS),
     "holdings_replace": _q("fx_holdings", f"""
 SELECT scheme_code, as_of_date, instrument_name, isin, sector, {rnd('pct_of_aum / 2', 4)} AS pct_of_aum, market_value_cr
 FROM fx_holdings WHERE year(as_of_date) = 2001 AND sector <> 'ECONOMY'

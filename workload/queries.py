@@ -670,6 +670,27 @@ def sheet_report(spark, sf_dir):
     return holdings.load_report(sheets.parse_sheets(cells, SHEETS_READ_ON)[0], houses, t.master)
 
 
+@query
+def sheet_quarantine(spark, sf_dir):
+    """Every landed sheet that gives no holdings, and why. Beside the portfolios there are notes without a table, tables
+    without weights and tables without a line."""
+    t = Tables(spark, sf_dir)
+    cells, houses = _landed_cells(t)
+    k = F.substring("scheme_code", 2, 20).try_cast("bigint") % 10
+    labels = ["Name of the Instrument", "ISIN", "% to NAV"]
+
+    def row(texts):
+        return [F.struct(F.lit(4).cast("bigint").alias("row_idx"), F.lit(i).alias("col_idx"), F.lit(text).alias("text")) for i, text in enumerate(texts)]
+
+    title = F.struct(F.lit(1).cast("bigint").alias("row_idx"), F.lit(0).alias("col_idx"), F.concat(F.lit("Portfolio of "), F.regexp_replace("name", " - .*", "")).alias("text"))
+    extra = F.when(k == 2, F.array(title)).when(k == 3, F.array(title, *row(labels[:2]))).when(k == 5, F.array(title, *row(labels)))
+    held = t.holdings.select("scheme_code", F.year("as_of_date").alias("year")).distinct().join(t.master.select("scheme_code", "name", "amc"), "scheme_code")
+    notes = (held.withColumn("file", F.concat(F.lower(F.split("amc", " ")[0]), F.lit("-"), F.col("year"), F.lit(".xlsx")))
+             .select("file", F.concat("scheme_code", F.lit("-note")).alias("sheet"), F.explode(extra).alias("c")).select("file", "sheet", "c.*"))
+    notes = notes.withColumns({"num": F.lit(None).cast("double"), "dt": F.lit(None).cast("date")})
+    return holdings.load_sheets(settle(cells.unionByName(notes), "all-cells"), houses, t.stored_master(), SHEETS_READ_ON).quarantine
+
+
 @query
 def holdings_replace(spark, sf_dir):
     """Last year's portfolios disclosed again with halved weights, twice, in a store."""
