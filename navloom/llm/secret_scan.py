@@ -7,7 +7,7 @@ drawn at random is taken for a live credential, while one that many owners copie
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from navloom.llm.rows import join_rows
@@ -24,25 +24,41 @@ KINDS = ("assign", "access", "hex", "live")  # in the order in which equal start
 MAX_OWNERS = 2  # a value of more owners is an example
 LEAST_KINDS_OF_CHARACTERS = 10  # a random-looking value has at least so many different ones
 
-SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
+PARTS = "array<struct<gap: int, whole: int, value: string>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0) -> Column:
-    """Matches, left to right, as (start, kind, end, value): what lies between them tells where they are."""
+def _parts(text: Column, pattern: str, value_group: int = 0) -> Column:
+    """Matches, left to right, as (gap, whole, value): the characters since the one before, its own, and what counts."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if value_group else values
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(done: Column, part: Column) -> Column:
-        begin = done["at"] + F.length(part["gap"])
-        end = begin + F.coalesce(F.length(part["whole"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["value"].alias("value"))
-        out = F.when(F.length(part["value"]) >= max(1, least), F.concat(done["out"], F.array(span))).otherwise(done["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
-
-    found = F.aggregate(parts, start, step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)  # one more than matches
+    parts = F.arrays_zip(gaps.alias("gap"), F.transform(whole, F.length).alias("whole"), values.alias("value"))
+    return F.when(text.rlike(pattern), parts).otherwise(F.array()).cast(PARTS)
+
+
+def _placed(scanned: DataFrame) -> DataFrame:
+    """A row per match with its start and end: running lengths over the row's matches of one kind, so that a text takes
+    time in proportion to its matches."""
+    kinds = scanned.select("row", "doc_id", "owner", "text_hash", F.posexplode("found").alias("kind", "parts"))
+    parts = kinds.select("row", "doc_id", "owner", "text_hash", "kind", F.posexplode("parts").alias("nth", "part"))
+    parts = parts.select("row", "doc_id", "owner", "text_hash", "kind", "nth", "part.*").where("value IS NOT NULL")
+    before = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.col("whole")).over(before).cast("int")
+    placed = parts.withColumn("end", end).withColumn("start", F.col("end") - F.col("whole"))
+    least = F.when(F.col("kind") == 0, 8).otherwise(1)
+    return placed.where(F.length("value") >= least).drop("gap", "whole", "nth")
+
+
+def _apart(spans: DataFrame) -> DataFrame:
+    """Base spans, and the tokens of letters and digits that touch none: before a token's start no base span reaches over
+    it, and the next one starts at its end or later."""
+    base = F.col("kind") < 3
+    up = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = spans.withColumn("reach", F.max(F.when(base, F.col("end"))).over(up)).withColumn("next", F.min(F.when(base, F.col("start"))).over(down))
+    free = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    return spans.where(base | (mixed & free)).drop("reach", "next")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -55,18 +71,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     no spans. Ids may be null or repeat: a row is known by id and text. Other columns are left out."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), text.alias("text"))
-    docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    nothing = F.array().cast(SPAN)
-    some = F.col("text").rlike(ANY)
-    base = F.array_sort(F.concat(_spans(F.col("text"), ASSIGN, 0, 1, 8), _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2)))
-    scanned = docs.select("doc_id", "owner", "text_hash", F.when(some, base).otherwise(nothing).alias("base"),
-                          F.when(some, _spans(F.col("text"), TOKEN, 3)).otherwise(nothing).alias("tokens"))
-    scanned = settle(scanned, "spans")
-
-    mixed = F.filter("tokens", lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]")
-                     & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    each = scanned.select("doc_id", "owner", "text_hash", F.explode(F.concat("base", mixed)).alias("s")).select("doc_id", "owner", "text_hash", "s.*")
-    each = each.withColumn("value_hash", F.sha2("value", 256))
+    patterns = ((ASSIGN, 1), (ACCESS, 0), (HEX, 0), (TOKEN, 0))
+    found = F.when(F.col("text").rlike(ANY), F.array(*(_parts(F.col("text"), p, group) for p, group in patterns)))
+    scanned = settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", F.xxhash64("text").alias("text_hash"), found.alias("found")), "matches")
+
+    each = settle(_apart(_placed(scanned)).withColumn("value_hash", F.sha2("value", 256)), "spans")
     owners = each.groupBy("value_hash", "owner").agg(F.count("*").alias("n")).groupBy("value_hash").agg(F.count("*").alias("owners"))
     places = each.groupBy("value_hash", "doc_id").agg(F.count("*").alias("n")).groupBy("value_hash").agg(F.count("*").alias("repositories"))
     spread = settle(owners.join(places, "value_hash"), "owners")
@@ -74,7 +83,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     random = F.size(F.array_distinct(F.split("value", ""))) >= LEAST_KINDS_OF_CHARACTERS
     kept = each.where((F.col("kind") < 3) | (random & (F.col("owners") <= max_owners)))
     spans = kept.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "value", "owners", "repositories"))).alias("spans"))
-    return join_rows(scanned, spans, "left").select("doc_id", "text_hash", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
+    return join_rows(scanned.select("doc_id", "text_hash"), spans, "left").select(
+        "doc_id", "text_hash", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -1,5 +1,6 @@
 import re
 import textwrap
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,18 @@ def test_legal_words_beside_a_notice_do_not_hide_it(spark, notice):
     rows = [(n, f"{prose[:n]} {notice}") for n in range(100, len(prose), 10)]
     found = license_scan.scan(table(spark, rows)).collect()
     assert sorted((r.doc_id, r.exact) for r in found) == [(n, True) for n, _ in rows]
+
+
+def test_a_text_of_secrets_takes_time_in_proportion(spark):
+    """16,000 and 64,000 matches in one text: every span in its place, and no square of them."""
+    def run(n):
+        text = " ".join(f"token={i:08d}x é {i:032x} Zq{i:06d}AbCdEfGhIjKlMn" for i in range(n // 3))
+        begin = time.perf_counter()
+        spans = secret_scan.scan(spark.createDataFrame([(1, text, "s")], "doc_id BIGINT, text STRING, source STRING")).first().spans
+        taken = time.perf_counter() - begin
+        assert len(spans) == 3 * (n // 3) and all(text[s.start:s.end].endswith(s.value) for s in spans[::997])
+        return taken
+
+    run(300)
+    few, many = run(16_000), run(64_000)
+    assert many < 5 * few
