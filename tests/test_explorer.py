@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from navloom import session
-from navloom.plans import explorer, quality
+from navloom.plans import explorer, quality, search
 from tests.conftest import growing, rows_of
 
 D = dt.date
@@ -127,3 +127,19 @@ def test_scratch_on_one_machine_is_refused_on_a_cluster(spark, monkeypatch):
     assert session.scratch_dir(Elsewhere, "x").startswith(shared)
     Elsewhere.conf, Elsewhere.sparkContext.master = {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}, "local[4]"
     assert session.scratch_dir(Elsewhere, "x").startswith("file:/tmp/warehouse/navloom-app")
+
+
+def test_search_through_trigrams_equals_a_scan(spark, tmp_path):
+    names = ["Birch Flexi Fund", "BIRCH & Oak 50% Fund", "Abirchy", "bi", "", None, "Batch_Fund", "Ünïon Birch Élan", "aaa", "aaaa Fund", "\u212aelvin Fund"]
+    rows = [(f"s{i}", name, house) for i, name in enumerate(names) for house in ("Alder Mutual Fund",)] + [("h1", "x", "Birch House"), ("h2", None, None), ("h3", "bir", "rch")]
+    card = spark.createDataFrame(rows, "scheme_code STRING, name STRING, amc STRING")
+    path = str(tmp_path / "index")
+    search.write_index(card, path)
+    for q in ("birch", "BIRCH", "b_rch", "b%fund", "fund", "50%", "aaa", "aaaa", "élan", "bi", "%", "ich", "lder mut", "kelvin", "zzz", "h_Fu", "birch flexi fund"):
+        scan = {r.scheme_code for r in card.filter(F.col("name").ilike(f"%{q}%") | F.col("amc").ilike(f"%{q}%")).collect()}
+        through = search.narrowed(card, path, q)
+        assert {r.scheme_code for r in through.filter(F.col("name").ilike(f"%{q}%") | F.col("amc").ilike(f"%{q}%")).collect()} == scan
+    assert search.pattern_grams("bi%c_h") == [] and search.candidates(spark, path, "b_") is None and search.narrowed(card, path, None) is card
+    assert {r.scheme_code for r in search.candidates(spark, path, "b_rch").collect()} == {"s0", "s1", "s2", "s7", "h1", "h3"}
+    plan = search.candidates(spark, path, "birch")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "In(gram" in plan

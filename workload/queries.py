@@ -13,7 +13,7 @@ from navloom.functions import feeds, names, tax
 from navloom.functions.rounding import rnd
 from navloom.operators import merge, resolve, series
 from navloom.plans import (alike, backtest, compare, costleak, explorer, nightly, overlap, projections, quality, returns,
-                           risk, rolling, upkeep)
+                           risk, rolling, search, upkeep)
 from navloom.plans import tax as plan_taxes
 from navloom.session import scratch_dir, settle
 from navloom.sources import benchmark, costs, holdings, master, nav_text, prices, sheets
@@ -314,7 +314,10 @@ def explorer_page(spark, sf_dir):
 
 @query
 def explorer_search(spark, sf_dir):
-    return explorer.explorer_page(_card(Tables(spark, sf_dir)), sort="nav", descending=False, page=2, page_size=20,
+    """Through the trigram index, which gives the candidates for the pattern."""
+    t, index = Tables(spark, sf_dir), scratch_dir(spark, "name-index")
+    search.write_index(t.master, index)
+    return explorer.explorer_page(search.narrowed(_card(t), index, "b_rch"), sort="nav", descending=False, page=2, page_size=20,
                                   q="b_rch", plan_type="Regular", option_type="Growth")
 
 
