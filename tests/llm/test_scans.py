@@ -1,6 +1,8 @@
+import random
 import re
 import textwrap
 import time
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +172,68 @@ def test_legal_words_beside_a_notice_do_not_hide_it(spark, notice):
     assert sorted((r.doc_id, r.exact) for r in found) == [(n, True) for n, _ in rows]
 
 
+def same_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(accumulate(range(1, len(b) + 1), lambda left, j: max(left, row[j], row[j - 1] + (x == b[j - 1])), initial=0))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_licenses_equal_brute_force(seed):
+    """Every range of words against every template: a statement is found exactly where one is confirmed, with the fewest
+    differing words, and its template saves most bytes of those confirmed inside it."""
+    rng = random.Random(seed)
+    wordings = [[rng.choice("license warranty copyright code work may use with and no".split()) for _ in range(rng.randint(6, 12))] for _ in range(4)]
+    templates = tuple((f"L{t}", " ".join(w)) for t, w in enumerate(wordings))
+    text = [w for w in rng.choice(wordings) if rng.random() > 0.08]
+    for _ in range(rng.randint(0, 2)):
+        text.insert(rng.randrange(len(text)), rng.choice(["strange", "work"]))
+    text = ["before", "it", *text, "and", "after"]
+    good = {}
+    for t, wording in enumerate(wordings):
+        least, extra = -(-80 * len(wording) // 100), 20 * len(wording) // 100 + 1
+        for i in range(len(text)):
+            for j in range(i + 1, len(text) + 1):
+                same = same_words(text[i:j], wording)
+                if same >= least and j - i - same <= extra:
+                    good[t, i, j] = (len(wording) - same, j - i - same)
+    joined = " ".join(text)
+    found = license_scan.find(joined, templates)
+    assert bool(found) == (bool(good) and bool(re.search(license_scan.TRIGGER, joined)))
+    ends = [len(" ".join(text[:j])) for j in range(len(text) + 1)]
+    last = 0
+    for name, start, end, reduction, missing, extra in found:
+        t, i, j = int(name[1:]), len(joined[:start].split()), ends.index(end)
+        assert start >= last and good[t, i, j] == (missing, extra)
+        last = end
+        assert missing + extra == min(sum(d) for (u, a, b), d in good.items() if u == t and i <= a and b <= j)
+        saved = license_scan.reductions(joined[start:end], templates)
+        assert reduction == saved[t] == max(saved[u] for u, a, b in good if i <= a and b <= j)
+
+
+def test_the_order_of_reductions_decides():
+    """Both templates are confirmed; the one with more differing words saves more bytes, so it comes first."""
+    long = "incompressibilityxqzvkjwpfmgybhlrtnscd"
+    words_ = "this license lets you do what you like with the whole of the work".split()
+    text = " ".join([*words_[:7], long, *words_[7:]])
+    near = " ".join(words_)
+    big = text.replace("lets", "let").replace("whole", "rest")
+    for templates in ((("near", near), ("big", big)), (("big", big), ("near", near))):
+        saved = dict(zip([n for n, _ in templates], license_scan.reductions(text, templates)))
+        (found,) = license_scan.find(text, templates)
+        assert saved["big"] > saved["near"] > 0 and found[0] == "big" and found[4:] == (2, 2)
+        assert license_scan.find(text, (("near", near),))[0][4:] == (0, 1)
+
+
+def test_a_text_of_licenses_only():
+    rng = random.Random(5)
+    chosen = [rng.choice(TEMPLATES) for _ in range(600)]
+    text = "\n\n".join(f"Copyright {rng.random()} by somebody\n{t}" for _, t in chosen)
+    found = license_scan.find(text)
+    assert [(f[0], f[4], f[5]) for f in found] == [(name, 0, 0) for name, _ in chosen]
+
+
 def test_a_text_of_secrets_takes_time_in_proportion(spark):
     """16,000 and 64,000 matches in one text: every span in its place, and no square of them."""
     def run(n):
