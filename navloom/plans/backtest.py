@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from navloom import constants as K
 from navloom.functions.rounding import rnd
 from navloom.operators import asof, series
+from navloom.session import settle
 
 _EPSILON_YEARS = 1e-9
 
@@ -82,17 +83,75 @@ def _sip_totals(buys: DataFrame, *extra: Column) -> DataFrame:
         F.sum("amount").alias("paid"), F.sum(F.try_divide("amount", "price")).alias("bought"), *extra)
 
 
-def sip_summary(buys: DataFrame) -> DataFrame:
-    """Invested, units, value and gain of every instalment plan."""
+def _sip_summary(totals: DataFrame) -> DataFrame:
     value = F.col("bought") * F.col("latest_nav")
     gain = value - F.col("paid")
-    return _sip_totals(buys).select(
+    return totals.select(
         "plan_id", "scheme_code", F.col("start_date").alias("start"), F.col("latest_date").alias("end"),
         rnd(F.col("paid"), 2).alias("invested"), rnd(F.col("bought"), 4).alias("units"),
         rnd(value, 2).alias("current_value"), rnd(gain, 2).alias("gain"),
         rnd(F.try_divide(gain, F.col("paid")) * 100, 2).alias("absolute_return_pct"))
 
 
+def sip_summary(buys: DataFrame) -> DataFrame:
+    """Invested, units, value and gain of every instalment plan."""
+    return _sip_summary(_sip_totals(buys))
+
+
+_CHAIN = ["scheme_code", "dom", "step", "phase"]
+
+
+def _month_number(date: Column) -> Column:
+    return F.year(date) * 12 + F.month(date) - 1
+
+
+def _chained(plans: DataFrame, nav: DataFrame) -> DataFrame:
+    """Plans with at least one instalment: their chain, the months of the first and the last instalment."""
+    last = F.least(F.coalesce("last_instalment", "latest_date"), F.col("latest_date"))
+    step, dom = F.when(F.col("freq") == "quarterly", 3).otherwise(1), F.least(F.dayofmonth("start_date"), F.lit(28))
+    first_month, last_month = _month_number(F.col("start_date")), _month_number(last)
+    # the last month counts if its day has come
+    whole = F.greatest(last_month - F.when(F.dayofmonth(last) < dom, 1).otherwise(0) - first_month, F.lit(0))
+    return (_bounded(plans, nav).filter(F.col("start_date") <= last)
+            .select("plan_id", "scheme_code", "amount", "start_date", "first_date", "latest_date", "latest_nav", dom.alias("dom"),
+                    step.alias("step"), (first_month % step).alias("phase"), first_month.alias("from_month"),
+                    (first_month + whole - whole % step).alias("to_month")))
+
+
+def unit_chains(plans: DataFrame, nav: DataFrame) -> DataFrame:
+    """(scheme_code, dom, step, phase, month, due, units, bought): running units per unit of money, and how many purchases had a
+    price, of buying on day ``dom`` of every month (step 1) or every third (step 3, by phase). A scheme has at most 28 days times
+    4 chains, each with a row a month, however many plans share it."""
+    chains = (_chained(plans, nav).filter(F.col("to_month") > F.col("from_month")).groupBy(*_CHAIN)
+              .agg(F.min("from_month").alias("low"), F.max("to_month").alias("high"), F.min("first_date").alias("first_date")))
+    due = (chains.select(*_CHAIN, "first_date", F.explode(F.sequence("low", "high", "step")).alias("month"))
+                 .withColumn("due", F.make_date(F.floor(F.col("month") / 12).cast("int"), F.col("month") % 12 + 1, "dom")))
+    upto = Window.partitionBy(*_CHAIN).orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inverse = F.try_divide(F.lit(1.0), F.col("price"))
+    return asof.next_price(due, nav, "due").select(*_CHAIN, "month", "due", F.coalesce(F.sum(inverse).over(upto), F.lit(0.0)).alias("units"),
+                                                   F.count(inverse).over(upto).alias("bought"))
+
+
+def plan_summary(plans: DataFrame, nav: DataFrame) -> DataFrame:
+    """``sip_summary`` of plans (one row per plan_id) without a row per instalment: the first purchase by its own price, the
+    later ones as the difference of two rows of the scheme's running units."""
+    rows = _chained(plans, nav)
+    chains = settle(unit_chains(plans, nav), "unit-chains")
+    starts = asof.next_price(rows, nav, "start_date").withColumn("inverse", F.try_divide(F.lit(1.0), F.col("price")))
+
+    def at(month: str, name: str) -> DataFrame:
+        return chains.select(*_CHAIN, F.col("month").alias(month), F.col("units").alias(f"{name}_units"), F.col("bought").alias(f"{name}_bought"))
+
+    joined = (starts.join(at("from_month", "first"), [*_CHAIN, "from_month"], "left")
+                    .join(at("to_month", "last"), [*_CHAIN, "to_month"], "left"))
+    later = F.col("to_month") > F.col("from_month")
+    priced = later & (F.col("last_bought") > F.col("first_bought"))
+    units = F.when(F.col("inverse").isNotNull() | priced,
+                   F.coalesce("inverse", F.lit(0.0)) + F.when(priced, F.col("last_units") - F.col("first_units")).otherwise(0.0))
+    count = 1 + (F.col("to_month") - F.col("from_month")) / F.col("step")
+    return _sip_summary(joined.withColumns({"paid": F.col("amount") * count, "bought": F.col("amount") * units}))
+
+
 def xirr(flows: Column) -> Column:
     """Money-weighted annual rate of ``flows`` (array of struct(t years, a amount)),
     by Newton steps from 10%; null without both signs, when 1 + rate is not

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +204,24 @@ def test_withdrawals_match_month_by_month(spark):
         mine = schedule.get(str(i), [])
         assert [y for y, _ in mine] == [y for y, _ in years]
         assert all(a == pytest.approx(b, rel=1e-9, abs=0.02) for (_, a), (_, b) in zip(mine, years))
+
+
+def test_running_units_equal_single_instalments(spark, nav_of):
+    """Plans on every kind of day and step, with gaps, a price of 0 and last instalments before, at and after a due day."""
+    rng = random.Random(3)
+    days = [D(2018, 1, 5) + dt.timedelta(days=i) for i in range(1200) if rng.random() < 0.6]
+    nav = nav_of({"a": [(d, 10 + i % 7) for i, d in enumerate(days)], "b": [(d, 0.0 if i % 50 == 0 else 5 + i / 100) for i, d in enumerate(days)],
+                  "zero": [(d, 0.0) for d in days]})
+    rows = []
+    for i in range(400):
+        start = days[0] + dt.timedelta(days=rng.randrange(1100))
+        last = rng.choice([None, start, start + dt.timedelta(days=rng.randrange(-5, 700)), (start.replace(day=1) + dt.timedelta(days=400)).replace(day=min(start.day, 28))])
+        rows.append(plan(f"p{i}", rng.choice(["a", "a", "b", "zero"]), rng.choice([500, 999.99]), start, last, rng.choice(["monthly", "quarterly", None])))
+    plans = spark.createDataFrame(rows, PLANS)
+    single = rows_of(backtest.sip_summary(backtest.sip_buys(plans, nav)), "plan_id")
+    running = rows_of(backtest.plan_summary(plans, nav), "plan_id")
+    assert len(single) > 300 and running == single
+    chains = backtest.unit_chains(plans, nav)
+    assert chains.groupBy("scheme_code").count().agg(F.max("count")).first()[0] <= 28 * 2 * 41
+    twice = plans.withColumn("plan_id", F.concat("plan_id", F.lit("-again"))).unionByName(plans)
+    assert backtest.unit_chains(twice, nav).count() == chains.count()

@@ -239,9 +239,14 @@ def _buys(t: Tables) -> DataFrame:
     return backtest.sip_buys(backtest.valid_plans(t.plans, t.stored_master(), nav), nav)
 
 
+def _plan_summary(t: Tables) -> DataFrame:
+    nav = t.stored_nav()
+    return backtest.plan_summary(backtest.valid_plans(t.plans, t.stored_master(), nav), nav)
+
+
 @query
 def sip_summary(spark, sf_dir):
-    return backtest.sip_summary(_buys(Tables(spark, sf_dir)))
+    return _plan_summary(Tables(spark, sf_dir))
 
 
 @query
@@ -271,7 +276,7 @@ def lumpsum_series(spark, sf_dir):
 @query
 def sip_tax(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return plan_taxes.plan_tax(backtest.sip_summary(_buys(t)), t.plans, t.master)
+    return plan_taxes.plan_tax(_plan_summary(t), t.plans, t.master)
 
 
 @query
