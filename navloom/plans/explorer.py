@@ -57,19 +57,27 @@ def match_count(card: DataFrame, **filters: str | None) -> DataFrame:
     return filter_schemes(card, **filters).agg(F.count(F.lit(1)).alias("total"))
 
 
-def explorer_page(card: DataFrame, sort: str = "3Y", descending: bool = True, page: int = 1, page_size: int = 50,
-                  **filters: str | None) -> DataFrame:
-    """One page of the listing; nulls last either way, ties by name and code."""
+def listing_order(sort: str = "3Y", descending: bool = True) -> list[Column]:
+    """Nulls last either way, ties by name and code."""
     if sort not in _SORTS:
         raise ValueError(f"unknown sort {sort!r}")
     key = F.col(_SORTS[sort])
-    order = key.desc_nulls_last() if descending else key.asc_nulls_last()
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.asc("name"), F.asc("scheme_code")]
+
+
+def listing(card: DataFrame, **filters: str | None) -> DataFrame:
+    """The rows of the listing, in no order."""
     rows = filter_schemes(card, **filters).select(
         "scheme_code", "name", "amc", "category", "plan_type", "option_type", "nav", "nav_date",
         "ret_1y", "ret_3y", "ret_5y", "sharpe_3y", "percentile_3y",
         top_share_label(F.col("percentile_3y")).alias("top_share_3y"), "aaum_cr")
-    rows = rows.withColumn("top_share_3y", F.when(F.col("percentile_3y").isNotNull(), F.col("top_share_3y")))
-    return rows.orderBy(order, F.asc("name"), F.asc("scheme_code")).offset((page - 1) * page_size).limit(page_size)
+    return rows.withColumn("top_share_3y", F.when(F.col("percentile_3y").isNotNull(), F.col("top_share_3y")))
+
+
+def explorer_page(card: DataFrame, sort: str = "3Y", descending: bool = True, page: int = 1, page_size: int = 50,
+                  **filters: str | None) -> DataFrame:
+    """One page of the listing. Many pages of one order are cheaper from ``paging``."""
+    return listing(card, **filters).orderBy(*listing_order(sort, descending)).offset((page - 1) * page_size).limit(page_size)
 
 
 def scheme_detail(card: DataFrame) -> DataFrame:

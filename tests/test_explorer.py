@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from navloom import session
-from navloom.plans import explorer, quality, search
+from navloom.plans import explorer, paging, quality, search
 from tests.conftest import growing, rows_of
 
 D = dt.date
@@ -143,3 +143,27 @@ def test_search_through_trigrams_equals_a_scan(spark, tmp_path):
     assert {r.scheme_code for r in search.candidates(spark, path, "b_rch").collect()} == {"s0", "s1", "s2", "s7", "h1", "h3"}
     plan = search.candidates(spark, path, "birch")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "In(gram" in plan
+
+
+@pytest.mark.parametrize("part_rows", [4, 30, 1000])
+def test_pages_from_the_stored_order(spark, tmp_path, part_rows):
+    """Every page equals its slice of the sorted rows, ties and nulls too, and reads only the parts that hold it."""
+    rows = [(i, None if i % 9 == 0 else float(i * 37 % 11)) for i in range(101)]
+    df, order, path = spark.createDataFrame(rows, "code INT, x DOUBLE"), [F.col("x").desc_nulls_last(), F.asc("code")], str(tmp_path / "order")
+    paging.write_order(df, order, path, part_rows)
+    expected = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    parts = spark.read.parquet(f"{path}/parts").count()
+    assert parts == 1 if part_rows == 1000 else parts > 2
+    for size in (7, 50):
+        for number in range(1, 101 // size + 3):
+            page = paging.page(spark, path, order, number, size)
+            assert [tuple(r) for r in page.collect()] == expected[(number - 1) * size:number * size]
+            if part_rows == 30 and size == 7 and number <= 15:
+                assert len(page.inputFiles()) <= 2
+
+
+def test_pages_of_nothing(spark, tmp_path):
+    order = [F.asc("code")]
+    paging.write_order(spark.createDataFrame([], "code INT, x DOUBLE"), order, str(tmp_path / "order"))
+    page = paging.page(spark, str(tmp_path / "order"), order, 1, 10)
+    assert page.columns == ["code", "x"] and page.count() == 0

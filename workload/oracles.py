@@ -468,6 +468,8 @@ SELECT scenario_id, CASE WHEN min(bal) <= 0 AND max(month) < 720 THEN max(month)
 SELECT scenario_id, CAST(month // 12 AS INT) AS year, {rnd('greatest(bal, 0)', 2)} AS balance FROM balances WHERE month > 0 AND month % 12 = 0""", recursive=True),
     "explorer_page": _q("card", f"""
 SELECT {_LIST} FROM card WHERE is_active AND data_quality IS NULL ORDER BY ret_3y DESC NULLS LAST, name, scheme_code LIMIT 50"""),
+    "explorer_late_page": _q("card", f"""
+SELECT {_LIST} FROM card WHERE is_active AND data_quality IS NULL ORDER BY name NULLS LAST, scheme_code LIMIT 25 OFFSET 100"""),
     "explorer_search": _q("card", f"""
 SELECT {_LIST} FROM card WHERE is_active AND data_quality IS NULL AND (name ILIKE '%b_rch%' OR amc ILIKE '%b_rch%')
   AND plan_type = 'Regular' AND option_type = 'Growth' ORDER BY nav NULLS LAST, name, scheme_code LIMIT 20 OFFSET 20"""),

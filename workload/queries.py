@@ -12,7 +12,7 @@ from navloom import schemas
 from navloom.functions import feeds, names, tax
 from navloom.functions.rounding import rnd
 from navloom.operators import merge, resolve, series
-from navloom.plans import (alike, backtest, compare, costleak, explorer, nightly, overlap, projections, quality, returns,
+from navloom.plans import (alike, backtest, compare, costleak, explorer, nightly, overlap, paging, projections, quality, returns,
                            risk, rolling, search, upkeep)
 from navloom.plans import tax as plan_taxes
 from navloom.session import scratch_dir, settle
@@ -317,6 +317,14 @@ def explorer_page(spark, sf_dir):
     return explorer.explorer_page(_card(Tables(spark, sf_dir)))
 
 
+@query
+def explorer_late_page(spark, sf_dir):
+    """A late page by name from the stored order, whose parts are small here so that the page lies in some of several."""
+    path, order = scratch_dir(spark, "listing-order"), explorer.listing_order("name", descending=False)
+    paging.write_order(explorer.listing(_card(Tables(spark, sf_dir))), order, path, part_rows=40)
+    return paging.page(spark, path, order, number=5, size=25)
+
+
 @query
 def explorer_search(spark, sf_dir):
     """Through the trigram index, which gives the candidates for the pattern."""
