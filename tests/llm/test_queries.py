@@ -3,10 +3,12 @@
 import hashlib
 import os
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
 
+from navloom.llm import fingerprints, language_id, textwords
 from navloom.llm.oracles import ORACLES
 from navloom.llm.queries import REGISTRY
 from tests.llm.conftest import words
@@ -81,6 +83,75 @@ def test_fingerprint_query(spark, small):
     assert found[103].fingerprint == found[4].fingerprint and found[100].near_next == 0 and found[101].near_next == 1
 
 
+def mixed(x):
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ (x >> 33)) * factor) % 2**64
+    return x ^ (x >> 33)
+
+
+def hashed(data, seed):
+    values, base = textwords._base(seed)[:2]
+    return mixed(sum(int(values[c]) * pow(int(base), j, 2**64) for j, c in enumerate(data)) % 2**64)
+
+
+def plain_fingerprint(text):
+    """Closed syncmers k-mer by k-mer, the least key of each bin."""
+    data, k, s = text.encode(), fingerprints.K, fingerprints.S
+    inner = [hashed(data[p:p + s], 0) for p in range(len(data) - s + 1)]
+    keys = [hashed(data[p:p + k], 1) for p in range(len(data) - k + 1) if min(inner[p:p + k - s + 1]) in (inner[p], inner[p + k - s])]
+    if 0 < len(data) < k:
+        keys = [int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")]
+    bins = [min((x for x in keys if x % fingerprints.BINS == b), default=None) for b in range(fingerprints.BINS)]
+    return [0 if x is None else mixed(x) % 65535 + 1 for x in bins]
+
+
+def plain_likeness(a, b):
+    filled = [(x, y) for x, y in zip(a, b) if x or y]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
+def test_fingerprints_equal_plain_syncmers(spark, small):
+    folder, texts = small
+    found = {r.doc_id: r for r in REGISTRY["op5_fingerprints"](spark, folder).collect()}
+    ids = sorted(texts, reverse=True)
+    following = dict(zip(ids, ids[1:] + ids[:1]))
+    for i in (103, 102, 101, 100, 5, 3, 2, 1, 0):
+        text, after = texts[i] or "", texts[following[i]] or ""
+        half = len(text) // 2
+        own, edited, beside = (plain_fingerprint(t) for t in (text, text[:len(text) - half] + after[:half], after))
+        assert found[i].fingerprint == "".join(f"{x:04x}" for x in own) and found[i].edited_fingerprint == "".join(f"{x:04x}" for x in edited)
+        assert found[i].near_edited == pytest.approx(plain_likeness(own, edited)) and found[i].near_next == pytest.approx(plain_likeness(own, beside))
+
+
+def plain_grams(text):
+    data = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in text.encode())
+    letter = [0x61 <= c <= 0x7A or c >= 0x80 for c in data]
+    data = bytes(c if is_letter else 0x20 for c, is_letter in zip(data, letter))
+    return [data[p:p + n] for n in (3, 4, 5) for p in range(len(data) - n + 1) if all(letter[p + 1:p + n - 1])]
+
+
+def test_languages_equal_counted_sets(spark, small):
+    """The filter against plain sets of each language's n-grams: no n-gram is lost, and shares differ by false positives only."""
+    folder, texts = small
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    counts, lang = {}, {r.doc_id: r.lang for r in docs.collect()}
+    for i, text in texts.items():
+        if lang[i] and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(lang[i], Counter()).update(plain_grams(text or ""))
+    common = {name: {g for g, n in c.items() if n >= max(2, language_id.COMMON * sum(c.values()))} for name, c in counts.items()}
+    differ = 0
+    for r in REGISTRY["op6_language_id"](spark, folder).collect():
+        if r.lang_pred == "und":
+            continue
+        own = plain_grams(texts[r.doc_id])
+        share = {name: sum(g in known for g in own) / len(own) for name, known in common.items()}
+        assert r.score == pytest.approx(share[r.lang_pred], abs=0.01)
+        best = max(share.values())
+        assert share[r.lang_pred] >= best - 0.01
+        differ += share[r.lang_pred] < best
+    assert differ <= 1
+
+
 def test_language_query(spark, small):
     folder, texts = small
     found = {r.doc_id: r for r in REGISTRY["op6_language_id"](spark, folder).collect()}
