@@ -534,6 +534,13 @@ SELECT scheme_code, isin, name, nav, nav_date, scheme_type, category,
        CASE WHEN category LIKE '% - %' THEN trim(substr(category, strpos(category, ' - ') + 3)) END AS sub_category, amc,
        {_plan('plan_src')} AS plan_type, {_option('option_src')} AS option_type, {_group_id('amc', 'name')} AS fund_group_id FROM parsed""", _LINES),
     "landed_daily_file": _q("parsed", "SELECT scheme_code, nav, nav_date, category, amc FROM parsed", _LINES),
+    "daily_file_ingest": _q("parsed", """
+SELECT scheme_code, nav_date AS date, max(nav) AS nav FROM parsed WHERE nav IS NOT NULL AND nav_date IS NOT NULL GROUP BY 1, 2""", _LINES),
+    "unlinked_plans": _q("fx_master", """
+SELECT scheme_code, plan_type, option_type, 'not linked to a fund group' AS reason FROM fx_master
+WHERE plan_type IN ('Direct', 'Regular') AND NOT EXISTS (
+  SELECT 1 FROM fx_master d JOIN fx_master r ON d.fund_group_id = r.fund_group_id AND d.option_type = r.option_type
+  WHERE d.plan_type = 'Direct' AND r.plan_type = 'Regular' AND d.fund_group_id = fx_master.fund_group_id)"""),
     "history_json": _q("fx_nav", "SELECT scheme_code, date, nav FROM fx_nav WHERE day(date) NOT IN (13, 17, 29) AND nav > 0"),
     "price_upsert": _q(("fx_nav", "latest"), f"""
 SELECT scheme_code, date, CASE WHEN date >= DATE '2001-08-01' THEN round(nav * 2, 4) ELSE nav END AS nav FROM fx_nav

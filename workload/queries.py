@@ -228,6 +228,15 @@ def cost_leak_3y(spark, sf_dir):
     return costleak.cost_leak(t.stored_master(), t.stored_nav(), t.costs, amount=100_000.0, years=3)
 
 
+@query
+def unlinked_plans(spark, sf_dir):
+    """The fund group is taken from plans whose group has no Direct and Regular pair; they are then linked to nothing."""
+    t = Tables(spark, sf_dir)
+    pairs = costleak.plan_twins(t.master).filter("direct_code IS NOT NULL AND regular_code IS NOT NULL").select("fund_group_id", F.lit(True).alias("paired")).distinct()
+    linked = t.master.join(pairs, "fund_group_id", "left").withColumn("fund_group_id", F.when(F.col("paired"), F.col("fund_group_id")))
+    return costleak.unlinked_plans(linked)
+
+
 @query
 def backtest_validity(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -433,6 +442,18 @@ def landed_daily_file(spark, sf_dir):
     return nav_text.parse_lines(nav_text.read_lines(spark, out)).select("scheme_code", "nav", "nav_date", "category", "amc")
 
 
+@query
+def daily_file_ingest(spark, sf_dir):
+    """The same files streamed into a price store, then all of them again under a fresh checkpoint, which must change nothing."""
+    store, landed = scratch_dir(spark, "daily-prices"), scratch_dir(spark, "daily-files")
+    lines = Tables(spark, sf_dir).lines
+    (lines.repartition("file").sortWithinPartitions("file", "pos").select("file", F.col("line").alias("value"))
+          .write.partitionBy("file").text(landed))
+    for _ in range(2):
+        ingest.ingest_daily_files(spark, landed, store, scratch_dir(spark, "daily-checkpoint")).awaitTermination()
+    return prices.read_prices(spark, store)
+
+
 def _history_documents(t: Tables) -> DataFrame:
     """One JSON document per scheme and year, with some unreadable entries."""
     day = F.dayofmonth("date")
