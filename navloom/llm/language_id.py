@@ -23,7 +23,7 @@ SLOTS = 1 << 18  # a power of two; with a 64-bit word per 64 languages, the filt
 HASHES = 2
 GRAM_BYTES = (3, 4, 5)
 PER_LANGUAGE = 5_000  # labelled documents that a language is learned from, at most
-MAX_LANGUAGES = 1000  # more labels than this are an error, so what fitting broadcasts per language is bounded
+MAX_LANGUAGES = 1000  # labels that `fit` takes unless told otherwise; bounds what it broadcasts and keeps per language
 STEP = 1024  # documents looked up at once
 GRAM_PIECE = 1 << 19  # bytes whose n-grams are worked on at once
 HELD_GRAMS = 2_000_000  # counts that a task holds before it gives them out
@@ -95,15 +95,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, order: Column | None = None) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, order: Column | None = None,
+        max_languages: int = MAX_LANGUAGES) -> Model:
     """Learns from at most `per_language` documents of each language, those least in `order` (a hash of the text
     by default). Null or empty texts and null languages teach nothing. The driver gets the filter, whose size is
-    fixed; n-grams are counted and chosen by tasks."""
+    fixed for a number of languages; n-grams are counted and chosen by tasks. More than `max_languages` labels are an
+    error, not a cut: none is left out in silence."""
     labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     draw = F.pmod(order if order is not None else F.xxhash64("text"), F.lit(1 << 20))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size")).limit(MAX_LANGUAGES + 1).toPandas()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size")).limit(max_languages + 1).toPandas()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     found = sorted(sizes["lang"])
     if not found:
         return Model((), np.zeros((SLOTS, 1), np.uint64), np.zeros(0))

@@ -44,6 +44,8 @@ def test_more_than_64_languages(spark):
     assert model.masks.shape[1] == 2
     found = language_id.identify(spark.createDataFrame([(i, t) for i, t, _ in rows[:70]], "doc_id BIGINT, text STRING"), model).collect()
     assert all(r.lang_pred == f"l{r.doc_id:03d}" for r in found)
+    with pytest.raises(ValueError, match="more than 69"):
+        language_id.fit(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"), max_languages=69)
 
 
 def slow_pack(lengths, capacities):
