@@ -61,24 +61,40 @@ def anchored_pairs(sets: DataFrame, position: str | None = None) -> DataFrame:
             .filter(F.col("a") != F.col("b")).select("set_id", "a", "b").distinct())
 
 
-def _shared(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """(a, b, isin, a_pct, b_pct) of the instruments a requested pair shares.
-    Work grows with the holdings of the requested funds; instruments are never
-    expanded to all funds that hold them."""
-    pairs = pairs.select("a", "b").distinct()
-    wa = weights.select(F.col("scheme_code").alias("a"), "isin", F.col("pct").alias("a_pct"))
-    wb = weights.select(F.col("scheme_code").alias("b"), "isin", F.col("pct").alias("b_pct"))
-    return pairs.join(wa, "a").join(wb, ["b", "isin"])
+_MEETINGS = 4_000_000  # rows of one instrument that a task makes of its holders, at most
+
+
+def shared_positions(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """(a, b, isin, a_pct, b_pct) of the instruments a requested pair shares; ``weights`` has one row per (scheme_code, isin).
+
+    Each instrument goes the way that makes fewer rows. One with few holders has them meet each other, and the meetings that
+    no pair asks for are dropped; so the many instruments that two funds don't share cost nothing, however many pairs
+    there are. One with many holders is looked up for the requested pairs of its holders instead."""
+    pairs = settle(pairs.select("a", "b").distinct(), "asked-pairs")
+    degrees = settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("asked")), "asked-of")
+    sides = settle(pairs.select("b").distinct(), "asked-others")
+    wa = weights.select(F.col("scheme_code").alias("a"), "isin", F.col("pct").alias("a_pct")).join(degrees, "a")
+    wb = weights.select(F.col("scheme_code").alias("b"), "isin", F.col("pct").alias("b_pct")).join(sides, "b", "left_semi")
+    holders = (wa.groupBy("isin").agg(F.count(F.lit(1)).alias("a_holders"), F.sum("asked").alias("lookups"))
+               .join(wb.groupBy("isin").agg(F.count(F.lit(1)).alias("b_holders")), "isin"))
+    meetings = F.col("a_holders") * F.col("b_holders")
+    few = settle(holders.select("isin", ((meetings <= F.col("lookups")) & (meetings <= _MEETINGS)).alias("few")), "instrument-holders")
+    rare, common = few.filter("few").select("isin"), few.filter("NOT few").select("isin")
+    own = wa.drop("asked")
+    met = own.join(rare, "isin").join(wb, "isin").join(pairs, ["a", "b"], "left_semi")
+    looked_up = pairs.join(own.join(common, "isin", "left_semi"), "a").join(wb.join(common, "isin", "left_semi"), ["b", "isin"])
+    columns = ["a", "b", "isin", "a_pct", "b_pct"]
+    return met.select(*columns).unionAll(looked_up.select(*columns))
 
 
 def overlap_pairs(pairs: DataFrame, holdings: DataFrame) -> DataFrame:
     """(a, b, overlap_pct, common_count, as_of_mismatch). Null where a side has
     disclosed nothing, 0 where the portfolios are disjoint. ``pairs`` may be any
     list of pairs, of any length."""
-    weights = newest_weights(latest_holdings(holdings))
-    duplicated = _shared(pairs, weights).groupBy("a", "b").agg(
+    weights, pairs = newest_weights(latest_holdings(holdings)), settle(pairs.select("a", "b"), "pairs")
+    duplicated = shared_positions(pairs, weights).groupBy("a", "b").agg(
         F.sum(F.least("a_pct", "b_pct")).alias("pct"), F.count(F.lit(1)).alias("n"))
-    disclosed = weights.groupBy("scheme_code").agg(F.max("as_of_date").alias("as_of"))
+    disclosed = settle(weights.groupBy("scheme_code").agg(F.max("as_of_date").alias("as_of")), "disclosed")
     side_a = disclosed.select(F.col("scheme_code").alias("a"), F.col("as_of").alias("a_as_of"))
     side_b = disclosed.select(F.col("scheme_code").alias("b"), F.col("as_of").alias("b_as_of"))
     known = F.col("a_as_of").isNotNull() & F.col("b_as_of").isNotNull()
@@ -92,7 +108,7 @@ def overlap_pairs(pairs: DataFrame, holdings: DataFrame) -> DataFrame:
 def top_common(pairs: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
     """The k largest shared positions of every pair."""
     newest = latest_holdings(holdings)
-    shared = _shared(pairs, newest_weights(newest)).withColumn("smaller", F.least("a_pct", "b_pct"))
+    shared = shared_positions(pairs, newest_weights(newest)).withColumn("smaller", F.least("a_pct", "b_pct"))
     ranked = top_k(shared, ["a", "b"], [F.desc("smaller"), F.asc("isin")], k)
     return ranked.join(instrument_names(newest), "isin", "left").select(
         "a", "b", "rank", "isin", "name", rnd(F.col("smaller"), 2).alias("min_pct"),
