@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from navloom.functions.rounding import rnd
 from navloom.operators.merge import mark_groups
+from navloom.plans.overlap import shared_positions
 from navloom.session import settle
 
 LEAST_OVERLAP = 5.0  # per cent of the portfolios
@@ -79,9 +80,7 @@ def overlap_above(weights: DataFrame, threshold: float = LEAST_OVERLAP, tile: in
     heads = classes.filter(F.col("scheme_code") == F.col("class")).select("scheme_code", "funds")
     own = settle(weights.join(heads.select("scheme_code"), "scheme_code", "left_semi").select("scheme_code", "isin", "pct"), "class-weights")
     pairs = settle(candidate_pairs(own, threshold - _SLACK, tile), "candidates")
-    wa = own.select(F.col("scheme_code").alias("a"), "isin", F.col("pct").alias("a_pct"))
-    wb = own.select(F.col("scheme_code").alias("b"), "isin", F.col("pct").alias("b_pct"))
-    found = (pairs.join(wa, "a").join(wb, ["b", "isin"]).groupBy("a", "b")
+    found = (shared_positions(pairs, own).groupBy("a", "b")
              .agg(rnd(F.sum(F.least("a_pct", "b_pct")), 2).alias("overlap_pct"), F.count(F.lit(1)).alias("common_count"))
              .filter(F.col("overlap_pct") >= threshold))
     for side in ("a", "b"):
