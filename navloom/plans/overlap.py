@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,14 +128,37 @@ def alike_sets(members: DataFrame) -> DataFrame:
 _SLACK = 1e-6  # float sums of a few thousand weights stay well inside
 
 
+_WORDS = 8  # 64-bit words of a mask
+_PART_FUNDS = 256  # of a set whose instruments are added up in one task
+
+
 def _bit(code: str) -> Column:
-    """One of 64 bits, by the fund's hash."""
-    return F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({code}), 64) AS INT))")
+    """A fund's bit among those of all words, by its hash."""
+    return F.pmod(F.xxhash64(code), F.lit(64 * _WORDS)).cast("int")
+
+
+def _masks(rows: DataFrame, key: str, *extra: Column) -> DataFrame:
+    """One row per ``key`` of (key, bit, n, ...): ``every``, a word list of the bits there are, and ``twice``, of those
+    that several funds have; ``extra`` aggregates ride along."""
+    def word(i: int, condition: Column) -> Column:
+        bit = F.expr("shiftleft(1L, bit % 64)")
+        return F.bit_or(F.when((F.floor(F.col("bit") / 64) == i) & condition, bit).otherwise(F.lit(0).cast("long")))
+
+    words = [word(i, c).alias(f"{name}_{i}") for name, c in (("every", F.lit(True)), ("twice", F.col("n") > 1)) for i in range(_WORDS)]
+    return rows.groupBy(key).agg(*words, *extra)
+
+
+def _word_names(name: str) -> list[str]:
+    return [name, *(f"{name}_{i}" for i in range(1, _WORDS))]
+
 
+def _others(name: str, code: str = "scheme_code") -> list[Column]:
+    """The bits of a group's other funds, word by word: all but the own one, unless another fund has it too."""
+    def word(i: int) -> Column:
+        own = F.when(F.floor(_bit(code) / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), _bit(code) % 64)).otherwise(F.lit(0).cast("long"))
+        return F.col(f"every_{i}").bitwiseAND(F.bitwise_not(own)).bitwiseOR(F.col(f"twice_{i}").bitwiseAND(own))
 
-def _others(every: str, twice: str, own: Column) -> Column:
-    """The bits of a group's other funds: all but the own one, unless another fund has it too."""
-    return F.col(every).bitwiseAND(F.bitwise_not(own)).bitwiseOR(F.col(twice).bitwiseAND(own))
+    return [word(i).alias(column) for i, column in enumerate(_word_names(name))]
 
 
 def _bounded(weights: DataFrame) -> DataFrame:
@@ -142,9 +167,8 @@ def _bounded(weights: DataFrame) -> DataFrame:
     long = F.greatest("pct", F.lit(0.0))
     by_bit = (weights.groupBy("isin", _bit("scheme_code").alias("bit"))
               .agg(F.count(F.lit(1)).alias("n"), F.max(long).alias("most"), F.sum(long).alias("total"), F.min("pct").alias("least")))
-    traits = by_bit.groupBy("isin").agg(F.bit_or("bit").alias("every"), F.bit_or(F.when(F.col("n") > 1, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("twice"),
-                                        F.max("most").alias("most"), F.sum("total").alias("total"), (F.min("least") < 0).alias("short"))
-    return weights.join(traits, "isin").select("scheme_code", "isin", "pct", "most", "total", "short", _others("every", "twice", _bit("scheme_code")).alias("holders"))
+    traits = _masks(by_bit, "isin", F.max("most").alias("most"), F.sum("total").alias("total"), (F.min("least") < 0).alias("short"))
+    return weights.join(traits, "isin").select("scheme_code", "isin", "pct", "most", "total", "short", *_others("holders"))
 
 
 def _with_floors(members: DataFrame, bounded: DataFrame, k: int) -> DataFrame:
@@ -154,9 +178,8 @@ def _with_floors(members: DataFrame, bounded: DataFrame, k: int) -> DataFrame:
     kth = top_k(bounded.filter(~F.col("short")).select("scheme_code", "isin", "pct"), ["scheme_code"], [F.desc("pct"), F.asc("isin")], k)
     kth = settle(kth.filter(F.col("rank") == k).select("scheme_code", F.col("pct").alias("kth")), "kth-weights")
     by_bit = members.join(kth, "scheme_code", "left").groupBy("set_id", _bit("scheme_code").alias("bit")).agg(F.count(F.lit(1)).alias("n"), F.max("kth").alias("kth"))
-    sets = by_bit.groupBy("set_id").agg(F.bit_or("bit").alias("every"), F.bit_or(F.when(F.col("n") > 1, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("twice"),
-                                        (F.max("kth") - _SLACK).alias("floor"))
-    return members.join(sets, "set_id").select(*members.columns, "floor", _others("every", "twice", _bit("scheme_code")).alias("members"))
+    sets = _masks(by_bit, "set_id", (F.max("kth") - _SLACK).alias("floor"))
+    return members.join(sets, "set_id").select(*members.columns, "floor", *_others("members"))
 
 
 def combined_exposure(sets: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
@@ -167,25 +190,28 @@ def combined_exposure(sets: DataFrame, holdings: DataFrame, k: int = 10) -> Data
     A member's list is read as far as its weight alone reaches the set's floor. Behind that only the
     instruments are taken that can reach it together with other members: one of them shares a bit with a holder, and the
     instrument's largest weight and total allow it. So all rows of an instrument that can enter the top k are added up, and few
-    of the others. Members are spread by set before the weights join them, so that with weights small enough to broadcast the
-    sums and the ranking start where the rows are."""
+    of the others. The rows that are left are spread by set, those of a large set by instrument too, before they are summed:
+    hardly two of a task's rows would combine before that."""
     newest = latest_holdings(holdings)
     weights = newest_weights(newest).select("scheme_code", "isin", "pct")
     members = sets.select("set_id", "scheme_code").distinct()
-    disclosed = settle(members.join(weights.select("scheme_code").distinct(), "scheme_code", "left_semi"), "members")
+    funds = settle(weights.select("scheme_code").distinct(), "disclosed-funds")
+    disclosed = settle(members.join(funds, "scheme_code", "left_semi"), "members")
     alike = settle(alike_sets(disclosed), "alike")
-    once = disclosed.join(alike.filter(F.col("set_id") == F.col("like")).select("set_id", "funds"), "set_id").repartition("set_id")
+    once = disclosed.join(alike.filter(F.col("set_id") == F.col("like")).select("set_id", "funds"), "set_id")
     bounded = settle(_bounded(weights), "bounded-weights")
     rows = _with_floors(once, bounded, k).join(bounded, "scheme_code")
     reach = F.least("total", F.greatest("pct", F.lit(0.0)) + (F.col("funds") - 1) * F.col("most"))
-    shared = F.col("members").bitwiseAND(F.col("holders")) != 0
+    shared = reduce(Column.__or__, (F.col(m).bitwiseAND(F.col(h)) != 0 for m, h in zip(_word_names("members"), _word_names("holders"))))
     can = F.col("floor").isNull() | (F.col("pct") >= F.col("floor")) | (shared & (reach >= F.col("floor")))
-    owned = (rows.filter(can).groupBy("set_id", "funds", "floor", "isin").agg(F.sum("pct").alias("sum"), F.count(F.lit(1)).alias("held_by"))
+    part = F.pmod(F.xxhash64("isin"), F.ceil(F.col("funds") / _PART_FUNDS)).cast("int")
+    spread = rows.filter(can).select("set_id", part.alias("part"), "funds", "floor", "isin", "pct").repartition("set_id", "part")
+    owned = (spread.groupBy("set_id", "part", "funds", "floor", "isin").agg(F.sum("pct").alias("sum"), F.count(F.lit(1)).alias("held_by"))
              .filter(F.col("floor").isNull() | (F.col("sum") >= F.col("floor"))).withColumn("pct", F.col("sum") / F.col("funds")))
     ranked = top_k(owned.withColumn("order_pct", F.round("pct", 9)), ["set_id"], [F.desc("order_pct"), F.asc("isin")], k)
-    ranked = ranked.join(instrument_names(newest), "isin", "left").select(
-        F.col("set_id").alias("like"), "rank", "isin", "name", rnd(F.col("pct"), 2).alias("pct"), "held_by")
-    return alike.select("set_id", "like").join(settle(ranked, "exposures"), "like").drop("like")
+    # the rows still lie by set here, so only the short list of sets moves to meet them
+    ranked = (ranked.select(F.col("set_id").alias("like"), "rank", "isin", "pct", "held_by").join(alike.select("set_id", "like"), "like"))
+    return ranked.join(instrument_names(newest), "isin", "left").select("set_id", "rank", "isin", "name", rnd(F.col("pct"), 2).alias("pct"), "held_by")
 
 
 def concentration(exposure: DataFrame) -> DataFrame:
