@@ -152,37 +152,48 @@ def plan_summary(plans: DataFrame, nav: DataFrame) -> DataFrame:
     return _sip_summary(joined.withColumns({"paid": F.col("amount") * count, "bought": F.col("amount") * units}))
 
 
+def _solver():
+    """The Arrow function that finds the rates of a batch of flow lists: every list takes its own Newton steps, all lists
+    together, and leaves when it is done. It carries what it needs, so that workers import nothing of this library."""
+    import numpy as np
+    import pandas as pd
+    first, steps, least_slope, tolerance = K.XIRR_GUESS, K.XIRR_STEPS, K.XIRR_MIN_SLOPE, K.XIRR_TOLERANCE
+
+    def solved(years, amounts):
+        answers = np.full(len(years), np.nan)
+        at = np.array([i for i, flows in enumerate(years) if flows is not None and len(flows)], dtype=np.int64)
+        if len(at):
+            t, a = (np.concatenate([lists.iloc[i] for i in at]).astype(float) for lists in (years, amounts))
+            owner, rate = np.repeat(np.arange(len(at)), [len(years.iloc[i]) for i in at]), np.full(len(at), first)
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                if not len(at):
+                    break
+                growth = (1 + rate)[owner]
+                power, higher = growth ** t, growth ** (t + 1)
+                power[power == 0], higher[higher == 0] = np.nan, np.nan  # nothing is divided by an underflow
+                # bincount adds up in the order of the flows
+                f, fp = np.bincount(owner, a / power), -np.bincount(owner, t * a / higher)
+                moved, flat = rate - f / fp, np.abs(fp) < least_slope
+                found = ~flat & (np.abs(moved - rate) < tolerance)
+                answers[at[found]] = moved[found]
+                on = ~(flat | found | np.isnan(moved) | (moved <= -1))
+                stays = on[owner]
+                t, a, owner = t[stays], a[stays], (np.cumsum(on) - 1)[owner[stays]]
+                at, rate = at[on], moved[on]
+        return pd.Series(answers)
+
+    solved.__annotations__ = {"years": pd.Series, "amounts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(solved, "double")
+
+
 def xirr(flows: Column) -> Column:
     """Money-weighted annual rate of ``flows`` (array of struct(t years, a amount)),
     by Newton steps from 10%; null without both signs, when 1 + rate is not
-    positive, when the slope vanishes, or after 100 steps."""
-    def present_value(rate: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("fp"))
-        return F.aggregate(flows, zero, lambda s, x: F.struct(
-            (s["f"] + F.try_divide(x["a"], F.power(1 + rate, x["t"]))).alias("f"),
-            (s["fp"] - F.try_divide(x["t"] * x["a"], F.power(1 + rate, x["t"] + 1))).alias("fp")))
-
-    def state(rate: Column, answer: Column, done: Column) -> Column:
-        return F.struct(rate.alias("rate"), answer.alias("answer"), done.alias("done"))
-
-    nothing = F.lit(None).cast("double")
-
-    def newton(s: Column, pv: Column) -> Column:
-        nxt = s["rate"] - F.try_divide(pv["f"], pv["fp"])
-        return (F.when(F.abs(pv["fp"]) < K.XIRR_MIN_SLOPE, state(s["rate"], nothing, F.lit(True)))
-                 .when(F.abs(nxt - s["rate"]) < K.XIRR_TOLERANCE, state(nxt, nxt, F.lit(True)))
-                 .otherwise(state(nxt, nothing, F.lit(False))))
-
-    def step(s: Column, _: Column) -> Column:
-        # transform over a one-element array names the inner sums once per step
-        moved = F.transform(F.array(present_value(s["rate"])), lambda pv: newton(s, pv))[0]
-        return (F.when(s["done"], s)
-                 .when(s["rate"] <= -1, state(s["rate"], nothing, F.lit(True))).otherwise(moved))
-
-    start = state(F.lit(K.XIRR_GUESS), nothing, F.lit(False))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(K.XIRR_STEPS)), start, step, lambda s: s["answer"])
+    positive, when the slope vanishes, or after 100 steps. Needs numpy, pandas and pyarrow."""
     signs = F.exists(flows, lambda x: x["a"] < 0) & F.exists(flows, lambda x: x["a"] > 0)
-    return F.when((F.size(flows) >= 2) & signs, rnd(solved, 6))
+    asked = F.when((F.size(flows) >= 2) & signs, flows)
+    return rnd(_solver()(F.transform(asked, lambda x: x["t"]), F.transform(asked, lambda x: x["a"])), 6)
 
 
 def sip_xirr(buys: DataFrame) -> DataFrame:
