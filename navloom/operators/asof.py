@@ -24,9 +24,9 @@ def anchor(value: Column, date: Column, latest: Column, days: int) -> Column:
     return F.max_by(F.when(inside, value), F.when(inside, date))
 
 
-def window_end(columns: list[str], days: int) -> Column:
-    """Struct of the first row ``days`` or up to a week more ahead, else null."""
-    frame = series.by_day_number().rangeBetween(days, days + K.WINDOW_END_TOLERANCE_DAYS)
+def window_end(columns: list[str], days: int, day: str | None = None) -> Column:
+    """Struct of the first row ``days`` or up to a week more ahead, else null; ``day`` is a column with the day's number."""
+    frame = series.by_day_number(day).rangeBetween(days, days + K.WINDOW_END_TOLERANCE_DAYS)
     return F.first(F.struct(*columns)).over(frame)
 
 

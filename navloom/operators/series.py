@@ -18,9 +18,10 @@ def by_date():
     return Window.partitionBy("scheme_code").orderBy("date")
 
 
-def by_day_number():
-    """Same order as an INT key, so that RANGE frames count days."""
-    return Window.partitionBy("scheme_code").orderBy(F.unix_date("date"))
+def by_day_number(day: str | None = None):
+    """Same order as an INT key, so that RANGE frames count days. With the key in a column ``day``, all windows over it
+    share one sort."""
+    return Window.partitionBy("scheme_code").orderBy(day or F.unix_date("date"))
 
 
 def with_jumps(nav: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ from navloom.session import settle
 
 
 def _wide(nav: DataFrame, windows: dict[str, int]) -> DataFrame:
-    """(scheme_code, date, rets): one row per start day, the return of each window in
+    """(scheme_code, date, day, rets): one row per start day, the return of each window in
     order, null where it has none. All frames share one sort of the series."""
-    rows = series.with_jumps(nav)
-    ends = rows.select("scheme_code", "date", "nav", "jumps",
-                       *(asof.window_end(["date", "nav", "jumps"], days).alias(w) for w, days in windows.items()))
+    rows = series.with_jumps(nav).withColumn("day", F.unix_date("date"))
+    ends = rows.select("scheme_code", "date", "day", "nav", "jumps",
+                       *(asof.window_end(["date", "nav", "jumps"], days, "day").alias(w) for w, days in windows.items()))
 
     def ret(window: str, annual: bool) -> Column:
         end = F.col(window)
@@ -24,7 +24,7 @@ def _wide(nav: DataFrame, windows: dict[str, int]) -> DataFrame:
         value = F.power(growth, 1 / (F.datediff(end["date"], "date") / 365.0)) - 1 if annual else growth - 1
         return F.when((F.col("nav") > 0) & (end["nav"] > 0) & (end["jumps"] == F.col("jumps")), value * 100)
 
-    return ends.select("scheme_code", "date", F.array(*(ret(w, days >= 365) for w, days in windows.items())).alias("rets"))
+    return ends.select("scheme_code", "date", "day", F.array(*(ret(w, days >= 365) for w, days in windows.items())).alias("rets"))
 
 
 def rolling_returns(nav: DataFrame, windows: dict[str, int] = K.ROLLING_DAYS) -> DataFrame:
@@ -75,12 +75,18 @@ def rolling_stats(nav: DataFrame, master: DataFrame, proxies: DataFrame,
 
 def rolling_points(nav: DataFrame, windows: dict[str, int] = K.ROLLING_DAYS,
                    max_points: int = K.MAX_CHART_POINTS) -> DataFrame:
-    """The rolling series evenly thinned for charts, always with its last point."""
-    group = Window.partitionBy("scheme_code", "window")
-    n, i = F.col("n"), F.col("i")
-    stride = F.greatest(F.lit(1), F.ceil(n / max_points))
-    return (rolling_returns(nav, windows)
-            .withColumn("i", F.row_number().over(group.orderBy("date")) - 1)
-            .withColumn("n", F.count(F.lit(1)).over(group))
-            .filter((i % stride == 0) | (i == n - 1))
-            .select("scheme_code", "window", "date", rnd(F.col("ret"), 2).alias("ret")))
+    """The rolling series evenly thinned for charts, always with its last point. Places are counted along the series beside
+    its windows, so that only points that stay are ever made rows of their own, and nothing is sorted again."""
+    upto = series.by_day_number("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the order of the windows' own frames
+    rows = _wide(nav, windows)
+    for i in range(len(windows)):
+        some = F.count(F.get("rets", F.lit(i)))
+        rows = rows.withColumns({f"i_{i}": some.over(upto) - 1, f"n_{i}": some.over(Window.partitionBy("scheme_code"))})
+
+    def stays(i: int) -> Column:
+        place, n = F.col(f"i_{i}"), F.col(f"n_{i}")
+        return F.get("rets", F.lit(i)).isNotNull() & ((place % F.greatest(F.lit(1), F.ceil(n / max_points)) == 0) | (place == n - 1))
+
+    points = F.array(*(F.when(stays(i), F.struct(F.lit(w).alias("window"), F.get("rets", F.lit(i)).alias("ret"))) for i, w in enumerate(windows)))
+    return (rows.select("scheme_code", "date", F.explode(F.array_compact(points)).alias("p"))
+            .select("scheme_code", "p.window", "date", rnd(F.col("p.ret"), 2).alias("ret")))

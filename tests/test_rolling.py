@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -133,3 +134,21 @@ def test_thinned_series_keeps_its_last_point(nav_of):
 
 def test_window_list():
     assert list(K.ROLLING_DAYS) == ["1M", "3M", "6M", "1Y", "2Y", "3Y", "5Y", "7Y", "10Y"]
+
+
+def test_thinning_sorts_nothing_again(spark, nav_of):
+    """The points keep to the order that their windows had: no shuffle and no sort of rows per window."""
+    rng = random.Random(4)
+    nav = nav_of({code: [(day, nav * rng.choice((0.5, 1.0, 1.0, 1.0, 1.0))) for day, nav in growing(days, 9)] for code, days in (("a", 900), ("b", 420), ("c", 30))})
+    windows = {"1M": 30, "1Y": 365}
+    found = rolling.rolling_points(nav, windows, max_points=40)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2  # by date for the jumps, by day number for the windows
+    want = set()
+    every = rows_of(rolling.rolling_returns(nav, windows), "scheme_code", "window", "date")
+    for code in "abc":
+        for window in windows:
+            days = sorted(k[2] for k in every if k[:2] == (code, window))
+            stride = max(1, -(-len(days) // 40))
+            want |= {(code, window, d) for i, d in enumerate(days) if i % stride == 0 or i == len(days) - 1}
+    assert set(rows_of(found, "scheme_code", "window", "date")) == want
