@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from navloom.session import scratch_dir
 from navloom.sources import costs, holdings, master, nav_text, prices, sheets, versions
 from navloom.streaming import ingest
 from tests.conftest import rows_of
+from workload import queries
 
 D = dt.date
 HEADER_8 = "Scheme Code;ISIN Div Payout/ ISIN Growth;ISIN Div Reinvestment;Scheme Name;Plan;Option;Net Asset Value;Date"
@@ -482,3 +484,43 @@ def test_dates_in_words(spark):
 def test_constants_that_define_results():
     assert K.ISIN_PATTERN == "^[A-Z]{2}[A-Z0-9]{9}[0-9]$" and K.JUMP_LIMIT == 0.40 and K.STALE_AFTER_DAYS == 45
     assert K.JOIN_WORDS == ["and", "the"] and K.MAX_PORTFOLIO_WEIGHT == 115.0 and K.MIN_RISK_POINTS == 150 and K.MIN_ROLLING_WINDOWS == 30
+
+
+# --- registered queries over landed input ---------------------------------------------------
+
+@pytest.fixture()
+def small_tables(spark, tmp_path):
+    """A data folder of sales and parts."""
+    rng = random.Random(21)
+    parts = [(p, f"Brand#{11 + p % 5}", f"part {p}", "STEEL", p % 50 + 1, 900.0 + p) for p in range(1, 21)]
+    sales = [(o, n, rng.randrange(1, 25), rng.randrange(1, 4), rng.choice("OF"), rng.choice("ANR"), dt.datetime(2001, rng.randrange(1, 11), rng.randrange(1, 29)),
+              rng.randrange(11) / 100, 1000.0 + o) for o in range(1, 200) for n in range(1, 4)]
+    spark.createDataFrame(parts, "p_partkey BIGINT, p_brand STRING, p_name STRING, p_type STRING, p_size INT, p_retailprice DOUBLE").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(sales, "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, l_linestatus STRING, l_returnflag STRING, "
+                          "l_shipdate TIMESTAMP, l_discount DOUBLE, l_extendedprice DOUBLE").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["price_store", "pinned_prices"])
+def test_prices_are_derived_once(spark, small_tables, monkeypatch, name):
+    """However often a store is corrected, the series behind it are built in one job."""
+    nav = queries.Tables(spark, small_tables).nav.collect()
+    settled, settle = [], queries.settle
+    monkeypatch.setattr(queries, "settle", lambda df, label: settled.append(label) or settle(df, label))
+    rows = queries.REGISTRY[name](spark, small_tables)
+    assert settled == ["nav"]
+    stored = {(r.scheme_code, r.date): r.nav for r in rows.collect()}
+    if name == "pinned_prices":
+        assert stored == {(r.scheme_code, r.date): r.nav for r in nav}
+    else:
+        corrected = {(r.scheme_code, r.date) for r in nav if r.date >= dt.date(2001, 8, 1)}
+        assert all(stored[r.scheme_code, r.date] == pytest.approx(r.nav * (2 if (r.scheme_code, r.date) in corrected else 1)) for r in nav)
+
+
+def test_size_feed_lands_compressed(spark, small_tables):
+    groups = queries._size_groups(queries.Tables(spark, small_tables))
+    assert all(f.endswith(".json.gz") for f in groups.inputFiles()) and groups.count() == 199 * 3
+    codes = {r.scheme_code for r in queries.REGISTRY["aum_load"](spark, small_tables).collect()}
+    assert codes and codes <= {str(p) for p in range(1, 21)}
+    unknown = {r.scheme_code for r in queries.REGISTRY["aum_unknown"](spark, small_tables).collect()}
+    assert "24" in unknown and not unknown & codes

@@ -492,7 +492,7 @@ def price_backfill(spark, sf_dir):
 @query
 def price_store(spark, sf_dir):
     """Written by month, corrected in a new version, corrected again, read back."""
-    nav = Tables(spark, sf_dir).nav
+    nav = settle(Tables(spark, sf_dir).nav, "nav")
     store = scratch_dir(spark, "prices")
     prices.write_prices(nav, store)
     for _ in range(2):
