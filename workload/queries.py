@@ -567,7 +567,7 @@ def _size_groups(t: Tables) -> DataFrame:
                             F.array(entry("", F.col("headline"), F.col("fof")),
                                     entry("F", F.lit("0"), F.col("fof"))).alias("schemes"))
     out = scratch_dir(t.spark, "size-groups")
-    groups.write.json(out)
+    groups.write.option("compression", "gzip").json(out)  # a file a part, and most of its text is field names
     return t.spark.read.schema(schemas.AUM_GROUPS).json(out)
 
 
