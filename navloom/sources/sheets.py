@@ -104,8 +104,10 @@ def sheet_lines(cells: DataFrame, columns: DataFrame) -> DataFrame:
     near = (col == F.col("c_isin") - 1) | (col == F.col("c_isin") + 1)
     optional = F.coalesce(col == F.col("c_industry"), F.lit(False)) | F.coalesce(col == F.col("c_market_value"), F.lit(False))
     wanted = col.isin(F.col("c_name"), F.col("c_isin"), F.col("c_pct")) | near | optional
-    body = cells.join(columns, SHEET).filter((F.col("row_idx") > F.col("header")) & wanted)
-    text = F.when(names.strip(F.col("text")) != "", names.strip(F.col("text")))
+    # sheets are few beside cells: hashing them leaves the cells unsorted until their rows are put together
+    body = (cells.join(columns.hint("shuffle_hash"), SHEET).filter((F.col("row_idx") > F.col("header")) & wanted)
+            .withColumn("text", F.nullif(names.strip(F.col("text")), F.lit(""))))
+    text = F.col("text")
     usable = (~names.is_isin(text) & text.rlike(_LETTERS)
               & F.coalesce(col != F.col("c_industry"), F.lit(True)))
 
@@ -113,7 +115,8 @@ def sheet_lines(cells: DataFrame, columns: DataFrame) -> DataFrame:
         return F.max(F.when(where, value))
 
     number = F.coalesce(F.col("num"), feeds.number(F.col("text")))
-    rows = body.groupBy(*SHEET, "row_idx").agg(
+    # rows of a task are sorted by the first key: the names of files and sheets hardly differ in their first letters
+    rows = body.groupBy(F.xxhash64(*SHEET, "row_idx").alias("row_hash"), *SHEET, "row_idx").agg(
         cell(col == F.col("c_isin"), text).alias("isin"), cell(col == F.col("c_name"), text).alias("own_name"),
         cell((col == F.col("c_isin") - 1) & usable, text).alias("left_name"),
         cell((col == F.col("c_isin") + 1) & usable, text).alias("right_name"),
@@ -130,7 +133,7 @@ def scaled_lines(lines: DataFrame) -> DataFrame:
     is 0. Market value goes from lakh to crore."""
     totals = lines.groupBy(*SHEET).agg(F.sum(F.when(F.col("pct") <= 100, F.col("pct"))).alias("total"))
     scale = F.when((F.col("total") > 0) & (F.col("total") <= 3), 100.0).otherwise(1.0)
-    return (lines.join(totals, SHEET)
+    return (lines.join(totals.hint("shuffle_hash"), SHEET)
             .select(*SHEET, "row_idx", names.clean_instrument(F.col("name")).alias("instrument_name"), "isin",
                     names.clean_sector(F.col("industry")).alias("sector"),
                     F.coalesce(rnd(F.col("pct") * scale, 4), F.lit(0.0)).alias("pct_of_aum"),
@@ -151,9 +154,10 @@ def parse_sheets(cells: DataFrame, as_of: str, header_scan_rows: int | None = No
     holding lines. A sheet without a date gets ``as_of``. Scans go down to the header,
     wherever it is, unless the depths are given; ``unreadable`` lists the rest."""
     headers = settle(header_rows(cells, header_scan_rows), "headers")
-    lines = scaled_lines(settle(sheet_lines(cells, column_map(cells, headers)), "sheet-lines"))
+    top = settle(cells.join(headers, SHEET).filter(F.col("row_idx") <= F.col("header")).select(*cells.columns), "top-cells")
+    lines = scaled_lines(settle(sheet_lines(cells, settle(column_map(top, headers), "columns")), "sheet-lines"))
     totals = lines.groupBy(*SHEET).agg(F.sum("pct_of_aum").alias("total_pct"), F.count(F.lit(1)).alias("lines"))
-    sheets = (sheet_titles(title_rows(cells, headers), as_of, date_rows).join(totals, SHEET)
+    sheets = (sheet_titles(title_rows(top, headers), as_of, date_rows).join(totals, SHEET)
               .filter(F.coalesce("scheme_name", F.lit("")) != "")
               .withColumn("as_of_date", F.coalesce("as_of_date", F.lit(as_of).cast("date"))))
     return settle(sheets, "sheets"), lines
@@ -162,7 +166,8 @@ def parse_sheets(cells: DataFrame, as_of: str, header_scan_rows: int | None = No
 def unparsed(cells: DataFrame, sheets: DataFrame, lines: DataFrame, header_scan_rows: int | None = None) -> DataFrame:
     """(file, sheet, reason) of the landed sheets that are not among the parsed ``sheets``: unreadable, without a valid line, or
     without a name above their lines."""
-    left = cells.select(*SHEET).distinct().join(sheets.select(*SHEET), SHEET, "left_anti")
+    left = settle(cells.select(*SHEET).distinct().join(sheets.select(*SHEET), SHEET, "left_anti"), "left-sheets")
+    cells = settle(cells.join(left, SHEET, "left_semi"), "left-cells")
     some = lines.select(*SHEET).distinct().withColumn("some", F.lit(True))
     reason = F.coalesce("reason", F.when(F.col("some").isNull(), "no valid line").otherwise("no scheme name"))
     return left.join(unreadable(cells, header_scan_rows), SHEET, "left").join(some, SHEET, "left").select(*SHEET, reason.alias("reason"))
