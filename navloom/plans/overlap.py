@@ -14,8 +14,9 @@ from navloom.session import settle
 
 
 def latest_holdings(holdings: DataFrame) -> DataFrame:
-    """The rows of every scheme's newest disclosure."""
-    newest = holdings.groupBy("scheme_code").agg(F.max("as_of_date").alias("as_of_date"))
+    """The rows of every scheme's newest disclosure. The dates are settled, a row a scheme, so that the planner knows how
+    few they are and need not shuffle the lines to meet them."""
+    newest = settle(holdings.groupBy("scheme_code").agg(F.max("as_of_date").alias("as_of_date")), "newest-dates")
     return holdings.join(newest, ["scheme_code", "as_of_date"])
 
 
@@ -58,6 +59,7 @@ def anchored_pairs(sets: DataFrame, position: str | None = None) -> DataFrame:
     is first by ``position`` (by code without one). One row per further member, so a set
     of any size is answered; ``select("a", "b").distinct()`` gives the pairs to compute."""
     first = F.min_by("scheme_code", F.struct(position, "scheme_code")) if position else F.min("scheme_code")
+    sets = settle(sets, "sets")
     anchors = settle(sets.groupBy("set_id").agg(first.alias("a")), "anchors")
     return (sets.select("set_id", F.col("scheme_code").alias("b")).join(anchors, "set_id")
             .filter(F.col("a") != F.col("b")).select("set_id", "a", "b").distinct())
