@@ -13,11 +13,14 @@ from navloom.operators.positions import top_k
 from navloom.session import settle
 
 
+def _newest_dates(holdings: DataFrame) -> DataFrame:
+    """(scheme_code, as_of_date), settled, so that the planner knows how few rows they are and need not shuffle what meets them."""
+    return settle(holdings.groupBy("scheme_code").agg(F.max("as_of_date").alias("as_of_date")), "newest-dates")
+
+
 def latest_holdings(holdings: DataFrame) -> DataFrame:
-    """The rows of every scheme's newest disclosure. The dates are settled, a row a scheme, so that the planner knows how
-    few they are and need not shuffle the lines to meet them."""
-    newest = settle(holdings.groupBy("scheme_code").agg(F.max("as_of_date").alias("as_of_date")), "newest-dates")
-    return holdings.join(newest, ["scheme_code", "as_of_date"])
+    """The rows of every scheme's newest disclosure."""
+    return holdings.join(_newest_dates(holdings), ["scheme_code", "as_of_date"])
 
 
 def portfolio_weights(holdings: DataFrame) -> DataFrame:
@@ -184,6 +187,22 @@ def _with_floors(members: DataFrame, bounded: DataFrame, k: int) -> DataFrame:
     return members.join(sets, "set_id").select(*members.columns, "floor", *_others("members"))
 
 
+def _ranked(once: DataFrame, bounded: DataFrame, k: int, part: Column | None) -> DataFrame:
+    """(set_id, rank, isin, pct, held_by) of the top k of sets given as (set_id, scheme_code, funds). All rows of a set meet
+    in one task, which adds them up and ranks them; with a ``part`` they are added up in several."""
+    spread = ["set_id"] if part is None else ["set_id", "part"]
+    rows = _with_floors(once, bounded, k).join(bounded, "scheme_code")
+    reach = F.least("total", F.greatest("pct", F.lit(0.0)) + (F.col("funds") - 1) * F.col("most"))
+    shared = reduce(Column.__or__, (F.col(m).bitwiseAND(F.col(h)) != 0 for m, h in zip(_word_names("members"), _word_names("holders"))))
+    can = F.col("floor").isNull() | (F.col("pct") >= F.col("floor")) | (shared & (reach >= F.col("floor")))
+    rows = rows.filter(can) if part is None else rows.filter(can).withColumn("part", part)
+    owned = (rows.select(*spread, "funds", "floor", "isin", "pct").repartition(*spread)
+             .groupBy(*spread, "funds", "floor", "isin").agg(F.sum("pct").alias("sum"), F.count(F.lit(1)).alias("held_by"))
+             .filter(F.col("floor").isNull() | (F.col("sum") >= F.col("floor"))).withColumn("pct", F.col("sum") / F.col("funds")))
+    ranked = top_k(owned.withColumn("order_pct", F.round("pct", 9)), ["set_id"], [F.desc("order_pct"), F.asc("isin")], k)
+    return ranked.select("set_id", "rank", "isin", "pct", "held_by")
+
+
 def combined_exposure(sets: DataFrame, holdings: DataFrame, k: int = 10) -> DataFrame:
     """What an equal split over a set's disclosed funds owns: top k instruments
     with ``pct`` and the number of funds that hold them. Sets of the same funds are
@@ -192,27 +211,24 @@ def combined_exposure(sets: DataFrame, holdings: DataFrame, k: int = 10) -> Data
     A member's list is read as far as its weight alone reaches the set's floor. Behind that only the
     instruments are taken that can reach it together with other members: one of them shares a bit with a holder, and the
     instrument's largest weight and total allow it. So all rows of an instrument that can enter the top k are added up, and few
-    of the others. The rows that are left are spread by set, those of a large set by instrument too, before they are summed:
-    hardly two of a task's rows would combine before that."""
+    of the others. The rows that are left are spread by set before they are summed, as hardly two of a task's rows would combine
+    before that, and ranked where they lie; those of a large set are spread by instrument too."""
     newest = latest_holdings(holdings)
     weights = newest_weights(newest).select("scheme_code", "isin", "pct")
-    members = sets.select("set_id", "scheme_code").distinct()
+    # a set's rows lie together from here on, so that aggregates by set combine before they shuffle
+    members = sets.select("set_id", "scheme_code").filter("scheme_code IS NOT NULL").repartition("set_id").distinct()
     funds = settle(weights.select("scheme_code").distinct(), "disclosed-funds")
-    disclosed = settle(members.join(funds, "scheme_code", "left_semi"), "members")
+    disclosed = settle(members.join(funds, "scheme_code", "left_semi"), "members").filter("scheme_code IS NOT NULL")
     alike = settle(alike_sets(disclosed), "alike")
-    once = disclosed.join(alike.filter(F.col("set_id") == F.col("like")).select("set_id", "funds"), "set_id")
+    first = alike.filter(F.col("set_id") == F.col("like")).select("set_id", "funds")
     bounded = settle(_bounded(weights), "bounded-weights")
-    rows = _with_floors(once, bounded, k).join(bounded, "scheme_code")
-    reach = F.least("total", F.greatest("pct", F.lit(0.0)) + (F.col("funds") - 1) * F.col("most"))
-    shared = reduce(Column.__or__, (F.col(m).bitwiseAND(F.col(h)) != 0 for m, h in zip(_word_names("members"), _word_names("holders"))))
-    can = F.col("floor").isNull() | (F.col("pct") >= F.col("floor")) | (shared & (reach >= F.col("floor")))
-    part = F.pmod(F.xxhash64("isin"), F.ceil(F.col("funds") / _PART_FUNDS)).cast("int")
-    spread = rows.filter(can).select("set_id", part.alias("part"), "funds", "floor", "isin", "pct").repartition("set_id", "part")
-    owned = (spread.groupBy("set_id", "part", "funds", "floor", "isin").agg(F.sum("pct").alias("sum"), F.count(F.lit(1)).alias("held_by"))
-             .filter(F.col("floor").isNull() | (F.col("sum") >= F.col("floor"))).withColumn("pct", F.col("sum") / F.col("funds")))
-    ranked = top_k(owned.withColumn("order_pct", F.round("pct", 9)), ["set_id"], [F.desc("order_pct"), F.asc("isin")], k)
+    small, large = first.filter(F.col("funds") <= _PART_FUNDS), first.filter(F.col("funds") > _PART_FUNDS)
+    ranked = _ranked(disclosed.join(small, "set_id"), bounded, k, None)
+    if not large.isEmpty():
+        part = F.pmod(F.xxhash64("isin"), F.ceil(F.col("funds") / _PART_FUNDS)).cast("int")
+        ranked = ranked.unionAll(_ranked(disclosed.join(large, "set_id"), bounded, k, part))
     # the rows still lie by set here, so only the short list of sets moves to meet them
-    ranked = (ranked.select(F.col("set_id").alias("like"), "rank", "isin", "pct", "held_by").join(alike.select("set_id", "like"), "like"))
+    ranked = ranked.withColumnRenamed("set_id", "like").join(alike.select("set_id", "like"), "like")
     return ranked.join(instrument_names(newest), "isin", "left").select("set_id", "rank", "isin", "name", rnd(F.col("pct"), 2).alias("pct"), "held_by")
 
 
@@ -225,7 +241,7 @@ def concentration(exposure: DataFrame) -> DataFrame:
 
 def set_freshness(members: DataFrame, holdings: DataFrame) -> DataFrame:
     """Whether a set's funds were disclosed on different dates."""
-    newest = holdings.groupBy("scheme_code").agg(F.max("as_of_date").alias("as_of_date"))
+    newest = _newest_dates(holdings)
     return (members.join(newest, "scheme_code", "left").groupBy("set_id")
             .agg((F.min("as_of_date") != F.max("as_of_date")).alias("differs"))
             .select("set_id", F.coalesce("differs", F.lit(False)).alias("as_of_mismatch")))

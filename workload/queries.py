@@ -189,7 +189,7 @@ def combined_exposure(spark, sf_dir):
 @query
 def set_concentration(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    sets, disclosed = t.sets, t.stored_holdings()
+    sets, disclosed = settle(t.sets, "sets"), t.stored_holdings()
     return (overlap.concentration(overlap.combined_exposure(sets, disclosed))
             .join(overlap.set_freshness(sets, disclosed), "set_id"))
 
