@@ -49,14 +49,16 @@ def month_summaries(nav: DataFrame, links: DataFrame, proxy_rets: DataFrame) ->
             .withColumn("running", F.max("inner_nav").over(days.rowsBetween(Window.unboundedPreceding, 0))))
     x, y = F.col("ret"), F.when(inner, F.col("proxy_ret"))
     x_of_pair = F.when(y.isNotNull(), x)
-    return rows.groupBy("scheme_code", "month").agg(
+    summed = rows.groupBy("scheme_code", "month").agg(
         F.min("date").alias("first_date"), F.min_by("nav", "date").alias("first_nav"), F.min_by("proxy_ret", "date").alias("first_proxy"),
         F.max("date").alias("last_date"), F.max_by("nav", "date").alias("last_nav"),
         F.count("prev").alias("n"), F.count("ret").alias("defined"), F.max(F.abs("ret")).alias("largest"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"),
-        F.collect_list(F.when(F.abs("ret") > K.JUMP_LIMIT, F.col("date"))).alias("jumps"),  # at most one a day of the month
+        F.bit_or(F.when(F.abs("ret") > K.JUMP_LIMIT, F.expr("shiftleft(1, day(date) - 1)"))).alias("jump_days"),  # a bit a day keeps this a hash aggregate
         F.max("inner_nav").alias("peak"), F.min("inner_nav").alias("trough"), F.min(F.try_divide(F.col("inner_nav"), F.col("running")) - 1).alias("fall"),
         F.min_by("inner_nav", F.when(inner, F.col("date"))).alias("second_nav"),
         F.count(y).alias("pairs"), F.sum(x_of_pair).alias("px"), F.sum(y).alias("py"), F.sum(x_of_pair * y).alias("pxy"), F.sum(y * y).alias("pyy"))
+    jumps = F.expr("filter(sequence(trunc(last_date, 'MM'), last_day(last_date)), d -> (shiftright(jump_days, day(d) - 1) & 1) = 1)")
+    return summed.withColumn("jumps", F.when(F.col("jump_days") != 0, jumps).otherwise(F.array().cast("array<date>"))).drop("jump_days")
 
 
 def _as_elements(nav: DataFrame, links: DataFrame, proxy_rets: DataFrame) -> DataFrame:
@@ -210,7 +212,7 @@ def refresh(spark: SparkSession, store: str, state: str, keys: DataFrame, master
 def ingest(spark: SparkSession, store: str, state: str, batch: DataFrame, master: DataFrame, proxies: DataFrame, as_of: str) -> None:
     """Merges a batch of prices into the store and brings the state up to it."""
     batch = settle(batch.select("scheme_code", "date", "nav").filter("date IS NOT NULL"), "batch")
-    prices.merge_into_store(spark, store, batch)
+    prices.merge_into_store(spark, store, batch, settled=True)
     refresh(spark, store, state, batch.select("scheme_code", _month(F.col("date")).alias("month")).distinct(), master, proxies, as_of)
 
 

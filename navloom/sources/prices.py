@@ -93,8 +93,8 @@ def by_scheme(nav: DataFrame, table: str | None = None, buckets: int | None = No
     return spark.table(name)
 
 
-def merge_into_store(spark: SparkSession, path: str, incoming: DataFrame, incoming_wins: bool = True) -> versions.Version:
+def merge_into_store(spark: SparkSession, path: str, incoming: DataFrame, incoming_wins: bool = True, settled: bool = False) -> versions.Version:
     """Upserts (or only gap-fills) the months that ``incoming`` touches, as a new version: readers see all of the merge or
     nothing, a merge that died changes nothing, and repeating one changes no price."""
     return versions.merge(incoming.select("scheme_code", "date", "nav"), path, schemas.NAV_HISTORY, _MONTH, _ORDER,
-                          upserted if incoming_wins else backfilled)
+                          upserted if incoming_wins else backfilled, settled)

@@ -111,12 +111,14 @@ def replace(rows: DataFrame, root: str, part: str, order: list[str]) -> Version:
     return version
 
 
-def merge(incoming: DataFrame, root: str, schema: str, part: str, order: list[str], combine: Callable[[DataFrame, DataFrame], DataFrame]) -> Version:
+def merge(incoming: DataFrame, root: str, schema: str, part: str, order: list[str], combine: Callable[[DataFrame, DataFrame], DataFrame],
+          settled: bool = False) -> Version:
     """The next version: the parts that ``incoming`` touches become ``combine(stored, incoming)`` of their rows, all others are
     taken over as they are. If another merge publishes first, this one starts again from its version. Rows without a
-    part are left out; merging nothing makes no version."""
+    part are left out; merging nothing makes no version. ``settled`` says that ``incoming`` is read from files already."""
     spark = incoming.sparkSession
-    incoming = settle(incoming.filter(F.expr(part).isNotNull()), "incoming")
+    incoming = incoming.filter(F.expr(part).isNotNull())
+    incoming = incoming if settled else settle(incoming, "incoming")
     touched = [r[0] for r in incoming.select(F.expr(part)).distinct().collect()]  # bounded by the calendar
     if not touched:
         return pin(spark, root)

@@ -93,3 +93,11 @@ def test_only_touched_schemes_and_months_are_made_anew(spark, nav_of, tables, tm
     assert {p for p in after.runs if after.runs[p] != before.runs.get(p)} == {f"{day:%Y}"}
     upkeep.refresh(spark, store, state, nav_of({}).select("scheme_code", F.lit("2026-01").alias("month")), master, proxies, str(END))
     assert versions.pin(spark, f"{state}/months") == after
+
+
+def test_jumps_of_a_month_stay_in_a_hash_aggregate(spark, nav_of):
+    days = [(dt.date(2026, 1, d), nav) for d, nav in ((1, 10.0), (2, 20.0), (15, 20.5), (31, 1.0))] + [(dt.date(2026, 2, d), 1.0) for d in (1, 28)]
+    links = spark.createDataFrame([], "scheme_code STRING, proxy_scheme_code STRING")
+    found = upkeep.month_summaries(nav_of({"a": days}), links, spark.createDataFrame([], "proxy_scheme_code STRING, date DATE, proxy_ret DOUBLE"))
+    assert {r.month: r.jumps for r in found.collect()} == {"2026-01": [dt.date(2026, 1, 2), dt.date(2026, 1, 31)], "2026-02": []}
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
