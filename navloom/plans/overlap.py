@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from navloom.functions.rounding import rnd
 from navloom.operators.merge import mark_groups
 from navloom.operators.positions import top_k
-from navloom.session import settle
+from navloom.session import settle, settle_by
 
 
 def _newest_dates(holdings: DataFrame) -> DataFrame:
@@ -62,10 +62,10 @@ def anchored_pairs(sets: DataFrame, position: str | None = None) -> DataFrame:
     is first by ``position`` (by code without one). One row per further member, so a set
     of any size is answered; ``select("a", "b").distinct()`` gives the pairs to compute."""
     first = F.min_by("scheme_code", F.struct(position, "scheme_code")) if position else F.min("scheme_code")
-    sets = settle(sets, "sets")
-    anchors = settle(sets.groupBy("set_id").agg(first.alias("a")), "anchors")
-    return (sets.select("set_id", F.col("scheme_code").alias("b")).join(anchors, "set_id")
-            .filter(F.col("a") != F.col("b")).select("set_id", "a", "b").distinct())
+    # a set has a row per fund at most, so it fits a window; the pairs lie by (a, b) from here on
+    anchored = (sets.filter(F.col("set_id").isNotNull()).withColumn("a", first.over(Window.partitionBy("set_id")))
+                .select("set_id", "a", F.col("scheme_code").alias("b")).filter(F.col("a") != F.col("b")).distinct())
+    return settle_by(anchored, "anchored", "a", "b")
 
 
 _MEETINGS = 4_000_000  # rows of one instrument that a task makes of its holders, at most
@@ -77,8 +77,9 @@ def shared_positions(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     Each instrument goes the way that makes fewer rows. One with few holders has them meet each other, and the meetings that
     no pair asks for are dropped; so the many instruments that two funds don't share cost nothing, however many pairs
     there are. One with many holders is looked up for the requested pairs of its holders instead."""
-    pairs = settle(pairs.select("a", "b").distinct(), "asked-pairs")
-    degrees = settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("asked")), "asked-of")
+    pairs = settle_by(pairs.select("a", "b").distinct(), "asked-pairs", "a", "b")
+    span = F.min("b").alias("first_b"), F.max("b").alias("last_b")
+    degrees = settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("asked"), *span), "asked-of")
     sides = settle(pairs.select("b").distinct(), "asked-others")
     wa = weights.select(F.col("scheme_code").alias("a"), "isin", F.col("pct").alias("a_pct")).join(degrees, "a")
     wb = weights.select(F.col("scheme_code").alias("b"), "isin", F.col("pct").alias("b_pct")).join(sides, "b", "left_semi")
@@ -87,26 +88,32 @@ def shared_positions(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     meetings = F.col("a_holders") * F.col("b_holders")
     few = settle(holders.select("isin", ((meetings <= F.col("lookups")) & (meetings <= _MEETINGS)).alias("few")), "instrument-holders")
     rare, common = few.filter("few").select("isin"), few.filter("NOT few").select("isin")
-    own = wa.drop("asked")
-    met = own.join(rare, "isin").join(wb, "isin").join(pairs, ["a", "b"], "left_semi")
-    looked_up = pairs.join(own.join(common, "isin", "left_semi"), "a").join(wb.join(common, "isin", "left_semi"), ["b", "isin"])
     columns = ["a", "b", "isin", "a_pct", "b_pct"]
+    # outside of the funds that its side a is asked for, a meeting is dropped before it moves
+    met = (wa.drop("asked").join(rare, "isin").join(wb, "isin").filter(F.col("b").between(F.col("first_b"), F.col("last_b")))
+           .select(*columns).join(pairs, ["a", "b"], "left_semi"))
+    # settled, so that the planner knows when they are few and the pairs need not move to meet them
+    own = settle(wa.select("a", "isin", "a_pct").join(common, "isin", "left_semi"), "looked-up")
+    if own.isEmpty():
+        return met.select(*columns)
+    looked_up = pairs.join(own, "a").join(wb.join(common, "isin", "left_semi"), ["b", "isin"])
     return met.select(*columns).unionAll(looked_up.select(*columns))
 
 
 def overlap_pairs(pairs: DataFrame, holdings: DataFrame) -> DataFrame:
-    """(a, b, overlap_pct, common_count, as_of_mismatch). Null where a side has
-    disclosed nothing, 0 where the portfolios are disjoint. ``pairs`` may be any
-    list of pairs, of any length."""
-    weights, pairs = newest_weights(latest_holdings(holdings)), settle(pairs.select("a", "b"), "pairs")
+    """(a, b, ..., overlap_pct, common_count, as_of_mismatch): the rows of ``pairs`` with what their funds share. Null where
+    a side has disclosed nothing, 0 where the portfolios are disjoint. ``pairs`` may be any list of pairs, of any length,
+    and is read twice; its other columns stay."""
+    weights, others = newest_weights(latest_holdings(holdings)), [c for c in pairs.columns if c not in ("a", "b")]
     duplicated = shared_positions(pairs, weights).groupBy("a", "b").agg(
         F.sum(F.least("a_pct", "b_pct")).alias("pct"), F.count(F.lit(1)).alias("n"))
     disclosed = settle(weights.groupBy("scheme_code").agg(F.max("as_of_date").alias("as_of")), "disclosed")
     side_a = disclosed.select(F.col("scheme_code").alias("a"), F.col("as_of").alias("a_as_of"))
     side_b = disclosed.select(F.col("scheme_code").alias("b"), F.col("as_of").alias("b_as_of"))
     known = F.col("a_as_of").isNotNull() & F.col("b_as_of").isNotNull()
-    return (pairs.join(side_a, "a", "left").join(side_b, "b", "left").join(duplicated, ["a", "b"], "left")
-            .select("a", "b",
+    # both lists lie by (a, b), so they meet first
+    return (pairs.join(duplicated, ["a", "b"], "left").join(side_a, "a", "left").join(side_b, "b", "left")
+            .select("a", "b", *others,
                     F.when(known, rnd(F.coalesce("pct", F.lit(0.0)), 2)).alias("overlap_pct"),
                     F.when(known, F.coalesce("n", F.lit(0))).alias("common_count"),
                     F.coalesce(F.col("a_as_of") != F.col("b_as_of"), F.lit(False)).alias("as_of_mismatch")))

@@ -78,3 +78,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_by(df: DataFrame, label: str, *keys: str) -> DataFrame:
+    """``settle`` with equal ``keys`` in one file: a scratch table of as many buckets as a shuffle has partitions. Joins and aggregates
+    over these keys read it where it lies, so rows that meet there several times are shuffled once."""
+    spark = df.sparkSession
+    name, buckets = scratch_table(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(*keys).write.format("parquet").bucketBy(buckets, *keys).option("path", scratch_dir(spark, label)).saveAsTable(name))
+    return spark.table(name)

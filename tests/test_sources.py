@@ -517,6 +517,16 @@ def test_prices_are_derived_once(spark, small_tables, monkeypatch, name):
         assert all(stored[r.scheme_code, r.date] == pytest.approx(r.nav * (2 if (r.scheme_code, r.date) in corrected else 1)) for r in nav)
 
 
+@pytest.mark.parametrize("name", ["set_overlaps", "overlap_pairs"])
+def test_overlaps_store_no_text(spark, small_tables, monkeypatch, name):
+    """Weights are all that an overlap reads of the holdings."""
+    stored, settle = {}, queries.settle
+    monkeypatch.setattr(queries, "settle", lambda df, label: stored.setdefault(label, df.columns) and settle(df, label))
+    rows = queries.REGISTRY[name](spark, small_tables).collect()
+    assert stored["holdings"] == ["scheme_code", "as_of_date", "isin", "pct_of_aum"]
+    assert rows and all(r.a < r.b and r.common_count is not None for r in rows)
+
+
 def test_size_feed_lands_compressed(spark, small_tables):
     groups = queries._size_groups(queries.Tables(spark, small_tables))
     assert all(f.endswith(".json.gz") for f in groups.inputFiles()) and groups.count() == 199 * 3

@@ -50,6 +50,10 @@ class Tables:
     def stored_holdings(self) -> DataFrame:
         return settle(self.holdings, "holdings")
 
+    def stored_weights(self) -> DataFrame:
+        """The holdings without text, for jobs that read weights only."""
+        return settle(self.holdings.select("scheme_code", "as_of_date", "isin", "pct_of_aum"), "holdings")
+
     @property
     def proxies(self) -> DataFrame:
         return benchmark.benchmark_proxies(self.spark)
@@ -150,7 +154,7 @@ def kept_tables(spark, sf_dir):
 @query
 def overlap_pairs(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return overlap.overlap_pairs(overlap.anchored_pairs(t.sets).select("a", "b").distinct(), t.stored_holdings())
+    return overlap.overlap_pairs(overlap.anchored_pairs(t.sets).select("a", "b").distinct(), t.stored_weights())
 
 
 @query
@@ -162,9 +166,7 @@ def overlap_top_common(spark, sf_dir):
 def set_overlaps(spark, sf_dir):
     """The overlap of every fund of every set with the set's first fund."""
     t = Tables(spark, sf_dir)
-    anchored = settle(overlap.anchored_pairs(t.sets), "anchored")
-    found = settle(overlap.overlap_pairs(anchored.select("a", "b").distinct(), t.stored_holdings()), "overlaps")
-    return anchored.join(found, ["a", "b"])
+    return overlap.overlap_pairs(overlap.anchored_pairs(t.sets), t.stored_weights())
 
 
 @query
