@@ -20,6 +20,7 @@ SETTINGS = {
 
 
 _TABLES = "navloom_scratch_"
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
@@ -71,6 +72,10 @@ def clear_scratch(spark: SparkSession) -> None:
     system.delete(root, True)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Writes an intermediate result that several stages read to the shared scratch
     folder and reads it back. It is computed once, column pruning starts from
@@ -80,10 +85,18 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settle_by(df: DataFrame, label: str, *keys: str) -> DataFrame:
-    """``settle`` with equal ``keys`` in one file: a scratch table of as many buckets as a shuffle has partitions. Joins and aggregates
-    over these keys read it where it lies, so rows that meet there several times are shuffled once."""
+def settle_by(df: DataFrame, label: str, *keys: str, buckets: int | None = None, placed: bool = False) -> DataFrame:
+    """``settle`` with equal ``keys`` in one file: a scratch table of as many buckets as a shuffle has partitions, or of ``buckets``. Joins
+    and aggregates over these keys read it where it lies, so rows that meet there several times are shuffled once. Rows that are
+    ``placed`` lie by the keys already, and are written as they come: neither shuffled again nor sorted by bucket."""
     spark = df.sparkSession
-    name, buckets = scratch_table(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartition(*keys).write.format("parquet").bucketBy(buckets, *keys).option("path", scratch_dir(spark, label)).saveAsTable(name))
+    name, buckets = scratch_table(spark, label), buckets or shuffle_partitions(spark)
+    rows = df if placed else df.repartition(*keys)
+    before = spark.conf.get(_OPEN_FILES)
+    if placed:
+        spark.conf.set(_OPEN_FILES, "8")
+    try:
+        rows.write.format("parquet").bucketBy(buckets, *keys).option("path", scratch_dir(spark, label)).saveAsTable(name)
+    finally:
+        spark.conf.set(_OPEN_FILES, before)
     return spark.table(name)

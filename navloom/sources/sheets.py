@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from navloom import constants as K
 from navloom.functions import feeds, names
 from navloom.functions.rounding import rnd
-from navloom.session import settle
+from navloom.session import settle, settle_by
 
 SHEET = ["file", "sheet"]
 _LETTERS = "[A-Za-z]{3}"
@@ -29,7 +29,7 @@ def header_rows(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """(file, sheet, header): the first row that names instrument and ISIN, wherever it
     stands, or within ``scan_rows`` if given. Rows are told apart by flags per cell, so
     that nothing is gathered for the rows of a long sheet."""
-    label = F.lower(names.strip(F.col("text")))
+    label = F.lower("text")
     rows = cells.filter(F.col("text") != "")
     if scan_rows is not None:
         rows = rows.filter(F.col("row_idx") <= scan_rows)
@@ -101,27 +101,32 @@ def sheet_lines(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """Rows below the header that carry a valid ISIN and a name, unscaled. A name
     missing from its column is taken from the cell left, then right, of the ISIN."""
     col = F.col("col_idx")
-    near = (col == F.col("c_isin") - 1) | (col == F.col("c_isin") + 1)
-    optional = F.coalesce(col == F.col("c_industry"), F.lit(False)) | F.coalesce(col == F.col("c_market_value"), F.lit(False))
-    wanted = col.isin(F.col("c_name"), F.col("c_isin"), F.col("c_pct")) | near | optional
+    wanted = col.isin(F.col("c_name"), F.col("c_isin"), F.col("c_pct"), F.col("c_isin") - 1, F.col("c_isin") + 1, F.col("c_industry"), F.col("c_market_value"))
     # sheets are few beside cells: hashing them leaves the cells unsorted until their rows are put together
-    body = (cells.join(columns.hint("shuffle_hash"), SHEET).filter((F.col("row_idx") > F.col("header")) & wanted)
-            .withColumn("text", F.nullif(names.strip(F.col("text")), F.lit(""))))
     text = F.col("text")
-    usable = (~names.is_isin(text) & text.rlike(_LETTERS)
-              & F.coalesce(col != F.col("c_industry"), F.lit(True)))
+    # a projection of its own strips a text once, however often it is looked at below
+    body = (cells.join(columns.hint("shuffle_hash"), SHEET).filter((F.col("row_idx") > F.col("header")) & wanted)
+            .withColumn("text", F.nullif(names.strip(text), F.lit(""))))
+    usable = F.coalesce(col != F.col("c_industry"), F.lit(True)) & text.rlike(_LETTERS) & ~names.is_isin(text)
+    parts = {"isin": col == F.col("c_isin"), "own_name": col == F.col("c_name"), "left_name": col == F.col("c_isin") - 1,
+             "right_name": col == F.col("c_isin") + 1, "industry": col == F.col("c_industry"),
+             "pct": col == F.col("c_pct"), "mv": col == F.col("c_market_value")}
+    bits = {part: 1 << i for i, part in enumerate(parts)}
+    beside, numeric = bits["left_name"] | bits["right_name"], bits["pct"] | bits["mv"]
+    near = (col == F.col("c_isin") - 1) | (col == F.col("c_isin") + 1)
+    roles = reduce(Column.__add__, (F.when(is_part, bits[part]).otherwise(0) for part, is_part in parts.items()))
+    roles = F.when(near & ~F.coalesce(usable, F.lit(False)), roles.bitwiseAND(~beside)).otherwise(roles)
 
-    def cell(where: Column, value: Column) -> Column:
-        return F.max(F.when(where, value))
+    def has(mask: int) -> Column:
+        return F.col("roles").bitwiseAND(mask) != 0
 
-    number = F.coalesce(F.col("num"), feeds.number(F.col("text")))
+    # what a cell is to its row is settled before rows are put together: sorted are a word of roles, a text and a number
+    number = F.when((col == F.col("c_pct")) | (col == F.col("c_market_value")), F.coalesce(F.col("num"), feeds.number(text)))
+    cast = body.select(*SHEET, "row_idx", roles.alias("roles"), "text", number.alias("number"))
+    values = {part: F.col("number") if bits[part] & numeric else text for part in parts}
     # rows of a task are sorted by the first key: the names of files and sheets hardly differ in their first letters
-    rows = body.groupBy(F.xxhash64(*SHEET, "row_idx").alias("row_hash"), *SHEET, "row_idx").agg(
-        cell(col == F.col("c_isin"), text).alias("isin"), cell(col == F.col("c_name"), text).alias("own_name"),
-        cell((col == F.col("c_isin") - 1) & usable, text).alias("left_name"),
-        cell((col == F.col("c_isin") + 1) & usable, text).alias("right_name"),
-        cell(col == F.col("c_industry"), text).alias("industry"),
-        cell(col == F.col("c_pct"), number).alias("pct"), cell(col == F.col("c_market_value"), number).alias("mv"))
+    rows = cast.groupBy(F.xxhash64(*SHEET, "row_idx").alias("row_hash"), *SHEET, "row_idx").agg(
+        *(F.max(F.when(has(bits[part]), value)).alias(part) for part, value in values.items()))
     return (rows.filter(names.is_isin(F.col("isin")))
                 .withColumn("name", F.coalesce("own_name", "left_name", "right_name")).filter(F.col("name").isNotNull())
                 .select(*SHEET, "row_idx", "name", "isin", "industry", "pct", "mv"))
@@ -154,8 +159,12 @@ def parse_sheets(cells: DataFrame, as_of: str, header_scan_rows: int | None = No
     holding lines. A sheet without a date gets ``as_of``. Scans go down to the header,
     wherever it is, unless the depths are given; ``unreadable`` lists the rest."""
     headers = settle(header_rows(cells, header_scan_rows), "headers")
-    top = settle(cells.join(headers, SHEET).filter(F.col("row_idx") <= F.col("header")).select(*cells.columns), "top-cells")
-    lines = scaled_lines(settle(sheet_lines(cells, settle(column_map(top, headers), "columns")), "sheet-lines"))
+    deepest = headers.agg(F.max("header")).first()[0]
+    # no sheet reaches further, so hardly a cell is looked up
+    upper = cells.filter(F.col("row_idx") <= F.lit(deepest).cast("bigint"))
+    top = settle(upper.join(headers.hint("shuffle_hash"), SHEET).filter(F.col("row_idx") <= F.col("header")).select(*cells.columns), "top-cells")
+    # cells met their sheets by (file, sheet), so the lines lie so, for their totals and all that asks for a sheet's lines
+    lines = scaled_lines(settle_by(sheet_lines(cells, settle(column_map(top, headers), "columns")), "sheet-lines", *SHEET, placed=True))
     totals = lines.groupBy(*SHEET).agg(F.sum("pct_of_aum").alias("total_pct"), F.count(F.lit(1)).alias("lines"))
     sheets = (sheet_titles(title_rows(top, headers), as_of, date_rows).join(totals, SHEET)
               .filter(F.coalesce("scheme_name", F.lit("")) != "")
@@ -166,8 +175,8 @@ def parse_sheets(cells: DataFrame, as_of: str, header_scan_rows: int | None = No
 def unparsed(cells: DataFrame, sheets: DataFrame, lines: DataFrame, header_scan_rows: int | None = None) -> DataFrame:
     """(file, sheet, reason) of the landed sheets that are not among the parsed ``sheets``: unreadable, without a valid line, or
     without a name above their lines."""
-    left = settle(cells.select(*SHEET).distinct().join(sheets.select(*SHEET), SHEET, "left_anti"), "left-sheets")
-    cells = settle(cells.join(left, SHEET, "left_semi"), "left-cells")
+    left = settle(cells.select(*SHEET).distinct().join(sheets.select(*SHEET).hint("shuffle_hash"), SHEET, "left_anti"), "left-sheets")
+    cells = settle(cells.join(left.hint("shuffle_hash"), SHEET, "left_semi"), "left-cells")
     some = lines.select(*SHEET).distinct().withColumn("some", F.lit(True))
     reason = F.coalesce("reason", F.when(F.col("some").isNull(), "no valid line").otherwise("no scheme name"))
     return left.join(unreadable(cells, header_scan_rows), SHEET, "left").join(some, SHEET, "left").select(*SHEET, reason.alias("reason"))

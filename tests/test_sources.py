@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from navloom import constants as K
-from navloom import schemas
+from navloom import schemas, session
 from navloom.functions import feeds, names
 from navloom.operators import merge, resolve
 from navloom.session import scratch_dir
@@ -534,3 +534,60 @@ def test_size_feed_lands_compressed(spark, small_tables):
     assert codes and codes <= {str(p) for p in range(1, 21)}
     unknown = {r.scheme_code for r in queries.REGISTRY["aum_unknown"](spark, small_tables).collect()}
     assert "24" in unknown and not unknown & codes
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_a_sheet_lie_together(spark, cells):
+    """Cells move to their sheets once at most; totals and whatever asks for a sheet's lines find them there."""
+    lines = sheets.parse_sheets(cells, "2027-04-15")[1]
+    assert "Exchange" not in plan_of(lines) and lines.count() == 2 + 3 + 2 + 2 + 1
+    landed = session.settle_by(cells.repartition(4, "file", "sheet"), "cells", "file", "sheet", buckets=4, placed=True)
+    assert len(landed.inputFiles()) <= 4 and sorted(map(str, landed.collect())) == sorted(map(str, cells.collect()))
+    columns = sheets.column_map(landed, sheets.header_rows(landed)).localCheckpoint()
+    assert plan_of(sheets.sheet_lines(landed, columns)).count("Exchange") == 1  # the few sheets move, cells don't
+
+
+def test_rows_of_cells_that_come_twice_or_are_odd(spark):
+    """A name beside the ISIN counts if it is one and no industry; cells may come twice, without text or number."""
+    def cell(row, col, text, num=None):
+        return ("f", "s", row, col, text, num, None)
+    head = [cell(2, 1, "Name of Instrument"), cell(2, 3, "ISIN"), cell(2, 4, "Industry"), cell(2, 6, "Market value"), cell(2, 8, "% to NAV")]
+    rows = [cell(3, 2, "42"), cell(3, 3, " QQ0000000017 "), cell(3, 4, "Timber"), cell(3, 8, "1.5"), cell(3, 8, "2.5", 2.5), cell(4, 2, " Oak Beams "), cell(4, 2, "Ash"),
+            cell(4, 3, "QQ0000000025"), cell(4, 3, "QQ0000000025"), cell(4, 4, "  "), cell(4, 6, None, 7.0), cell(4, 8, "junk"), cell(5, 1, "Elm"), cell(5, 2, "QQ0000000074"),
+            cell(5, 3, "QQ0000000033"), cell(5, 4, None), cell(5, 8, " 3 "), cell(6, 1, "Total"), cell(6, 3, "none"), cell(6, 8, "9")]
+    cells = spark.createDataFrame(head + rows, schemas.CELLS)
+    found = sheets.sheet_lines(cells, sheets.column_map(cells, sheets.header_rows(cells)))
+    assert sorted(tuple(r) for r in found.collect()) == [("f", "s", 4, "Oak Beams", "QQ0000000025", None, None, 7.0), ("f", "s", 5, "Elm", "QQ0000000033", None, 3.0, None)]
+
+
+@pytest.fixture()
+def traded(spark, tmp_path):
+    """A data folder of sales by ten suppliers."""
+    parts = [(p, f"Brand#{11 + p % 5}", f"part {p}", "STEEL", p % 50 + 1, 900.0 + p) for p in range(1, 21)]
+    sales = [(o, n, (o * 7 + n) % 20 + 1, o % 10, dt.datetime(2000 + o % 2, 1 + o % 11, 1 + o % 28), 1000.0 + o) for o in range(200) for n in range(1, 4)]
+    spark.createDataFrame(parts, "p_partkey BIGINT, p_brand STRING, p_name STRING, p_type STRING, p_size INT, p_retailprice DOUBLE").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(s, f"Supplier#{s}") for s in range(10)], "s_suppkey BIGINT, s_name STRING").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(sales, "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, l_shipdate TIMESTAMP, l_extendedprice DOUBLE").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["sheet_report", "sheet_suspects", "sheet_quarantine", "sheet_holdings", "sheet_sectors"])
+def test_sheets_land_once_from_portfolios_derived_once(spark, traded, monkeypatch, name):
+    written, settle, settle_by = [], queries.settle, queries.settle_by
+    monkeypatch.setattr(queries, "settle", lambda df, label: written.append((label, df.columns)) or settle(df, label))
+    monkeypatch.setattr(queries, "settle_by", lambda df, label, *keys, **how: written.append((label, df.columns, keys)) or settle_by(df, label, *keys, **how))
+    rows = queries.REGISTRY[name](spark, traded).collect()
+    labels = [w[0] for w in written]
+    assert labels.count("holdings") == labels.count("cells") == 1 and "all-cells" not in labels
+    assert next(w[2] for w in written if w[0] == "cells") == ("file", "sheet")
+    if name == "sheet_report":
+        assert {r.amc: (r.sheets, r.suspect, r.matched, r.unmatched) for r in rows} == {"Alder Mutual Fund": (4, 1, 3, 0), "Birch Mutual Fund": (3, 0, 2, 1), "Cedar Mutual Fund": (3, 0, 3, 0)}
+    elif name == "sheet_suspects":
+        assert [(r.sheet, round(r.total_pct)) for r in rows] == [("S9", 125)]
+    elif name == "sheet_quarantine":
+        assert {r.sheet: r.reason for r in rows} == {"S9": "suspect weights", "S4": "no such fund", "S2-note": "no header row", "S3-note": "header lacks a column", "S5-note": "no valid line"}
+    else:
+        assert {r.scheme_code for r in rows} == {f"S{s}" for s in (0, 1, 2, 3, 5, 6, 7, 8)}

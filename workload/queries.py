@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,7 +16,7 @@ from navloom.operators import merge, resolve, series
 from navloom.plans import (alike, backtest, compare, costleak, explorer, nightly, overlap, paging, projections, quality, returns,
                            risk, rolling, search, upkeep)
 from navloom.plans import tax as plan_taxes
-from navloom.session import scratch_dir, settle
+from navloom.session import scratch_dir, settle, settle_by, shuffle_partitions
 from navloom.sources import benchmark, costs, holdings, master, nav_text, prices, sheets
 from navloom.streaming import ingest
 from workload.views import AS_OF, SHEETS_READ_ON, view
@@ -610,18 +611,24 @@ def newest_links(spark, sf_dir):
 
 # --- portfolio sheets ----------------------------------------------------------------------
 
-def _landed_cells(t: Tables) -> tuple[DataFrame, DataFrame]:
+_LANDED_ROWS = 250_000  # holdings of a bucket of cells, about; a holding is seven cells
+
+
+def _landed_cells(t: Tables, notes: bool = False) -> tuple[DataFrame, DataFrame]:
     """Every yearly portfolio laid out as a sheet in one of three house styles and
     landed as a table of cells, and the house of every file. Every tenth fund shows
     one position too many for its weights to add up, every other tenth has a name that
-    no master fund has."""
+    no master fund has. With ``notes`` there are sheets beside the portfolios: notes without a table, tables
+    without weights and tables without a line. Cells land in buckets of whole sheets."""
     k = F.substring("scheme_code", 2, 20).try_cast("bigint")
     lit, none = F.lit, F.lit(None)
-    rows = (t.holdings.join(t.master.select("scheme_code", "name", "amc"), "scheme_code")
-            .withColumn("style", k % 3)
-            .withColumn("file", F.concat(F.lower(F.split("amc", " ")[0]), lit("-"), F.year("as_of_date"), lit(".xlsx")))
-            .withColumn("fund", F.regexp_replace("name", " - Regular Plan - Growth$", ""))
-            .withColumn("fund", F.when(k % 10 == 4, F.concat(F.lit("Unlisted "), "fund")).otherwise(F.col("fund"))))
+    held, stored = t.stored_holdings(), t.stored_master().select("scheme_code", "name", "amc")
+
+    def filed(portfolios: DataFrame, year) -> DataFrame:
+        return portfolios.join(stored, "scheme_code").withColumn("file", F.concat(F.lower(F.split("amc", " ")[0]), lit("-"), year, lit(".xlsx")))
+
+    rows = filed(held, F.year("as_of_date")).withColumn("style", k % 3)
+    dated = filed(held.select("scheme_code", "as_of_date").distinct(), F.year("as_of_date"))
 
     def cell(row, col, value, num=none, dt=none):
         return F.struct(F.lit(row).cast("bigint").alias("row_idx") if isinstance(row, int) else row.alias("row_idx"),
@@ -668,15 +675,38 @@ def _landed_cells(t: Tables) -> tuple[DataFrame, DataFrame]:
     def by_style(a, b, c):
         return F.when(F.col("style") == 0, a).when(F.col("style") == 1, b).otherwise(c)
 
-    titles = rows.groupBy("file", "scheme_code", "style", "fund", "as_of_date", "amc").agg(F.count(lit(1)).alias("n"))
+    fund_name = F.regexp_replace("name", " - Regular Plan - Growth$", "")
+    titles = settle(dated.select("file", "scheme_code", (k % 3).alias("style"), F.when(k % 10 == 4, F.concat(lit("Unlisted "), fund_name)).otherwise(fund_name).alias("fund"),
+                                 "as_of_date", "amc").distinct(), "titles")
     top = by_style(title_a, title_b, title_c)
     top = F.when(k % 10 == 9, F.concat(top, by_style(junk(2, 3, 7, 30.0), junk(2, 1, 6, 0.3), junk(2, 3, 8, 30.0)))).otherwise(top)
+    partitions = shuffle_partitions(t.spark)
+    buckets = partitions * math.ceil(held.count() / (_LANDED_ROWS * partitions) or 1)
 
     def cells(source: DataFrame, packed) -> DataFrame:
-        return source.select("file", F.col("scheme_code").alias("sheet"), F.explode(packed).alias("c")).select("file", "sheet", "c.*")
+        # rows move to their bucket before each becomes its cells, and a sheet's lie together
+        placed = source.repartition(buckets, "file", "scheme_code").sortWithinPartitions("file", "scheme_code")
+        return placed.select("file", F.col("scheme_code").alias("sheet"), F.explode(packed).alias("c")).select("file", "sheet", "c.*")
+
+    body = rows.select("file", "scheme_code", "style", "instrument_name", "isin", "sector", "pct_of_aum", "market_value_cr")
+    landed = cells(titles, top).unionByName(cells(body, by_style(row_a, row_b, row_c)))
+    if notes:
+        beside = cells(_notes(filed(held.select("scheme_code", F.year("as_of_date").alias("year")).distinct(), F.col("year"))), F.col("packed"))
+        landed = landed.unionByName(beside.withColumns({"num": none.cast("double"), "dt": none.cast("date")}))
+    return settle_by(landed, "cells", "file", "sheet", buckets=buckets, placed=True), titles.select("file", "amc").distinct()
+
 
-    landed = settle(cells(titles, top).unionByName(cells(rows, by_style(row_a, row_b, row_c))), "cells")
-    return landed, titles.select("file", "amc").distinct()
+def _notes(held: DataFrame) -> DataFrame:
+    """(file, scheme_code, packed): sheets without a portfolio, beside those of a file."""
+    k = F.substring("scheme_code", 2, 20).try_cast("bigint") % 10
+    labels = ["Name of the Instrument", "ISIN", "% to NAV"]
+
+    def row(texts):
+        return [F.struct(F.lit(4).cast("bigint").alias("row_idx"), F.lit(i).alias("col_idx"), F.lit(text).alias("text")) for i, text in enumerate(texts)]
+
+    title = F.struct(F.lit(1).cast("bigint").alias("row_idx"), F.lit(0).alias("col_idx"), F.concat(F.lit("Portfolio of "), F.regexp_replace("name", " - .*", "")).alias("text"))
+    extra = F.when(k == 2, F.array(title)).when(k == 3, F.array(title, *row(labels[:2]))).when(k == 5, F.array(title, *row(labels)))
+    return held.select("file", F.concat("scheme_code", F.lit("-note")).alias("scheme_code"), extra.alias("packed"))
 
 
 @query
@@ -714,20 +744,8 @@ def sheet_quarantine(spark, sf_dir):
     """Every landed sheet that gives no holdings, and why. Beside the portfolios there are notes without a table, tables
     without weights and tables without a line."""
     t = Tables(spark, sf_dir)
-    cells, houses = _landed_cells(t)
-    k = F.substring("scheme_code", 2, 20).try_cast("bigint") % 10
-    labels = ["Name of the Instrument", "ISIN", "% to NAV"]
-
-    def row(texts):
-        return [F.struct(F.lit(4).cast("bigint").alias("row_idx"), F.lit(i).alias("col_idx"), F.lit(text).alias("text")) for i, text in enumerate(texts)]
-
-    title = F.struct(F.lit(1).cast("bigint").alias("row_idx"), F.lit(0).alias("col_idx"), F.concat(F.lit("Portfolio of "), F.regexp_replace("name", " - .*", "")).alias("text"))
-    extra = F.when(k == 2, F.array(title)).when(k == 3, F.array(title, *row(labels[:2]))).when(k == 5, F.array(title, *row(labels)))
-    held = t.holdings.select("scheme_code", F.year("as_of_date").alias("year")).distinct().join(t.master.select("scheme_code", "name", "amc"), "scheme_code")
-    notes = (held.withColumn("file", F.concat(F.lower(F.split("amc", " ")[0]), F.lit("-"), F.col("year"), F.lit(".xlsx")))
-             .select("file", F.concat("scheme_code", F.lit("-note")).alias("sheet"), F.explode(extra).alias("c")).select("file", "sheet", "c.*"))
-    notes = notes.withColumns({"num": F.lit(None).cast("double"), "dt": F.lit(None).cast("date")})
-    return holdings.load_sheets(settle(cells.unionByName(notes), "all-cells"), houses, t.stored_master(), SHEETS_READ_ON).quarantine
+    cells, houses = _landed_cells(t, notes=True)
+    return holdings.load_sheets(cells, houses, t.stored_master(), SHEETS_READ_ON).quarantine
 
 
 @query
