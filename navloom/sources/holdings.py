@@ -34,7 +34,7 @@ def matched_sheets(sheets: DataFrame, houses: DataFrame, master: DataFrame) -> D
 
 
 def holding_rows(lines: DataFrame, matched: DataFrame) -> DataFrame:
-    return lines.join(matched, sheet_source.SHEET).select(*_COLUMNS)
+    return lines.join(matched.hint("shuffle_hash"), sheet_source.SHEET).select(*_COLUMNS)
 
 
 def sector_rows(holdings: DataFrame) -> DataFrame:
